@@ -1,0 +1,5 @@
+"""Streaming entry points.
+
+The reference jobs are batch only; see ``trips`` for the incremental form of
+trip detection.
+"""
