@@ -53,7 +53,7 @@ def month_index(d: str | Column) -> Column:
 
 def parse_yyyymmdd(s: str | Column) -> Column:
     """``yyyyMMdd`` string to DATE; a malformed value becomes null, not an error."""
-    return F.try_to_date(_col(s), F.lit("yyyyMMdd")) if hasattr(F, "try_to_date") else F.to_date(_col(s), "yyyyMMdd")
+    return F.try_to_date(_col(s), "yyyyMMdd")
 
 
 def parse_seen_at(s: str | Column) -> Column:

@@ -9,7 +9,8 @@ same doubles, computed as a distributed plan:
    aggregation, so a value held by a third of all rows costs nothing extra).
 2. Approximate quantile cut points over the *distinct* values (one row,
    ``buckets - 1`` values) split the value range into contiguous buckets of
-   similar numbers of distinct values.  The cuts only balance the work;
+   similar numbers of distinct values (``buckets`` should grow with the
+   number of distinct values: each bucket's values are ordered in one task).  The cuts only balance the work;
    exactness never depends on them, because a value always lands in exactly
    one bucket and buckets are ordered ranges.
 3. Rows before a value = rows in earlier buckets (a running sum over at most
@@ -21,6 +22,15 @@ same doubles, computed as a distributed plan:
 The value -> rank table is joined back on the value (null-safe).  That join
 is the only row-level shuffle; a hot value is a skewed join key on the big
 side only, which AQE's skew-join handling splits.
+
+Bucket numbers come from a binary search over the sorted cuts written as a
+balanced ``CASE WHEN`` tree: ``log2(buckets)`` comparisons per distinct
+value, inside whole-stage codegen.
+
+When the caller can prove the number of distinct values is small (e.g. a
+count of active days is at most the days in the period), ``max_distinct``
+skips the buckets: the histogram itself is small enough for one window and
+for a broadcast join back.
 """
 
 from __future__ import annotations
@@ -28,7 +38,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 256
+DEFAULT_BUCKETS = 64
 DEFAULT_ACCURACY = 10_000
 
 
@@ -45,7 +55,8 @@ def value_percent_rank(
     """One row per distinct ``value`` (nulls included) with its percent rank.
 
     Ordering follows Spark's defaults: ascending puts nulls first, descending
-    puts nulls last.
+    puts nulls last.  Nulls form bucket -1, which sorts first ascending and
+    last descending, so they need no separate branch.
     """
     if buckets < 1:
         raise ValueError("buckets must be >= 1")
@@ -54,42 +65,75 @@ def value_percent_rank(
     hist = df.groupBy(F.col(value).alias(k)).agg(F.count(F.lit(1)).alias("__n"))
 
     fractions = [i / buckets for i in range(1, buckets)] or [0.5]
-    # One row: total rows, null rows, cut points.  Broadcast is safe: 1 row.
-    scalars = hist.agg(
-        F.sum("__n").alias("__total"),
-        F.coalesce(F.sum(F.when(kc.isNull(), F.col("__n"))), F.lit(0)).alias("__nulls"),
-        F.percentile_approx(kc, fractions, accuracy).alias("__cuts"),
-    )
-    binned = hist.crossJoin(F.broadcast(scalars)).withColumn(
-        "__b", F.size(F.filter("__cuts", lambda c: c < kc))
+    # One row of cut points; broadcast is safe.
+    cuts = hist.agg(F.percentile_approx(kc, fractions, accuracy).alias("__cuts"))
+    binned = hist.crossJoin(F.broadcast(cuts)).select(
+        kc,
+        "__n",
+        F.when(kc.isNull(), F.lit(-1))
+        .otherwise(_cuts_below(F.col("__cuts"), kc, 0, len(fractions)))
+        .alias("__b"),
     )
 
-    present = binned.where(kc.isNotNull())
     bucket_order = F.col("__b").asc() if ascending else F.col("__b").desc()
-    value_order = kc.asc() if ascending else kc.desc()
     earlier = Window.orderBy(bucket_order).rowsBetween(Window.unboundedPreceding, -1)
-    # At most ``buckets`` rows reach this un-partitioned window.
+    # At most ``buckets + 1`` rows reach these un-partitioned windows.
     offsets = (
-        present.groupBy("__b")
+        binned.groupBy("__b")
         .agg(F.sum("__n").alias("__bn"))
-        .select("__b", F.coalesce(F.sum("__bn").over(earlier), F.lit(0)).alias("__off"))
+        .select(
+            "__b",
+            F.coalesce(F.sum("__bn").over(earlier), F.lit(0)).alias("__off"),
+            F.sum("__bn").over(Window.partitionBy()).alias("__total"),
+        )
     )
+    value_order = kc.asc_nulls_first() if ascending else kc.desc_nulls_last()
     within = Window.partitionBy("__b").orderBy(value_order).rowsBetween(Window.unboundedPreceding, -1)
-    null_before = F.col("__nulls") if ascending else F.lit(0)
-    ranked = (
-        present.withColumn("__within", F.coalesce(F.sum("__n").over(within), F.lit(0)))
-        # ``offsets`` has at most ``buckets`` rows: a proven bound.
+    return (
+        binned.withColumn("__within", F.coalesce(F.sum("__n").over(within), F.lit(0)))
+        # ``offsets`` has at most ``buckets + 1`` rows: a proven bound.
         .join(F.broadcast(offsets), "__b")
-        .select(kc, (F.col("__off") + F.col("__within") + null_before).alias("__before"), "__total")
-    )
-    nulls = binned.where(kc.isNull()).select(
-        kc,
-        (F.lit(0) if ascending else F.col("__total") - F.col("__nulls")).alias("__before"),
-        "__total",
+        .select(kc, _fraction(F.col("__off") + F.col("__within"), F.col("__total")).alias(out))
     )
-    return ranked.unionByName(nulls).select(
+
+
+def _cuts_below(cuts: Column, v: Column, lo: int, hi: int) -> Column:
+    """Number of entries of the sorted array ``cuts`` below ``v`` (binary search).
+
+    Assumes entries before ``lo`` are below ``v`` and entries from ``hi`` on
+    are not.  Only one root-to-leaf path is evaluated per row.
+    """
+    if lo >= hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    return F.when(cuts[mid] < v, _cuts_below(cuts, v, mid + 1, hi)).otherwise(_cuts_below(cuts, v, lo, mid))
+
+
+def small_value_percent_rank(
+    df: DataFrame,
+    value: str,
+    *,
+    ascending: bool = True,
+    out: str = "percent_rank",
+    key: str | None = None,
+) -> DataFrame:
+    """Same result as ``value_percent_rank`` for a column with few distinct values.
+
+    The histogram (one row per distinct value) goes through one
+    un-partitioned running-sum window; use only where the number of distinct
+    values has a proven small bound.
+    """
+    k = key or f"__{value}_value"
+    kc = F.col(k)
+    hist = df.groupBy(F.col(value).alias(k)).agg(F.count(F.lit(1)).alias("__n"))
+    order = kc.asc_nulls_first() if ascending else kc.desc_nulls_last()
+    earlier = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.partitionBy()
+    return hist.select(
         kc,
-        _fraction(F.col("__before"), F.col("__total")).alias(out),
+        _fraction(
+            F.coalesce(F.sum("__n").over(earlier), F.lit(0)), F.sum("__n").over(everything)
+        ).alias(out),
     )
 
 
@@ -109,6 +153,7 @@ def percent_rank(
     method: str = "distributed",
     buckets: int = DEFAULT_BUCKETS,
     accuracy: int = DEFAULT_ACCURACY,
+    max_distinct: int | None = None,
 ) -> DataFrame:
     """``df`` plus column ``out`` = global percent rank of ``value``.
 
@@ -122,7 +167,37 @@ def percent_rank(
     if method != "distributed":
         raise ValueError(f"unknown method {method!r}")
     key = f"__{value}_{out}_key"
-    ranks = value_percent_rank(
-        df, value, ascending=ascending, out=out, key=key, buckets=buckets, accuracy=accuracy
+    ranks = rank_table(
+        df, value, ascending=ascending, out=out, key=key, buckets=buckets, accuracy=accuracy,
+        max_distinct=max_distinct,
     )
     return df.join(ranks, df[value].eqNullSafe(ranks[key]), "inner").drop(key)
+
+
+# Largest value table ranked in one task / broadcast by ``rank_table``.
+SMALL_TABLE_LIMIT = 100_000
+
+
+def rank_table(
+    df: DataFrame,
+    value: str,
+    *,
+    ascending: bool,
+    out: str,
+    key: str,
+    buckets: int = DEFAULT_BUCKETS,
+    accuracy: int = DEFAULT_ACCURACY,
+    max_distinct: int | None = None,
+) -> DataFrame:
+    """Value -> percent rank table; broadcast-marked when provably small.
+
+    ``max_distinct`` is the caller's proven bound on distinct values (plus
+    one for null).  At or under ``SMALL_TABLE_LIMIT`` the small-table plan is
+    used and the table is marked for broadcast; otherwise the bucketed plan,
+    and the join strategy is left to the planner / AQE's runtime sizes.
+    """
+    if max_distinct is not None and max_distinct <= SMALL_TABLE_LIMIT:
+        return F.broadcast(small_value_percent_rank(df, value, ascending=ascending, out=out, key=key))
+    return value_percent_rank(
+        df, value, ascending=ascending, out=out, key=key, buckets=buckets, accuracy=accuracy
+    )

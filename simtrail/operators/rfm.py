@@ -13,6 +13,13 @@ both reuse that partitioning.  A device with a third of all raw rows reaches
 the shuffle as at most one row per carrier and day per map task.
 The global last day is a one-row aggregate broadcast to every row -- no
 driver round-trip.
+
+The (device, carrier) table is read five times downstream (global bounds,
+three rank tables, the scored rows).  Catalyst prunes each reader's columns
+differently, so their plans never share an exchange and every reader would
+re-run the raw scan and both aggregations.  ``rfm_base`` therefore cuts the
+lineage there with a reliable checkpoint into the session's shared
+checkpoint folder (``checkpoint=False`` keeps it lazy).
 """
 
 from __future__ import annotations
@@ -22,7 +29,8 @@ from pyspark.sql import functions as F
 
 from simtrail import config
 from simtrail.functions.calendar import day_diff, month_index
-from simtrail.functions.ranking import value_percent_rank
+from simtrail.functions.ranking import rank_table
+from simtrail.session import materialize
 
 
 def valid_activity(activity: DataFrame, network: str | None = config.NETWORK_KEPT) -> DataFrame:
@@ -52,6 +60,7 @@ def rfm_base(
     *,
     network: str | None = config.NETWORK_KEPT,
     normalise: str | None = None,
+    checkpoint: bool = True,
 ) -> DataFrame:
     """One row per (device, carrier) of multi-carrier devices.
 
@@ -81,6 +90,8 @@ def rfm_base(
         .where(F.col("__carriers") > 1)
         .drop("__carriers")
     )
+    if checkpoint:
+        multi = materialize(multi)
     # One row, broadcast: the last (and first) day of all multi-carrier activity.
     bounds = multi.agg(
         F.max("latest_date").alias("__last_date"),
@@ -103,12 +114,18 @@ def rfm_base(
     )
 
 
-# (metric column, ascending?, percentile column, score column).  Recency is
-# ranked descending: fewer days since last activity -> higher score.
+# Recency and frequency are whole-day counts inside the scored period, so
+# they take at most one value per day of the period; a century of days (plus
+# null) bounds their value tables whatever the number of rows.
+DAY_COUNT_VALUES = 36_600
+
+# (metric column, ascending?, percentile column, score column, bound on
+# distinct values or None).  Recency is ranked descending: fewer days since
+# last activity -> higher score.
 RFM_METRICS = (
-    ("recency_days", False, "r_percentile", "r"),
-    ("usage_frequency", True, "f_percentile", "f"),
-    ("brq_m", True, "m_percentile", "m"),
+    ("recency_days", False, "r_percentile", "r", DAY_COUNT_VALUES),
+    ("usage_frequency", True, "f_percentile", "f", DAY_COUNT_VALUES),
+    ("brq_m", True, "m_percentile", "m", None),
 )
 
 
@@ -117,21 +134,23 @@ def rfm_score(rfm: DataFrame, *, method: str = "distributed", buckets: int | Non
 
     Percentiles equal Spark's ``percent_rank`` over the whole table.  With
     ``method="distributed"`` each metric's value -> rank table is built from
-    ``rfm`` without a single-partition step and joined back on the value;
+    ``rfm`` without a single-partition step over rows and joined back on the
+    value: the two day-count metrics through their small value tables
+    (broadcast), the monetary value through the bucketed plan.
     ``method="window"`` uses the built-in over an un-partitioned window
     (single task; small inputs only).
     """
     scored = rfm
-    for value, ascending, pct, _ in RFM_METRICS:
+    for value, ascending, pct, _, bound in RFM_METRICS:
         if method == "window":
             order = F.col(value).asc() if ascending else F.col(value).desc()
             scored = scored.withColumn(pct, F.percent_rank().over(Window.orderBy(order)))
             continue
         key = f"__{pct}_key"
         kwargs = {"buckets": buckets} if buckets else {}
-        ranks = value_percent_rank(rfm, value, ascending=ascending, out=pct, key=key, **kwargs)
+        ranks = rank_table(rfm, value, ascending=ascending, out=pct, key=key, max_distinct=bound, **kwargs)
         scored = scored.join(ranks, scored[value].eqNullSafe(ranks[key]), "inner").drop(key)
-    scored = scored.withColumns({s: F.col(p) * F.lit(5.0) for _, _, p, s in RFM_METRICS})
+    scored = scored.withColumns({s: F.col(p) * F.lit(5.0) for _, _, p, s, _ in RFM_METRICS})
     return scored.withColumn("rfm", F.col("r") + F.col("f") + F.col("m"))
 
 
@@ -153,4 +172,4 @@ def key_check(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def score_maxima(score: DataFrame) -> DataFrame:
     """D22 (A9): largest r, f and m in one pass."""
-    return score.agg(*[F.max(s).alias(f"max_{s}") for _, _, _, s in RFM_METRICS])
+    return score.agg(*[F.max(s).alias(f"max_{s}") for _, _, _, s, _ in RFM_METRICS])
