@@ -18,8 +18,8 @@ The (device, carrier) table is read five times downstream (global bounds,
 three rank tables, the scored rows).  Catalyst prunes each reader's columns
 differently, so their plans never share an exchange and every reader would
 re-run the raw scan and both aggregations.  ``rfm_base`` therefore cuts the
-lineage there with a reliable checkpoint into the session's shared
-checkpoint folder (``checkpoint=False`` keeps it lazy).
+lineage there: the table is written once under the session's shared
+checkpoint folder and read back (``checkpoint=False`` keeps it lazy).
 """
 
 from __future__ import annotations
@@ -91,7 +91,7 @@ def rfm_base(
         .drop("__carriers")
     )
     if checkpoint:
-        multi = materialize(multi)
+        multi = materialize(multi, "rfm-pairs")
     # One row, broadcast: the last (and first) day of all multi-carrier activity.
     bounds = multi.agg(
         F.max("latest_date").alias("__last_date"),

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,12 +66,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage at a fan-out point with a reliable checkpoint.
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Cut lineage at a fan-out point: write ``df`` once, read it back.
 
-    The data is written to the shared checkpoint folder, so a lost executor
-    does not force recomputation from the raw scan (``localCheckpoint`` would
-    lose the blocks with the executor, and is never used here).
+    The table goes to a fresh folder under the shared checkpoint folder, so a
+    lost executor never forces recomputation from the raw scan (the files
+    are on shared storage; ``localCheckpoint`` would lose its blocks with the
+    executor and is never used).  A written Parquet table is preferred over
+    ``Dataset.checkpoint()``: it is computed in one job (an un-persisted
+    eager checkpoint computes its input twice) and later readers get column
+    pruning and predicate pushdown.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark)
+    path = f"{root.rstrip('/')}/simtrail-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
