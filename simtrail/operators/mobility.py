@@ -11,19 +11,23 @@ Scale notes
 ``movements`` needs, per device, the next observation in time.  A plain
 ``lead`` over ``Window.partitionBy(ifa)`` sends all observations of one
 device to one task, so a device holding a third of all rows would be a third
-of the job in one task.  Instead observations are split into (device, day)
-groups -- ``split`` chooses the granularity -- and:
+of the job in one task.  Instead observations are split into units of
+(device, day) -- ``split`` chooses day or hour -- and a (device, day) with
+more than ``max_group_rows`` observations is further cut into equal-time
+slices (found by a partial-aggregated row count per group; the short list of
+oversized groups is broadcast).  Then:
 
-* inside a group ``lead`` gives the next observation for all but the group's
+* inside a unit ``lead`` gives the next observation for all but the unit's
   last row;
-* the groups' first and last rows (flagged by the same window pass, at most
-  two rows per group) link each group's last row to the first row of the
-  device's next group, with a ``lead`` over at most two rows per day.
+* the units' first and last rows (flagged by the same window pass, at most
+  two rows per unit) link each unit's last row to the first row of the
+  device's next unit, with a ``lead`` over at most two rows per unit.
 
 Both parts are unioned; together they are exactly the per-device ``lead``
-(the groups are contiguous time ranges of one device).  Points are
-hash-partitioned once on (device, group); both branches read that one
-exchange.
+(units are contiguous time ranges of one device).  Points are
+hash-partitioned once on the unit; both branches read that one exchange.
+The one case slicing cannot split is a burst of more than
+``max_group_rows`` observations inside a single slice's time span.
 """
 
 from __future__ import annotations
@@ -76,11 +80,18 @@ def restrict_to_devices(points: DataFrame, devices: DataFrame | None) -> DataFra
     return points.join(devices.select("ifa"), "ifa", "left_semi")
 
 
+# Length of a split group, for cutting oversized groups into time slices.
+_SPLIT_MICROS = {"day": 86_400 * 1_000_000, "hour": 3_600 * 1_000_000}
+# A (device, group) with more observations than this is cut into equal-time
+# slices, so no window task holds more than about this many rows.
+MAX_GROUP_ROWS = 2_000_000
+
+
 def _split_key(seen_at, split: str):
     if split == "day":
         return F.to_date(seen_at)
-    if split in ("hour", "week", "month"):
-        return F.date_trunc(split, seen_at)
+    if split == "hour":
+        return F.date_trunc("hour", seen_at)
     raise ValueError(f"unknown split {split!r}")
 
 
@@ -89,6 +100,7 @@ def movements(
     devices: DataFrame | None = None,
     *,
     split: str = "day",
+    max_group_rows: int = MAX_GROUP_ROWS,
     carry: Sequence[str] = (),
 ) -> DataFrame:
     """Every observation with ``next_state`` of the same device's next one.
@@ -98,14 +110,35 @@ def movements(
     ``next_state``; a following observation with a null state gives
     ``has_next = true`` and a null ``next_state``.  ``carry`` lists extra
     point columns to keep.
+
+    Work units are (device, ``split`` group, slice).  A group with more than
+    ``max_group_rows`` observations is cut into ``ceil(rows / max_group_rows)``
+    equal-duration slices; the list of such groups has fewer than
+    ``total rows / max_group_rows`` entries and is broadcast.
     """
     fields = ["seen_at", "obs_id", "state", *carry]
     pts = restrict_to_devices(points, devices)
     pts = pts.select("ifa", *fields).withColumn("__grp", _split_key(F.col("seen_at"), split))
-    pts = pts.repartition("ifa", "__grp")
+
+    hot = (
+        pts.groupBy("ifa", "__grp")
+        .agg(F.count(F.lit(1)).alias("__rows"))
+        .where(F.col("__rows") > max_group_rows)
+        .select("ifa", "__grp", F.ceil(F.col("__rows") / F.lit(max_group_rows)).alias("__slices"))
+    )
+    offset = F.unix_micros(F.col("seen_at").cast("timestamp")) - F.unix_micros(F.col("__grp").cast("timestamp"))
+    slice_no = F.when(F.col("__slices").isNull(), F.lit(0)).otherwise(
+        F.floor(offset * F.col("__slices") / F.lit(_SPLIT_MICROS[split]))
+    )
+    pts = (
+        pts.join(F.broadcast(hot), ["ifa", "__grp"], "left")
+        .withColumn("__slice", slice_no)
+        .drop("__slices")
+        .repartition("ifa", "__grp", "__slice")
+    )
 
     order = [F.col("seen_at").asc_nulls_first(), F.col("obs_id").asc_nulls_first()]
-    in_group = Window.partitionBy("ifa", "__grp").orderBy(*order)
+    in_group = Window.partitionBy("ifa", "__grp", "__slice").orderBy(*order)
     flagged = pts.withColumns(
         {
             "__next": F.lead(F.struct("state")).over(in_group),
@@ -119,10 +152,12 @@ def movements(
         F.lit(True).alias("has_next"),
     )
 
-    # Each group's first and last rows (at most two per device-group) carry
-    # the link across groups: for a group's last row, the next boundary row
-    # of the same device is the first row of its next group.
-    across = Window.partitionBy("ifa").orderBy(F.col("__grp").asc_nulls_first(), *order)
+    # Each unit's first and last rows (at most two per unit) carry the link
+    # across units: for a unit's last row, the next boundary row of the same
+    # device is the first row of its next unit.
+    across = Window.partitionBy("ifa").orderBy(
+        F.col("__grp").asc_nulls_first(), F.col("__slice").asc_nulls_first(), *order
+    )
     boundary = (
         flagged.where(F.col("__next").isNull() | F.col("__first"))
         .withColumn("__nf", F.lead(F.struct("state")).over(across))

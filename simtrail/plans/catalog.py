@@ -131,6 +131,7 @@ QUERIES: dict[str, Query] = {
     "focal_delta_total": lambda s, d: _profile(s, d, rule="total").select("ifa", "delta_rfm"),
     "focal_delta_by_count": lambda s, d: _profile(s, d, rule="by_count").select("ifa", "delta_rfm"),
     "profile_key_check": lambda s, d: rfm.key_check(_profile(s, d), ["ifa"]),
+    "carrier_number_values": lambda s, d: sim.carrier_wide(_scores(s, d), SLOTS).select("carrier_number").distinct(),
     "delta_segments": lambda s, d: sim.delta_segments(_profile(s, d)),
     "delta_segments_period": lambda s, d: sim.delta_segments(_profile(s, d, PERIOD)),
     "primary_sim_breakdown": lambda s, d: sim.sim_breakdown(_profile(s, d), "primary_sim"),
@@ -157,6 +158,7 @@ QUERIES: dict[str, Query] = {
     "corridor_deciles": lambda s, d: cohort.percentile_profile(_per_device(s, d)),
     "corridor_tiers": lambda s, d: _tiers(s, d),
     "corridor_tiers_four": lambda s, d: _tiers(s, d, config.TIER_CUTS_FOUR),
+    "tier_levels": lambda s, d: _tiers(s, d).select("tier_level").distinct(),
     # segments
     "segment_tier_profile": lambda s, d: segments.segment_tier_profile(_tiers(s, d), _membership(s, d)),
     "segment_daypart_profile": lambda s, d: segments.segment_daypart_profile(

@@ -276,6 +276,7 @@ def oracle_sql() -> dict[str, str]:
         "profile_key_check": _with(
             _profile(), "SELECT count(*) AS rows, count(DISTINCT ifa) AS distinct_keys FROM profile"
         ),
+        "carrier_number_values": _with(_wide(), "SELECT DISTINCT carrier_number FROM wide"),
         "delta_segments": _with(_profile(), DELTA_SEGMENTS),
         "delta_segments_period": _with(_profile(PERIOD), DELTA_SEGMENTS),
         "primary_sim_breakdown": _with(
@@ -323,6 +324,7 @@ FROM events""",
         ),
         "corridor_tiers": _with(_tiers(), "SELECT * FROM tiers"),
         "corridor_tiers_four": _with(_tiers(config.TIER_CUTS_FOUR), "SELECT * FROM tiers"),
+        "tier_levels": _with(_tiers(), "SELECT DISTINCT tier_level FROM tiers"),
         "segment_tier_profile": _with(
             _tiers() + ",\n" + MEMBERSHIP,
             _segment_grouping("tiers", "tier_level", "count(DISTINCT ifa) AS ifa_count"),

@@ -91,9 +91,19 @@ def test_split_equals_plain_device_lead(spark):
     plain = pts.select("ifa", "obs_id", "state", F.lead("state").over(w).alias("next_state"),
                        F.lead("obs_id").over(w).isNotNull().alias("has_next"))
     expect = sorted(tuple(r) for r in plain.collect())
-    for split in ("day", "hour", "month"):
-        got = mobility.movements(pts, split=split).select("ifa", "obs_id", "state", "next_state", "has_next")
-        assert sorted(tuple(r) for r in got.collect()) == expect, split
+    for split, cap in (("day", 10**9), ("hour", 10**9), ("day", 7), ("hour", 2)):
+        got = mobility.movements(pts, split=split, max_group_rows=cap).select(
+            "ifa", "obs_id", "state", "next_state", "has_next")
+        assert sorted(tuple(r) for r in got.collect()) == expect, (split, cap)
+
+
+def test_hot_group_is_sliced(spark):
+    rows = [("hot", i, ts(1, 0) + dt.timedelta(minutes=i), "AB"[i % 2]) for i in range(600)]
+    pts = spark.createDataFrame(rows, SCHEMA)
+    moves = mobility.movements(pts, max_group_rows=50)
+    plan = moves._jdf.queryExecution().optimizedPlan().toString()
+    assert "__slice" in plan
+    assert mobility.trips(moves).count() == 599
 
 
 def test_restrict_to_devices_is_semi_join(spark):
