@@ -65,9 +65,10 @@ def value_percent_rank(
     hist = df.groupBy(F.col(value).alias(k)).agg(F.count(F.lit(1)).alias("__n"))
 
     fractions = [i / buckets for i in range(1, buckets)] or [0.5]
-    # One row of cut points; broadcast is safe.
-    cuts = hist.agg(F.percentile_approx(kc, fractions, accuracy).alias("__cuts"))
-    binned = hist.crossJoin(F.broadcast(cuts)).select(
+    # The cut points: an uncorrelated scalar subquery (one array value,
+    # computed once and shipped with the tasks) projected once per row.
+    cuts = hist.agg(F.percentile_approx(kc, fractions, accuracy)).scalar()
+    binned = hist.select(kc, "__n", cuts.alias("__cuts")).select(
         kc,
         "__n",
         F.when(kc.isNull(), F.lit(-1))

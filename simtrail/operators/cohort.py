@@ -5,10 +5,11 @@ D16 ``corridor_by_weekpart`` / ``corridor_by_daypart`` / ``corridor_per_device``
 D17 ``percentile_profile``    exact percentiles of a column, one pass
 D18 ``tier``                  Low / Mid / High (/ Ultra High) by percentile cuts
 
-Percentile cut points are a one-row aggregate broadcast to every row, never
-collected to the driver.  Spark's exact ``percentile`` keeps a value -> count
-map, so its memory follows the number of *distinct* values (trip counts per
-device: small integers), not the number of rows.
+Percentile cut points are an uncorrelated scalar subquery (one array value,
+computed once), not a join and not a ``collect`` in user code.  Spark's
+exact ``percentile`` keeps a value -> count map, so its memory follows the
+number of *distinct* values (trip counts per device: small integers), not
+the number of rows.
 """
 
 from __future__ import annotations
@@ -84,7 +85,7 @@ def tier(
     if len(labels) < len(cuts) + 1:
         raise ValueError("need one label per tier")
     n = F.col(column)
-    bounds = per_device.where(n.isNotNull()).agg(F.percentile(n, cuts).alias("__cuts"))
+    bounds = per_device.where(n.isNotNull()).agg(F.percentile(n, cuts)).scalar()
     c = [F.col("__cuts")[i] for i in range(len(cuts))]
     tier_id = F.when((n > 0) & (n <= c[0]), F.lit(labels[0][0]))
     for i in range(1, len(cuts)):
@@ -95,7 +96,7 @@ def tier(
         cond = F.col("tier_id") == F.lit(tid)
         level = F.when(cond, F.lit(name)) if level is None else level.when(cond, F.lit(name))
     return (
-        per_device.crossJoin(F.broadcast(bounds))  # one row
+        per_device.withColumn("__cuts", bounds)  # scalar subquery: one array, computed once
         .withColumn("tier_id", tier_id)
         .withColumn("tier_level", level)
         .drop("__cuts")

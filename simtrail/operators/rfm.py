@@ -11,8 +11,8 @@ daily roll-up keyed (device, carrier, day), re-hashed on the device alone;
 the (device, carrier) aggregate and the per-device carrier count (a window)
 both reuse that partitioning.  A device with a third of all raw rows reaches
 the shuffle as at most one row per carrier and day per map task.
-The global last day is a one-row aggregate broadcast to every row -- no
-driver round-trip.
+The global last day is an uncorrelated scalar subquery (one value computed
+once), not a join.
 
 The (device, carrier) table is read five times downstream (global bounds,
 three rank tables, the scored rows).  Catalyst prunes each reader's columns
@@ -92,21 +92,22 @@ def rfm_base(
     )
     if checkpoint:
         multi = materialize(multi, "rfm-pairs")
-    # One row, broadcast: the last (and first) day of all multi-carrier activity.
+    # The last (and first) day of all multi-carrier activity: a scalar
+    # subquery, computed once -- no join, no collect in user code.
     bounds = multi.agg(
-        F.max("latest_date").alias("__last_date"),
-        F.min("earliest_date").alias("__first_date"),
-    )
+        F.struct(F.max("latest_date").alias("last"), F.min("earliest_date").alias("first"))
+    ).scalar()
+    last_date, first_date = F.col("__bounds.last"), F.col("__bounds.first")
     if normalise is None:
         periods: Column = F.lit(1)
     elif normalise == "months":
-        periods = month_index("__last_date") - month_index("__first_date") + 1
+        periods = month_index(last_date) - month_index(first_date) + 1
     else:
         raise ValueError(f"unknown normalise {normalise!r}")
-    return multi.crossJoin(F.broadcast(bounds)).select(
+    return multi.withColumn("__bounds", bounds).select(
         "ifa",
         "carrier",
-        (day_diff("__last_date", "latest_date") + 1).alias("recency_days"),
+        (day_diff(last_date, "latest_date") + 1).alias("recency_days"),
         (F.col("data_usage_freq") / periods).alias("usage_frequency"),
         (F.col("brq_count") / periods).alias("brq_m"),
         "data_usage_freq",
