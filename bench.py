@@ -1,7 +1,7 @@
 """Benchmark the headline queries; print ONE JSON line.
 
 Environment: ``BENCH_SF_DIR`` (default /root/testdata/sf0.1),
-``BENCH_CPUS`` (default 8), ``BENCH_REPEAT`` (default 2, best run counts).
+``BENCH_CPUS`` (default 8), ``BENCH_REPEAT`` (default 3, best run counts).
 Each query is run to completion through the ``noop`` sink (every row is
 computed, nothing is collected to the driver).
 """
@@ -37,7 +37,7 @@ HEADLINE = (
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    repeat = int(os.environ.get("BENCH_REPEAT", "2"))
+    repeat = int(os.environ.get("BENCH_REPEAT", "3"))
     scratch = tempfile.mkdtemp(prefix="simtrail-bench-")
     spark = build_session(
         master=f"local[{cpus}]",

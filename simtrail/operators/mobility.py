@@ -100,7 +100,7 @@ def movements(
     devices: DataFrame | None = None,
     *,
     split: str = "day",
-    max_group_rows: int = MAX_GROUP_ROWS,
+    max_group_rows: int | None = MAX_GROUP_ROWS,
     carry: Sequence[str] = (),
 ) -> DataFrame:
     """Every observation with ``next_state`` of the same device's next one.
@@ -115,27 +115,29 @@ def movements(
     ``max_group_rows`` observations is cut into ``ceil(rows / max_group_rows)``
     equal-duration slices; the list of such groups has fewer than
     ``total rows / max_group_rows`` entries and is broadcast.
+    ``max_group_rows=None`` skips that check (no group is sliced).
     """
     fields = ["seen_at", "obs_id", "state", *carry]
     pts = restrict_to_devices(points, devices)
     pts = pts.select("ifa", *fields).withColumn("__grp", _split_key(F.col("seen_at"), split))
 
-    hot = (
-        pts.groupBy("ifa", "__grp")
-        .agg(F.count(F.lit(1)).alias("__rows"))
-        .where(F.col("__rows") > max_group_rows)
-        .select("ifa", "__grp", F.ceil(F.col("__rows") / F.lit(max_group_rows)).alias("__slices"))
-    )
-    offset = F.unix_micros(F.col("seen_at").cast("timestamp")) - F.unix_micros(F.col("__grp").cast("timestamp"))
-    slice_no = F.when(F.col("__slices").isNull(), F.lit(0)).otherwise(
-        F.floor(offset * F.col("__slices") / F.lit(_SPLIT_MICROS[split]))
-    )
-    pts = (
-        pts.join(F.broadcast(hot), ["ifa", "__grp"], "left")
-        .withColumn("__slice", slice_no)
-        .drop("__slices")
-        .repartition("ifa", "__grp", "__slice")
-    )
+    if max_group_rows is None:
+        pts = pts.withColumn("__slice", F.lit(0))
+    else:
+        hot = (
+            pts.groupBy("ifa", "__grp")
+            .agg(F.count(F.lit(1)).alias("__rows"))
+            .where(F.col("__rows") > max_group_rows)
+            .select("ifa", "__grp", F.ceil(F.col("__rows") / F.lit(max_group_rows)).alias("__slices"))
+        )
+        offset = F.unix_micros(F.col("seen_at").cast("timestamp")) - F.unix_micros(
+            F.col("__grp").cast("timestamp")
+        )
+        slice_no = F.when(F.col("__slices").isNull(), F.lit(0)).otherwise(
+            F.floor(offset * F.col("__slices") / F.lit(_SPLIT_MICROS[split]))
+        )
+        pts = pts.join(F.broadcast(hot), ["ifa", "__grp"], "left").withColumn("__slice", slice_no).drop("__slices")
+    pts = pts.repartition("ifa", "__grp", "__slice")
 
     order = [F.col("seen_at").asc_nulls_first(), F.col("obs_id").asc_nulls_first()]
     in_group = Window.partitionBy("ifa", "__grp", "__slice").orderBy(*order)
