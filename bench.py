@@ -39,13 +39,14 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     repeat = int(os.environ.get("BENCH_REPEAT", "3"))
     scratch = tempfile.mkdtemp(prefix="simtrail-bench-")
+    # The checkpoint folder is read from the session (spark-defaults);
+    # ``build_session`` only creates one when none is named.
     spark = build_session(
         master=f"local[{cpus}]",
         shuffle_partitions=cpus,
         app_name="simtrail-bench",
         extra_conf={
             "spark.driver.memory": "16g",
-            "spark.checkpoint.dir": os.path.join(scratch, "ckpt"),
             "spark.local.dir": os.path.join(scratch, "local"),
         },
     )
