@@ -49,3 +49,47 @@ def corridor_report(
         out["segment_dayparts"] = segments.segment_daypart_profile(cohort.device_daypart(rows), membership)
         out["segment_weekparts"] = segments.segment_weekpart_profile(cohort.device_weekpart(rows), membership)
     return out
+
+
+def run(
+    spark,
+    locations_path: str,
+    profile_path: str,
+    out_root: str,
+    *,
+    score_columns: Sequence[str],
+    profile_format: str = "parquet",
+    segments_root: str | None = None,
+    segments_layout: str = "partitioned",
+    corridors: Sequence[tuple[str, str]] = config.CORRIDORS,
+    country: str | None = config.COUNTRY_KEPT,
+    cuts: Sequence[float] = config.TIER_CUTS,
+) -> dict[str, str]:
+    """Job B end to end; returns ``{dataset: path}`` of everything written.
+
+    The trip profile feeds the OD matrix and every corridor report, so it is
+    written once (``materialize``) and each output reads that table.
+    """
+    from simtrail.session import materialize
+    from simtrail.sources import readers
+
+    points = mobility.location_points(readers.read_location_timeseries(spark, locations_path), country)
+    devices = readers.read_sim_profile(spark, profile_path, score_columns, fmt=profile_format)
+    profile = materialize(build_trip_profile(points, devices), "trip-profile")
+    membership = (
+        readers.read_segments(spark, segments_root, layout=segments_layout) if segments_root else None
+    )
+    written: dict[str, str] = {}
+
+    def save(df: DataFrame, name: str) -> None:
+        path = f"{out_root.rstrip('/')}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        written[name] = path
+
+    save(profile, "trip_profile")
+    save(mobility.od_matrix(profile), "od_matrix")
+    for a, b in corridors:
+        key = f"{a}_{b}".replace(" ", "_").lower()
+        for name, df in corridor_report(profile, a, b, membership, cuts).items():
+            save(df, f"corridor={key}/{name}")
+    return written
