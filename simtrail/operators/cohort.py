@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from simtrail import config
+from simtrail.operators.sim import by_count_desc
 
 
 def corridor(profile: DataFrame, a: str, b: str) -> DataFrame:
@@ -27,19 +28,22 @@ def corridor(profile: DataFrame, a: str, b: str) -> DataFrame:
     return profile.where(F.col("travel").isin(list(config.corridor_keys(a, b)))).drop("travel")
 
 
-def corridor_by_weekpart(rows: DataFrame) -> DataFrame:
-    """D16 (A20): corridor trips per weekday/weekend."""
-    return rows.groupBy("weekday_weekend").agg(F.sum("count").alias("count"))
+def corridor_by_weekpart(rows: DataFrame, ordered: bool = False) -> DataFrame:
+    """D16 (A20): corridor trips per weekday/weekend. ``ordered``: largest first (O3)."""
+    out = rows.groupBy("weekday_weekend").agg(F.sum("count").alias("count"))
+    return by_count_desc(out, ["weekday_weekend"]) if ordered else out
 
 
-def corridor_by_daypart(rows: DataFrame) -> DataFrame:
-    """D16 (A21): corridor trips per daypart."""
-    return rows.groupBy("time_of_day").agg(F.sum("count").alias("count"))
+def corridor_by_daypart(rows: DataFrame, ordered: bool = False) -> DataFrame:
+    """D16 (A21): corridor trips per daypart. ``ordered``: largest first (O3)."""
+    out = rows.groupBy("time_of_day").agg(F.sum("count").alias("count"))
+    return by_count_desc(out, ["time_of_day"]) if ordered else out
 
 
-def corridor_per_device(rows: DataFrame) -> DataFrame:
-    """D16 (A22): corridor trips per device."""
-    return rows.groupBy("ifa").agg(F.sum("count").alias("count"))
+def corridor_per_device(rows: DataFrame, ordered: bool = False) -> DataFrame:
+    """D16 (A22): corridor trips per device. ``ordered``: largest first (O3)."""
+    out = rows.groupBy("ifa").agg(F.sum("count").alias("count"))
+    return by_count_desc(out, ["ifa"]) if ordered else out
 
 
 def device_daypart(rows: DataFrame) -> DataFrame:

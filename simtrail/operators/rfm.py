@@ -155,9 +155,13 @@ def rfm_score(rfm: DataFrame, *, method: str = "distributed", buckets: int | Non
     return scored.withColumn("rfm", F.col("r") + F.col("f") + F.col("m"))
 
 
-def rfm_distribution(rfm: DataFrame, metric: str) -> DataFrame:
-    """D4 (A6-A8): distinct devices per (metric value, carrier)."""
-    return rfm.groupBy(metric, "carrier").agg(F.count_distinct("ifa").alias("ifa_count"))
+def rfm_distribution(rfm: DataFrame, metric: str, ordered: bool = False) -> DataFrame:
+    """D4 (A6-A8): distinct devices per (metric value, carrier).
+
+    ``ordered`` sorts by the metric value, then carrier (O1).
+    """
+    out = rfm.groupBy(metric, "carrier").agg(F.count_distinct("ifa").alias("ifa_count"))
+    return out.orderBy(F.col(metric).asc(), F.col("carrier").asc()) if ordered else out
 
 
 def key_check(df: DataFrame, keys: list[str]) -> DataFrame:

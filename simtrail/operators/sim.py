@@ -171,6 +171,15 @@ def delta_segments(profile: DataFrame) -> DataFrame:
     )
 
 
-def sim_breakdown(profile: DataFrame, column: str = "primary_sim") -> DataFrame:
-    """D9 (A17): distinct devices per value of ``primary_sim`` / ``secondary_sim``."""
-    return profile.groupBy(column).agg(F.count_distinct("ifa").alias("count"))
+def sim_breakdown(profile: DataFrame, column: str = "primary_sim", ordered: bool = False) -> DataFrame:
+    """D9 (A17): distinct devices per value of ``primary_sim`` / ``secondary_sim``.
+
+    ``ordered`` sorts by count, largest first, then by the value (O3).
+    """
+    out = profile.groupBy(column).agg(F.count_distinct("ifa").alias("count"))
+    return by_count_desc(out, [column]) if ordered else out
+
+
+def by_count_desc(df: DataFrame, keys: list[str], count: str = "count") -> DataFrame:
+    """O3: largest count first; the key columns make the order unique."""
+    return df.orderBy(F.col(count).desc(), *[F.col(k).asc() for k in keys])

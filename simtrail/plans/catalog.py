@@ -115,9 +115,9 @@ QUERIES: dict[str, Query] = {
     "recency_rank": lambda s, d: _scores(s, d).select("ifa", "carrier", "recency_days", "r_percentile"),
     "frequency_rank": lambda s, d: _scores(s, d).select("ifa", "carrier", "usage_frequency", "f_percentile"),
     "monetary_rank": lambda s, d: _scores(s, d).select("ifa", "carrier", "brq_m", "m_percentile"),
-    "recency_distribution": lambda s, d: rfm.rfm_distribution(_base(s, d), "recency_days"),
-    "frequency_distribution": lambda s, d: rfm.rfm_distribution(_base(s, d), "data_usage_freq"),
-    "monetary_distribution": lambda s, d: rfm.rfm_distribution(_base(s, d), "brq_m"),
+    "recency_distribution": lambda s, d: rfm.rfm_distribution(_base(s, d), "recency_days", ordered=True),
+    "frequency_distribution": lambda s, d: rfm.rfm_distribution(_base(s, d), "data_usage_freq", ordered=True),
+    "monetary_distribution": lambda s, d: rfm.rfm_distribution(_base(s, d), "brq_m", ordered=True),
     "score_key_check": lambda s, d: rfm.key_check(_scores(s, d), ["ifa", "carrier"]),
     "score_maxima": lambda s, d: rfm.score_maxima(_scores(s, d)),
     # SIM profile
@@ -134,8 +134,8 @@ QUERIES: dict[str, Query] = {
     "carrier_number_values": lambda s, d: sim.carrier_wide(_scores(s, d), SLOTS).select("carrier_number").distinct(),
     "delta_segments": lambda s, d: sim.delta_segments(_profile(s, d)),
     "delta_segments_period": lambda s, d: sim.delta_segments(_profile(s, d, PERIOD)),
-    "primary_sim_breakdown": lambda s, d: sim.sim_breakdown(_profile(s, d), "primary_sim"),
-    "secondary_sim_breakdown": lambda s, d: sim.sim_breakdown(_profile(s, d), "secondary_sim"),
+    "primary_sim_breakdown": lambda s, d: sim.sim_breakdown(_profile(s, d), "primary_sim", ordered=True),
+    "secondary_sim_breakdown": lambda s, d: sim.sim_breakdown(_profile(s, d), "secondary_sim", ordered=True),
     # mobility
     "location_points": lambda s, d: mobility.location_points(
         standins.nested_locations_from_events(s, d), config.COUNTRY_KEPT, tie_break="obs_id"
@@ -152,8 +152,8 @@ QUERIES: dict[str, Query] = {
     "top_trips": lambda s, d: mobility.top_trips(_trip_profile(s, d), 10),
     "profiled_trip_profile": lambda s, d: _trip_profile(s, d, _profiled_devices(s, d)),
     # Corridor cohorts
-    "corridor_by_weekpart": lambda s, d: cohort.corridor_by_weekpart(_corridor_rows(s, d)),
-    "corridor_by_daypart": lambda s, d: cohort.corridor_by_daypart(_corridor_rows(s, d)),
+    "corridor_by_weekpart": lambda s, d: cohort.corridor_by_weekpart(_corridor_rows(s, d), ordered=True),
+    "corridor_by_daypart": lambda s, d: cohort.corridor_by_daypart(_corridor_rows(s, d), ordered=True),
     "corridor_per_device": lambda s, d: _per_device(s, d),
     "corridor_deciles": lambda s, d: cohort.percentile_profile(_per_device(s, d)),
     "corridor_tiers": lambda s, d: _tiers(s, d),
