@@ -79,7 +79,7 @@ def _features(spark, sf, devices=None):
 
 
 def _trip_profile(spark, sf, devices=None):
-    return mobility.trip_profile(_features(spark, sf, devices))
+    return travel.build_trip_profile(_points(spark, sf), devices)
 
 
 def _corridor_rows(spark, sf):
@@ -151,6 +151,9 @@ QUERIES: dict[str, Query] = {
     "undirected_travel": lambda s, d: mobility.undirected_travel(mobility.trips(_moves(s, d))),
     "top_trips": lambda s, d: mobility.top_trips(_trip_profile(s, d), 10),
     "profiled_trip_profile": lambda s, d: _trip_profile(s, d, _profiled_devices(s, d)),
+    "profiled_trips_early": lambda s, d: travel.build_features(
+        _points(s, d), _profiled_devices(s, d), restrict="early"
+    ).select(*FEATURE_COLUMNS),
     # Corridor cohorts
     "corridor_by_weekpart": lambda s, d: cohort.corridor_by_weekpart(_corridor_rows(s, d), ordered=True),
     "corridor_by_daypart": lambda s, d: cohort.corridor_by_daypart(_corridor_rows(s, d), ordered=True),

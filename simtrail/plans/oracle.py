@@ -311,6 +311,10 @@ FROM events""",
             "SELECT * FROM tprofile ORDER BY count DESC, ifa, travel, weekday_weekend, time_of_day LIMIT 10",
         ),
         "profiled_trip_profile": _with(_features(devices=True), "SELECT * FROM tprofile"),
+        "profiled_trips_early": _with(
+            _features(devices=True),
+            "SELECT ifa, obs_id, state, next_state, travel, day, hour, weekday_weekend, time_of_day FROM feat",
+        ),
         "corridor_by_weekpart": _with(
             _corridor(), "SELECT weekday_weekend, CAST(sum(count) AS BIGINT) AS count FROM crows GROUP BY 1"
         ),

@@ -16,14 +16,45 @@ from simtrail import config
 from simtrail.operators import cohort, mobility, segments
 
 
-def build_features(points: DataFrame, devices: DataFrame | None = None, split: str = "day") -> DataFrame:
-    """Trips with calendar features."""
-    return mobility.calendar_features(mobility.trips(mobility.movements(points, devices, split=split)))
-
-
-def build_trip_profile(points: DataFrame, devices: DataFrame | None = None, split: str = "day") -> DataFrame:
-    """The per-device trip profile."""
-    return mobility.trip_profile(build_features(points, devices, split))
+def build_features(
+    points: DataFrame,
+    devices: DataFrame | None = None,
+    split: str = "day",
+    restrict: str = "late",
+) -> DataFrame:
+    """Trips with calendar features, of ``devices`` only if given.
+
+    Trips are computed per device, so keeping a device list before or after
+    the computation gives the same rows.  ``restrict="late"`` (default) runs
+    the semi join on the trip rows: all observations are shuffled once (for
+    the per-device windows) and only the much smaller trip rows meet the
+    device list.  ``restrict="early"`` filters observations first -- better
+    only when the device list is a small, broadcastable fraction.
+    """
+    if restrict == "early":
+        moves = mobility.movements(points, devices, split=split)
+        return mobility.calendar_features(mobility.trips(moves))
+    if restrict != "late":
+        raise ValueError(f"unknown restrict {restrict!r}")
+    feats = mobility.calendar_features(mobility.trips(mobility.movements(points, split=split)))
+    return mobility.restrict_to_devices(feats, devices)
+
+
+def build_trip_profile(
+    points: DataFrame,
+    devices: DataFrame | None = None,
+    split: str = "day",
+    restrict: str = "late",
+) -> DataFrame:
+    """The per-device trip profile.
+
+    With ``restrict="late"`` the device list meets the aggregated profile
+    (a few rows per device), the smallest point of the pipeline.
+    """
+    if restrict == "early":
+        return mobility.trip_profile(build_features(points, devices, split, "early"))
+    profile = mobility.trip_profile(build_features(points, None, split))
+    return mobility.restrict_to_devices(profile, devices)
 
 
 def corridor_report(
