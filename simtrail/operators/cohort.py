@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from simtrail import config
 from simtrail.operators.sim import by_count_desc
+from simtrail.session import materialize
 
 
 def corridor(profile: DataFrame, a: str, b: str) -> DataFrame:
@@ -76,6 +77,7 @@ def tier(
     cuts: Sequence[float] = config.TIER_CUTS,
     labels: Sequence[tuple[str, str]] = config.TIER_LABELS,
     column: str = "count",
+    checkpoint: bool = True,
 ) -> DataFrame:
     """Tier of each device's corridor trip count.
 
@@ -84,8 +86,14 @@ def tier(
     ``n > c_last`` -> last tier; anything else (n <= 0, null) has no tier.
     ``labels`` gives (tier_id, tier_level) per tier; two cuts give
     Low/Mid/High, three cuts (V6) add Ultra High.
+
+    The per-device table is read twice (cut points, rows).  With
+    ``checkpoint`` it is written once to the shared checkpoint folder, so
+    the trips behind it are not computed twice; it has one row per device.
     """
     cuts = list(cuts)
+    if checkpoint:
+        per_device = materialize(per_device, "tier-input")
     if len(labels) < len(cuts) + 1:
         raise ValueError("need one label per tier")
     n = F.col(column)
