@@ -72,7 +72,7 @@ def value_percent_rank(
         kc,
         "__n",
         F.when(kc.isNull(), F.lit(-1))
-        .otherwise(_cuts_below(F.col("__cuts"), kc, 0, len(fractions)))
+        .otherwise(_cuts_below("__cuts", k, 0, len(fractions)))
         .alias("__b"),
     )
 
@@ -98,16 +98,26 @@ def value_percent_rank(
     )
 
 
-def _cuts_below(cuts: Column, v: Column, lo: int, hi: int) -> Column:
-    """Number of entries of the sorted array ``cuts`` below ``v`` (binary search).
+def _cuts_below(cuts: str, v: str, lo: int, hi: int) -> Column:
+    """Number of entries of the sorted array column ``cuts`` below column ``v``.
 
-    Assumes entries before ``lo`` are below ``v`` and entries from ``hi`` on
-    are not.  Only one root-to-leaf path is evaluated per row.
+    A binary search written as a balanced ``CASE WHEN`` tree: only one
+    root-to-leaf path (``log2`` of the array length comparisons) is evaluated
+    per row.  Assumes entries before ``lo`` are below ``v`` and entries from
+    ``hi`` on are not.  The tree is built as SQL text and parsed once: one
+    call instead of hundreds of column-building round trips.
     """
+    return F.expr(_cuts_below_sql(f"`{cuts}`", f"`{v}`", lo, hi))
+
+
+def _cuts_below_sql(cuts: str, v: str, lo: int, hi: int) -> str:
     if lo >= hi:
-        return F.lit(lo)
+        return str(lo)
     mid = (lo + hi) // 2
-    return F.when(cuts[mid] < v, _cuts_below(cuts, v, mid + 1, hi)).otherwise(_cuts_below(cuts, v, lo, mid))
+    return (
+        f"CASE WHEN {cuts}[{mid}] < {v} THEN {_cuts_below_sql(cuts, v, mid + 1, hi)} "
+        f"ELSE {_cuts_below_sql(cuts, v, lo, mid)} END"
+    )
 
 
 def small_value_percent_rank(
