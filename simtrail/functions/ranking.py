@@ -7,12 +7,13 @@ same doubles, computed as a distributed plan:
 
 1. ``hist``: one row per distinct value with its row count (partial
    aggregation, so a value held by a third of all rows costs nothing extra).
-2. Approximate quantile cut points over the *distinct* values (one row,
-   ``buckets - 1`` values) split the value range into contiguous buckets of
-   similar numbers of distinct values (``buckets`` should grow with the
-   number of distinct values: each bucket's values are ordered in one task).  The cuts only balance the work;
-   exactness never depends on them, because a value always lands in exactly
-   one bucket and buckets are ordered ranges.
+2. Approximate quantile cut points over the *distinct* values (a scalar
+   subquery: one array of ``buckets - 1`` values) split the value range into
+   contiguous buckets of similar numbers of distinct values.  ``buckets``
+   should grow with the number of distinct values: each bucket's values are
+   ordered in one task.  The cuts only balance the work; exactness never
+   depends on them, because a value always lands in exactly one bucket and
+   buckets are ordered ranges.
 3. Rows before a value = rows in earlier buckets (a running sum over at most
    ``buckets`` rows) + rows of smaller values in the same bucket (a window
    partitioned by bucket, over distinct values only).
