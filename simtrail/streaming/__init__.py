@@ -1,5 +1,7 @@
-"""Streaming entry points.
+"""Streaming entry points: none.
 
-The reference jobs are batch only; see ``trips`` for the incremental form of
-trip detection.
+The reference jobs are batch jobs over monthly folders; they have no stream
+source, state or sink, so nothing here is built (see README, "Not built").
+Incremental runs are period runs of the batch jobs (``start``/``end`` of
+``readers.read_carrier_activity``), which Spark prunes at the scan.
 """
