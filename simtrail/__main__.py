@@ -1,6 +1,7 @@
 """Command line for the two jobs.
 
     python -m simtrail profile --activity PATH --start 20211101 --end 20211130 --out PATH [--csv]
+    python -m simtrail report --profile PATH [--profile-csv] --out ROOT
     python -m simtrail travel --locations PATH --profile PATH --out ROOT \
         [--profile-csv] [--segments ROOT] [--corridor "Kandal,Phnom Penh" ...]
 
@@ -30,6 +31,10 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--out", required=True)
     p.add_argument("--csv", action="store_true", help="write CSV with a header instead of Parquet")
     p.add_argument("--single-file", action="store_true")
+    r = sub.add_parser("report", help="delta classes and SIM breakdowns of a written profile")
+    r.add_argument("--profile", required=True)
+    r.add_argument("--profile-csv", action="store_true")
+    r.add_argument("--out", required=True)
     t = sub.add_parser("travel", help="job B: trips and corridor cohorts of profiled devices")
     t.add_argument("--locations", required=True)
     t.add_argument("--profile", required=True)
@@ -49,6 +54,10 @@ def main(argv: list[str] | None = None) -> None:
             spark, args.activity, args.out, start=args.start, end=args.end, slots=slots,
             fmt="csv" if args.csv else "parquet", single_file=args.single_file,
         )
+    elif args.job == "report":
+        sim_profile.run_reports(
+            spark, args.profile, args.out, slots=slots, fmt="csv" if args.profile_csv else "parquet"
+        )
     else:
         corridors = (
             [tuple(c.split(",", 1)) for c in args.corridor] if args.corridor else list(config.CORRIDORS)

@@ -37,7 +37,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from simtrail import config
+from simtrail import config, schemas
 from simtrail.functions.calendar import daypart, parse_seen_at, weekday_name, weekpart
 
 
@@ -117,6 +117,9 @@ def movements(
     ``total rows / max_group_rows`` entries and is broadcast.
     ``max_group_rows=None`` skips that check (no group is sliced).
     """
+    missing = [c for c in schemas.POINTS_COLUMNS if c not in points.columns]
+    if missing:
+        raise ValueError(f"points need columns {schemas.POINTS_COLUMNS}; missing {missing}")
     fields = ["seen_at", "obs_id", "state", *carry]
     pts = restrict_to_devices(points, devices)
     pts = pts.select("ifa", *fields).withColumn("__grp", _split_key(F.col("seen_at"), split))

@@ -61,3 +61,31 @@ def run(
     """Read one period of activity (``yyyyMMdd`` bounds) and write its profile."""
     activity = readers.read_carrier_activity(spark, activity_path, start, end)
     readers.write_sim_profile(build_profile(activity, slots), out_path, fmt=fmt, single_file=single_file)
+
+
+def run_reports(
+    spark,
+    profile_path: str,
+    out_root: str,
+    *,
+    slots: CarrierSlots = CarrierSlots(),
+    fmt: str = "parquet",
+) -> dict[str, str]:
+    """The analysis step: delta classes and SIM breakdowns of a written profile.
+
+    Reads the profile back (typed, also from CSV) and writes
+    ``delta_segments``, ``primary_sim`` and ``secondary_sim`` under
+    ``out_root``; returns ``{dataset: path}``.
+    """
+    profile = readers.read_sim_profile(spark, profile_path, slots.score_columns, fmt=fmt)
+    outputs = {
+        "delta_segments": sim_ops.delta_segments(profile),
+        "primary_sim": sim_ops.sim_breakdown(profile, "primary_sim", ordered=True),
+        "secondary_sim": sim_ops.sim_breakdown(profile, "secondary_sim", ordered=True),
+    }
+    written = {}
+    for name, df in outputs.items():
+        path = f"{out_root.rstrip('/')}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        written[name] = path
+    return written

@@ -41,6 +41,11 @@ def test_profile_then_travel(spark, scratch_dir):
          "--out", f"{root}/profile", "--csv", "--single-file"])
     prof = readers.read_sim_profile(spark, f"{root}/profile", SLOTS.score_columns, fmt="csv")
     assert sorted(r["ifa"] for r in prof.collect()) == ["d1", "d2"]
+    cli(["report", "--profile", f"{root}/profile", "--profile-csv", "--out", f"{root}/report"])
+    seg = spark.read.parquet(f"{root}/report/delta_segments")
+    assert seg.agg(F.sum("devices")).first()[0] == 2
+    prim = spark.read.parquet(f"{root}/report/primary_sim")
+    assert prim.agg(F.sum("count")).first()[0] == 2
     cli(["travel", "--locations", f"{root}/locations", "--profile", f"{root}/profile", "--profile-csv",
          "--segments", f"{root}/segments", "--segments-layout", "folders", "--out", f"{root}/travel",
          "--corridor", "Kandal,Phnom Penh"])
