@@ -52,8 +52,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, creating a local one only if unset.
 
     A cluster names a shared (HDFS/object-store) folder in
-    ``spark.checkpoint.dir``; that setting always wins.  Only a session
-    without one (tests, local runs) gets a fresh scratch folder.
+    ``spark.checkpoint.dir``; that setting always wins.  Only a local-mode
+    session without one (tests, local runs) gets a fresh scratch folder; a
+    cluster session without one is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -61,6 +62,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            # A machine-local folder would scatter the table over executors'
+            # disks and lose it with them.
+            raise RuntimeError("set spark.checkpoint.dir to a folder on shared storage (HDFS / object store)")
         configured = tempfile.mkdtemp(prefix="simtrail-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

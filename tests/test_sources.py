@@ -76,3 +76,10 @@ def test_location_reader_prunes_nested_fields(spark, scratch_dir):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "unused" not in plan
     assert df.count() == 1
+
+
+def test_checkpoint_folder_comes_from_session(spark):
+    from simtrail.session import ensure_checkpoint_dir
+
+    folder = ensure_checkpoint_dir(spark)
+    assert folder and spark.conf.get("spark.checkpoint.dir") in folder
