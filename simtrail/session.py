@@ -86,4 +86,5 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     root = ensure_checkpoint_dir(spark)
     path = f"{root.rstrip('/')}/simtrail-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    # The schema is known: reading it back needs no footer / inference job.
+    return spark.read.schema(df.schema).parquet(path)
