@@ -141,3 +141,19 @@ def test_profile_and_od_matrix_totals_agree(spark):
     und = {r["route"]: r["count"] for r in mobility.undirected_travel(mobility.trips(mobility.movements(
         spark.createDataFrame(rows, SCHEMA)))).collect()}
     assert und == {"A_B": 3}
+
+
+def test_malformed_time_is_null_not_error(spark):
+    """SURVEY 2.11 #6 and #8: a bad timestamp parses to null (ANSI stays on)
+    and gives null calendar features, not 'weekday'."""
+    nested = spark.createDataFrame(
+        [("a", [("X", "A", "KH", "2021-09-01", 1, 1), ("X", "B", "KH", "2021-09-01 08:00:00", 1, 2),
+                ("X", "C", "KH", "2021-09-01 09:00:00", 1, 3)])],
+        "ifa string, gps array<struct<city:string,state:string,country:string,last_seen:string,brq_count:long,obs_id:long>>",
+    )
+    pts = mobility.location_points(nested, "KH", tie_break="obs_id")
+    assert sorted((r["obs_id"], r["seen_at"] is None) for r in pts.collect()) == [(1, True), (2, False), (3, False)]
+    feats = {r["obs_id"]: r for r in mobility.calendar_features(mobility.trips(mobility.movements(pts))).collect()}
+    # the null-time observation sorts first and departs A -> B with no calendar features
+    assert feats[1]["travel"] == "A_B" and feats[1]["weekday_weekend"] is None and feats[1]["time_of_day"] is None
+    assert feats[2]["travel"] == "B_C" and feats[2]["weekday_weekend"] == "weekday"
