@@ -56,17 +56,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     session without one (tests, local runs) gets a fresh scratch folder; a
     cluster session without one is an error.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: no context on the client; use the conf
+        sc = None
+    current = sc.getCheckpointDir() if sc is not None else None
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not sc.master.startswith("local"):
+        master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+        if not master.startswith("local"):
             # A machine-local folder would scatter the table over executors'
             # disks and lose it with them.
             raise RuntimeError("set spark.checkpoint.dir to a folder on shared storage (HDFS / object store)")
         configured = tempfile.mkdtemp(prefix="simtrail-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+    if sc is None:
+        return configured
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
