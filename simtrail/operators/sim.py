@@ -35,6 +35,8 @@ def carrier_wide(score: DataFrame, slots: CarrierSlots = CarrierSlots()) -> Data
         ).alias(slots.score_column(c))
         for c in slots.names
     ]
+    # ``score`` has one row per (device, carrier): the collected arrays hold
+    # at most one entry per carrier, whatever the device's activity.
     in_carrier_order = F.array_sort(F.collect_list(F.struct("carrier", "rfm")))
     total = F.aggregate(
         in_carrier_order, F.lit(0.0), lambda acc, x: acc + F.coalesce(x["rfm"], F.lit(0.0))

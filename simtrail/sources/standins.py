@@ -71,14 +71,19 @@ def points_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def nested_locations_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T2-shaped nested rows from ``events``: one row per device and hour.
+# Observations per nested stand-in row: a block of consecutive event ids.
+NEST_BLOCK = 256
+
 
-    Each row holds that device-hour's observations in a ``gps`` array of
-    ``struct<city, state, country, last_seen, brq_count, obs_id>``;
-    ``last_seen`` is the ``yyyy-MM-dd HH:mm:ss`` text of the source.  Groups
-    are device-hours, so an array never holds more than one hour of one
-    device.
+def nested_locations_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T2-shaped nested rows from ``events``.
+
+    Each row holds one device's observations within a block of ``NEST_BLOCK``
+    consecutive event ids, as a ``gps`` array of
+    ``struct<city, state, country, last_seen, brq_count, obs_id>``
+    (``last_seen`` is the ``yyyy-MM-dd HH:mm:ss`` text of the source).  Event
+    ids are unique, so no array holds more than ``NEST_BLOCK`` points however
+    active a device is; every event is kept.
     """
     e = _table(spark, sf_dir, "events")
     point = F.struct(
@@ -90,7 +95,7 @@ def nested_locations_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("obs_id"),
     )
     return e.groupBy(
-        F.col("user_id").alias("ifa"), F.date_trunc("hour", "ts").alias("hour")
+        F.col("user_id").alias("ifa"), F.floor(F.col("event_id") / F.lit(NEST_BLOCK)).alias("block")
     ).agg(F.collect_list(point).alias("gps")).select("ifa", "gps")
 
 
