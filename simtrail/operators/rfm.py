@@ -82,7 +82,7 @@ def rfm_base(
     per_pair = daily.groupBy("ifa", "carrier").agg(
         F.min("date").alias("earliest_date"),
         F.max("date").alias("latest_date"),
-        F.count(F.lit(1)).alias("data_usage_freq"),
+        F.count("date").alias("data_usage_freq"),  # distinct days; an unparsable date is no day
         F.sum("brq_day").alias("brq_count"),
     )
     multi = (

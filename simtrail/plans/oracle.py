@@ -43,7 +43,7 @@ valid AS (SELECT * FROM activity WHERE carrier IS NOT NULL AND network = 'cellul
 daily AS (SELECT ifa, carrier, date, sum(brq_count) AS brq_day FROM valid GROUP BY ifa, carrier, date),
 pair AS (
   SELECT ifa, carrier, min(date) AS earliest_date, max(date) AS latest_date,
-         count(*) AS data_usage_freq, CAST(sum(brq_day) AS BIGINT) AS brq_count
+         count(date) AS data_usage_freq, CAST(sum(brq_day) AS BIGINT) AS brq_count
   FROM daily GROUP BY ifa, carrier
 ),
 multi AS (SELECT * FROM pair WHERE ifa IN (SELECT ifa FROM pair GROUP BY ifa HAVING count(*) > 1)),
