@@ -56,15 +56,30 @@ def value_percent_rank(
     """One row per distinct ``value`` (nulls included) with its percent rank.
 
     Ordering follows Spark's defaults: ascending puts nulls first, descending
-    puts nulls last.  Nulls form bucket -1, which sorts first ascending and
-    last descending, so they need no separate branch.
+    puts nulls last.
     """
-    if buckets < 1:
-        raise ValueError("buckets must be >= 1")
     k = key or f"__{value}_value"
-    kc = F.col(k)
     hist = df.groupBy(F.col(value).alias(k)).agg(F.count(F.lit(1)).alias("__n"))
+    return bucketed_ranks(hist, k, ascending=ascending, out=out, buckets=buckets, accuracy=accuracy)
+
+
+def bucketed_ranks(
+    hist: DataFrame,
+    k: str,
+    *,
+    ascending: bool = True,
+    out: str = "percent_rank",
+    buckets: int = DEFAULT_BUCKETS,
+    accuracy: int = DEFAULT_ACCURACY,
+) -> DataFrame:
+    """Percent rank per value from a histogram ``(k, __n)`` (steps 2-4 above).
 
+    Nulls form bucket -1, which sorts first ascending and last descending, so
+    they need no separate branch.
+    """
+    if buckets < 1:
+        raise ValueError("buckets must be >= 1")
+    kc = F.col(k)
     fractions = [i / buckets for i in range(1, buckets)] or [0.5]
     # The cut points: an uncorrelated scalar subquery (one array value,
     # computed once and shipped with the tasks) projected once per row.
@@ -131,13 +146,20 @@ def small_value_percent_rank(
 ) -> DataFrame:
     """Same result as ``value_percent_rank`` for a column with few distinct values.
 
-    The histogram (one row per distinct value) goes through one
-    un-partitioned running-sum window; use only where the number of distinct
-    values has a proven small bound.
+    Use only where the number of distinct values has a proven small bound.
     """
     k = key or f"__{value}_value"
-    kc = F.col(k)
     hist = df.groupBy(F.col(value).alias(k)).agg(F.count(F.lit(1)).alias("__n"))
+    return small_ranks(hist, k, ascending=ascending, out=out)
+
+
+def small_ranks(hist: DataFrame, k: str, *, ascending: bool = True, out: str = "percent_rank") -> DataFrame:
+    """Percent rank per value from a small histogram ``(k, __n)``.
+
+    The histogram (one row per distinct value) goes through one
+    un-partitioned running-sum window.
+    """
+    kc = F.col(k)
     order = kc.asc_nulls_first() if ascending else kc.desc_nulls_last()
     earlier = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy()
@@ -200,6 +222,7 @@ def rank_table(
     buckets: int = DEFAULT_BUCKETS,
     accuracy: int = DEFAULT_ACCURACY,
     max_distinct: int | None = None,
+    hist: DataFrame | None = None,
 ) -> DataFrame:
     """Value -> percent rank table; broadcast-marked when provably small.
 
@@ -207,9 +230,31 @@ def rank_table(
     one for null).  At or under ``SMALL_TABLE_LIMIT`` the small-table plan is
     used and the table is marked for broadcast; otherwise the bucketed plan,
     and the join strategy is left to the planner / AQE's runtime sizes.
+    ``hist`` is an already computed histogram ``(key, __n)`` of ``value``
+    (see ``histograms``); without it one is aggregated from ``df``.
     """
+    if hist is None:
+        hist = df.groupBy(F.col(value).alias(key)).agg(F.count(F.lit(1)).alias("__n"))
     if max_distinct is not None and max_distinct <= SMALL_TABLE_LIMIT:
-        return F.broadcast(small_value_percent_rank(df, value, ascending=ascending, out=out, key=key))
-    return value_percent_rank(
-        df, value, ascending=ascending, out=out, key=key, buckets=buckets, accuracy=accuracy
+        return F.broadcast(small_ranks(hist, key, ascending=ascending, out=out))
+    return bucketed_ranks(hist, key, ascending=ascending, out=out, buckets=buckets, accuracy=accuracy)
+
+
+def histograms(df: DataFrame, values: dict[str, str]) -> dict[str, DataFrame]:
+    """Histograms ``(key, __n)`` of several columns from one aggregation pass.
+
+    ``values`` maps column -> key name.  One ``GROUPING SETS`` aggregate (a
+    single scan and shuffle, partially aggregated) yields every column's
+    value counts; each histogram is that aggregate's slice for its grouping
+    set, so a genuine null value stays apart from the grouping null.
+    """
+    cols = list(values)
+    agg = df.groupingSets([[c] for c in cols], *cols).agg(
+        F.count(F.lit(1)).alias("__n"), F.grouping_id().alias("__gid")
     )
+    out = {}
+    for i, c in enumerate(cols):
+        # grouping_id has a 1 bit for every column not in the set
+        gid = sum(1 << (len(cols) - 1 - j) for j in range(len(cols)) if j != i)
+        out[c] = agg.where(F.col("__gid") == F.lit(gid)).select(F.col(c).alias(values[c]), "__n")
+    return out

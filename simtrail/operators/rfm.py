@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from simtrail import config
 from simtrail.functions.calendar import day_diff, month_index
-from simtrail.functions.ranking import rank_table
+from simtrail.functions.ranking import histograms, rank_table
 from simtrail.session import materialize
 
 
@@ -142,6 +142,12 @@ def rfm_score(rfm: DataFrame, *, method: str = "distributed", buckets: int | Non
     (single task; small inputs only).
     """
     scored = rfm
+    # One aggregation pass gives the value counts of all three metrics.
+    hists = (
+        histograms(rfm, {value: f"__{pct}_key" for value, _, pct, _, _ in RFM_METRICS})
+        if method != "window"
+        else {}
+    )
     for value, ascending, pct, _, bound in RFM_METRICS:
         if method == "window":
             order = F.col(value).asc() if ascending else F.col(value).desc()
@@ -149,7 +155,9 @@ def rfm_score(rfm: DataFrame, *, method: str = "distributed", buckets: int | Non
             continue
         key = f"__{pct}_key"
         kwargs = {"buckets": buckets} if buckets else {}
-        ranks = rank_table(rfm, value, ascending=ascending, out=pct, key=key, max_distinct=bound, **kwargs)
+        ranks = rank_table(
+            rfm, value, ascending=ascending, out=pct, key=key, max_distinct=bound, hist=hists[value], **kwargs
+        )
         scored = scored.join(ranks, scored[value].eqNullSafe(ranks[key]), "inner").drop(key)
     scored = scored.withColumns({s: F.col(p) * F.lit(5.0) for _, _, p, s, _ in RFM_METRICS})
     return scored.withColumn("rfm", F.col("r") + F.col("f") + F.col("m"))

@@ -55,3 +55,32 @@ def test_distributed_plan_has_no_builtin_percent_rank(spark):
     df = spark.range(100).select(F.col("id"), (F.col("id") % 7).cast("double").alias("v"))
     plan = percent_rank(df, "v", out="p")._jdf.queryExecution().executedPlan().toString()
     assert "percent_rank" not in plan.lower()
+
+
+def test_histograms_keep_real_nulls_apart(spark):
+    from simtrail.functions.ranking import histograms
+
+    df = spark.createDataFrame(
+        [(1, None, 2.0), (2, 5, None), (3, 5, 2.0), (4, None, 3.0)], "id long, a long, b double"
+    )
+    h = histograms(df, {"a": "ka", "b": "kb"})
+    got_a = sorted((r["ka"] is None, r["ka"], r["__n"]) for r in h["a"].collect())
+    got_b = sorted((r["kb"] is None, r["kb"], r["__n"]) for r in h["b"].collect())
+    assert got_a == [(False, 5, 2), (True, None, 2)]
+    assert got_b == [(False, 2.0, 2), (False, 3.0, 1), (True, None, 1)]
+
+
+def test_scores_from_shared_histograms_match_builtin_with_nulls(spark):
+    from simtrail.operators import rfm
+
+    rnd = random.Random(11)
+    rows = [(f"d{i % 97}", f"c{i % 3}", rnd.choice([None, 1, 2, 3]), rnd.choice([None, 1.0, 4.0]),
+             rnd.choice([None, 10.0, 20.0, float(i)]), 1, 1) for i in range(600)]
+    df = spark.createDataFrame(
+        rows, "ifa string, carrier string, recency_days int, usage_frequency double, brq_m double, "
+        "data_usage_freq long, brq_count long")
+    a = {(r["ifa"], r["carrier"], r["recency_days"], r["usage_frequency"], r["brq_m"]): (r["r"], r["f"], r["m"])
+         for r in rfm.rfm_score(df).collect()}
+    b = {(r["ifa"], r["carrier"], r["recency_days"], r["usage_frequency"], r["brq_m"]): (r["r"], r["f"], r["m"])
+         for r in rfm.rfm_score(df, method="window").collect()}
+    assert len(rfm.rfm_score(df).collect()) == 600 and a == b
