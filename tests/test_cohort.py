@@ -66,3 +66,14 @@ def test_segments_distinct_vs_sum(spark, profile):
     assert all_sum == seg_sum == 12 * 2 + 1 + 3  # d9 counted twice in sums
     wp = segments.segment_weekpart_profile(cohort.device_weekpart(rows), membership).collect()
     assert sum(r["count"] for r in wp if r["segment"] == "all") == all_sum
+
+
+def test_tier_exact_cut_values(spark):
+    # counts 0..10: p10 = 1.0 and p80 = 8.0 fall exactly on data values
+    per = spark.createDataFrame([(f"d{i}", i) for i in range(11)], "ifa string, count long")
+    got = {r["count"]: (r["tier_id"], r["tier_level"]) for r in cohort.tier(per).collect()}
+    assert got[0] == (None, None)  # not > 0: no tier
+    assert got[1] == ("TRV_01_001", "Low")  # on the lower cut: Low (inclusive)
+    assert got[2] == ("TRV_01_002", "Mid")
+    assert got[8] == ("TRV_01_002", "Mid")  # on the upper cut: Mid (inclusive)
+    assert got[9] == ("TRV_01_003", "High")

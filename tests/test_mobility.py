@@ -157,3 +157,9 @@ def test_malformed_time_is_null_not_error(spark):
     # the null-time observation sorts first and departs A -> B with no calendar features
     assert feats[1]["travel"] == "A_B" and feats[1]["weekday_weekend"] is None and feats[1]["time_of_day"] is None
     assert feats[2]["travel"] == "B_C" and feats[2]["weekday_weekend"] == "weekday"
+
+
+def test_state_named_like_null_is_kept(spark):
+    """SURVEY 2.11 #9: the null-safe filter keeps a province whose name contains 'null'."""
+    rows = [("a", 1, ts(1, 8), "Nullarbor"), ("a", 2, ts(1, 9), "B")]
+    assert _trips(spark, rows) == [("a", 1, "Nullarbor_B")]
