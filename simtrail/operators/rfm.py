@@ -158,9 +158,15 @@ def rfm_score(rfm: DataFrame, *, method: str = "distributed", buckets: int | Non
         ranks = rank_table(
             rfm, value, ascending=ascending, out=pct, key=key, max_distinct=bound, hist=hists[value], **kwargs
         )
-        scored = scored.join(ranks, scored[value].eqNullSafe(ranks[key]), "inner").drop(key)
-    scored = scored.withColumns({s: F.col(p) * F.lit(5.0) for _, _, p, s, _ in RFM_METRICS})
-    return scored.withColumn("rfm", F.col("r") + F.col("f") + F.col("m"))
+        scored = scored.join(ranks, scored[value].eqNullSafe(ranks[key]), "inner")
+    scores = {s: F.col(p) * F.lit(5.0) for _, _, p, s, _ in RFM_METRICS}
+    # One projection: fewer plan versions for the analyzer; rfm = (r + f) + m.
+    return scored.select(
+        *rfm.columns,
+        *[p for _, _, p, _, _ in RFM_METRICS],
+        *[e.alias(s) for s, e in scores.items()],
+        (scores["r"] + scores["f"] + scores["m"]).alias("rfm"),
+    )
 
 
 def rfm_distribution(rfm: DataFrame, metric: str, ordered: bool = False) -> DataFrame:

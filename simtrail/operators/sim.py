@@ -41,12 +41,16 @@ def carrier_wide(score: DataFrame, slots: CarrierSlots = CarrierSlots()) -> Data
     total = F.aggregate(
         in_carrier_order, F.lit(0.0), lambda acc, x: acc + F.coalesce(x["rfm"], F.lit(0.0))
     )
+    carriers = F.collect_set("carrier")
     return (
         score.groupBy("ifa")
-        .agg(F.sort_array(F.collect_set("carrier")).alias("carriers"), total.alias("all_rfm"), *per_carrier)
-        .withColumn("carrier_number", F.size("carriers"))
+        .agg(
+            F.sort_array(carriers).alias("carriers"),
+            F.size(carriers).alias("carrier_number"),
+            total.alias("all_rfm"),
+            *per_carrier,
+        )
         .where(F.col("carrier_number") > 1)
-        .select("ifa", "carriers", "carrier_number", "all_rfm", *slots.score_columns)
     )
 
 
@@ -96,16 +100,13 @@ def sim_rank(wide: DataFrame, slots: CarrierSlots = CarrierSlots()) -> DataFrame
     # Order of the tests: challenger 1, challenger 2, focal (the remaining one).
     for remaining in (slots.challenger_1, slots.challenger_2, slots.focal):
         rest = [c for c in names if c != remaining]
-        cond = F.col("primary_sim").isin(rest) & F.col("third_sim").isin(rest)
+        cond = primary.isin(rest) & third.isin(rest)
         secondary = F.when(cond, F.lit(remaining)) if secondary is None else secondary.when(cond, F.lit(remaining))
     secondary = secondary.otherwise(F.lit(config.OTHER_SIM))
-    return (
-        wide.withColumns({"primary_sim": primary, "third_sim": third})
-        .withColumn("secondary_sim", secondary)
-        .withColumn(
-            "third_sim",
-            F.when(F.col("carrier_number") == 2, F.lit(config.NO_SIM)).otherwise(F.col("third_sim")),
-        )
+    # The two-carrier rule for third applies after secondary used it.
+    third_final = F.when(F.col("carrier_number") == 2, F.lit(config.NO_SIM)).otherwise(third)
+    return wide.select(
+        "*", primary.alias("primary_sim"), secondary.alias("secondary_sim"), third_final.alias("third_sim")
     )
 
 
