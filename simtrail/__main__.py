@@ -31,6 +31,7 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--out", required=True)
     p.add_argument("--csv", action="store_true", help="write CSV with a header instead of Parquet")
     p.add_argument("--single-file", action="store_true")
+    p.add_argument("--rank-buckets", type=int, help="monetary rank buckets (grow with distinct values)")
     r = sub.add_parser("report", help="delta classes and SIM breakdowns of a written profile")
     r.add_argument("--profile", required=True)
     r.add_argument("--profile-csv", action="store_true")
@@ -44,6 +45,8 @@ def main(argv: list[str] | None = None) -> None:
     t.add_argument("--out", required=True)
     t.add_argument("--country", default=config.COUNTRY_KEPT)
     t.add_argument("--corridor", action="append", help="'A,B' (repeatable); default: the three named corridors")
+    t.add_argument("--split", default="day", choices=["day", "hour"], help="window unit for the next observation")
+    t.add_argument("--max-group-rows", type=int, default=None, help="slice device-units larger than this")
     args = parser.parse_args(argv)
 
     spark = SparkSession.builder.getOrCreate()
@@ -53,6 +56,7 @@ def main(argv: list[str] | None = None) -> None:
         sim_profile.run(
             spark, args.activity, args.out, start=args.start, end=args.end, slots=slots,
             fmt="csv" if args.csv else "parquet", single_file=args.single_file,
+            buckets=args.rank_buckets,
         )
     elif args.job == "report":
         sim_profile.run_reports(
@@ -67,7 +71,8 @@ def main(argv: list[str] | None = None) -> None:
             score_columns=slots.score_columns,
             profile_format="csv" if args.profile_csv else "parquet",
             segments_root=args.segments, segments_layout=args.segments_layout,
-            corridors=corridors, country=args.country,
+            corridors=corridors, country=args.country, split=args.split,
+            **({"max_group_rows": args.max_group_rows} if args.max_group_rows else {}),
         )
 
 

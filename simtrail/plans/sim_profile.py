@@ -20,10 +20,14 @@ def build_scores(
     network: str | None = "cellular",
     normalise: str | None = None,
     method: str = "distributed",
+    buckets: int | None = None,
 ) -> DataFrame:
-    """Scored (device, carrier) rows of multi-carrier devices."""
+    """Scored (device, carrier) rows of multi-carrier devices.
+
+    ``buckets`` sets the monetary rank buckets (see ``functions.ranking``).
+    """
     base = rfm_ops.rfm_base(activity, network=network, normalise=normalise)
-    return rfm_ops.rfm_score(base, method=method)
+    return rfm_ops.rfm_score(base, method=method, buckets=buckets)
 
 
 def build_wide(scores: DataFrame, slots: CarrierSlots = CarrierSlots()) -> DataFrame:
@@ -40,9 +44,10 @@ def build_profile(
     normalise: str | None = None,
     delta_rule: str = "ranked",
     method: str = "distributed",
+    buckets: int | None = None,
 ) -> DataFrame:
     """The SIM profile (T3 columns)."""
-    scores = build_scores(activity, network=network, normalise=normalise, method=method)
+    scores = build_scores(activity, network=network, normalise=normalise, method=method, buckets=buckets)
     ranked = build_wide(scores, slots)
     return sim_ops.sim_profile(sim_ops.focal_delta(ranked, slots, delta_rule), slots)
 
@@ -57,10 +62,12 @@ def run(
     slots: CarrierSlots = CarrierSlots(),
     fmt: str = "parquet",
     single_file: bool = False,
+    buckets: int | None = None,
 ) -> None:
     """Read one period of activity (``yyyyMMdd`` bounds) and write its profile."""
     activity = readers.read_carrier_activity(spark, activity_path, start, end)
-    readers.write_sim_profile(build_profile(activity, slots), out_path, fmt=fmt, single_file=single_file)
+    profile = build_profile(activity, slots, buckets=buckets)
+    readers.write_sim_profile(profile, out_path, fmt=fmt, single_file=single_file)
 
 
 def run_reports(

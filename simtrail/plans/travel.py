@@ -21,6 +21,7 @@ def build_features(
     devices: DataFrame | None = None,
     split: str = "day",
     restrict: str = "late",
+    max_group_rows: int | None = mobility.MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Trips with calendar features, of ``devices`` only if given.
 
@@ -32,12 +33,12 @@ def build_features(
     only when the device list is a small, broadcastable fraction.
     """
     if restrict == "early":
-        moves = mobility.movements(points, devices, split=split)
+        moves = mobility.movements(points, devices, split=split, max_group_rows=max_group_rows)
         return mobility.calendar_features(mobility.trips(moves))
     if restrict != "late":
         raise ValueError(f"unknown restrict {restrict!r}")
-    feats = mobility.calendar_features(mobility.trips(mobility.movements(points, split=split)))
-    return mobility.restrict_to_devices(feats, devices)
+    moves = mobility.movements(points, split=split, max_group_rows=max_group_rows)
+    return mobility.restrict_to_devices(mobility.calendar_features(mobility.trips(moves)), devices)
 
 
 def build_trip_profile(
@@ -45,6 +46,7 @@ def build_trip_profile(
     devices: DataFrame | None = None,
     split: str = "day",
     restrict: str = "late",
+    max_group_rows: int | None = mobility.MAX_GROUP_ROWS,
 ) -> DataFrame:
     """The per-device trip profile.
 
@@ -52,8 +54,8 @@ def build_trip_profile(
     (a few rows per device), the smallest point of the pipeline.
     """
     if restrict == "early":
-        return mobility.trip_profile(build_features(points, devices, split, "early"))
-    profile = mobility.trip_profile(build_features(points, None, split))
+        return mobility.trip_profile(build_features(points, devices, split, "early", max_group_rows))
+    profile = mobility.trip_profile(build_features(points, None, split, "late", max_group_rows))
     return mobility.restrict_to_devices(profile, devices)
 
 
@@ -95,6 +97,8 @@ def run(
     corridors: Sequence[tuple[str, str]] = config.CORRIDORS,
     country: str | None = config.COUNTRY_KEPT,
     cuts: Sequence[float] = config.TIER_CUTS,
+    split: str = "day",
+    max_group_rows: int | None = mobility.MAX_GROUP_ROWS,
 ) -> dict[str, str]:
     """Job B end to end; returns ``{dataset: path}`` of everything written.
 
@@ -106,7 +110,9 @@ def run(
 
     points = mobility.location_points(readers.read_location_timeseries(spark, locations_path), country)
     devices = readers.read_sim_profile(spark, profile_path, score_columns, fmt=profile_format)
-    profile = materialize(build_trip_profile(points, devices), "trip-profile")
+    profile = materialize(
+        build_trip_profile(points, devices, split=split, max_group_rows=max_group_rows), "trip-profile"
+    )
     membership = (
         readers.read_segments(spark, segments_root, layout=segments_layout) if segments_root else None
     )
