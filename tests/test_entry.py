@@ -26,14 +26,17 @@ def _duck():
     return con
 
 
-@pytest.mark.parametrize(
-    "name", ["sim_profile", "trip_profile", "corridor_tiers", "segment_tier_profile", "delta_segments"]
-)
-def test_oracle_matches(spark, name):
+@pytest.fixture(scope="module")
+def duck():
+    return _duck()
+
+
+@pytest.mark.parametrize("name", sorted(entry_mod.queries()))
+def test_oracle_matches(spark, duck, name):
     df = entry_mod.queries()[name](spark, SF)
     cols = sorted(df.columns)
     got = sorted(tuple(r[c] for c in cols) for r in df.collect())
-    rel = _duck().sql(entry_mod.oracle_sql()[name])
+    rel = duck.sql(entry_mod.oracle_sql()[name])
     idx = [rel.columns.index(c) for c in cols]
     want = sorted(tuple(r[i] for i in idx) for r in rel.fetchall())
     assert got == want
