@@ -3,7 +3,6 @@
 import pytest
 from pyspark.sql import functions as F
 
-from simtrail import config
 from simtrail.operators import cohort, mobility, rfm, sim
 from simtrail.plans import catalog
 from simtrail.sources import standins

@@ -3,7 +3,6 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
 
 from simtrail.config import CarrierSlots
 from simtrail.operators import rfm, sim
