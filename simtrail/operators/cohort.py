@@ -61,12 +61,26 @@ def _pct_name(p: float) -> str:
     return f"p{round(p * 100):02d}"
 
 
+def _percentiles(col, ps: list[float], accuracy: int | None):
+    # Exact (linear interpolation, keeps a value -> count map: memory grows
+    # with distinct values) or approximate (bounded sketch; returns data
+    # values, error about 1 / accuracy of the rank).
+    return F.percentile(col, ps) if accuracy is None else F.percentile_approx(col, ps, accuracy)
+
+
 def percentile_profile(
-    df: DataFrame, column: str = "count", percentages: Sequence[float] = config.DECILES
+    df: DataFrame,
+    column: str = "count",
+    percentages: Sequence[float] = config.DECILES,
+    accuracy: int | None = None,
 ) -> DataFrame:
-    """D17 (A23): one row, column ``pNN`` = exact percentile (linear interpolation)."""
+    """D17 (A23): one row, column ``pNN`` = percentile of ``column``.
+
+    Exact by default.  ``accuracy`` switches to ``percentile_approx`` for
+    columns with very many distinct values.
+    """
     ps = list(percentages)
-    arr = F.percentile(F.col(column), ps)
+    arr = _percentiles(F.col(column), ps, accuracy)
     return df.agg(arr.alias("__p")).select(
         *[F.col("__p")[i].alias(_pct_name(p)) for i, p in enumerate(ps)]
     )
@@ -78,6 +92,7 @@ def tier(
     labels: Sequence[tuple[str, str]] = config.TIER_LABELS,
     column: str = "count",
     checkpoint: bool = True,
+    accuracy: int | None = None,
 ) -> DataFrame:
     """Tier of each device's corridor trip count.
 
@@ -87,9 +102,11 @@ def tier(
     ``labels`` gives (tier_id, tier_level) per tier; two cuts give
     Low/Mid/High, three cuts (V6) add Ultra High.
 
-    The per-device table is read twice (cut points, rows).  With
-    ``checkpoint`` it is written once to the shared checkpoint folder, so
-    the trips behind it are not computed twice; it has one row per device.
+    ``accuracy`` computes the cuts with ``percentile_approx`` instead of the
+    exact percentile.  The per-device table is read twice (cut points,
+    rows).  With ``checkpoint`` it is written once to the shared checkpoint
+    folder, so the trips behind it are not computed twice; it has one row
+    per device.
     """
     cuts = list(cuts)
     if checkpoint:
@@ -97,7 +114,7 @@ def tier(
     if len(labels) < len(cuts) + 1:
         raise ValueError("need one label per tier")
     n = F.col(column)
-    bounds = per_device.where(n.isNotNull()).agg(F.percentile(n, cuts)).scalar()
+    bounds = per_device.where(n.isNotNull()).agg(_percentiles(n, cuts, accuracy)).scalar()
     c = [F.col("__cuts")[i] for i in range(len(cuts))]
     tier_id = F.when((n > 0) & (n <= c[0]), F.lit(labels[0][0]))
     for i in range(1, len(cuts)):

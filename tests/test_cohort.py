@@ -77,3 +77,13 @@ def test_tier_exact_cut_values(spark):
     assert got[2] == ("TRV_01_002", "Mid")
     assert got[8] == ("TRV_01_002", "Mid")  # on the upper cut: Mid (inclusive)
     assert got[9] == ("TRV_01_003", "High")
+
+
+def test_approximate_percentiles_option(spark):
+    per = spark.createDataFrame([(f"d{i}", i) for i in range(1, 1001)], "ifa string, count long")
+    exact = cohort.percentile_profile(per).first()
+    approx = cohort.percentile_profile(per, accuracy=10_000).first()
+    for c in exact.asDict():
+        assert abs(exact[c] - approx[c]) <= 1.0  # data values within one rank of the exact cut
+    tiers = {r["tier_level"] for r in cohort.tier(per, accuracy=10_000).collect()}
+    assert tiers == {"Low", "Mid", "High"}
