@@ -1,9 +1,10 @@
 """Job B: location observations of profiled devices -> trips -> corridor cohorts.
 
 All builders are lazy.  ``corridor_report`` returns every dataset of one
-corridor; when several of them are written, ``materialize`` the shared
-inputs (trip profile, tiers) once -- a reliable checkpoint in the shared
-checkpoint folder -- instead of recomputing the trips for each output.
+corridor; when several of them are written, ``materialize`` the trip
+profile once -- a table written to the shared checkpoint folder -- instead of
+recomputing the trips for each output (``run`` does; ``cohort.tier`` writes
+its own per-device input the same way).
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import DataFrame
 
 from simtrail import config
 from simtrail.operators import cohort, mobility, segments
+from simtrail.session import materialize
+from simtrail.sources import readers
 
 
 def build_features(
@@ -105,9 +108,6 @@ def run(
     The trip profile feeds the OD matrix and every corridor report, so it is
     written once (``materialize``) and each output reads that table.
     """
-    from simtrail.session import materialize
-    from simtrail.sources import readers
-
     points = mobility.location_points(readers.read_location_timeseries(spark, locations_path), country)
     devices = readers.read_sim_profile(spark, profile_path, score_columns, fmt=profile_format)
     profile = materialize(
