@@ -1,7 +1,9 @@
 """Job A: carrier activity -> multi-SIM profile (one row per device).
 
-``build_scores`` and ``build_profile`` are lazy; ``run`` writes the profile
-and is the only place that triggers work.
+``build_scores`` and ``build_profile`` return DataFrames; the only work they
+start is the one-time write of the per-(device, carrier) table inside
+``rfm_base`` (its fan-out point).  ``run`` writes the profile;
+``run_reports`` writes the analysis tables of a written profile.
 """
 
 from __future__ import annotations
