@@ -56,7 +56,9 @@ def value_percent_rank(
     """One row per distinct ``value`` (nulls included) with its percent rank.
 
     Ordering follows Spark's defaults: ascending puts nulls first, descending
-    puts nulls last.
+    puts nulls last.  ``value`` must be numeric, date or timestamp (the types
+    ``percentile_approx`` cuts); ``small_value_percent_rank`` takes any
+    orderable type.
     """
     k = key or f"__{value}_value"
     hist = df.groupBy(F.col(value).alias(k)).agg(F.count(F.lit(1)).alias("__n"))

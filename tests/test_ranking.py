@@ -84,3 +84,12 @@ def test_scores_from_shared_histograms_match_builtin_with_nulls(spark):
     b = {(r["ifa"], r["carrier"], r["recency_days"], r["usage_frequency"], r["brq_m"]): (r["r"], r["f"], r["m"])
          for r in rfm.rfm_score(df, method="window").collect()}
     assert len(rfm.rfm_score(df).collect()) == 600 and a == b
+
+
+def test_dates_rank_like_builtin(spark):
+    import datetime as dt
+
+    rows = [(i, dt.date(2021, 1, 1) + dt.timedelta(days=i % 17)) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, v date")
+    for asc in (True, False):
+        assert _ours(df, asc, buckets=5) == _builtin(df, asc)
