@@ -58,3 +58,19 @@ def test_profile_then_travel(spark, scratch_dir):
     assert all_rows == 2
     wk = spark.read.parquet(f"{base}/segment_weekparts")
     assert wk.where(F.col("segment") == "all").agg(F.sum("count")).first()[0] == 2 + 2 + 1
+
+
+def test_default_parquet_paths(spark, scratch_dir):
+    root = os.path.join(scratch_dir, "jobs_parquet")
+    _inputs(spark, root)
+    membership = spark.createDataFrame([("d1", "PP"), ("d2", "SS")], "ifa string, segment string")
+    readers.write_segments(membership, f"{root}/segments_partitioned")
+    cli(["profile", "--activity", f"{root}/activity", "--start", "20211101", "--end", "20211130",
+         "--out", f"{root}/profile"])
+    cli(["report", "--profile", f"{root}/profile", "--out", f"{root}/report"])
+    assert spark.read.parquet(f"{root}/report/secondary_sim").agg(F.sum("count")).first()[0] == 2
+    cli(["travel", "--locations", f"{root}/locations", "--profile", f"{root}/profile",
+         "--segments", f"{root}/segments_partitioned", "--out", f"{root}/travel",
+         "--corridor", "Kandal,Phnom Penh"])
+    tiers = spark.read.parquet(f"{root}/travel/corridor=kandal_phnom_penh/segment_tiers")
+    assert {r["segment"] for r in tiers.collect()} == {"PP", "SS", "all"}
