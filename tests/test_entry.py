@@ -40,3 +40,13 @@ def test_oracle_matches(spark, duck, name):
     idx = [rel.columns.index(c) for c in cols]
     want = sorted(tuple(r[i] for i in idx) for r in rel.fetchall())
     assert got == want
+
+
+def test_no_row_caps_or_samples(spark):
+    """Every registered query reads its tables whole: no limit or sample,
+    except the top-k report, where the limit is the feature."""
+    for name, fn in sorted(entry_mod.queries().items()):
+        plan = fn(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Sample" not in plan, name
+        if name != "top_trips":
+            assert "Limit" not in plan, name
