@@ -42,11 +42,15 @@ def test_oracle_matches(spark, duck, name):
     assert got == want
 
 
-def test_no_row_caps_or_samples(spark):
+def test_no_row_caps_samples_or_cross_joins(spark):
     """Every registered query reads its tables whole: no limit or sample,
-    except the top-k report, where the limit is the feature."""
+    except the top-k report, where the limit is the feature; and no
+    nested-loop or Cartesian join appears in any physical plan."""
     for name, fn in sorted(entry_mod.queries().items()):
-        plan = fn(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        qe = fn(spark, SF)._jdf.queryExecution()
+        plan = qe.optimizedPlan().toString()
         assert "Sample" not in plan, name
         if name != "top_trips":
             assert "Limit" not in plan, name
+        physical = qe.executedPlan().toString()
+        assert "BroadcastNestedLoopJoin" not in physical and "CartesianProduct" not in physical, name
