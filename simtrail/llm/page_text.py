@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from simtrail.llm.shared import share, shared
+
 TRAIN_PAGES = 4_000
 # Elements whose text is no text of the page.
 SKIPPED = frozenset("script style noscript template svg math iframe object head title select button textarea canvas audio video".split())
@@ -358,7 +360,7 @@ def train(pages: DataFrame, *, train_pages: int = TRAIN_PAGES) -> PageModel:
 
 def _extract(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted = model.value
+        fitted = shared(model)
         for batch in batches:
             names = [c for c in batch.schema.names if c != "__html"]
             for row in range(0, batch.num_rows, 256):
@@ -373,7 +375,7 @@ def _extract(model):
 
 def with_main_text(pages: DataFrame, model: PageModel) -> DataFrame:
     """``pages`` with ``text`` instead of ``html`` (an existing column ``text`` is replaced)."""
-    fitted = pages.sparkSession.sparkContext.broadcast(model)
+    fitted = share(pages.sparkSession, model)
     rest = pages.drop("text", "html")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields)
     source = pages.drop("text").withColumnRenamed("html", "__html")

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simtrail.llm import textvec as tv
+from simtrail.llm.shared import share, shared
 
 MARK = "▁"
 # Words remembered in a task; beyond it the memory starts anew.
@@ -188,7 +189,7 @@ def id_lists(words_by_text: list[list[str]], known: WordIds) -> tuple[np.ndarray
 
 def _encoder(vocabulary, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = vocabulary.value
+        pieces = shared(vocabulary)
         root, byte_score = pieces.trie(), pieces.byte_score()
         # The mark goes before each word, so words are kept unmarked and marked here.
         known = WordIds(lambda ws: encode_sorted([MARK + w for w in ws], root, pieces.byte_ids, byte_score), limit)
@@ -211,7 +212,7 @@ def _encoder(vocabulary, limit: int):
 def encode(docs: DataFrame, pieces: Pieces, *, text: str = "text", known_words: int = KNOWN_WORDS) -> DataFrame:
     """``docs`` with ``ids`` (array of int) and ``n_tokens`` of column ``text``; existing columns of these names are replaced."""
     rest = docs.drop("ids", "n_tokens", "__text")
-    vocabulary = docs.sparkSession.sparkContext.broadcast(pieces)
+    vocabulary = share(docs.sparkSession, pieces)
     inner = rest.withColumn("__text", F.col(text).cast("string"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields)
     return inner.mapInArrow(_encoder(vocabulary, known_words), f"{schema}, ids array<int>, n_tokens long")
@@ -219,7 +220,7 @@ def encode(docs: DataFrame, pieces: Pieces, *, text: str = "text", known_words:
 
 def _decoder(vocabulary, out: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, off = vocabulary.value.piece_bytes()
+        table, off = shared(vocabulary).piece_bytes()
         for batch in batches:
             column = batch.column("__ids")
             lens = np.asarray(column.value_lengths().fill_null(0))
@@ -244,7 +245,7 @@ def _decoder(vocabulary, out: str):
 def decode(tokens: DataFrame, pieces: Pieces, *, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``tokens`` with the text of column ``ids`` as column ``out``."""
     rest = tokens.drop(out, "__ids")
-    vocabulary = tokens.sparkSession.sparkContext.broadcast(pieces)
+    vocabulary = share(tokens.sparkSession, pieces)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields)
     return rest.withColumn("__ids", F.col(ids)).mapInArrow(_decoder(vocabulary, out), f"{schema}, `{out}` string")
 

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simtrail.llm import textvec as tv
+from simtrail.llm.shared import share, shared
 
 DIMS = 1 << 20
 TRAIN_ROWS = 8_000
@@ -241,7 +242,7 @@ def train(
 
 def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted = model.value
+        fitted = shared(model)
         for batch in batches:
             data, off = tv.text_bytes(batch.column("__text"))
             out = [fitted.scores(d, o) for _, _, d, o in tv.blocks(data, off)]
@@ -255,7 +256,7 @@ def _score(model):
 def with_scores(docs: DataFrame, model: QualityModel, *, text: str = "text") -> DataFrame:
     """``docs`` with ``score``, the probability of label 1 (an existing column of that name is replaced)."""
     rest = docs.drop("score", "__text")
-    fitted = docs.sparkSession.sparkContext.broadcast(model)
+    fitted = share(docs.sparkSession, model)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields)
     return rest.withColumn("__text", F.col(text).cast("string")).mapInArrow(_score(fitted), f"{schema}, score double")
 
