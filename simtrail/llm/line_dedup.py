@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simtrail.llm import textvec as tv
-from simtrail.llm.linking import bloom, bucket_pairs, components, cross_pairs, in_bloom
+from simtrail.llm.linking import bloom, components, in_bloom, merged, open_members, star_pairs
 from simtrail.session import materialize
 
 MIN_WORDS = 5
@@ -180,44 +180,44 @@ def duplicate_lines(
         ),
         "distinct-lines",
     )
-    buckets = distinct.select(F.col("key").alias("id"), F.explode(_bucket_keys(F.col("sim"))).alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("bucket")
-    members = materialize(buckets.join(shared, "bucket"), "line-buckets")
-    sims = distinct.select("key", "sim")
-
-    def near(pairs: DataFrame) -> DataFrame:
-        return (
-            pairs.join(sims.select(F.col("key").alias("a"), F.col("sim").alias("sa")), "a")
-            .join(sims.select(F.col("key").alias("b"), F.col("sim").alias("sb")), "b")
-            .where(F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= max_bits)
-            .select("a", "b")
-        )
+    buckets = distinct.select(F.col("key").alias("id"), "sim", F.explode(_bucket_keys(F.col("sim"))).alias("bucket"))
+    sizes = materialize(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "line-sizes")
+    members = materialize(buckets.join(sizes, "bucket").drop("n"), "line-buckets")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = materialize(pairs, f"line-pairs-{name}")
-        wanted = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a")))
-        bits = spark.sparkContext.broadcast(bloom(wanted))
+        """``pairs`` (a, b, ...) whose lines are similar enough; only the lines of candidates are passed on."""
+        ids = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a")))
+        bits = spark.sparkContext.broadcast(bloom(ids))
         found = (
             texts.select("text").mapInArrow(_fetch_lines(bits, min_words), "key long, line string")
             .groupBy("key").agg(F.min("line").alias("line"))
         )
-        found = materialize(found.join(wanted.select(F.col("a").alias("key")).distinct(), "key", "left_semi"), f"line-texts-{name}")
+        found = materialize(found, f"line-texts-{name}")
         full = pairs.join(found.select(F.col("key").alias("a"), F.col("line").alias("la")), "a").join(
             found.select(F.col("key").alias("b"), F.col("line").alias("lb")), "b"
         )
         longer = F.greatest(F.length("la"), F.length("lb"))
         # Banded distance: -1 beyond the bound, which then fails the similarity too.
         edits = F.expr(f"levenshtein(la, lb, cast(floor({1 - similarity:.6f} * greatest(length(la), length(lb)) + 1e-9) as int))")
-        return materialize(full.where((edits >= 0) & (longer > 0)).select("a", "b"), f"line-links-{name}")
+        return materialize(full.where((edits >= 0) & (longer > 0)).drop("la", "lb"), f"line-links-{name}")
+
+    def close(a: str, b: str):
+        return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= max_bits
 
-    # Stars are taken before the bit test, so their pairs count as tested for every bucket.
-    stars = materialize(bucket_pairs(members), "line-stars")
-    links = verified(near(stars), "star")
+    stars = star_pairs(members, sizes, ["sim"], close("a_sim", "b_sim"))
+    links = verified(materialize(stars, "line-stars"), "star")
     labels = components(links)
-    rest = materialize(near(cross_pairs(members, labels, stars)), "line-rest")
+    left = open_members(members, labels)
+    # The bit test is part of the join: only pairs within ``max_bits`` leave it.
+    other = left.where("comp != main").select("bucket", F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("sim").alias("sx"))
+    every = left.select("bucket", F.col("id").alias("y"), F.col("comp").alias("cy"), F.col("sim").alias("sy"), "main")
+    pairs = other.join(every, (other["bucket"] == every["bucket"]) & close("sx", "sy") & F.expr("cx != cy and (cy = main or x < y)"))
+    pairs = pairs.select(F.col("x").alias("a"), F.col("y").alias("b"), F.col("cx").alias("ca"), F.col("cy").alias("cb"))
+    rest = materialize(pairs.distinct(), "line-rest")
     if not rest.isEmpty():
-        links = links.unionByName(verified(rest, "cross"))
-        labels = components(links)
+        more = verified(rest, "rest")
+        links = links.unionByName(more.select("a", "b"))
+        labels = merged(labels, more)
     grouped = distinct.join(labels.select(F.col("node").alias("key"), "comp"), "key", "left")
     first = grouped.where("comp is not null").groupBy("comp").agg(F.min("first").alias("kept"))
     keys = grouped.where("n > 1 or comp is not null").join(first, "comp", "left")

@@ -1,9 +1,11 @@
 """Shared pieces of the near-duplicate operators.
 
 ``counter_table``  a fixed-width table of hashed counts, summed over the cluster
-``bucket_pairs``   candidate pairs of buckets without all pairs of a bucket
-``cross_pairs``    the pairs of a bucket that the first pass left open
+``bloom``          a fixed-width filter of the keys that a later scan should pass on
+``star_pairs``     every member of a bucket with the bucket's most central member
+``open_members``   what the stars left apart: members of buckets with several components
 ``components``     connected components by alternating stars
+``merged``         components after some more links between components
 """
 
 from __future__ import annotations
@@ -52,17 +54,10 @@ def _sum_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def counter_table(chunks: DataFrame, width: int) -> np.ndarray:
     """Sum of all chunk rows: ``width`` counters on the driver, whatever the data.
 
-    Chunks are hash-dealt and summed as a stream, first within 16 salts and
-    then across them; a task holds at most the table itself.
+    Chunks are hash-dealt and summed as a stream; a task holds no more than
+    the sums of its own chunks.
     """
-    summed = (
-        chunks.withColumn("salt", F.pmod(F.xxhash64("counts"), F.lit(16)))
-        .repartition("chunk", "salt")
-        .drop("salt")
-        .mapInArrow(_sum_chunks, "chunk int, counts binary")
-        .repartition("chunk")
-        .mapInArrow(_sum_chunks, "chunk int, counts binary")
-    )
+    summed = chunks.repartition("chunk").mapInArrow(_sum_chunks, "chunk int, counts binary")
     out = np.zeros(width, np.int64)
     for row in summed.toLocalIterator():
         out[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = np.frombuffer(row["counts"], "<i8")
@@ -124,37 +119,58 @@ def in_bloom(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (hit[: len(h)] & hit[len(h) :]).astype(bool)
 
 
-def bucket_pairs(members: DataFrame) -> DataFrame:
-    """(a, b), a < b: every member of a bucket with the bucket's least member.
+def star_pairs(members: DataFrame, sizes: DataFrame, also: list[str] | None = None, keep=None) -> DataFrame:
+    """(a, b): every member of a bucket with the bucket's most central member.
 
-    ``members``: (bucket, id).  At most one pair a member, so a bucket that
-    holds a third of all rows stays linear; the per-bucket minimum is
-    aggregated before the shuffle and joined back.
+    ``members``: (bucket, id, columns of ``also``); ``sizes``: (bucket, n).
+    The member whose buckets are largest in all is the most central one: in a
+    group of near copies that is a text with few changes, to which most others
+    are similar.  At most one pair a member and bucket, so a bucket that holds
+    a third of all rows stays linear.  ``keep`` is a condition on the columns
+    ``also`` of both sides (prefixes ``a_`` and ``b_``).
     """
-    least = members.groupBy("bucket").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return members.join(least, "bucket").where(F.col("id") != F.col("a")).select("a", F.col("id").alias("b")).distinct()
+    also = also or []
+    score = members.join(sizes, "bucket").groupBy("id").agg(F.sum("n").alias("score"))
+    scored = members.join(score, "id")
+    lead = scored.groupBy("bucket").agg(
+        F.max(F.struct("score", (-F.col("id")).alias("least"), *also)).alias("lead")
+    )
+    pairs = members.join(lead, "bucket").select(
+        (-F.col("lead.least")).alias("a"),
+        F.col("id").alias("b"),
+        *[F.col(f"lead.{c}").alias(f"a_{c}") for c in also],
+        *[F.col(c).alias(f"b_{c}") for c in also],
+    )
+    pairs = pairs.where("a != b")
+    if keep is not None:
+        pairs = pairs.where(keep)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def cross_pairs(members: DataFrame, labels: DataFrame, tested: DataFrame) -> DataFrame:
-    """Pairs of a bucket that lie in different components so far, not tested yet.
+def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """``members`` with ``comp``, ``main`` (the bucket's most frequent component) and ``n``, of buckets with several components.
 
-    Only members outside a bucket's most frequent component are paired with
-    the others, so members that the first pass linked are not compared again.
+    Members that the first pass linked together are not compared again; what
+    is left is written once.
     """
-    own = (
-        members.join(labels.withColumnRenamed("node", "id"), "id", "left")
-        .withColumn("comp", F.coalesce("comp", "id"))
+    own = members.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    sizes = own.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"))
+    mains = (
+        sizes.groupBy("bucket")
+        .agg(F.max(F.struct("c", "comp")).alias("m"), F.count(F.lit(1)).alias("comps"), F.sum("c").alias("n"))
+        .where("comps > 1")
+        .select("bucket", F.col("m.comp").alias("main"), "n")
     )
-    sizes = own.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
-    mains = sizes.groupBy("bucket").agg(F.max(F.struct("n", F.col("comp"))).alias("m"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    mains = mains.select("bucket", F.col("m.comp").alias("main"))
-    # Only buckets that hold several components go on.
-    open_ = materialize(own.join(mains, "bucket"), "open-buckets")
-    rest = open_.where("comp != main").select("bucket", F.col("id").alias("x"), F.col("comp").alias("cx"), "main")
-    every = open_.select("bucket", F.col("id").alias("y"), F.col("comp").alias("cy"))
-    pairs = rest.join(every, "bucket").where("cx != cy and (cy = main or x < y)")
-    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return pairs.join(tested, ["a", "b"], "left_anti")
+    return materialize(own.join(mains, "bucket"), "open-buckets")
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, comp) after ``links`` (ca, cb) between components; ids without a label are their own."""
+    more = components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    up = more.select(F.col("node").alias("comp"), F.col("comp").alias("__up"))
+    moved = labels.join(up, "comp", "left").select("node", F.coalesce("__up", "comp").alias("comp"))
+    # Least nodes, and components of one node, have no label of their own yet.
+    return moved.unionByName(more.join(labels, "node", "left_anti"))
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -169,19 +185,23 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     )
     if now.isEmpty():
         return now.select(F.col("u").alias("node"), F.col("v").alias("comp"))
-    seen = None
+
+    def state_of(table: DataFrame):
+        return table.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.hash("u", "v").cast("long"))).first()
+
+    seen = state_of(now)
     for _ in range(max_rounds):
         # Large star: every larger neighbour is linked to the least neighbour.
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u != v").distinct()
+        large = large.where("u != v")
         # Small star: every node and its smaller neighbours go to the least of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         small = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         now = materialize(small, "edges")
-        state = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.hash("u", "v").cast("long"))).first()
+        state = state_of(now)
         if state == seen:
             return now.select(F.col("u").alias("node"), F.col("v").alias("comp"))
         seen = state

@@ -14,10 +14,14 @@ counted over all documents in a count-mean-min table of fixed width.
    document (argmin over its shingles of ``ln c - r (t - beta + 1)``,
    ``t = floor(ln w / r + beta)``); the samples of a band are one bucket key.
 3. Documents with the same words collapse to their least doc_id.
-4. Buckets give candidate pairs (``linking``): stars first, then the pairs
-   between components that stars left apart.
-5. Every pair is verified by the weighted Jaccard similarity of the whole texts.
-6. Connected components give the class: the least doc_id.
+4. Buckets give candidate pairs: every member with its bucket's most central
+   member, verified, and linked to components.
+5. Buckets that still hold several components are compared in full, in blocks
+   of bounded size: pairs of different components whose ``FINE`` further
+   samples agree nearly as often as the similarity asks (four standard errors
+   below it) are candidates too; nothing else of a bucket is written out.
+6. Every candidate is verified by the weighted Jaccard similarity of the whole
+   texts.  Connected components give the class: the least doc_id.
 
 Defined results: null, empty and word-less texts have no shingle and are
 their own class (word-less non-empty texts with equal bytes share one);
@@ -35,7 +39,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simtrail.llm import textvec as tv
-from simtrail.llm.linking import CHUNK, bucket_pairs, chunk_rows, components, counter_table, cross_pairs
+from simtrail.llm.linking import (
+    CHUNK,
+    bloom,
+    chunk_rows,
+    components,
+    counter_table,
+    in_bloom,
+    merged,
+    open_members,
+    star_pairs,
+)
 from simtrail.session import materialize
 
 SHINGLE_WORDS = 5
@@ -43,6 +57,10 @@ SIMILARITY = 0.8
 BANDS = 16
 ROWS = 4
 DF_WIDTH = 1 << 19
+# Samples of the finer comparison, the first of them used as a quick test; members of a block.
+FINE = 512
+QUICK = 64
+BLOCK_MEMBERS = 2048
 _U = np.uint64
 _POOL = 1 << 16
 
@@ -90,7 +108,7 @@ def sampling_tables(seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return r, np.log(rng.gamma(2, 1, _POOL)).astype(np.float32), rng.random(_POOL).astype(np.float32)
 
 
-def weighted_samples(hashes, weights, starts, n_samples: int, pools) -> np.ndarray:
+def weighted_samples(hashes, weights, starts, n_samples: int, pools, seed: int = 11) -> np.ndarray:
     """(rows, n_samples) sample ids; rows without features are 0.
 
     Two rows share sample i with a probability of their weighted Jaccard
@@ -99,7 +117,7 @@ def weighted_samples(hashes, weights, starts, n_samples: int, pools) -> np.ndarr
     r_pool, c_pool, b_pool = pools
     filled = np.flatnonzero(np.diff(starts) > 0)
     out = np.zeros((len(starts) - 1, n_samples), np.uint64)
-    mult = np.random.default_rng(11).integers(1, 1 << 63, size=n_samples, dtype=np.uint64) * _U(2) + _U(1)
+    mult = np.random.default_rng(seed).integers(1, 1 << 63, size=n_samples, dtype=np.uint64) * _U(2) + _U(1)
     begin = 0
     while begin < len(filled):  # runs of rows with about 32k features stay in cache
         end = max(begin + 1, int(np.searchsorted(starts[filled + 1], starts[filled[begin]] + 32768, side="right")))
@@ -164,6 +182,81 @@ def _signatures(idf, k: int, bands: int, rows: int):
     return sign
 
 
+def _only(bits):
+    """Task function: (doc_id, text) of the rows whose doc_id may be in the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = bits.value
+        for batch in batches:
+            ids = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            yield batch.filter(pa.array(in_bloom(table, ids)))
+
+    return run
+
+
+def _sketches(idf, bits, k: int):
+    """Task function: ``FINE`` one-byte samples of the documents in the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pools, table = sampling_tables(), idf.value
+        mask = _U(len(table) - 1)
+        for batch in _only(bits)(batches):
+            data, off = tv.text_bytes(batch.column("text"))
+            for first, end, d, o in tv.blocks(data, off):
+                hashes, counts, starts = features(d, o, k)
+                weights = counts.astype(np.float32) * table[(hashes & mask).astype(np.int64)]
+                samples = (weighted_samples(hashes, weights, starts, FINE, pools, seed=13) >> _U(56)).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(first, end - first), pa.array([x.tobytes() for x in samples], pa.binary())],
+                    ["id", "sketch"],
+                )
+
+    return run
+
+
+def _block_pairs(similarity: float):
+    """Task function over rows sorted by (bucket, lo, hi): pairs of different components that may be similar."""
+    least = [similarity * n - 4 * (similarity * (1 - similarity) * n) ** 0.5 for n in (QUICK, FINE)]
+
+    def pairs_of(group: pa.Table) -> pa.RecordBatch:
+        bucket, lo, hi = (group.column(c)[0].as_py() for c in ("bucket", "lo", "hi"))
+        ids, comp, block = (group.column(c).to_numpy() for c in ("id", "comp", "block"))
+        sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(len(ids), FINE)
+        quick = np.ascontiguousarray(sketch[:, :QUICK])
+        keys = np.array(group.column("bands").to_pylist(), np.int64)
+        out = []
+        for x in range(len(ids)):
+            if block[x] != lo:
+                continue
+            near = np.flatnonzero((comp != comp[x]) & ((block == hi) if lo != hi else (np.arange(len(ids)) > x)))
+            near = near[(quick[near] == quick[x]).sum(axis=1) >= least[0]]
+            near = near[(sketch[near] == sketch[x]).sum(axis=1) >= least[1]]
+            # Documents that share several buckets meet in the first one only.
+            near = near[keys[x][np.argmax(keys[near] == keys[x], axis=1)] == bucket] if len(near) else near
+            out += [(ids[x], ids[y], comp[x], comp[y]) for y in near]
+        columns = zip(*out, strict=True) if out else ([], [], [], [])
+        return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], ["a", "b", "ca", "cb"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        now = None
+        for batch in batches:
+            key = np.stack([batch.column(c).to_numpy() for c in ("bucket", "lo", "hi")], axis=1)
+            cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+            for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                if a == b:
+                    continue
+                if held and tuple(key[a]) != now:
+                    yield pairs_of(pa.concat_tables(held).combine_chunks())
+                    held = []
+                now = tuple(key[a])
+                held.append(pa.Table.from_batches([batch.slice(a, b - a)]))
+        if held:
+            yield pairs_of(pa.concat_tables(held).combine_chunks())
+
+    return run
+
+
 def _whole(data, off) -> np.ndarray:
     """Hash of each row's bytes; 0 for empty rows."""
     out = np.zeros(len(off) - 1, np.uint64)
@@ -248,17 +341,16 @@ def near_duplicates(
         F.min_by("bands", "doc_id").alias("bands"),
     )
     copies = materialize(copies, "near-representatives")
-    members = (
-        copies.where("worded")
-        .select(F.col("rep_id").alias("id"), F.explode("bands").alias("bucket"))
-    )
-    least = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    members = materialize(members.join(least, "bucket"), "near-buckets")
+    members = copies.where("worded").select(F.col("rep_id").alias("id"), F.explode("bands").alias("bucket"))
+    sizes = materialize(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-sizes")
+    members = materialize(members.join(sizes, "bucket").drop("n"), "near-buckets")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = materialize(pairs, f"near-pairs-{name}")
-        wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        some = materialize(texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), f"near-texts-{name}")
+        """``pairs`` (a, b, ...) whose texts are similar enough; only the texts of candidates are passed on."""
+        ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
+        bits = spark.sparkContext.broadcast(bloom(ids))
+        some = texts.where("doc_id is not null").mapInArrow(_only(bits), "doc_id long, text string")
+        some = materialize(some.dropDuplicates(["doc_id"]), f"near-texts-{name}")
         full = (
             pairs.join(some.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
             .join(some.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
@@ -267,13 +359,30 @@ def near_duplicates(
         links = full.mapInArrow(_verify(idf, k, similarity), "a long, b long, similarity double")
         return materialize(links, f"near-links-{name}")
 
-    star_pairs = materialize(bucket_pairs(members), "near-stars")
-    links = verified(star_pairs, "star")
+    links = verified(materialize(star_pairs(members, sizes), "near-stars"), "star")
     labels = components(links)
-    rest = materialize(cross_pairs(members, labels, star_pairs), "near-rest")
-    if not rest.isEmpty():
-        links = links.unionByName(verified(rest, "cross"))
-        labels = components(links)
+    left = open_members(members, labels)
+    if not left.isEmpty():
+        bits = spark.sparkContext.broadcast(bloom(left.select("id")))
+        sketched = texts.where("doc_id is not null").mapInArrow(_sketches(idf, bits, k), "id long, sketch binary")
+        sketched = sketched.dropDuplicates(["id"]).join(copies.select(F.col("rep_id").alias("id"), "bands"), "id")
+        n_blocks = F.ceil(F.col("n") / BLOCK_MEMBERS)
+        blocks = (
+            left.withColumn("block", F.pmod(F.xxhash64("id"), n_blocks))
+            .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)))
+            .select("bucket", "id", "comp", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+        )
+        rest = (
+            blocks.join(sketched, "id")
+            .repartition("bucket", "lo", "hi")
+            .sortWithinPartitions("bucket", "lo", "hi", "id")
+            .mapInArrow(_block_pairs(similarity), "a long, b long, ca long, cb long")
+        )
+        rest = materialize(rest, "near-rest")
+        if not rest.isEmpty():
+            more = verified(rest, "rest")
+            links = links.unionByName(more)
+            labels = merged(labels, more.join(rest, ["a", "b"]).select("ca", "cb"))
     reps = copies.select("fp1", "fp2", "worded", "rep_id").join(
         labels.select(F.col("node").alias("rep_id"), "comp"), "rep_id", "left"
     ).select("fp1", "fp2", "worded", "rep_id", F.coalesce("comp", "rep_id").alias("class_id"))
