@@ -8,12 +8,15 @@ always stay.
 1. One scan writes (doc_id, line number, key, SimHash) of each such line; the
    key is a 64-bit hash of the normalised line.
 2. Equal lines collapse to one row per key with its first occurrence.
-3. SimHashes within 3 bits share at least two of five blocks (pigeonhole), so
-   each line enters ten buckets, one per pair of blocks; buckets give
-   candidate pairs within 3 bits (``linking``: stars, then open pairs).
-4. A pair is linked if the edit similarity ``1 - levenshtein / longer length``
+3. SimHashes within 3 bits share one of four 16-bit blocks (pigeonhole), by
+   which lines are dealt out, and, of the 48 bits left, one of four 12-bit
+   blocks, by which a task sorts them.  Of each such group, every line within 3 bits
+   of any other is paired: with the group's first line, or else the nearest.
+4. A pair is linked if the edit similarity ``1 - edit distance / longer length``
    of the normalised lines is at least ``SIMILARITY``.
-5. Every connected group keeps its first occurrence in (doc_id, line number)
+5. The lines met in step 3 are dealt out again with their component: all pairs
+   within 3 bits that are still in different components are verified as well.
+6. Every connected group keeps its first occurrence in (doc_id, line number)
    order; all other occurrences are removed.
 
 Recall of step 3 is exact up to 3 differing bits of 64; lines whose SimHashes
@@ -34,14 +37,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simtrail.llm import textvec as tv
-from simtrail.llm.linking import bloom, components, in_bloom, merged, open_members, star_pairs
+from simtrail.llm.linking import bloom, components, in_bloom, merged
 from simtrail.session import materialize
 
 MIN_WORDS = 5
 MAX_BITS = 3
 SIMILARITY = 0.8
-# Five blocks of a 64-bit SimHash: (first bit, bits).
-BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+BLOCK_BITS, SUB_BITS = 16, 12
 _U = np.uint64
 _DIGIT = tv.class_table(range(0x30, 0x3A))
 
@@ -66,27 +68,33 @@ def squeeze_digits(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, keep
 
 
+# The eight bits of a byte as eight one-byte counters of a 64-bit word.
+_COUNTERS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).copy().view(np.uint64).ravel()
+
+
 def simhashes(words: np.ndarray, word_off: np.ndarray) -> np.ndarray:
     """64-bit SimHash of each row of word hashes (words weighted by count)."""
     rows = np.flatnonzero(np.diff(word_off) > 0)
     out = np.zeros(len(word_off) - 1, np.uint64)
-    step = 1 << 15
-    begin = 0
-    while begin < len(rows):  # bounded pieces: 64 counters a word
-        end = max(begin + 1, int(np.searchsorted(word_off[rows + 1], word_off[rows[begin]] + step, side="right")))
-        end = min(end, len(rows))
-        part = rows[begin:end]
-        lo, hi = word_off[part[0]], word_off[part[-1] + 1]
-        bits = np.unpackbits(words[lo:hi].view(np.uint8).reshape(-1, 8), axis=1)
-        ones = np.add.reduceat(bits, word_off[part] - lo, axis=0, dtype=np.int32)
-        most = ones * 2 > np.diff(np.append(word_off[part], hi))[:, None]
-        out[part] = np.packbits(most, axis=1).reshape(-1, 8).copy().view(np.uint64).ravel()
-        begin = end
+    if not len(rows):
+        return out
+    # Pieces of at most 255 words, so that no one-byte counter overflows.
+    lens = np.diff(word_off)[rows]
+    pieces = -(-lens // 255)
+    first = np.cumsum(pieces) - pieces
+    starts = np.repeat(word_off[rows], pieces) + 255 * (np.arange(int(pieces.sum())) - np.repeat(first, pieces))
+    lanes = words.view(np.uint8).reshape(-1, 8)
+    ones = np.empty((len(rows), 8, 8), np.int32)
+    for lane in range(8):
+        sums = np.add.reduceat(_COUNTERS[lanes[:, lane]], starts)
+        ones[:, lane] = np.add.reduceat(sums.view(np.uint8).reshape(-1, 8).astype(np.int32), first, axis=0)
+    most = ones.reshape(len(rows), 64) * 2 > lens[:, None]
+    out[rows] = np.packbits(most, axis=1).reshape(-1, 8).copy().view(np.uint64).ravel()
     return out
 
 
-def line_table(data: np.ndarray, off: np.ndarray):
-    """Lines of each row: starts, ends, line offsets, word counts, keys, SimHashes."""
+def line_table(data: np.ndarray, off: np.ndarray, with_sims: bool = True):
+    """Lines of each row: starts, ends, line offsets, word counts, keys, SimHashes (if asked for)."""
     starts, ends, line_off = line_offsets(data, off)
     norm, keep = squeeze_digits(data)
     keep[off[:-1][np.diff(off) > 0]] = True  # a run of digits ends with its row
@@ -97,7 +105,8 @@ def line_table(data: np.ndarray, off: np.ndarray):
     w_start, w_end, _ = tv.word_spans(squeezed, np.append(bounds, len(squeezed)) if len(bounds) else np.array([0, len(squeezed)]))
     words = tv.span_hashes(squeezed, w_start, w_end)
     word_off = np.append(np.searchsorted(w_start, new[starts]), len(w_start))
-    return starts, ends, line_off, np.diff(word_off), tv.row_hashes(words, word_off, 3), simhashes(words, word_off)
+    sims = simhashes(words, word_off) if with_sims else None
+    return starts, ends, line_off, np.diff(word_off), tv.row_hashes(words, word_off, 3), sims
 
 
 def _scan_lines(min_words: int):
@@ -137,7 +146,7 @@ def _fetch_lines(bits, min_words: int):
         for batch in batches:
             data, off = tv.text_bytes(batch.column("text"))
             for _, _, d, o in tv.blocks(data, off):
-                starts, ends, _, n_words, keys, _ = line_table(d, o)
+                starts, ends, _, n_words, keys, _ = line_table(d, o, with_sims=False)
                 use = np.flatnonzero((n_words >= min_words))
                 use = use[in_bloom(table, keys[use])]
                 _, one = np.unique(keys[use], return_index=True)
@@ -150,16 +159,134 @@ def _fetch_lines(bits, min_words: int):
     return fetch
 
 
-def _bucket_keys(sim):
-    """Ten 30-bit keys: the number of the pair of blocks and its 26 bits."""
-    part = [F.shiftrightunsigned(sim, lo).bitwiseAND(F.lit((1 << n) - 1)).cast("int") for lo, n in BLOCKS]
-    pairs = [(i, j) for i in range(5) for j in range(i + 1, 5)]
-    return F.array(
-        *[
-            (F.lit(t << 26) + F.shiftleft(part[i], 13) + part[j]).cast("int")
-            for t, (i, j) in enumerate(pairs)
-        ]
-    )
+def edit_distance(a: str, b: str) -> int:
+    """Levenshtein distance: equal ends are cut off, the rest is done bit-parallel (one row a big integer)."""
+    lo, hi = 0, min(len(a), len(b))
+    while lo < hi:  # longest common prefix by halving
+        mid = (lo + hi + 1) // 2
+        lo, hi = (mid, hi) if a[lo:mid] == b[lo:mid] else (lo, mid - 1)
+    a, b = a[lo:], b[lo:]
+    lo, hi = 0, min(len(a), len(b))
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        lo, hi = (mid, hi) if a[len(a) - mid : len(a) - lo] == b[len(b) - mid : len(b) - lo] else (lo, mid - 1)
+    a, b = a[: len(a) - lo], b[: len(b) - lo]
+    if not a or not b:
+        return len(a) + len(b)
+    if len(a) > len(b):
+        a, b = b, a
+    where: dict[str, int] = {}
+    for i, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << i
+    full, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, score = full, 0, len(a)
+    for c in b:
+        eq = where.get(c, 0)
+        xv = eq | down
+        xh = (((eq & up) + up) ^ up) | eq
+        ph, mh = down | ~(xh | up) & full, up & xh
+        score += bool(ph & last) - bool(mh & last)
+        ph, mh = ph << 1 & full | 1, mh << 1 & full
+        up, down = mh | ~(xv | ph) & full, ph & xv
+    return score
+
+
+def _verify_lines(similarity: float):
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("la").to_pylist(), batch.column("lb").to_pylist(), strict=True):
+                longer = max(len(x), len(y))
+                # The difference of the lengths is a lower bound.
+                near = abs(len(x) - len(y)) <= (1 - similarity) * longer + 1e-9
+                keep.append(near and longer > 0 and edit_distance(x, y) <= (1 - similarity) * longer + 1e-9)
+            names = [c for c in batch.schema.names if c not in ("la", "lb")]
+            yield batch.filter(pa.array(keep, pa.bool_())).select(names)
+
+    return check
+
+
+def _close_pairs(max_bits: int, with_comps: bool):
+    """Task function over rows of whole buckets: pairs within ``max_bits``.
+
+    Without components: each line with the first of its group or, if that is
+    not close, with the nearest close one, so that every line with a close
+    neighbour is in a pair.  With components: all close pairs of different
+    components.
+    """
+
+    def pairs_of(bucket, key, sim, comp):
+        shift = ((bucket >> BLOCK_BITS) * BLOCK_BITS).astype(np.uint64)
+        # The bits outside the block that all rows of a bucket share.
+        rest = sim >> (shift + _U(BLOCK_BITS) & _U(63))
+        rest = np.where(shift + _U(BLOCK_BITS) < _U(64), rest, _U(0)) << shift | sim & ((_U(1) << shift) - _U(1))
+        found = []
+        for j in range(0, 48, SUB_BITS):
+            sub = (rest >> _U(j)) & _U((1 << SUB_BITS) - 1)
+            by = np.lexsort((key, sub, bucket))
+            group = (bucket[by].astype(np.uint64) << _U(SUB_BITS)) | sub[by]
+            new = np.concatenate([[True], group[1:] != group[:-1]]) if len(group) else np.empty(0, bool)
+            first = np.maximum.accumulate(np.where(new, np.arange(len(by)), 0)) if len(by) else np.empty(0, np.int64)
+            last = np.append(np.flatnonzero(new)[1:], len(by)) - 1 if len(by) else np.empty(0, np.int64)
+            ends = last[np.cumsum(new) - 1] if len(by) else last
+            if comp is None:
+                s = sim[by]
+                lone = np.ones(len(by), bool)
+                x = np.flatnonzero(~new)
+                x = x[np.bitwise_count(s[first[x]] ^ s[x]) <= max_bits]
+                lone[x] = lone[first[x]] = False
+                found.append((by[first[x]], by[x]))
+                for way in (-1, 1):
+                    step = way
+                    active = np.flatnonzero(lone & ((first < np.arange(len(by))) if way < 0 else (np.arange(len(by)) < ends)))
+                    while len(active):
+                        near = np.bitwise_count(s[active] ^ s[active + step]) <= max_bits
+                        found.append((by[active[near]], by[active[near] + step]))
+                        lone[active[near]] = False
+                        active, step = active[~near], step + way
+                        active = active[(active + step >= first[active]) & (active + step <= ends[active])]
+                continue
+            # Only groups of several components; compare each row with the one ``step`` places on.
+            c = comp[by]
+            mixed = np.zeros(len(by) + 1, np.int64)
+            np.add.at(mixed, first, c != c[first])
+            active = np.flatnonzero((mixed[first] > 0) & (np.arange(len(by)) < ends))
+            step = 1
+            while len(active):
+                x, y = by[active], by[active + step]
+                near = (np.bitwise_count(sim[x] ^ sim[y]) <= max_bits) & (comp[x] != comp[y])
+                found.append((x[near], y[near]))
+                step += 1
+                active = active[active + step <= ends[active]]
+        x, y = (np.concatenate(z) for z in zip(*found, strict=True))
+        a, b = np.minimum(key[x], key[y]), np.maximum(key[x], key[y])
+        ca, cb = (comp[x], comp[y]) if comp is not None else (a, b)
+        once = np.unique(np.stack([a, b], axis=1), axis=0, return_index=True)[1] if len(a) else np.empty(0, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(c[once]) for c in (a, b, ca, cb)], ["a", "b", "ca", "cb"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        rows = 0
+
+        def columns():
+            both = [np.concatenate(z) for z in zip(*held, strict=True)]
+            return both[0], both[1], both[2].view(np.uint64), both[3] if with_comps else None
+
+        for batch in batches:
+            names = ["bucket", "key", "sim", *(["comp"] if with_comps else [])]
+            held.append([batch.column(c).to_numpy().astype(np.int64) for c in names])
+            rows += batch.num_rows
+            if rows > 500_000:  # whole buckets go on; the last may not have ended
+                bucket, key, sim, comp = columns()
+                cut = int(np.searchsorted(bucket, bucket[-1]))
+                if cut:
+                    yield pairs_of(bucket[:cut], key[:cut], sim[:cut], None if comp is None else comp[:cut])
+                    held = [[bucket[cut:], key[cut:], sim[cut:].view(np.int64), *([comp[cut:]] if with_comps else [])]]
+                    rows = len(bucket) - cut
+        if rows:
+            yield pairs_of(*columns())
+
+    return run
 
 
 def duplicate_lines(
@@ -167,7 +294,7 @@ def duplicate_lines(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(drops, lines, links): removed occurrences (doc_id, line_no), all lines that take part, verified links."""
     if max_bits > 3:
-        raise ValueError("five blocks taken in pairs guarantee at most 3 differing bits")
+        raise ValueError("four blocks guarantee at most 3 differing bits")
     spark: SparkSession = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = texts.where("doc_id is not null and text is not null")
@@ -180,40 +307,37 @@ def duplicate_lines(
         ),
         "distinct-lines",
     )
-    buckets = distinct.select(F.col("key").alias("id"), "sim", F.explode(_bucket_keys(F.col("sim"))).alias("bucket"))
-    sizes = materialize(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "line-sizes")
-    members = materialize(buckets.join(sizes, "bucket").drop("n"), "line-buckets")
-
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """``pairs`` (a, b, ...) whose lines are similar enough; only the lines of candidates are passed on."""
-        ids = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a")))
-        bits = spark.sparkContext.broadcast(bloom(ids))
-        found = (
-            texts.select("text").mapInArrow(_fetch_lines(bits, min_words), "key long, line string")
-            .groupBy("key").agg(F.min("line").alias("line"))
+
+    def close_pairs(rows: DataFrame, with_comps: bool) -> DataFrame:
+        blocks = F.array(
+            *[
+                F.shiftrightunsigned("sim", BLOCK_BITS * i).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).bitwiseOR(F.lit(i << BLOCK_BITS))
+                for i in range(4)
+            ]
         )
-        found = materialize(found, f"line-texts-{name}")
-        full = pairs.join(found.select(F.col("key").alias("a"), F.col("line").alias("la")), "a").join(
+        dealt = rows.withColumn("bucket", F.explode(blocks)).repartition("bucket").sortWithinPartitions("bucket")
+        return dealt.mapInArrow(_close_pairs(max_bits, with_comps), "a long, b long, ca long, cb long").distinct()
+
+    pairs = materialize(close_pairs(distinct.select("key", "sim"), False).select("a", "b"), "line-pairs")
+    # Every line that is close to any other is in one of these pairs.
+    met = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+    bits = spark.sparkContext.broadcast(bloom(met))
+    found = texts.select("text").mapInArrow(_fetch_lines(bits, min_words), "key long, line string")
+    found = materialize(found.groupBy("key").agg(F.min("line").alias("line")).join(met, "key"), "line-texts")
+
+    def verified(candidates: DataFrame, name: str) -> DataFrame:
+        full = candidates.join(found.select(F.col("key").alias("a"), F.col("line").alias("la")), "a").join(
             found.select(F.col("key").alias("b"), F.col("line").alias("lb")), "b"
         )
-        longer = F.greatest(F.length("la"), F.length("lb"))
-        # Banded distance: -1 beyond the bound, which then fails the similarity too.
-        edits = F.expr(f"levenshtein(la, lb, cast(floor({1 - similarity:.6f} * greatest(length(la), length(lb)) + 1e-9) as int))")
-        return materialize(full.where((edits >= 0) & (longer > 0)).drop("la", "lb"), f"line-links-{name}")
-
-    def close(a: str, b: str):
-        return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= max_bits
+        schema = ", ".join(f"{c} long" for c in candidates.columns)
+        full = full.select(*candidates.columns, "la", "lb")
+        return materialize(full.mapInArrow(_verify_lines(similarity), schema), f"line-links-{name}")
 
-    stars = star_pairs(members, sizes, ["sim"], close("a_sim", "b_sim"))
-    links = verified(materialize(stars, "line-stars"), "star")
+    links = verified(pairs, "first")
     labels = components(links)
-    left = open_members(members, labels)
-    # The bit test is part of the join: only pairs within ``max_bits`` leave it.
-    other = left.where("comp != main").select("bucket", F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("sim").alias("sx"))
-    every = left.select("bucket", F.col("id").alias("y"), F.col("comp").alias("cy"), F.col("sim").alias("sy"), "main")
-    pairs = other.join(every, (other["bucket"] == every["bucket"]) & close("sx", "sy") & F.expr("cx != cy and (cy = main or x < y)"))
-    pairs = pairs.select(F.col("x").alias("a"), F.col("y").alias("b"), F.col("cx").alias("ca"), F.col("cy").alias("cb"))
-    rest = materialize(pairs.distinct(), "line-rest")
+    left = distinct.select("key", "sim").join(met, "key").join(labels.withColumnRenamed("node", "key"), "key", "left")
+    rest = close_pairs(left.withColumn("comp", F.coalesce("comp", "key")), True)
+    rest = materialize(rest.join(pairs, ["a", "b"], "left_anti"), "line-rest")
     if not rest.isEmpty():
         more = verified(rest, "rest")
         links = links.unionByName(more.select("a", "b"))
