@@ -94,7 +94,7 @@ def simhashes(words: np.ndarray, word_off: np.ndarray) -> np.ndarray:
 
 
 def line_table(data: np.ndarray, off: np.ndarray, with_sims: bool = True):
-    """Lines of each row: starts, ends, line offsets, word counts, keys, SimHashes (if asked for)."""
+    """Lines of each row: starts, ends, line offsets, word counts, keys, SimHashes (if asked for), lengths of the normalised lines."""
     starts, ends, line_off = line_offsets(data, off)
     norm, keep = squeeze_digits(data)
     keep[off[:-1][np.diff(off) > 0]] = True  # a run of digits ends with its row
@@ -106,7 +106,14 @@ def line_table(data: np.ndarray, off: np.ndarray, with_sims: bool = True):
     words = tv.span_hashes(squeezed, w_start, w_end)
     word_off = np.append(np.searchsorted(w_start, new[starts]), len(w_start))
     sims = simhashes(words, word_off) if with_sims else None
-    return starts, ends, line_off, np.diff(word_off), tv.row_hashes(words, word_off, 3), sims
+    return starts, ends, line_off, np.diff(word_off), tv.row_hashes(words, word_off, 3), sims, _code_points(squeezed, w_start, w_end, word_off)
+
+
+def _code_points(data, starts, ends, word_off) -> np.ndarray:
+    """Length of each normalised line: its words and a space between each two."""
+    leads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80, dtype=np.int64)])
+    counts = np.diff(word_off)
+    return tv.row_sums(leads[ends] - leads[starts], word_off) + np.maximum(counts - 1, 0)
 
 
 def _scan_lines(min_words: int):
@@ -115,7 +122,7 @@ def _scan_lines(min_words: int):
             data, off = tv.text_bytes(batch.column("text"))
             ids = batch.column("doc_id")
             for first, _, d, o in tv.blocks(data, off):
-                _, _, line_off, n_words, keys, sims = line_table(d, o)
+                _, _, line_off, n_words, keys, sims, sizes = line_table(d, o)
                 rows = np.repeat(np.arange(len(o) - 1), np.diff(line_off))
                 number = np.arange(len(rows)) - line_off[rows]
                 use = np.flatnonzero(n_words >= min_words)
@@ -125,8 +132,9 @@ def _scan_lines(min_words: int):
                         pa.array(number[use].astype(np.int32)),
                         pa.array(tv.signed(keys[use])),
                         pa.array(tv.signed(sims[use])),
+                        pa.array(sizes[use].astype(np.int32)),
                     ],
-                    ["doc_id", "line_no", "key", "sim"],
+                    ["doc_id", "line_no", "key", "sim", "size"],
                 )
 
     return scan
@@ -146,7 +154,7 @@ def _fetch_lines(bits, min_words: int):
         for batch in batches:
             data, off = tv.text_bytes(batch.column("text"))
             for _, _, d, o in tv.blocks(data, off):
-                starts, ends, _, n_words, keys, _ = line_table(d, o, with_sims=False)
+                starts, ends, _, n_words, keys, _, _ = line_table(d, o, with_sims=False)
                 use = np.flatnonzero((n_words >= min_words))
                 use = use[in_bloom(table, keys[use])]
                 _, one = np.unique(keys[use], return_index=True)
@@ -206,8 +214,8 @@ def _verify_lines(similarity: float):
     return check
 
 
-def _close_pairs(max_bits: int, with_comps: bool):
-    """Task function over rows of whole buckets: pairs within ``max_bits``.
+def _close_pairs(max_bits: int, similarity: float, with_comps: bool):
+    """Task function over rows of whole buckets: pairs within ``max_bits`` whose lengths allow the similarity.
 
     Without components: each line with the first of its group or, if that is
     not close, with the nearest close one, so that every line with a close
@@ -215,7 +223,13 @@ def _close_pairs(max_bits: int, with_comps: bool):
     components.
     """
 
-    def pairs_of(bucket, key, sim, comp):
+    def pairs_of(bucket, key, sim, size, comp):
+        def close(x, y):
+            # Lines whose lengths differ more cannot be similar enough.
+            longer = np.maximum(size[x], size[y])
+            fits = np.abs(size[x] - size[y]) <= (1 - similarity) * longer + 1e-9
+            return (np.bitwise_count(sim[x] ^ sim[y]) <= max_bits) & fits
+
         shift = ((bucket >> BLOCK_BITS) * BLOCK_BITS).astype(np.uint64)
         # The bits outside the block that all rows of a bucket share.
         rest = sim >> (shift + _U(BLOCK_BITS) & _U(63))
@@ -230,17 +244,16 @@ def _close_pairs(max_bits: int, with_comps: bool):
             last = np.append(np.flatnonzero(new)[1:], len(by)) - 1 if len(by) else np.empty(0, np.int64)
             ends = last[np.cumsum(new) - 1] if len(by) else last
             if comp is None:
-                s = sim[by]
                 lone = np.ones(len(by), bool)
                 x = np.flatnonzero(~new)
-                x = x[np.bitwise_count(s[first[x]] ^ s[x]) <= max_bits]
+                x = x[close(by[first[x]], by[x])]
                 lone[x] = lone[first[x]] = False
                 found.append((by[first[x]], by[x]))
                 for way in (-1, 1):
                     step = way
                     active = np.flatnonzero(lone & ((first < np.arange(len(by))) if way < 0 else (np.arange(len(by)) < ends)))
                     while len(active):
-                        near = np.bitwise_count(s[active] ^ s[active + step]) <= max_bits
+                        near = close(by[active], by[active + step])
                         found.append((by[active[near]], by[active[near] + step]))
                         lone[active[near]] = False
                         active, step = active[~near], step + way
@@ -254,11 +267,12 @@ def _close_pairs(max_bits: int, with_comps: bool):
             step = 1
             while len(active):
                 x, y = by[active], by[active + step]
-                near = (np.bitwise_count(sim[x] ^ sim[y]) <= max_bits) & (comp[x] != comp[y])
+                near = close(x, y) & (comp[x] != comp[y])
                 found.append((x[near], y[near]))
                 step += 1
                 active = active[active + step <= ends[active]]
-        x, y = (np.concatenate(z) for z in zip(*found, strict=True))
+        none = np.empty(0, np.int64)
+        x, y = (np.concatenate([none, *z]) for z in zip(*found, strict=True)) if found else (none, none)
         a, b = np.minimum(key[x], key[y]), np.maximum(key[x], key[y])
         ca, cb = (comp[x], comp[y]) if comp is not None else (a, b)
         once = np.unique(np.stack([a, b], axis=1), axis=0, return_index=True)[1] if len(a) else np.empty(0, np.int64)
@@ -270,19 +284,19 @@ def _close_pairs(max_bits: int, with_comps: bool):
 
         def columns():
             both = [np.concatenate(z) for z in zip(*held, strict=True)]
-            return both[0], both[1], both[2].view(np.uint64), both[3] if with_comps else None
+            return both[0], both[1], both[2].view(np.uint64), both[3], both[4] if with_comps else None
 
         for batch in batches:
-            names = ["bucket", "key", "sim", *(["comp"] if with_comps else [])]
+            names = ["bucket", "key", "sim", "size", *(["comp"] if with_comps else [])]
             held.append([batch.column(c).to_numpy().astype(np.int64) for c in names])
             rows += batch.num_rows
-            if rows > 500_000:  # whole buckets go on; the last may not have ended
-                bucket, key, sim, comp = columns()
-                cut = int(np.searchsorted(bucket, bucket[-1]))
+            if rows > 300_000:  # whole buckets go on; the last may not have ended
+                columns_now = columns()
+                cut = int(np.searchsorted(columns_now[0], columns_now[0][-1]))
                 if cut:
-                    yield pairs_of(bucket[:cut], key[:cut], sim[:cut], None if comp is None else comp[:cut])
-                    held = [[bucket[cut:], key[cut:], sim[cut:].view(np.int64), *([comp[cut:]] if with_comps else [])]]
-                    rows = len(bucket) - cut
+                    yield pairs_of(*(None if c is None else c[:cut] for c in columns_now))
+                    held = [[c[cut:].view(np.int64) for c in columns_now if c is not None]]
+                    rows -= cut
         if rows:
             yield pairs_of(*columns())
 
@@ -299,11 +313,11 @@ def duplicate_lines(
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = texts.where("doc_id is not null and text is not null")
     lines = materialize(
-        texts.mapInArrow(_scan_lines(min_words), "doc_id long, line_no int, key long, sim long"), "lines"
+        texts.mapInArrow(_scan_lines(min_words), "doc_id long, line_no int, key long, sim long, size int"), "lines"
     )
     distinct = materialize(
         lines.groupBy("key").agg(
-            F.min(F.struct("doc_id", "line_no")).alias("first"), F.min("sim").alias("sim"), F.count(F.lit(1)).alias("n")
+            F.min(F.struct("doc_id", "line_no")).alias("first"), F.min("sim").alias("sim"), F.min("size").alias("size"), F.count(F.lit(1)).alias("n")
         ),
         "distinct-lines",
     )
@@ -316,9 +330,9 @@ def duplicate_lines(
             ]
         )
         dealt = rows.withColumn("bucket", F.explode(blocks)).repartition("bucket").sortWithinPartitions("bucket")
-        return dealt.mapInArrow(_close_pairs(max_bits, with_comps), "a long, b long, ca long, cb long").distinct()
+        return dealt.mapInArrow(_close_pairs(max_bits, similarity, with_comps), "a long, b long, ca long, cb long").distinct()
 
-    pairs = materialize(close_pairs(distinct.select("key", "sim"), False).select("a", "b"), "line-pairs")
+    pairs = materialize(close_pairs(distinct.select("key", "sim", "size"), False).select("a", "b"), "line-pairs")
     # Every line that is close to any other is in one of these pairs.
     met = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
     bits = spark.sparkContext.broadcast(bloom(met))
@@ -335,7 +349,7 @@ def duplicate_lines(
 
     links = verified(pairs, "first")
     labels = components(links)
-    left = distinct.select("key", "sim").join(met, "key").join(labels.withColumnRenamed("node", "key"), "key", "left")
+    left = distinct.select("key", "sim", "size").join(met, "key").join(labels.withColumnRenamed("node", "key"), "key", "left")
     rest = close_pairs(left.withColumn("comp", F.coalesce("comp", "key")), True)
     rest = materialize(rest.join(pairs, ["a", "b"], "left_anti"), "line-rest")
     if not rest.isEmpty():
