@@ -17,9 +17,12 @@ suffixes are first dealt into groups that hold everything they can match:
 2. Only grams that occur twice go on.  Anchors with equal contexts are equal
    all through: counted, never compared.
 3. Where a gram has different contexts, one of each is fetched and the
-   suffixes that start before the anchor are put in suffix order (ranks by
-   prefix doubling).  In a run of suffixes that share ``LENGTH`` bytes, all
-   but the first position have a previous factor of that length.
+   suffixes that start before the anchor are put in suffix order, truncated
+   to ``LENGTH`` bytes: suffixes that share them stand together as one run, in
+   order of position (the order of different runs does not matter for factors
+   of that length, so prefixes are ordered by 64-bit names, not by bytes).
+   The previous smaller position of all but a run's first is in the run: only
+   those have a previous factor of that length.
 4. A gram with more than ``GROUP_LIMIT`` different contexts (a passage common
    to very many documents) is not put in one task: its suffixes' ``LENGTH``-byte
    hashes are counted across the cluster instead.  The result is the same.
@@ -46,7 +49,9 @@ from simtrail.llm.linking import bloom, in_bloom
 from simtrail.session import materialize
 
 LENGTH = 400
-GROUP_LIMIT = 4_000
+GROUP_LIMIT = 1_000
+# Text at a time: about 150 bytes of working memory a byte.
+BLOCK_BYTES = 1 << 19
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
@@ -115,7 +120,7 @@ def _anchor_rows(length: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = tv.text_bytes(batch.column("text"))
-            for first, end, d, o in tv.blocks(data, off):
+            for first, end, d, o in tv.blocks(data, off, BLOCK_BYTES):
                 ids = batch.column("doc_id").slice(first, end - first)
                 sizes = np.diff(o)
                 keys = document_keys(ids, d, o)
@@ -177,31 +182,8 @@ def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 yield pa.RecordBatch.from_arrays([*columns, cut], [*names, "bytes"])
 
 
-def suffix_ranks(data: np.ndarray, depth: int, at: np.ndarray) -> np.ndarray:
-    """Rank of the ``depth``-byte suffix prefixes at ``at`` in lexicographic order (equal prefixes, equal rank).
-
-    Prefix doubling: ranks of 8 bytes, then of twice as many in each step.
-    Every prefix must lie within ``data``.
-    """
-    n = len(data)
-    padded = np.concatenate([data, np.zeros(depth, np.uint8)]).astype(np.uint64)
-    key = np.zeros(n, np.uint64)
-    have = min(8, depth)
-    for j in range(have):
-        key = (key << _U(8)) | padded[j : n + j]
-    rank = np.unique(key, return_inverse=True)[1].astype(np.uint64)
-
-    def joined(first, second):
-        return np.unique((first << _U(32)) | second, return_inverse=True)[1].astype(np.uint64)
-
-    while have * 2 <= depth:
-        rank = joined(rank, np.concatenate([rank[have:], np.zeros(have, np.uint64)])[:n])
-        have *= 2
-    return joined(rank[at], rank[at + depth - have])
-
-
 def has_previous_factor(ranks: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For suffixes of given ranks (equal: they share the whole length) at corpus positions ``place``:
+    """For suffixes of given names (equal: they share the whole length) at corpus positions ``place``:
 
     (an earlier position shares the length, any other position does).  In
     suffix order, ties by position, the previous smaller position of an entry
@@ -229,7 +211,8 @@ def _marks(table: pa.Table, length: int, keep_first: bool) -> pa.RecordBatch:
     count = np.minimum(left, sizes - length) + 1
     ctx = np.repeat(np.arange(len(sizes)), count)
     inner = np.arange(len(ctx)) - np.repeat(np.cumsum(count) - count, count)
-    ranks = suffix_ranks(raw, length, base[ctx] + inner)
+    # Names of the suffixes' first ``length`` bytes: equal bytes, equal name.
+    ranks = RollingHash(raw).windows(length)[base[ctx] + inner]
     at, copies = table.column("at").to_numpy(), table.column("copies").to_numpy()
     doc_id = table.column("doc_id")
     known = np.asarray(doc_id.combine_chunks().is_valid())
