@@ -13,7 +13,7 @@ always stay.
    blocks, by which a task sorts them.  Of each such group, every line within 3 bits
    of any other is paired: with the group's first line, or else the nearest.
 4. A pair is linked if the edit similarity ``1 - edit distance / longer length``
-   of the normalised lines is at least ``SIMILARITY``.
+   of the normalised lines, both counted in words, is at least ``SIMILARITY``.
 5. The lines met in step 3 are dealt out again with their component: all pairs
    within 3 bits that are still in different components are verified as well.
 6. Every connected group keeps its first occurrence in (doc_id, line number)
@@ -94,26 +94,18 @@ def simhashes(words: np.ndarray, word_off: np.ndarray) -> np.ndarray:
 
 
 def line_table(data: np.ndarray, off: np.ndarray, with_sims: bool = True):
-    """Lines of each row: starts, ends, line offsets, word counts, keys, SimHashes (if asked for), lengths of the normalised lines."""
+    """Lines of each row: starts, ends, line offsets, word counts, keys, SimHashes (if asked for)."""
     starts, ends, line_off = line_offsets(data, off)
     norm, keep = squeeze_digits(data)
     keep[off[:-1][np.diff(off) > 0]] = True  # a run of digits ends with its row
     # Positions in the squeezed bytes.
     new = np.concatenate([[0], np.cumsum(keep)])
     squeezed = norm[keep]
-    bounds = np.unique(np.concatenate([new[starts], new[off], new[ends]]))
-    w_start, w_end, _ = tv.word_spans(squeezed, np.append(bounds, len(squeezed)) if len(bounds) else np.array([0, len(squeezed)]))
+    w_start, w_end, _ = tv.word_spans(squeezed, new[off])  # a line break is no word byte
     words = tv.span_hashes(squeezed, w_start, w_end)
     word_off = np.append(np.searchsorted(w_start, new[starts]), len(w_start))
     sims = simhashes(words, word_off) if with_sims else None
-    return starts, ends, line_off, np.diff(word_off), tv.row_hashes(words, word_off, 3), sims, _code_points(squeezed, w_start, w_end, word_off)
-
-
-def _code_points(data, starts, ends, word_off) -> np.ndarray:
-    """Length of each normalised line: its words and a space between each two."""
-    leads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80, dtype=np.int64)])
-    counts = np.diff(word_off)
-    return tv.row_sums(leads[ends] - leads[starts], word_off) + np.maximum(counts - 1, 0)
+    return starts, ends, line_off, np.diff(word_off), tv.row_hashes(words, word_off, 3), sims
 
 
 def _scan_lines(min_words: int):
@@ -122,7 +114,7 @@ def _scan_lines(min_words: int):
             data, off = tv.text_bytes(batch.column("text"))
             ids = batch.column("doc_id")
             for first, _, d, o in tv.blocks(data, off):
-                _, _, line_off, n_words, keys, sims, sizes = line_table(d, o)
+                _, _, line_off, n_words, keys, sims = line_table(d, o)
                 rows = np.repeat(np.arange(len(o) - 1), np.diff(line_off))
                 number = np.arange(len(rows)) - line_off[rows]
                 use = np.flatnonzero(n_words >= min_words)
@@ -132,7 +124,7 @@ def _scan_lines(min_words: int):
                         pa.array(number[use].astype(np.int32)),
                         pa.array(tv.signed(keys[use])),
                         pa.array(tv.signed(sims[use])),
-                        pa.array(sizes[use].astype(np.int32)),
+                        pa.array(n_words[use].astype(np.int32)),
                     ],
                     ["doc_id", "line_no", "key", "sim", "size"],
                 )
@@ -154,7 +146,7 @@ def _fetch_lines(bits, min_words: int):
         for batch in batches:
             data, off = tv.text_bytes(batch.column("text"))
             for _, _, d, o in tv.blocks(data, off):
-                starts, ends, _, n_words, keys, _, _ = line_table(d, o, with_sims=False)
+                starts, ends, _, n_words, keys, _ = line_table(d, o, with_sims=False)
                 use = np.flatnonzero((n_words >= min_words))
                 use = use[in_bloom(table, keys[use])]
                 _, one = np.unique(keys[use], return_index=True)
@@ -167,8 +159,8 @@ def _fetch_lines(bits, min_words: int):
     return fetch
 
 
-def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance: equal ends are cut off, the rest is done bit-parallel (one row a big integer)."""
+def edit_distance(a, b) -> int:
+    """Levenshtein distance of two sequences: equal ends are cut off, the rest is done bit-parallel (one row a big integer)."""
     lo, hi = 0, min(len(a), len(b))
     while lo < hi:  # longest common prefix by halving
         mid = (lo + hi + 1) // 2
@@ -183,7 +175,7 @@ def edit_distance(a: str, b: str) -> int:
         return len(a) + len(b)
     if len(a) > len(b):
         a, b = b, a
-    where: dict[str, int] = {}
+    where: dict = {}
     for i, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << i
     full, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
@@ -204,10 +196,11 @@ def _verify_lines(similarity: float):
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("la").to_pylist(), batch.column("lb").to_pylist(), strict=True):
+                x, y = x.split(" "), y.split(" ")
                 longer = max(len(x), len(y))
                 # The difference of the lengths is a lower bound.
                 near = abs(len(x) - len(y)) <= (1 - similarity) * longer + 1e-9
-                keep.append(near and longer > 0 and edit_distance(x, y) <= (1 - similarity) * longer + 1e-9)
+                keep.append(near and edit_distance(x, y) <= (1 - similarity) * longer + 1e-9)
             names = [c for c in batch.schema.names if c not in ("la", "lb")]
             yield batch.filter(pa.array(keep, pa.bool_())).select(names)
 

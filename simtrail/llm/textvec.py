@@ -85,22 +85,31 @@ def word_spans(data: np.ndarray, off: np.ndarray, table: np.ndarray = ALNUM):
     return starts, np.flatnonzero(ends) + 1, np.searchsorted(starts, off)
 
 
-def powers(n: int) -> np.ndarray:
-    out = np.full(max(n, 1), _U(_WORD_BASE))
-    out[0] = _U(1)
-    return np.cumprod(out, dtype=np.uint64)
+_POWERS: dict[str, np.ndarray] = {}
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse (modulo 2^64), kept for the next block."""
+    if len(_POWERS.get("up", ())) < n:
+        size = 1 << max(n, 1024).bit_length()
+        for name, base in (("up", _WORD_BASE), ("down", pow(_WORD_BASE, -1, 1 << 64))):
+            table = np.full(size, _U(base))
+            table[0] = _U(1)
+            _POWERS[name] = np.cumprod(table, dtype=np.uint64)
+    return _POWERS["up"], _POWERS["down"]
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """64-bit hash of the bytes of each span (spans ascending, not overlapping)."""
+    """64-bit hash of the bytes of each span: differences of one running polynomial sum."""
     if not len(starts):
         return np.empty(0, np.uint64)
-    lens = ends - starts
-    at = np.cumsum(lens) - lens
-    pos = np.arange(int(lens.sum()), dtype=np.int64) - np.repeat(at, lens)
-    values = _BYTE_VALUE[data[np.repeat(starts, lens) + pos]]
-    values *= powers(int(lens.max()))[pos]
-    return mix64(np.add.reduceat(values, at) + lens.astype(np.uint64) * _U(_WORD_BASE) + _U(seed))
+    up, down = powers(len(data) + 1)
+    sums = np.empty(len(data) + 1, np.uint64)
+    sums[0] = 0
+    values = _BYTE_VALUE[data]
+    values *= up[: len(data)]
+    np.cumsum(values, out=sums[1:])
+    return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _U(_WORD_BASE) + _U(seed))
 
 
 def word_hashes(data, off, table=ALNUM, lower: bool = True):
