@@ -107,8 +107,9 @@ def anchors(grams: np.ndarray, width: int, valid: np.ndarray) -> np.ndarray:
 def document_keys(ids: pa.Array, data: np.ndarray, off: np.ndarray) -> np.ndarray:
     """64-bit key of each row from its doc_id and its bytes; equal rows share it."""
     raw = np.zeros(len(off) - 1, np.uint64)
-    filled = np.diff(off) > 0
-    raw[filled] = tv.span_hashes(data, off[:-1][filled], off[1:][filled])
+    for first, end, d, o in tv.blocks(data, off, BLOCK_BYTES):
+        filled = np.diff(o) > 0
+        raw[first:end][filled] = tv.span_hashes(d, o[:-1][filled], o[1:][filled])
     known = np.asarray(ids.is_valid())
     own = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
     return tv.mix64(raw * _U(31) + tv.mix64(own * _U(2) + known.astype(np.uint64)))
