@@ -132,12 +132,16 @@ def _scan_lines(min_words: int):
     return scan
 
 
-def normal_text(data: np.ndarray) -> str:
-    """The normalised line: its words, single spaces between."""
+def normal_lines(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[str]:
+    """The normalised text of lines: their words, single spaces between."""
     norm, keep = squeeze_digits(data)
-    squeezed = norm[keep].copy()
-    squeezed[~tv.ALNUM[squeezed]] = 0x20
-    return " ".join(squeezed.tobytes().decode("utf-8", "replace").split(" ")).strip()
+    norm[~tv.ALNUM[norm]] = 0x20
+    out = []
+    for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+        held = keep[a:b].copy()
+        held[0] = True  # a run of digits ends with its row
+        out.append(" ".join(norm[a:b][held].tobytes().decode("utf-8", "replace").split()))
+    return out
 
 
 def _fetch_lines(bits, min_words: int):
@@ -151,7 +155,7 @@ def _fetch_lines(bits, min_words: int):
                 use = use[in_bloom(table, keys[use])]
                 _, one = np.unique(keys[use], return_index=True)
                 use = use[one]
-                texts = [" ".join(normal_text(d[starts[i] : ends[i]]).split()) for i in use]
+                texts = normal_lines(d, starts[use], ends[use])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(tv.signed(keys[use])), pa.array(texts, pa.string())], ["key", "line"]
                 )

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 _U = np.uint64
 _WORD_BASE = 0x9E3779B97F4A7C15 | 1
 # Odd multipliers of the words of a shingle, from a fixed seed.
