@@ -49,7 +49,7 @@ from simtrail.llm.linking import bloom, in_bloom
 from simtrail.session import materialize
 
 LENGTH = 400
-GROUP_LIMIT = 1_000
+GROUP_LIMIT = 8_000
 # Text at a time: about 150 bytes of working memory a byte.
 BLOCK_BYTES = 1 << 19
 _U = np.uint64
@@ -205,15 +205,14 @@ def has_previous_factor(ranks: np.ndarray, place: np.ndarray) -> tuple[np.ndarra
 def _marks(table: pa.Table, length: int, keep_first: bool) -> pa.RecordBatch:
     """Repeated intervals of a block of whole groups of contexts."""
     column = table.column("bytes").combine_chunks()
-    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8)
-    sizes = np.asarray([len(x) for x in column.to_pylist()], np.int64)
-    base = np.cumsum(sizes) - sizes
+    pieces = column.to_pylist()
+    sizes = np.asarray([len(x) for x in pieces], np.int64)
     left = table.column("left").to_numpy().astype(np.int64)
     count = np.minimum(left, sizes - length) + 1
     ctx = np.repeat(np.arange(len(sizes)), count)
     inner = np.arange(len(ctx)) - np.repeat(np.cumsum(count) - count, count)
     # Names of the suffixes' first ``length`` bytes: equal bytes, equal name.
-    ranks = RollingHash(raw).windows(length)[base[ctx] + inner]
+    ranks = _names(pieces, sizes, count, length)
     at, copies = table.column("at").to_numpy(), table.column("copies").to_numpy()
     doc_id = table.column("doc_id")
     known = np.asarray(doc_id.combine_chunks().is_valid())
@@ -229,6 +228,17 @@ def _marks(table: pa.Table, length: int, keep_first: bool) -> pa.RecordBatch:
     return _intervals(ctx[hit], inner[hit], k, at - left, length)
 
 
+def _names(pieces: list[bytes], sizes: np.ndarray, count: np.ndarray, length: int) -> np.ndarray:
+    """Names of the first ``count`` strings of each piece, a thousand pieces at a time."""
+    out = []
+    for lo in range(0, len(pieces), 1000):
+        part, n = sizes[lo : lo + 1000], count[lo : lo + 1000]
+        raw = np.frombuffer(b"".join(pieces[lo : lo + 1000]), np.uint8)
+        inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        out.append(RollingHash(raw).windows(length)[np.repeat(np.cumsum(part) - part, n) + inner])
+    return np.concatenate(out)
+
+
 def _intervals(ctx, inner, k, begin, length: int) -> pa.RecordBatch:
     """One interval a context: all its strings hold the anchor, so they overlap."""
     if not len(ctx):
