@@ -33,7 +33,7 @@ from simtrail.llm.shared import share, shared
 
 MARK = "▁"
 # Words remembered in a task; beyond it the memory starts anew.
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 200_000
 BLOCK_CHARS = 2 << 20
 
 
@@ -193,7 +193,7 @@ def _encoder(vocabulary, limit: int):
         root, byte_score = pieces.trie(), pieces.byte_score()
         # The mark goes before each word, so words are kept unmarked and marked here.
         known = WordIds(lambda ws: encode_sorted([MARK + w for w in ws], root, pieces.byte_ids, byte_score), limit)
-        for batch in batches:
+        for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
             column = batch.column("__text").to_pylist()
             for first, end in text_runs(column):
                 words = [t.split(" ") if t else [] for t in column[first:end]]

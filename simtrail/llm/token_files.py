@@ -41,7 +41,7 @@ from simtrail.session import ensure_checkpoint_dir
 
 END_ID = 2
 ROW_STRIDE = 1000
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 250_000
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 _PLAIN = re.compile(r"\s\s|[^\S ]")
 
@@ -76,7 +76,7 @@ def _encode(path: str, end_id: int, limit: int):
 
         known = WordIds(ids_of, limit)
         part, start = TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
             column = batch.column("text").to_pylist()
             for first, end in text_runs(column):
                 words = [pretoken_runs(t) if t else [] for t in column[first:end]]
