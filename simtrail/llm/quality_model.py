@@ -33,7 +33,7 @@ from simtrail.llm import textvec as tv
 from simtrail.llm.shared import share, shared
 
 DIMS = 1 << 20
-TRAIN_ROWS = 8_000
+TRAIN_ROWS = 4_000
 SCORE_KEPT = 0.3
 _U = np.uint64
 _SPACE = tv.class_table([0x20, *range(0x09, 0x0E)])
@@ -232,6 +232,7 @@ def train(
     if len(np.unique(y[:cut])) < 2 or len(np.unique(y[cut:])) < 2:
         cut = len(y)
     ratios = log_count_ratios(ids[: off[cut]], off[: cut + 1], y[:cut], dims)
+    del rows, lists
     values = unit_rows(ratios[ids], off)
     weights, bias = dual_coordinate_descent(ids[: off[cut]], values[: off[cut]], off[: cut + 1], y[:cut], dims, epochs=epochs)
     margins = tv.row_sums(values * weights[ids], off) + bias
