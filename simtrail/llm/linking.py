@@ -169,7 +169,7 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     more = components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
     up = more.select(F.col("node").alias("comp"), F.col("comp").alias("__up"))
     moved = labels.join(up, "comp", "left").select("node", F.coalesce("__up", "comp").alias("comp"))
-    # Least nodes, and components of one node, have no label of their own yet.
+    # Components of one node have no label yet.
     return moved.unionByName(more.join(labels, "node", "left_anti"))
 
 
@@ -178,7 +178,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star steps; every round is written to
     the shared checkpoint folder, so a lost executor never replays earlier
-    rounds.  Only nodes with an edge are returned.
+    rounds.  All nodes with an edge are
+    returned, the least ones too.
     """
     now = materialize(
         edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
@@ -203,6 +204,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         now = materialize(small, "edges")
         state = state_of(now)
         if state == seen:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("comp"))
+            roots = now.select("v", F.col("v").alias("comp")).distinct()
+            return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(roots)
         seen = state
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
