@@ -45,8 +45,7 @@ def main(argv: list[str] | None = None) -> None:
     t.add_argument("--out", required=True)
     t.add_argument("--country", default=config.COUNTRY_KEPT)
     t.add_argument("--corridor", action="append", help="'A,B' (repeatable); default: the three named corridors")
-    t.add_argument("--split", default="day", choices=["day", "hour"], help="window unit for the next observation")
-    t.add_argument("--max-group-rows", type=int, default=None, help="slice device-units larger than this")
+    t.add_argument("--unit-minutes", type=int, default=10, help="minutes of time in one work unit of a device")
     args = parser.parse_args(argv)
 
     spark = SparkSession.builder.getOrCreate()
@@ -71,8 +70,7 @@ def main(argv: list[str] | None = None) -> None:
             score_columns=slots.score_columns,
             profile_format="csv" if args.profile_csv else "parquet",
             segments_root=args.segments, segments_layout=args.segments_layout,
-            corridors=corridors, country=args.country, split=args.split,
-            **({"max_group_rows": args.max_group_rows} if args.max_group_rows else {}),
+            corridors=corridors, country=args.country, unit_minutes=args.unit_minutes,
         )
 
 

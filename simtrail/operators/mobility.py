@@ -11,23 +11,17 @@ Scale notes
 ``movements`` needs, per device, the next observation in time.  A plain
 ``lead`` over ``Window.partitionBy(ifa)`` sends all observations of one
 device to one task, so a device holding a third of all rows would be a third
-of the job in one task.  Instead observations are split into units of
-(device, day) -- ``split`` chooses day or hour -- and a (device, day) with
-more than ``max_group_rows`` observations is further cut into equal-time
-slices (found by a partial-aggregated row count per group; the short list of
-oversized groups is broadcast).  Then:
-
-* inside a unit ``lead`` gives the next observation for all but the unit's
-  last row;
-* the units' first and last rows (flagged by the same window pass, at most
-  two rows per unit) link each unit's last row to the first row of the
-  device's next unit, with a ``lead`` over at most two rows per unit.
-
-Both parts are unioned; together they are exactly the per-device ``lead``
-(units are contiguous time ranges of one device).  Points are
-hash-partitioned once on the unit; both branches read that one exchange.
-The one case slicing cannot split is a burst of more than
-``max_group_rows`` observations inside a single slice's time span.
+of the job in one task.  Instead the work unit is (device, ``unit_minutes``
+of time), the same short unit for every device and every size of input:
+
+* inside a unit ``lead`` gives the next observation for all but its last row;
+* the first observation of each unit is the least of an aggregate on the same
+  partitioning (pre-aggregated), and a ``lead`` over one row a unit gives
+  every unit the first observation of the device's next unit;
+* that is joined back on the unit, co-partitioned: one sort of the rows.
+
+Ties are ordered by the state, so that equal timestamps give the same links
+on every run; rows that tie in everything are interchangeable.
 """
 
 from __future__ import annotations
@@ -48,7 +42,8 @@ def location_points(
 ) -> DataFrame:
     """One row per observation from ``ifa, gps: array<struct>``.
 
-    Rows with a null or empty ``gps`` produce nothing (``explode`` semantics).
+    Rows with a null or empty ``gps`` produce nothing (``explode`` semantics),
+    nor do rows without a device.
     The country filter runs on the array before it is exploded, so points of
     other countries are never materialised.  ``tie_break`` names a struct
     field used to order equal timestamps; without it ties stay arbitrary.
@@ -56,7 +51,7 @@ def location_points(
     gps = F.col("gps")
     if country is not None:
         gps = F.filter(gps, lambda p: p["country"] == F.lit(country))
-    exploded = nested.select("ifa", F.explode(gps).alias("p"))
+    exploded = nested.where(F.col("ifa").isNotNull()).select("ifa", F.explode(gps).alias("p"))
     obs_id = F.col(f"p.{tie_break}") if tie_break else F.lit(None).cast("long")
     return exploded.select(
         "ifa",
@@ -80,101 +75,54 @@ def restrict_to_devices(points: DataFrame, devices: DataFrame | None) -> DataFra
     return points.join(devices.select("ifa"), "ifa", "left_semi")
 
 
-# Length of a split group, for cutting oversized groups into time slices.
-_SPLIT_MICROS = {"day": 86_400 * 1_000_000, "hour": 3_600 * 1_000_000}
-# A (device, group) with more observations than this is cut into equal-time
-# slices, so no window task holds more than about this many rows.
-MAX_GROUP_ROWS = 2_000_000
+UNIT_MINUTES = 10
+# The unit of rows without a time: before all others.
+_NO_TIME = -(1 << 62)
 
 
-def _split_key(seen_at, split: str):
-    if split == "day":
-        return F.to_date(seen_at)
-    if split == "hour":
-        return F.date_trunc("hour", seen_at)
-    raise ValueError(f"unknown split {split!r}")
+def _unit(seen_at, minutes: int):
+    """Number of the unit of a local time; follows the clock reading, so it never runs back."""
+    day = F.datediff(F.to_date(seen_at), F.lit("1970-01-01").cast("date")).cast("long")
+    of_day = F.hour(seen_at) * 60 + F.minute(seen_at)
+    return F.coalesce(F.floor((day * 1440 + of_day) / F.lit(minutes)).cast("long"), F.lit(_NO_TIME))
 
 
 def movements(
     points: DataFrame,
     devices: DataFrame | None = None,
     *,
-    split: str = "day",
-    max_group_rows: int | None = MAX_GROUP_ROWS,
+    unit_minutes: int = UNIT_MINUTES,
     carry: Sequence[str] = (),
 ) -> DataFrame:
     """Every observation with ``next_state`` of the same device's next one.
 
-    Order within a device is (``seen_at``, ``obs_id``), nulls first.  The
-    device's last observation has ``has_next = false`` and a null
+    Order within a device is (``seen_at``, ``obs_id``, ``state``), nulls
+    first.  The device's last observation has ``has_next = false`` and a null
     ``next_state``; a following observation with a null state gives
-    ``has_next = true`` and a null ``next_state``.  ``carry`` lists extra
-    point columns to keep.
-
-    Work units are (device, ``split`` group, slice).  A group with more than
-    ``max_group_rows`` observations is cut into ``ceil(rows / max_group_rows)``
-    equal-duration slices; the list of such groups has fewer than
-    ``total rows / max_group_rows`` entries and is broadcast.
-    ``max_group_rows=None`` skips that check (no group is sliced).
+    ``has_next = true`` and a null ``next_state``.  Observations without a
+    device are dropped.  ``carry`` lists extra point columns to keep.
     """
     missing = [c for c in schemas.POINTS_COLUMNS if c not in points.columns]
     if missing:
         raise ValueError(f"points need columns {schemas.POINTS_COLUMNS}; missing {missing}")
+    if unit_minutes < 1:
+        raise ValueError("unit_minutes is at least 1")
     fields = ["seen_at", "obs_id", "state", *carry]
-    pts = restrict_to_devices(points, devices)
-    pts = pts.select("ifa", *fields).withColumn("__grp", _split_key(F.col("seen_at"), split))
-
-    if max_group_rows is None:
-        pts = pts.withColumn("__slice", F.lit(0))
-    else:
-        hot = (
-            pts.groupBy("ifa", "__grp")
-            .agg(F.count(F.lit(1)).alias("__rows"))
-            .where(F.col("__rows") > max_group_rows)
-            .select("ifa", "__grp", F.ceil(F.col("__rows") / F.lit(max_group_rows)).alias("__slices"))
-        )
-        offset = F.unix_micros(F.col("seen_at").cast("timestamp")) - F.unix_micros(
-            F.col("__grp").cast("timestamp")
-        )
-        slice_no = F.when(F.col("__slices").isNull(), F.lit(0)).otherwise(
-            F.floor(offset * F.col("__slices") / F.lit(_SPLIT_MICROS[split]))
-        )
-        pts = pts.join(F.broadcast(hot), ["ifa", "__grp"], "left").withColumn("__slice", slice_no).drop("__slices")
-    pts = pts.repartition("ifa", "__grp", "__slice")
-
-    order = [F.col("seen_at").asc_nulls_first(), F.col("obs_id").asc_nulls_first()]
-    in_group = Window.partitionBy("ifa", "__grp", "__slice").orderBy(*order)
-    flagged = pts.withColumns(
-        {
-            "__next": F.lead(F.struct("state")).over(in_group),
-            "__first": F.lag(F.lit(True)).over(in_group).isNull(),
-        }
-    )
-    inner = flagged.where(F.col("__next").isNotNull()).select(
-        "ifa",
-        *fields,
-        F.col("__next.state").alias("next_state"),
-        F.lit(True).alias("has_next"),
-    )
-
-    # Each unit's first and last rows (at most two per unit) carry the link
-    # across units: for a unit's last row, the next boundary row of the same
-    # device is the first row of its next unit.
-    across = Window.partitionBy("ifa").orderBy(
-        F.col("__grp").asc_nulls_first(), F.col("__slice").asc_nulls_first(), *order
-    )
-    boundary = (
-        flagged.where(F.col("__next").isNull() | F.col("__first"))
-        .withColumn("__nf", F.lead(F.struct("state")).over(across))
-        .where(F.col("__next").isNull())
-        .select(
-            "ifa",
-            *fields,
-            F.col("__nf.state").alias("next_state"),
-            F.col("__nf").isNotNull().alias("has_next"),
-        )
-    )
-    return inner.unionByName(boundary)
+    keys = ["ifa", "__unit"]
+    pts = restrict_to_devices(points, devices).where(F.col("ifa").isNotNull())
+    pts = pts.select("ifa", *fields, _unit(F.col("seen_at"), unit_minutes).alias("__unit")).repartition(*keys)
+
+    order = ["seen_at", "obs_id", "state"]
+    in_unit = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_first() for c in order])
+    linked = pts.withColumn("__next", F.lead(F.struct("state")).over(in_unit))
+
+    firsts = pts.groupBy(*keys).agg(F.min(F.struct(*order)).alias("__first"))
+    across = Window.partitionBy("ifa").orderBy("__unit")
+    following = firsts.select(*keys, F.lead(F.struct(F.col("__first.state").alias("state"))).over(across).alias("__after"))
+    following = following.where(F.col("__after").isNotNull())
+    joined = linked.join(following, keys, "left")
+    after = F.coalesce("__next", "__after")
+    return joined.select("ifa", *fields, after["state"].alias("next_state"), after.isNotNull().alias("has_next"))
 
 
 def trips(moves: DataFrame) -> DataFrame:

@@ -34,8 +34,8 @@ from simtrail.session import materialize
 
 
 def valid_activity(activity: DataFrame, network: str | None = config.NETWORK_KEPT) -> DataFrame:
-    """Rows that count: a known carrier on the kept network type."""
-    out = activity.where(F.col("carrier").isNotNull())
+    """Rows that count: a known device and carrier on the kept network type."""
+    out = activity.where(F.col("ifa").isNotNull() & F.col("carrier").isNotNull())
     if network is not None:
         out = out.where(F.col("network") == F.lit(network))
     return out
@@ -44,8 +44,8 @@ def valid_activity(activity: DataFrame, network: str | None = config.NETWORK_KEP
 def multi_sim_devices(activity: DataFrame, network: str | None = config.NETWORK_KEPT) -> DataFrame:
     """(ifa, total_carriers) for devices with more than one distinct carrier.
 
-    A single distinct aggregate plans as one shuffle on ``ifa`` with the
-    (ifa, carrier) pairs de-duplicated map-side first.
+    Two shuffles: the distinct (ifa, carrier) pairs, de-duplicated map-side
+    first, then their count by ``ifa``.
     """
     return (
         valid_activity(activity, network)

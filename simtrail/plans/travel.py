@@ -22,34 +22,30 @@ from simtrail.sources import readers
 def build_features(
     points: DataFrame,
     devices: DataFrame | None = None,
-    split: str = "day",
-    restrict: str = "late",
-    max_group_rows: int | None = mobility.MAX_GROUP_ROWS,
+    restrict: str = "early",
+    unit_minutes: int = mobility.UNIT_MINUTES,
 ) -> DataFrame:
     """Trips with calendar features, of ``devices`` only if given.
 
     Trips are computed per device, so keeping a device list before or after
-    the computation gives the same rows.  ``restrict="late"`` (default) runs
-    the semi join on the trip rows: all observations are shuffled once (for
-    the per-device windows) and only the much smaller trip rows meet the
-    device list.  ``restrict="early"`` filters observations first -- better
-    only when the device list is a small, broadcastable fraction.
+    the computation gives the same rows.  ``restrict="early"`` (default)
+    filters observations first, so only those of listed devices are shuffled
+    and sorted; ``restrict="late"`` runs the semi join on the trip rows.
     """
     if restrict == "early":
-        moves = mobility.movements(points, devices, split=split, max_group_rows=max_group_rows)
+        moves = mobility.movements(points, devices, unit_minutes=unit_minutes)
         return mobility.calendar_features(mobility.trips(moves))
     if restrict != "late":
         raise ValueError(f"unknown restrict {restrict!r}")
-    moves = mobility.movements(points, split=split, max_group_rows=max_group_rows)
+    moves = mobility.movements(points, unit_minutes=unit_minutes)
     return mobility.restrict_to_devices(mobility.calendar_features(mobility.trips(moves)), devices)
 
 
 def build_trip_profile(
     points: DataFrame,
     devices: DataFrame | None = None,
-    split: str = "day",
-    restrict: str = "late",
-    max_group_rows: int | None = mobility.MAX_GROUP_ROWS,
+    restrict: str = "early",
+    unit_minutes: int = mobility.UNIT_MINUTES,
 ) -> DataFrame:
     """The per-device trip profile.
 
@@ -57,8 +53,8 @@ def build_trip_profile(
     (a few rows per device), the smallest point of the pipeline.
     """
     if restrict == "early":
-        return mobility.trip_profile(build_features(points, devices, split, "early", max_group_rows))
-    profile = mobility.trip_profile(build_features(points, None, split, "late", max_group_rows))
+        return mobility.trip_profile(build_features(points, devices, "early", unit_minutes))
+    profile = mobility.trip_profile(build_features(points, None, "late", unit_minutes))
     return mobility.restrict_to_devices(profile, devices)
 
 
@@ -100,8 +96,7 @@ def run(
     corridors: Sequence[tuple[str, str]] = config.CORRIDORS,
     country: str | None = config.COUNTRY_KEPT,
     cuts: Sequence[float] = config.TIER_CUTS,
-    split: str = "day",
-    max_group_rows: int | None = mobility.MAX_GROUP_ROWS,
+    unit_minutes: int = mobility.UNIT_MINUTES,
 ) -> dict[str, str]:
     """Job B end to end; returns ``{dataset: path}`` of everything written.
 
@@ -111,7 +106,7 @@ def run(
     points = mobility.location_points(readers.read_location_timeseries(spark, locations_path), country)
     devices = readers.read_sim_profile(spark, profile_path, score_columns, fmt=profile_format)
     profile = materialize(
-        build_trip_profile(points, devices, split=split, max_group_rows=max_group_rows), "trip-profile"
+        build_trip_profile(points, devices, unit_minutes=unit_minutes), "trip-profile"
     )
     membership = (
         readers.read_segments(spark, segments_root, layout=segments_layout) if segments_root else None

@@ -20,17 +20,6 @@ CARRIER_ACTIVITY_RAW = T.StructType(
     ]
 )
 
-# T1 after ingest: ``date`` is a real DateType.  Operators expect this shape.
-CARRIER_ACTIVITY = T.StructType(
-    [
-        T.StructField("ifa", T.StringType()),
-        T.StructField("carrier", T.StringType()),
-        T.StructField("network", T.StringType()),
-        T.StructField("date", T.DateType()),
-        T.StructField("brq_count", T.LongType()),
-    ]
-)
-
 # T2 nested location time series.  Only the listed struct fields are read,
 # which is how nested-column pruning reaches the Parquet scan through explode.
 GPS_POINT = T.StructType(
@@ -76,13 +65,3 @@ SEGMENT_MEMBERSHIP = T.StructType(
     ]
 )
 
-# T9 trip profile.
-TRIP_PROFILE = T.StructType(
-    [
-        T.StructField("ifa", T.StringType()),
-        T.StructField("travel", T.StringType()),
-        T.StructField("weekday_weekend", T.StringType()),
-        T.StructField("time_of_day", T.StringType()),
-        T.StructField("count", T.LongType()),
-    ]
-)

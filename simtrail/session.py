@@ -9,6 +9,7 @@ folder comes from ``spark.checkpoint.dir`` and is set here only when unset.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -66,7 +67,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         master = sc.master if sc is not None else spark.conf.get("spark.master", "")
-        if not master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", master):
             # A machine-local folder would scatter the table over executors'
             # disks and lose it with them.
             raise RuntimeError("set spark.checkpoint.dir to a folder on shared storage (HDFS / object store)")

@@ -56,11 +56,11 @@ def read_sim_profile(
     score_columns: Sequence[str],
     fmt: str = "parquet",
 ) -> DataFrame:
-    """S3: the SIM profile, typed.  CSV is read with a header and the schema."""
+    """S3: the SIM profile, typed.  A CSV whose header or values do not fit the schema is an error."""
     schema = schemas.sim_profile_schema(list(score_columns))
     reader = spark.read.schema(schema)
     if fmt == "csv":
-        return reader.option("header", True).csv(_paths(path))
+        return reader.options(header=True, enforceSchema=False, mode="FAILFAST").csv(_paths(path))
     return reader.parquet(*_paths(path))
 
 
@@ -72,10 +72,10 @@ def write_sim_profile(
 ) -> None:
     """Write the SIM profile (overwrite).
 
-    ``single_file`` is opt-in: ``coalesce(1)`` also collapses the parallelism
-    of everything upstream of the write, so it is for small hand-offs only.
+    ``single_file`` is opt-in and for small hand-offs: one task writes the
+    file; everything before that write stays parallel.
     """
-    out = profile.coalesce(1) if single_file else profile
+    out = profile.repartition(1) if single_file else profile
     writer = out.write.mode("overwrite")
     if fmt == "csv":
         writer.option("header", True).csv(path)
@@ -98,12 +98,12 @@ def read_segments(
     Either way the union of all segments is one scan, not one read each.
     """
     if layout == "partitioned":
-        df = spark.read.parquet(root)
+        df = spark.read.schema(schemas.SEGMENT_MEMBERSHIP).parquet(root)
         if segments:
             df = df.where(F.col("segment").isin(list(segments)))
     elif layout == "folders":
         paths = [f"{root}/{s}" for s in segments] if segments else [f"{root}/*"]
-        df = spark.read.parquet(*paths).withColumn(
+        df = spark.read.schema("ifa string").parquet(*paths).withColumn(
             "segment", F.regexp_extract(F.input_file_name(), r"/([^/]+)/[^/]+$", 1)
         )
     else:

@@ -90,10 +90,9 @@ def test_no_single_partition_over_rows(spark):
 def test_semi_join_and_window_keys(spark):
     plan = _plan(catalog.queries()["profiled_trip_profile"](spark, SF))
     assert "LeftSemi" in plan
-    assert "hashpartitioning(ifa" in plan and "__slice" in plan
-    # late restriction: the observations are shuffled once, on the window unit
+    # Early restriction: the observations that are shuffled on the window unit have met the device list.
     scan_side = [line for line in plan.split("\n") if "REPARTITION_BY_COL" in line]
-    assert scan_side and all("__grp" in line for line in scan_side)
+    assert scan_side and all("__unit" in line for line in scan_side)
 
 
 def test_pushdown_and_pruning(spark):

@@ -48,7 +48,7 @@ def test_profile_then_travel(spark, scratch_dir):
     assert prim.agg(F.sum("count")).first()[0] == 2
     cli(["travel", "--locations", f"{root}/locations", "--profile", f"{root}/profile", "--profile-csv",
          "--segments", f"{root}/segments", "--segments-layout", "folders", "--out", f"{root}/travel",
-         "--corridor", "Kandal,Phnom Penh", "--split", "hour", "--max-group-rows", "1"])
+         "--corridor", "Kandal,Phnom Penh", "--unit-minutes", "30"])
     tp = spark.read.parquet(f"{root}/travel/trip_profile")
     got = sorted((r["ifa"], r["travel"], r["count"]) for r in tp.collect())
     assert got == [("d1", "Kandal_Phnom Penh", 1), ("d1", "Phnom Penh_Kandal", 1), ("d2", "Phnom Penh_Kandal", 1)]

@@ -91,19 +91,35 @@ def test_split_equals_plain_device_lead(spark):
     plain = pts.select("ifa", "obs_id", "state", F.lead("state").over(w).alias("next_state"),
                        F.lead("obs_id").over(w).isNotNull().alias("has_next"))
     expect = sorted(tuple(r) for r in plain.collect())
-    for split, cap in (("day", 10**9), ("hour", 10**9), ("day", 7), ("hour", 2)):
-        got = mobility.movements(pts, split=split, max_group_rows=cap).select(
+    for minutes in (1, 10, 60, 1440):
+        got = mobility.movements(pts, unit_minutes=minutes).select(
             "ifa", "obs_id", "state", "next_state", "has_next")
-        assert sorted(tuple(r) for r in got.collect()) == expect, (split, cap)
+        assert sorted(tuple(r) for r in got.collect()) == expect, minutes
 
 
-def test_hot_group_is_sliced(spark):
-    rows = [("hot", i, ts(1, 0) + dt.timedelta(minutes=i), "AB"[i % 2]) for i in range(600)]
-    pts = spark.createDataFrame(rows, SCHEMA)
-    moves = mobility.movements(pts, max_group_rows=50)
-    plan = moves._jdf.queryExecution().optimizedPlan().toString()
-    assert "__slice" in plan
-    assert mobility.trips(moves).count() == 599
+def test_ties_without_ids_lose_and_invent_no_link(spark):
+    """Many rows at one time, no obs_id: the sequence of states is that of one sort by (time, state)."""
+    rnd = random.Random(5)
+    rows = [("t", None, ts(1, 8, 10 * (i % 3)), rnd.choice(["A", "B", "C", None])) for i in range(900)]
+    moves = mobility.movements(spark.createDataFrame(rows, SCHEMA))
+    order = sorted(rows, key=lambda r: (r[2], r[3] is not None, r[3] or ""))
+    expect = sorted((a[3] or "", b[3] or "") for a, b in zip(order, order[1:]))
+    got = moves.where("has_next").collect()
+    assert sorted((r["state"] or "", r["next_state"] or "") for r in got) == expect
+    assert moves.where("not has_next").count() == 1
+
+
+def test_rows_without_device_are_dropped(spark):
+    rows = [(None, 1, ts(1, 8), "A"), (None, 2, ts(1, 9), "B"), ("a", 3, ts(1, 8), "A"), ("a", 4, ts(1, 9), "B")]
+    assert {r["ifa"] for r in mobility.movements(spark.createDataFrame(rows, SCHEMA)).collect()} == {"a"}
+
+
+def test_one_row_level_sort(spark):
+    """The executed plan sorts the observations once; the other sorts are of one row a unit."""
+    rows = [("a", i, ts(1 + i % 5, i % 24), "AB"[i % 2]) for i in range(200)]
+    out = mobility.trips(mobility.movements(spark.createDataFrame(rows, SCHEMA)))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert sum("Sort [" in line and "seen_at" in line for line in plan.splitlines()) == 1, plan
 
 
 def test_restrict_to_devices_is_semi_join(spark):

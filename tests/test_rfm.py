@@ -114,3 +114,11 @@ def test_base_is_checkpointed(activity):
     assert "Scan ExistingRDD" in plan or "LogicalRDD" in plan or "Scan" in plan
     lazy = rfm.rfm_base(activity, checkpoint=False)
     assert lazy.count() == 6
+
+
+def test_null_device_is_no_device(spark):
+    rows = [(None, c, "MOBILE", dt.date(2021, 9, 1), 5) for c in ("Smart", "Metfone")]
+    rows += [("a", c, "MOBILE", dt.date(2021, 9, 2), 5) for c in ("Smart", "Metfone")]
+    activity = spark.createDataFrame(rows, SCHEMA)
+    base = rfm.rfm_base(activity, network="MOBILE")
+    assert {r["ifa"] for r in base.collect()} == {"a"}

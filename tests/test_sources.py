@@ -2,6 +2,7 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from simtrail import schemas
@@ -83,3 +84,18 @@ def test_checkpoint_folder_comes_from_session(spark):
 
     folder = ensure_checkpoint_dir(spark)
     assert folder and spark.conf.get("spark.checkpoint.dir") in folder
+
+
+def test_csv_with_swapped_columns_is_an_error(spark, tmp_path):
+    good = ["smart_rfm", "metfone_rfm"]
+    frame = spark.createDataFrame([(2.0, 1.0)], "metfone_rfm double, smart_rfm double")
+    schema = schemas.sim_profile_schema(good)
+    wrong = frame.select(*[(F.col(f.name) if f.name in good else F.lit("1")).alias(f.name) for f in reversed(schema.fields)])
+    wrong.write.option("header", True).csv(str(tmp_path / "p"))
+    with pytest.raises(Exception):
+        readers.read_sim_profile(spark, str(tmp_path / "p"), good, "csv").collect()
+
+
+def test_segment_names_stay_strings(spark, tmp_path):
+    readers.write_segments(spark.createDataFrame([("a", "01"), ("b", "02")], "ifa string, segment string"), str(tmp_path / "s"))
+    assert {r["segment"] for r in readers.read_segments(spark, str(tmp_path / "s")).collect()} == {"01", "02"}

@@ -7,7 +7,7 @@ and the built-in global ``percent_rank`` window and the distributed
 of the rows.  Reads Spark's event log (written to a fresh scratch folder) and
 reports, for each, the largest number of shuffle records read by one task.
 
-Usage: python tools/skew_check.py [rows] [max_group_rows]
+Usage: python tools/skew_check.py [rows] [unit_minutes]
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ def points(spark, n: int):
 
 def main() -> None:
     n = int(sys.argv[1]) if len(sys.argv) > 1 else 3_000_000
-    cap = int(sys.argv[2]) if len(sys.argv) > 2 else 100_000
+    cap = int(sys.argv[2]) if len(sys.argv) > 2 else 10
     scratch = tempfile.mkdtemp(prefix="skew-")
     spark = build_session(
         master="local[8]",
@@ -76,8 +76,8 @@ def main() -> None:
 
     sc.setJobDescription("split")
     t = time.perf_counter()
-    split_trips = mobility.trips(mobility.movements(pts, max_group_rows=cap)).count()
-    runs[f"movements(max_group_rows={cap})"] = time.perf_counter() - t
+    split_trips = mobility.trips(mobility.movements(pts, unit_minutes=cap)).count()
+    runs[f"movements(unit_minutes={cap})"] = time.perf_counter() - t
     # Global percent_rank over values where one value holds a third of the rows.
     vals = spark.range(n).select(
         F.col("id"),
@@ -128,7 +128,7 @@ def main() -> None:
         "hot_device_rows": (n + 2) // 3,
         "trips": split_trips,
         "largest_task_shuffle_records": {"plain per-device lead": worst.get("plain", 0),
-                                         f"movements(max_group_rows={cap})": worst.get("split", 0),
+                                         f"movements(unit_minutes={cap})": worst.get("split", 0),
                                          "percent_rank built-in window": worst.get("rank_window", 0),
                                          "percent_rank distributed": worst.get("rank_distributed", 0)},
         "seconds": {k: round(v, 2) for k, v in runs.items()},
