@@ -12,10 +12,13 @@ different lines, so that chance neighbours of a rare entity do not count.
 In documents that hold e, such terms are spans too: they are removed or
 generalised with the entities.
 
-1. Scan: lines with an entity (entity, line hash, terms).
+1. Scan: N, and lines with an entity (entity, line hash, terms).
 2. Entities on enough different lines, their terms, and the pairs' counts.
-3. Scan: N and N_t of the terms left (a Bloom filter of fixed size picks them,
-   an exact join follows).
+   The bound says N_t <= N_te * (N / N_e) ^ (1 - SHARE), and N_t is at least
+   the number of entity lines with t: pairs beyond that are ruled out here, so
+   common words do not reach the next scan.
+3. Scan: N_t of the terms left (a Bloom filter of fixed size picks them, an
+   exact join follows).
 4. Scan: the base spans of every document and the places of terms that may
    disclose one of its entities (again a Bloom filter); an exact join decides.
    Texts are never shuffled.
@@ -126,10 +129,17 @@ def term_spans(data: np.ndarray, off: np.ndarray):
     return tv.span_hashes(low, starts, ends), starts, ends, np.searchsorted(starts, off)
 
 
+def line_count(text: str | None) -> int:
+    """Lines of a text; an ending newline starts no further line."""
+    return text.count("\n") + (text[-1] != "\n") if text else 0
+
+
 def _entity_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each entity of a line (``first`` for one of them), and the number of all lines under a null entity."""
     for batch in batches:
-        keys, lines, terms = [], [], []
-        for text in batch.column(0).to_pylist():
+        texts = batch.column(0).to_pylist()
+        keys, lines, terms, first, n = [None], [None], [None], [False], [sum(map(line_count, texts))]
+        for text in texts:
             spans = base_spans(text) if text else ()
             by_line: dict[int, list] = {}
             for kind, a, b in spans:
@@ -137,25 +147,36 @@ def _entity_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             for start, found in by_line.items():
                 end = text.find("\n", max(b for _, _, b in found))
                 line = text[start : end if end >= 0 else len(text)]
-                # The entities themselves are no terms.
-                rest = list(line)
+                raw = np.frombuffer(line.encode(), np.uint8)
+                # A word that an entity touches is no term.
+                byte_at = np.flatnonzero((raw & 0xC0) != 0x80)
+                taken = np.zeros(len(raw) + 1, np.int64)
                 for _, a, b in found:
-                    rest[a - start : b - start] = " " * (b - a)
-                raw = np.frombuffer("".join(rest).encode(), np.uint8)
-                own = np.unique(term_spans(raw, np.array([0, len(raw)]))[0]) if len(raw) else np.empty(0, np.uint64)
+                    taken[byte_at[a - start] + 1 : byte_at[b - start - 1] + 2] = 1
+                taken = np.cumsum(taken)
+                hashes, starts, ends, _ = term_spans(raw, np.array([0, len(raw)]))
+                own = np.unique(hashes[taken[ends] == taken[starts]])
                 line_key = int.from_bytes(hashlib.blake2b(line.encode(), digest_size=8).digest(), "little", signed=True)
-                for key in {entity_key(k, text[a:b]) for k, a, b in found}:
+                for i, key in enumerate({entity_key(k, text[a:b]) for k, a, b in found}):
                     keys.append(key)
                     lines.append(line_key)
                     terms.append(tv.signed(own))
+                    first.append(i == 0)
+                    n.append(1)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(keys, pa.int64()), pa.array(lines, pa.int64()), pa.array(terms, pa.list_(pa.int64()))],
-            ["e", "line", "terms"],
+            [
+                pa.array(keys, pa.int64()),
+                pa.array(lines, pa.int64()),
+                pa.array(terms, pa.list_(pa.int64())),
+                pa.array(first),
+                pa.array(n, pa.int64()),
+            ],
+            ["e", "line", "terms", "first", "n"],
         )
 
 
 def _term_counts(bits):
-    """Lines that hold each term of the filter, and under a null term all lines."""
+    """Lines that hold each term of the filter."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = bits.value
@@ -170,11 +191,7 @@ def _term_counts(bits):
                 pairs = np.unique(np.stack([line.astype(np.uint64), hashes[hit]]), axis=1) if hit.any() else np.empty((2, 0), np.uint64)
                 terms, n = np.unique(pairs[1], return_counts=True)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([None, *tv.signed(np.ascontiguousarray(terms)).tolist()], pa.int64()),
-                        pa.array([len(breaks), *n.tolist()], pa.int64()),
-                    ],
-                    ["t", "n"],
+                    [pa.array(tv.signed(np.ascontiguousarray(terms))), pa.array(n.astype(np.int64))], ["t", "n"]
                 )
 
     return count
@@ -237,7 +254,10 @@ def disclosing_terms(docs: DataFrame, *, share: float = SHARE, min_lines: int =
     """(e, t, pmi, ic): terms that disclose an entity, from the co-occurrence counts of ``docs`` (text)."""
     spark: SparkSession = docs.sparkSession
     texts = docs.select(F.col("text").cast("string").alias("text"))
-    lines = materialize(texts.mapInArrow(_entity_lines, "e long, line long, terms array<long>"), "entity-lines")
+    schema = "e long, line long, terms array<long>, first boolean, n long"
+    scanned = materialize(texts.mapInArrow(_entity_lines, schema), "entity-lines")
+    total = scanned.where("e is null").agg(F.sum("n")).scalar()
+    lines = scanned.where("e is not null")
     # A line that is copied is one line here, however often it occurs.
     by_line = lines.groupBy("e", "line").agg(F.count(F.lit(1)).alias("n"))
     often = by_line.groupBy("e").agg(F.count(F.lit(1)).alias("lines"), F.sum("n").alias("n_e")).where(F.col("lines") >= min_lines)
@@ -247,13 +267,20 @@ def disclosing_terms(docs: DataFrame, *, share: float = SHARE, min_lines: int =
         .groupBy("e", "t", "line").agg(F.count(F.lit(1)).alias("n"))
     )
     pairs = by_term.groupBy("e", "t").agg(F.count(F.lit(1)).alias("lines"), F.sum("n").alias("n_te")).where(F.col("lines") >= min_lines)
-    pairs = materialize(pairs.join(often, "e").select("e", "t", "n_te", "n_e"), "entity-terms")
+    # Entity lines with t: no more than N_t, so pairs beyond the bound cannot disclose (the margin is for rounding).
+    least = lines.where("first").select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n_least"))
+    most = F.col("n_te") * F.pow(F.col("n") / F.col("n_e"), F.lit(1.0 - share)) * (1 + 1e-9)
+    pairs = (
+        pairs.join(often, "e").join(least, "t").withColumn("n", total)
+        .where(F.col("n_least") <= most)
+        .select("e", "t", "n_te", "n_e", "n")
+    )
+    pairs = materialize(pairs, "entity-terms")
     bits = spark.sparkContext.broadcast(bloom(pairs.select("t")))
     counts = materialize(
         texts.mapInArrow(_term_counts(bits), "t long, n long").groupBy("t").agg(F.sum("n").alias("n_t")), "term-counts"
     )
-    total = counts.where("t is null").select("n_t").scalar()
-    known = pairs.join(counts.where("t is not null"), "t").withColumn("n", total)
+    known = pairs.join(counts, "t")
     scored = known.select(
         "e",
         "t",
