@@ -33,8 +33,8 @@ from simtrail.llm.shared import share, shared
 
 MARK = "▁"
 # Words remembered in a task; beyond it the memory starts anew.
-KNOWN_WORDS = 200_000
-BLOCK_CHARS = 2 << 20
+KNOWN_WORDS = 100_000
+BLOCK_CHARS = 1 << 19
 
 
 class Pieces:
