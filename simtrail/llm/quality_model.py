@@ -35,6 +35,8 @@ from simtrail.llm.shared import share, shared
 DIMS = 1 << 20
 TRAIN_ROWS = 4_000
 SCORE_KEPT = 0.3
+# A byte of text takes up to some hundred bytes of n-gram arrays.
+BLOCK_BYTES = 1 << 18
 _U = np.uint64
 _SPACE = tv.class_table([0x20, *range(0x09, 0x0E)])
 _UPPER = tv.class_table(range(0x41, 0x5B))
@@ -176,7 +178,7 @@ def _feature_rows(dims: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = tv.text_bytes(batch.column("text"))
-            for first, end, d, o in tv.blocks(data, off):
+            for first, end, d, o in tv.blocks(data, off, BLOCK_BYTES):
                 ids, at = ngram_features(d, o, dims)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -246,7 +248,7 @@ def _score(model):
         fitted = shared(model)
         for batch in batches:
             data, off = tv.text_bytes(batch.column("__text"))
-            out = [fitted.scores(d, o) for _, _, d, o in tv.blocks(data, off)]
+            out = [fitted.scores(d, o) for _, _, d, o in tv.blocks(data, off, BLOCK_BYTES)]
             names = [c for c in batch.schema.names if c != "__text"]
             scores = np.concatenate(out) if out else np.empty(0)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(scores)], [*names, "score"])
