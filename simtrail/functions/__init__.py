@@ -9,7 +9,7 @@ from simtrail.functions.calendar import (
     weekday_name,
     weekpart,
 )
-from simtrail.functions.ranking import percent_rank, value_percent_rank
+from simtrail.functions.ranking import percent_rank, value_counts, value_ranks
 
 __all__ = [
     "day_diff",
@@ -18,7 +18,8 @@ __all__ = [
     "parse_seen_at",
     "parse_yyyymmdd",
     "percent_rank",
-    "value_percent_rank",
+    "value_counts",
+    "value_ranks",
     "weekday_name",
     "weekpart",
 ]

@@ -1,178 +1,96 @@
-"""Exact ``percent_rank`` over a whole table without a single-partition step.
+"""Exact ``percent_rank`` over a whole table without a single-partition step over rows.
 
 ``F.percent_rank().over(Window.orderBy(x))`` has no partition key, so Spark
 plans ``Exchange SinglePartition`` and sorts every row in one task.  At the
-target scale that task is the whole job.  ``percent_rank`` here gives the
-same doubles, computed as a distributed plan:
-
-1. ``hist``: one row per distinct value with its row count (partial
-   aggregation, so a value held by a third of all rows costs nothing extra).
-2. Approximate quantile cut points over the *distinct* values (a scalar
-   subquery: one array of ``buckets - 1`` values) split the value range into
-   contiguous buckets of similar numbers of distinct values.  ``buckets``
-   should grow with the number of distinct values: each bucket's values are
-   ordered in one task.  The cuts only balance the work; exactness never
-   depends on them, because a value always lands in exactly one bucket and
-   buckets are ordered ranges.
-3. Rows before a value = rows in earlier buckets (a running sum over at most
-   ``buckets`` rows) + rows of smaller values in the same bucket (a window
-   partitioned by bucket, over distinct values only).
-4. ``percent_rank = before / (n - 1)`` (0.0 when ``n <= 1``), the exact
+target scale that task is the whole job.  The functions here give the same
+doubles as a distributed plan:
+
+1. ``value_counts``: one row per distinct value with its row count, for one
+   or several columns at once (a ``GROUPING SETS`` aggregate, so a value held
+   by a third of all rows costs nothing extra).  The counts are range
+   partitioned on the value and written once under the shared checkpoint
+   folder, with the number of the partition as a column.  Written, the number
+   is stable, and every reader of the table shares one scan and one
+   aggregate of the input.
+2. ``value_ranks``: rows before a value = rows in earlier partitions (a
+   running sum over one row per partition) + rows of smaller values in its
+   own partition (a window partitioned by that number).
+3. ``percent_rank = before / (n - 1)`` (0.0 when ``n <= 1``), the exact
    formula of Spark's built-in, so results are bit-equal.
 
-The value -> rank table is joined back on the value (null-safe).  That join
-is the only row-level shuffle; a hot value is a skewed join key on the big
-side only, which AQE's skew-join handling splits.
-
-Bucket numbers come from a binary search over the sorted cuts written as a
-balanced ``CASE WHEN`` tree: ``log2(buckets)`` comparisons per distinct
-value, inside whole-stage codegen.
+The number of ranges follows ``spark.sql.shuffle.partitions`` (AQE merges
+small ones): parallelism grows with the width the session is given, and no
+list of cut points enters the generated code.
 
-When the caller can prove the number of distinct values is small (e.g. a
-count of active days is at most the days in the period), ``max_distinct``
-skips the buckets: the histogram itself is small enough for one window and
-for a broadcast join back.
+The value -> rank table is joined back on the value (null-safe); the planner
+and AQE choose the join by the table's size.  A hot value is a skewed key on
+the big side only, which AQE's skew-join handling splits.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 64
-DEFAULT_ACCURACY = 10_000
+from simtrail.session import materialize
 
 
-def value_percent_rank(
-    df: DataFrame,
-    value: str,
-    *,
-    ascending: bool = True,
-    out: str = "percent_rank",
-    key: str | None = None,
-    buckets: int = DEFAULT_BUCKETS,
-    accuracy: int = DEFAULT_ACCURACY,
-) -> DataFrame:
-    """One row per distinct ``value`` (nulls included) with its percent rank.
+def value_counts(df: DataFrame, values: Sequence[str]) -> DataFrame:
+    """Rows per distinct value (nulls included) of each column, as one written table.
 
-    Ordering follows Spark's defaults: ascending puts nulls first, descending
-    puts nulls last.  ``value`` must be numeric, date or timestamp (the types
-    ``percentile_approx`` cuts); ``small_value_percent_rank`` takes any
-    orderable type.
+    Columns: ``values``, ``__n`` (rows), ``__gid`` (which column the row
+    counts; the others are null) and ``__part`` (number of the value range).
+    Writing starts one job.
     """
-    k = key or f"__{value}_value"
-    hist = df.groupBy(F.col(value).alias(k)).agg(F.count(F.lit(1)).alias("__n"))
-    return bucketed_ranks(hist, k, ascending=ascending, out=out, buckets=buckets, accuracy=accuracy)
+    counts = df.groupingSets([[c] for c in values], *values).agg(
+        F.count(F.lit(1)).alias("__n"), F.grouping_id().alias("__gid")
+    )
+    ranged = counts.repartitionByRange("__gid", *values).withColumn("__part", F.spark_partition_id())
+    return materialize(ranged, "value-counts")
 
 
-def bucketed_ranks(
-    hist: DataFrame,
-    k: str,
+def value_ranks(
+    counts: DataFrame,
+    value: str,
     *,
     ascending: bool = True,
     out: str = "percent_rank",
-    buckets: int = DEFAULT_BUCKETS,
-    accuracy: int = DEFAULT_ACCURACY,
+    key: str,
 ) -> DataFrame:
-    """Percent rank per value from a histogram ``(k, __n)`` (steps 2-4 above).
+    """(``key``, ``out``): one row per distinct value of column ``value`` of ``value_counts``.
 
-    Nulls form bucket -1, which sorts first ascending and last descending, so
-    they need no separate branch.
+    Ordering follows Spark's defaults: ascending puts nulls first, descending
+    puts nulls last, so one order of the ranges serves both.
     """
-    if buckets < 1:
-        raise ValueError("buckets must be >= 1")
-    kc = F.col(k)
-    fractions = [i / buckets for i in range(1, buckets)] or [0.5]
-    # The cut points: an uncorrelated scalar subquery (one array value,
-    # computed once and shipped with the tasks) projected once per row.
-    cuts = hist.agg(F.percentile_approx(kc, fractions, accuracy)).scalar()
-    binned = hist.select(kc, "__n", cuts.alias("__cuts")).select(
-        kc,
-        "__n",
-        F.when(kc.isNull(), F.lit(-1))
-        .otherwise(_cuts_below("__cuts", k, 0, len(fractions)))
-        .alias("__b"),
-    )
-
-    bucket_order = F.col("__b").asc() if ascending else F.col("__b").desc()
-    earlier = Window.orderBy(bucket_order).rowsBetween(Window.unboundedPreceding, -1)
-    # At most ``buckets + 1`` rows reach these un-partitioned windows.
+    values = [c for c in counts.columns if c not in ("__n", "__gid", "__part")]
+    # grouping_id has a 1 bit for every column not in the set.
+    gid = sum(1 << (len(values) - 1 - j) for j, c in enumerate(values) if c != value)
+    own = counts.where(F.col("__gid") == F.lit(gid)).select(F.col(value).alias(key), "__n", "__part")
+
+    part_order = F.col("__part").asc() if ascending else F.col("__part").desc()
+    earlier = Window.orderBy(part_order).rowsBetween(Window.unboundedPreceding, -1)
+    # One row per range: at most spark.sql.shuffle.partitions rows reach these un-partitioned windows.
     offsets = (
-        binned.groupBy("__b")
-        .agg(F.sum("__n").alias("__bn"))
+        own.groupBy("__part")
+        .agg(F.sum("__n").alias("__pn"))
         .select(
-            "__b",
-            F.coalesce(F.sum("__bn").over(earlier), F.lit(0)).alias("__off"),
-            F.sum("__bn").over(Window.partitionBy()).alias("__total"),
+            "__part",
+            F.coalesce(F.sum("__pn").over(earlier), F.lit(0)).alias("__off"),
+            F.sum("__pn").over(Window.partitionBy()).alias("__total"),
         )
     )
+    kc = F.col(key)
     value_order = kc.asc_nulls_first() if ascending else kc.desc_nulls_last()
-    within = Window.partitionBy("__b").orderBy(value_order).rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("__part").orderBy(value_order).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        binned.withColumn("__within", F.coalesce(F.sum("__n").over(within), F.lit(0)))
-        # ``offsets`` has at most ``buckets + 1`` rows: a proven bound.
-        .join(F.broadcast(offsets), "__b")
+        own.withColumn("__within", F.coalesce(F.sum("__n").over(within), F.lit(0)))
+        .join(F.broadcast(offsets), "__part")
         .select(kc, _fraction(F.col("__off") + F.col("__within"), F.col("__total")).alias(out))
     )
 
 
-def _cuts_below(cuts: str, v: str, lo: int, hi: int) -> Column:
-    """Number of entries of the sorted array column ``cuts`` below column ``v``.
-
-    A binary search written as a balanced ``CASE WHEN`` tree: only one
-    root-to-leaf path (``log2`` of the array length comparisons) is evaluated
-    per row.  Assumes entries before ``lo`` are below ``v`` and entries from
-    ``hi`` on are not.  The tree is built as SQL text and parsed once: one
-    call instead of hundreds of column-building round trips.
-    """
-    return F.expr(_cuts_below_sql(f"`{cuts}`", f"`{v}`", lo, hi))
-
-
-def _cuts_below_sql(cuts: str, v: str, lo: int, hi: int) -> str:
-    if lo >= hi:
-        return str(lo)
-    mid = (lo + hi) // 2
-    return (
-        f"CASE WHEN {cuts}[{mid}] < {v} THEN {_cuts_below_sql(cuts, v, mid + 1, hi)} "
-        f"ELSE {_cuts_below_sql(cuts, v, lo, mid)} END"
-    )
-
-
-def small_value_percent_rank(
-    df: DataFrame,
-    value: str,
-    *,
-    ascending: bool = True,
-    out: str = "percent_rank",
-    key: str | None = None,
-) -> DataFrame:
-    """Same result as ``value_percent_rank`` for a column with few distinct values.
-
-    Use only where the number of distinct values has a proven small bound.
-    """
-    k = key or f"__{value}_value"
-    hist = df.groupBy(F.col(value).alias(k)).agg(F.count(F.lit(1)).alias("__n"))
-    return small_ranks(hist, k, ascending=ascending, out=out)
-
-
-def small_ranks(hist: DataFrame, k: str, *, ascending: bool = True, out: str = "percent_rank") -> DataFrame:
-    """Percent rank per value from a small histogram ``(k, __n)``.
-
-    The histogram (one row per distinct value) goes through one
-    un-partitioned running-sum window.
-    """
-    kc = F.col(k)
-    order = kc.asc_nulls_first() if ascending else kc.desc_nulls_last()
-    earlier = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    return hist.select(
-        kc,
-        _fraction(
-            F.coalesce(F.sum("__n").over(earlier), F.lit(0)), F.sum("__n").over(everything)
-        ).alias(out),
-    )
-
-
 def _fraction(before: Column, total: Column) -> Column:
     # Same expression as Spark's PercentRank: (rank - 1) / (n - 1), 0 if n <= 1.
     return F.when(
@@ -187,15 +105,13 @@ def percent_rank(
     ascending: bool = True,
     out: str = "percent_rank",
     method: str = "distributed",
-    buckets: int = DEFAULT_BUCKETS,
-    accuracy: int = DEFAULT_ACCURACY,
-    max_distinct: int | None = None,
 ) -> DataFrame:
     """``df`` plus column ``out`` = global percent rank of ``value``.
 
     ``method="distributed"`` (default) is the plan described in the module
-    docstring.  ``method="window"`` is Spark's built-in over an un-partitioned
-    window: one task sorts every row, so use it only for small inputs.
+    docstring; it writes the value counts when called.  ``method="window"``
+    is Spark's built-in over an un-partitioned window: one task sorts every
+    row, so use it only for small inputs.
     """
     if method == "window":
         order = F.col(value).asc() if ascending else F.col(value).desc()
@@ -203,60 +119,5 @@ def percent_rank(
     if method != "distributed":
         raise ValueError(f"unknown method {method!r}")
     key = f"__{value}_{out}_key"
-    ranks = rank_table(
-        df, value, ascending=ascending, out=out, key=key, buckets=buckets, accuracy=accuracy,
-        max_distinct=max_distinct,
-    )
+    ranks = value_ranks(value_counts(df, [value]), value, ascending=ascending, out=out, key=key)
     return df.join(ranks, df[value].eqNullSafe(ranks[key]), "inner").drop(key)
-
-
-# Largest value table ranked in one task / broadcast by ``rank_table``.
-SMALL_TABLE_LIMIT = 100_000
-
-
-def rank_table(
-    df: DataFrame,
-    value: str,
-    *,
-    ascending: bool,
-    out: str,
-    key: str,
-    buckets: int = DEFAULT_BUCKETS,
-    accuracy: int = DEFAULT_ACCURACY,
-    max_distinct: int | None = None,
-    hist: DataFrame | None = None,
-) -> DataFrame:
-    """Value -> percent rank table; broadcast-marked when provably small.
-
-    ``max_distinct`` is the caller's proven bound on distinct values (plus
-    one for null).  At or under ``SMALL_TABLE_LIMIT`` the small-table plan is
-    used and the table is marked for broadcast; otherwise the bucketed plan,
-    and the join strategy is left to the planner / AQE's runtime sizes.
-    ``hist`` is an already computed histogram ``(key, __n)`` of ``value``
-    (see ``histograms``); without it one is aggregated from ``df``.
-    """
-    if hist is None:
-        hist = df.groupBy(F.col(value).alias(key)).agg(F.count(F.lit(1)).alias("__n"))
-    if max_distinct is not None and max_distinct <= SMALL_TABLE_LIMIT:
-        return F.broadcast(small_ranks(hist, key, ascending=ascending, out=out))
-    return bucketed_ranks(hist, key, ascending=ascending, out=out, buckets=buckets, accuracy=accuracy)
-
-
-def histograms(df: DataFrame, values: dict[str, str]) -> dict[str, DataFrame]:
-    """Histograms ``(key, __n)`` of several columns from one aggregation pass.
-
-    ``values`` maps column -> key name.  One ``GROUPING SETS`` aggregate (a
-    single scan and shuffle, partially aggregated) yields every column's
-    value counts; each histogram is that aggregate's slice for its grouping
-    set, so a genuine null value stays apart from the grouping null.
-    """
-    cols = list(values)
-    agg = df.groupingSets([[c] for c in cols], *cols).agg(
-        F.count(F.lit(1)).alias("__n"), F.grouping_id().alias("__gid")
-    )
-    out = {}
-    for i, c in enumerate(cols):
-        # grouping_id has a 1 bit for every column not in the set
-        gid = sum(1 << (len(cols) - 1 - j) for j in range(len(cols)) if j != i)
-        out[c] = agg.where(F.col("__gid") == F.lit(gid)).select(F.col(c).alias(values[c]), "__n")
-    return out

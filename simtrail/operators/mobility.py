@@ -1,7 +1,7 @@
 """Location observations -> consecutive moves -> trips -> calendar features.
 
 D10 ``location_points``  un-nest the per-device ``gps`` array, keep a country
-D11 ``movements``        each observation with the state of the device's next one
+D11 ``movements`` / ``movement_table``  each observation with the state of the device's next one
 D12 ``trips``            moves whose state changes, keyed ``<origin>_<destination>``
 D13 ``calendar_features`` weekday/weekend and daypart of the departure
 D14 ``trip_profile`` / ``od_matrix``
@@ -125,6 +125,19 @@ def movements(
     return joined.select("ifa", *fields, after["state"].alias("next_state"), after.isNotNull().alias("has_next"))
 
 
+def movement_table(points: DataFrame, devices: DataFrame | None = None, **kw) -> DataFrame:
+    """D11 as a hand-over table (T8): ``city`` and ``brq_count`` kept, ``seen_at`` split into date, time, day, hour."""
+    moves = movements(points, devices, carry=("city", "brq_count"), **kw)
+    return moves.withColumns(
+        {
+            "date": F.to_date("seen_at"),
+            "time": F.date_format("seen_at", "HH:mm:ss"),
+            "day": weekday_name("seen_at"),
+            "hour": F.hour("seen_at"),
+        }
+    )
+
+
 def trips(moves: DataFrame) -> DataFrame:
     """Consecutive observations whose state changes.
 

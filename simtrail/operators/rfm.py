@@ -6,11 +6,12 @@ D3  ``rfm_score``          global percent ranks scaled to 0-5, summed to 0-15
 D4  ``rfm_distribution``   devices per metric value and carrier
 D22 ``key_check`` / ``score_maxima`` sanity aggregates
 
-Plan shape of D2 (two shuffles for the whole base): a partial-aggregated
-daily roll-up keyed (device, carrier, day), re-hashed on the device alone;
-the (device, carrier) aggregate and the per-device carrier count (a window)
-both reuse that partitioning.  A device with a third of all raw rows reaches
-the shuffle as at most one row per carrier and day per map task.
+Plan shape of D2: one shuffle of the raw rows, partially aggregated to
+(device, carrier, 64 days) with the active days as the bits of a long, then
+one of those far fewer rows on the device alone; the (device, carrier)
+aggregate and the per-device carrier count (a window) both reuse that
+partitioning.  A device with a third of all raw rows reaches the first
+shuffle as at most one row per carrier and 64 days per map task.
 The global last day is an uncorrelated scalar subquery (one value computed
 once), not a join.
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from simtrail import config
 from simtrail.functions.calendar import day_diff, month_index
-from simtrail.functions.ranking import histograms, rank_table
+from simtrail.functions.ranking import value_counts, value_ranks
 from simtrail.session import materialize
 
 
@@ -73,17 +74,25 @@ def rfm_base(
                         periods -- 1 by default; ``normalise="months"`` uses
                         the number of calendar months spanned (V1).
     """
-    daily = (
+    day = F.datediff("date", F.lit("1970-01-01").cast("date"))
+    spans = (
         valid_activity(activity, network)
-        .groupBy("ifa", "carrier", "date")
-        .agg(F.sum("brq_count").alias("brq_day"))
+        .withColumns({"__day": day, "__span": F.floor(day / F.lit(64))})
+        .groupBy("ifa", "carrier", "__span")
+        .agg(
+            F.min("date").alias("__first"),
+            F.max("date").alias("__last"),
+            F.bit_or(F.expr("shiftleft(1L, pmod(__day, 64))")).alias("__days"),
+            F.sum("brq_count").alias("__brq"),
+        )
         .repartition("ifa")
     )
-    per_pair = daily.groupBy("ifa", "carrier").agg(
-        F.min("date").alias("earliest_date"),
-        F.max("date").alias("latest_date"),
-        F.count("date").alias("data_usage_freq"),  # distinct days; an unparsable date is no day
-        F.sum("brq_day").alias("brq_count"),
+    per_pair = spans.groupBy("ifa", "carrier").agg(
+        F.min("__first").alias("earliest_date"),
+        F.max("__last").alias("latest_date"),
+        # distinct days; an unparsable date is no day
+        F.sum(F.coalesce(F.bit_count("__days"), F.lit(0))).alias("data_usage_freq"),
+        F.sum("__brq").alias("brq_count"),
     )
     multi = (
         per_pair.withColumn("__carriers", F.count(F.lit(1)).over(Window.partitionBy("ifa")))
@@ -115,55 +124,40 @@ def rfm_base(
     )
 
 
-# Recency and frequency are whole-day counts inside the scored period, so
-# they take at most one value per day of the period; a century of days (plus
-# null) bounds their value tables whatever the number of rows.
-DAY_COUNT_VALUES = 36_600
-
-# (metric column, ascending?, percentile column, score column, bound on
-# distinct values or None).  Recency is ranked descending: fewer days since
-# last activity -> higher score.
+# (metric column, ascending?, percentile column, score column).  Recency is
+# ranked descending: fewer days since last activity -> higher score.
 RFM_METRICS = (
-    ("recency_days", False, "r_percentile", "r", DAY_COUNT_VALUES),
-    ("usage_frequency", True, "f_percentile", "f", DAY_COUNT_VALUES),
-    ("brq_m", True, "m_percentile", "m", None),
+    ("recency_days", False, "r_percentile", "r"),
+    ("usage_frequency", True, "f_percentile", "f"),
+    ("brq_m", True, "m_percentile", "m"),
 )
 
 
-def rfm_score(rfm: DataFrame, *, method: str = "distributed", buckets: int | None = None) -> DataFrame:
+def rfm_score(rfm: DataFrame, *, method: str = "distributed") -> DataFrame:
     """D3: ``rfm`` plus the three percentiles, ``r``/``f``/``m`` in [0, 5] and ``rfm``.
 
     Percentiles equal Spark's ``percent_rank`` over the whole table.  With
-    ``method="distributed"`` each metric's value -> rank table is built from
-    ``rfm`` without a single-partition step over rows and joined back on the
-    value: the two day-count metrics through their small value tables
-    (broadcast), the monetary value through the bucketed plan.
-    ``method="window"`` uses the built-in over an un-partitioned window
-    (single task; small inputs only).
+    ``method="distributed"`` the value counts of all three metrics are
+    aggregated in one pass and written once; each metric's value -> rank
+    table comes from there without a single-partition step over rows and is
+    joined back on the value.  ``method="window"`` uses the built-in over an
+    un-partitioned window (single task; small inputs only).
     """
     scored = rfm
-    # One aggregation pass gives the value counts of all three metrics.
-    hists = (
-        histograms(rfm, {value: f"__{pct}_key" for value, _, pct, _, _ in RFM_METRICS})
-        if method != "window"
-        else {}
-    )
-    for value, ascending, pct, _, bound in RFM_METRICS:
-        if method == "window":
+    counts = value_counts(rfm, [value for value, *_ in RFM_METRICS]) if method != "window" else None
+    for value, ascending, pct, _ in RFM_METRICS:
+        if counts is None:
             order = F.col(value).asc() if ascending else F.col(value).desc()
             scored = scored.withColumn(pct, F.percent_rank().over(Window.orderBy(order)))
             continue
         key = f"__{pct}_key"
-        kwargs = {"buckets": buckets} if buckets else {}
-        ranks = rank_table(
-            rfm, value, ascending=ascending, out=pct, key=key, max_distinct=bound, hist=hists[value], **kwargs
-        )
+        ranks = value_ranks(counts, value, ascending=ascending, out=pct, key=key)
         scored = scored.join(ranks, scored[value].eqNullSafe(ranks[key]), "inner")
-    scores = {s: F.col(p) * F.lit(5.0) for _, _, p, s, _ in RFM_METRICS}
+    scores = {s: F.col(p) * F.lit(5.0) for _, _, p, s in RFM_METRICS}
     # One projection: fewer plan versions for the analyzer; rfm = (r + f) + m.
     return scored.select(
         *rfm.columns,
-        *[p for _, _, p, _, _ in RFM_METRICS],
+        *[p for _, _, p, _ in RFM_METRICS],
         *[e.alias(s) for s, e in scores.items()],
         (scores["r"] + scores["f"] + scores["m"]).alias("rfm"),
     )
@@ -191,4 +185,4 @@ def key_check(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def score_maxima(score: DataFrame) -> DataFrame:
     """D22 (A9): largest r, f and m in one pass."""
-    return score.agg(*[F.max(s).alias(f"max_{s}") for _, _, _, s, _ in RFM_METRICS])
+    return score.agg(*[F.max(s).alias(f"max_{s}") for _, _, _, s in RFM_METRICS])

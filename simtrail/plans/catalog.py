@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from simtrail import config
 from simtrail.operators import cohort, mobility, rfm, segments, sim
 from simtrail.plans import sim_profile, travel
-from simtrail.sources import standins
+from simtrail.session import scratch_path
+from simtrail.sources import readers, standins
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -102,6 +103,37 @@ def _profiled_devices(spark, sf):
     return _profile(spark, sf).select("ifa")
 
 
+POINT_COLUMNS = [
+    "ifa", "date_format(seen_at, 'yyyy-MM-dd HH:mm:ss') AS seen_at", "city", "state", "country", "brq_count"
+]
+
+
+def _nested_points(spark, sf):
+    return mobility.location_points(
+        standins.nested_locations_from_events(spark, sf), config.COUNTRY_KEPT, tie_break="obs_id"
+    )
+
+
+# --- round trips through the job's own files ---------------------------------
+def _profile_csv(spark, sf):
+    path = scratch_path(spark, "profile-csv")
+    readers.write_sim_profile(_profile(spark, sf).withColumn("ifa", F.col("ifa").cast("string")), path, fmt="csv")
+    return readers.read_sim_profile(spark, path, SLOTS.score_columns, fmt="csv")
+
+
+def _segment_folders(spark, sf):
+    path = scratch_path(spark, "segments")
+    readers.write_segments(_membership(spark, sf).withColumn("ifa", F.col("ifa").cast("string")), path)
+    return readers.read_segments(spark, path)
+
+
+def _location_files(spark, sf):
+    path = scratch_path(spark, "locations")
+    nested = standins.nested_locations_from_events(spark, sf).withColumn("ifa", F.col("ifa").cast("string"))
+    nested.write.parquet(path)
+    return mobility.location_points(readers.read_location_timeseries(spark, path), config.COUNTRY_KEPT)
+
+
 FEATURE_COLUMNS = ["ifa", "obs_id", "state", "next_state", "travel", "day", "hour", "weekday_weekend", "time_of_day"]
 
 
@@ -111,6 +143,7 @@ QUERIES: dict[str, Query] = {
     "multi_sim_devices": lambda s, d: rfm.multi_sim_devices(_activity(s, d)),
     "rfm_base": lambda s, d: _base(s, d),
     "rfm_base_monthly_norm": lambda s, d: _base(s, d, normalise="months"),
+    "rfm_base_mixed": lambda s, d: rfm.rfm_base(standins.mixed_activity_from_orders(s, d)),
     "rfm_score": lambda s, d: _scores(s, d).select(*SCORE_COLUMNS),
     "recency_rank": lambda s, d: _scores(s, d).select("ifa", "carrier", "recency_days", "r_percentile"),
     "frequency_rank": lambda s, d: _scores(s, d).select("ifa", "carrier", "usage_frequency", "f_percentile"),
@@ -137,11 +170,13 @@ QUERIES: dict[str, Query] = {
     "primary_sim_breakdown": lambda s, d: sim.sim_breakdown(_profile(s, d), "primary_sim", ordered=True),
     "secondary_sim_breakdown": lambda s, d: sim.sim_breakdown(_profile(s, d), "secondary_sim", ordered=True),
     # mobility
-    "location_points": lambda s, d: mobility.location_points(
-        standins.nested_locations_from_events(s, d), config.COUNTRY_KEPT, tie_break="obs_id"
-    ).select(
-        "ifa", "obs_id", F.date_format("seen_at", "yyyy-MM-dd HH:mm:ss").alias("seen_at"),
-        "city", "state", "country", "brq_count",
+    "location_points": lambda s, d: _nested_points(s, d).selectExpr("obs_id", *POINT_COLUMNS),
+    "movement_table": lambda s, d: mobility.movement_table(_nested_points(s, d)).select(
+        "ifa", "obs_id", "city", "state", "brq_count", F.date_format("date", "yyyy-MM-dd").alias("date"),
+        "time", "day", "hour", "next_state", "has_next",
+    ),
+    "trips_tied": lambda s, d: travel.build_features(standins.tied_points_from_events(s, d)).select(
+        "ifa", "state", "next_state", "travel", "day", "hour", "weekday_weekend", "time_of_day"
     ),
     "movements": lambda s, d: _moves(s, d).select("ifa", "obs_id", "state", "next_state", "has_next"),
     "trips": lambda s, d: _features(s, d).select(*FEATURE_COLUMNS),
@@ -154,6 +189,10 @@ QUERIES: dict[str, Query] = {
     "profiled_trips_early": lambda s, d: travel.build_features(
         _points(s, d), _profiled_devices(s, d), restrict="early"
     ).select(*FEATURE_COLUMNS),
+    # Through the job's own files
+    "profile_csv_round_trip": _profile_csv,
+    "segments_round_trip": _segment_folders,
+    "locations_round_trip": lambda s, d: _location_files(s, d).selectExpr(*POINT_COLUMNS),
     # Corridor cohorts
     "corridor_by_weekpart": lambda s, d: cohort.corridor_by_weekpart(_corridor_rows(s, d), ordered=True),
     "corridor_by_daypart": lambda s, d: cohort.corridor_by_daypart(_corridor_rows(s, d), ordered=True),

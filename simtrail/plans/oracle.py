@@ -16,6 +16,18 @@ F_, O_, P_ = SLOTS.names
 FS, OS, PS = SLOTS.score_columns
 
 
+def _mixed_activity() -> str:
+    return """
+activity AS (
+  SELECT CASE WHEN o_orderpriority <> '5-LOW' THEN o_custkey END AS ifa,
+         CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS carrier,
+         CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH', '5-LOW') THEN 'cellular' ELSE 'wifi' END AS network,
+         CAST(o_orderdate AS DATE) AS date,
+         CAST(round(o_totalprice * 100) AS BIGINT) AS brq_count
+  FROM orders
+)"""
+
+
 def _activity(period=None) -> str:
     where = ""
     if period:
@@ -32,14 +44,14 @@ activity AS (
 )"""
 
 
-def _base(period=None, months=False) -> str:
+def _base(period=None, months=False, activity=None) -> str:
     periods = (
         "CAST((year(last_date) * 12 + month(last_date)) - (year(first_date) * 12 + month(first_date)) + 1 AS DOUBLE)"
         if months
         else "CAST(1 AS DOUBLE)"
     )
-    return _activity(period) + f""",
-valid AS (SELECT * FROM activity WHERE carrier IS NOT NULL AND network = 'cellular'),
+    return (activity or _activity(period)) + f""",
+valid AS (SELECT * FROM activity WHERE ifa IS NOT NULL AND carrier IS NOT NULL AND network = 'cellular'),
 daily AS (SELECT ifa, carrier, date, sum(brq_count) AS brq_day FROM valid GROUP BY ifa, carrier, date),
 pair AS (
   SELECT ifa, carrier, min(date) AS earliest_date, max(date) AS latest_date,
@@ -165,17 +177,17 @@ DAYPART_SQL = " ".join(
 )
 
 
-def _features(devices: bool = False) -> str:
+def _features(devices: bool = False, seen_at: str = "ts", obs_id: str = "event_id") -> str:
     restrict = ""
     prefix = ""
     if devices:
         prefix = _profile().strip() + ",\n"
         restrict = "WHERE user_id IN (SELECT ifa FROM profile)"
     return prefix + f"""
-pts AS (SELECT user_id AS ifa, event_id AS obs_id, ts AS seen_at, event_type AS state FROM events {restrict}),
+pts AS (SELECT user_id AS ifa, {obs_id} AS obs_id, {seen_at} AS seen_at, event_type AS state FROM events {restrict}),
 moves AS (
   SELECT *, lead(state) OVER w AS next_state, (lead(1) OVER w) IS NOT NULL AS has_next
-  FROM pts WINDOW w AS (PARTITION BY ifa ORDER BY seen_at ASC NULLS FIRST, obs_id ASC NULLS FIRST)
+  FROM pts WINDOW w AS (PARTITION BY ifa ORDER BY seen_at ASC NULLS FIRST, obs_id ASC NULLS FIRST, state ASC NULLS FIRST)
 ),
 trip AS (
   SELECT *, state || '{config.TRAVEL_SEPARATOR}' || next_state AS travel FROM moves
@@ -237,6 +249,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "rfm_base": _with(_base(), "SELECT * FROM rfm"),
         "rfm_base_monthly_norm": _with(_base(months=True), "SELECT * FROM rfm"),
+        "rfm_base_mixed": _with(_base(activity=_mixed_activity()), "SELECT * FROM rfm"),
         "rfm_score": _with(_scores(), f"SELECT {SCORE_COLS} FROM score"),
         "recency_rank": _with(_scores(), "SELECT ifa, carrier, recency_days, r_percentile FROM score"),
         "frequency_rank": _with(_scores(), "SELECT ifa, carrier, usage_frequency, f_percentile FROM score"),
@@ -288,6 +301,22 @@ def oracle_sql() -> dict[str, str]:
         "location_points": f"""
 SELECT user_id AS ifa, event_id AS obs_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS seen_at,
        event_type AS city, event_type AS state, '{config.COUNTRY_KEPT}' AS country, CAST(1 AS BIGINT) AS brq_count
+FROM events""",
+        "movement_table": _with(
+            _features(seen_at="date_trunc('second', ts)"),
+            "SELECT ifa, obs_id, state AS city, state, CAST(1 AS BIGINT) AS brq_count, "
+            "strftime(seen_at, '%Y-%m-%d') AS date, strftime(seen_at, '%H:%M:%S') AS time, dayname(seen_at) AS day, "
+            "CAST(hour(seen_at) AS INTEGER) AS hour, next_state, has_next FROM moves",
+        ),
+        "trips_tied": _with(
+            _features(seen_at="date_trunc('hour', ts)", obs_id="CAST(NULL AS BIGINT)"),
+            "SELECT ifa, state, next_state, travel, day, hour, weekday_weekend, time_of_day FROM feat",
+        ),
+        "profile_csv_round_trip": _with(_profile(), "SELECT CAST(ifa AS VARCHAR) AS ifa, * EXCLUDE (ifa) FROM profile"),
+        "segments_round_trip": "SELECT CAST(c_custkey AS VARCHAR) AS ifa, c_mktsegment AS segment FROM customer",
+        "locations_round_trip": f"""
+SELECT CAST(user_id AS VARCHAR) AS ifa, strftime(ts, '%Y-%m-%d %H:%M:%S') AS seen_at,
+       event_type AS city, event_type AS state, '{config.COUNTRY_KEPT}' AS country, CAST(1 AS BIGINT) AS brq_count
 FROM events""",
         "movements": _with(_features(), "SELECT ifa, obs_id, state, next_state, has_next FROM moves"),
         "trips": _with(

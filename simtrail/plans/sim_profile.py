@@ -1,8 +1,8 @@
 """Job A: carrier activity -> multi-SIM profile (one row per device).
 
-``build_scores`` and ``build_profile`` return DataFrames; the only work they
-start is the one-time write of the per-(device, carrier) table inside
-``rfm_base`` (its fan-out point).  ``run`` writes the profile;
+``build_scores`` and ``build_profile`` return DataFrames, but building them
+writes two tables: the per-(device, carrier) table inside ``rfm_base`` and
+the value counts inside ``rfm_score`` (the two fan-out points).  ``run`` writes the profile;
 ``run_reports`` writes the analysis tables of a written profile.
 """
 
@@ -22,14 +22,10 @@ def build_scores(
     network: str | None = "cellular",
     normalise: str | None = None,
     method: str = "distributed",
-    buckets: int | None = None,
 ) -> DataFrame:
-    """Scored (device, carrier) rows of multi-carrier devices.
-
-    ``buckets`` sets the monetary rank buckets (see ``functions.ranking``).
-    """
+    """Scored (device, carrier) rows of multi-carrier devices."""
     base = rfm_ops.rfm_base(activity, network=network, normalise=normalise)
-    return rfm_ops.rfm_score(base, method=method, buckets=buckets)
+    return rfm_ops.rfm_score(base, method=method)
 
 
 def build_wide(scores: DataFrame, slots: CarrierSlots = CarrierSlots()) -> DataFrame:
@@ -46,10 +42,9 @@ def build_profile(
     normalise: str | None = None,
     delta_rule: str = "ranked",
     method: str = "distributed",
-    buckets: int | None = None,
 ) -> DataFrame:
     """The SIM profile (T3 columns)."""
-    scores = build_scores(activity, network=network, normalise=normalise, method=method, buckets=buckets)
+    scores = build_scores(activity, network=network, normalise=normalise, method=method)
     ranked = build_wide(scores, slots)
     return sim_ops.sim_profile(sim_ops.focal_delta(ranked, slots, delta_rule), slots)
 
@@ -62,13 +57,15 @@ def run(
     start: str | None = None,
     end: str | None = None,
     slots: CarrierSlots = CarrierSlots(),
+    network: str | None = "cellular",
+    normalise: str | None = None,
+    delta_rule: str = "ranked",
     fmt: str = "parquet",
     single_file: bool = False,
-    buckets: int | None = None,
 ) -> None:
     """Read one period of activity (``yyyyMMdd`` bounds) and write its profile."""
     activity = readers.read_carrier_activity(spark, activity_path, start, end)
-    profile = build_profile(activity, slots, buckets=buckets)
+    profile = build_profile(activity, slots, network=network, normalise=normalise, delta_rule=delta_rule)
     readers.write_sim_profile(profile, out_path, fmt=fmt, single_file=single_file)
 
 

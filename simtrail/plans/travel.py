@@ -1,6 +1,7 @@
 """Job B: location observations of profiled devices -> trips -> corridor cohorts.
 
-All builders are lazy.  ``corridor_report`` returns every dataset of one
+Builders up to the trip profile are lazy; ``corridor_report`` writes the tier
+input when it is called (``cohort.tier``).  It returns every dataset of one
 corridor; when several of them are written, ``materialize`` the trip
 profile once -- a table written to the shared checkpoint folder -- instead of
 recomputing the trips for each output (``run`` does; ``cohort.tier`` writes
@@ -97,16 +98,20 @@ def run(
     country: str | None = config.COUNTRY_KEPT,
     cuts: Sequence[float] = config.TIER_CUTS,
     unit_minutes: int = mobility.UNIT_MINUTES,
+    restrict: str = "early",
+    start: str | None = None,
+    end: str | None = None,
 ) -> dict[str, str]:
     """Job B end to end; returns ``{dataset: path}`` of everything written.
 
     The trip profile feeds the OD matrix and every corridor report, so it is
     written once (``materialize``) and each output reads that table.
+    ``start``/``end`` are inclusive ``yyyy-MM-dd`` days of the observations.
     """
-    points = mobility.location_points(readers.read_location_timeseries(spark, locations_path), country)
+    points = mobility.location_points(readers.read_location_timeseries(spark, locations_path, start, end), country)
     devices = readers.read_sim_profile(spark, profile_path, score_columns, fmt=profile_format)
     profile = materialize(
-        build_trip_profile(points, devices, unit_minutes=unit_minutes), "trip-profile"
+        build_trip_profile(points, devices, restrict, unit_minutes), "trip-profile"
     )
     membership = (
         readers.read_segments(spark, segments_root, layout=segments_layout) if segments_root else None

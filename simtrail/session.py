@@ -78,6 +78,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+# Folders handed out by ``scratch_path`` in this process and not yet released.
+_written: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables ``materialize`` wrote so far; DataFrames that read them end with it.
+
+    Paths go through Hadoop's file system API, so any shared storage works.
+    """
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder name under the shared checkpoint folder, for ``release`` to delete."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/simtrail-{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Cut lineage at a fan-out point: write ``df`` once, read it back.
 
@@ -87,11 +108,11 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     executor and is never used).  A written Parquet table is preferred over
     ``Dataset.checkpoint()``: it is computed in one job (an un-persisted
     eager checkpoint computes its input twice) and later readers get column
-    pruning and predicate pushdown.
+    pruning and predicate pushdown.  The table stays until ``release``, which
+    a job calls when its outputs are written.
     """
     spark = df.sparkSession
-    root = ensure_checkpoint_dir(spark)
-    path = f"{root.rstrip('/')}/simtrail-{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
     # The schema is known: reading it back needs no footer / inference job.
     return spark.read.schema(df.schema).parquet(path)

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from simtrail import schemas
 from simtrail.functions.calendar import parse_yyyymmdd
@@ -20,6 +21,15 @@ def _paths(path: str | Sequence[str]) -> list[str]:
     return [path] if isinstance(path, str) else list(path)
 
 
+def _parquet(spark: SparkSession, paths: list[str], schema: T.StructType) -> DataFrame:
+    """Parquet with a declared schema; a declared column that the files lack is an error, not nulls."""
+    present = spark.read.parquet(*paths).columns
+    missing = [c for c in schema.names if c not in present]
+    if missing:
+        raise ValueError(f"columns {missing} are missing in {paths}; found {present}")
+    return spark.read.schema(schema).parquet(*paths)
+
+
 def read_carrier_activity(
     spark: SparkSession,
     path: str | Sequence[str],
@@ -32,7 +42,7 @@ def read_carrier_activity(
     string column, which sorts like the date it encodes, so the predicate is
     pushed into the Parquet scan (and prunes ``date`` partitions if any).
     """
-    raw = spark.read.schema(schemas.CARRIER_ACTIVITY_RAW).parquet(*_paths(path))
+    raw = _parquet(spark, _paths(path), schemas.CARRIER_ACTIVITY_RAW)
     if start is not None:
         raw = raw.where(F.col("date") >= F.lit(start))
     if end is not None:
@@ -40,14 +50,28 @@ def read_carrier_activity(
     return raw.withColumn("date", parse_yyyymmdd("date"))
 
 
-def read_location_timeseries(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+def read_location_timeseries(
+    spark: SparkSession,
+    path: str | Sequence[str],
+    start: str | None = None,
+    end: str | None = None,
+) -> DataFrame:
     """Nested per-device observations.
 
+    ``start``/``end`` are inclusive ``yyyy-MM-dd`` days.  They filter the
+    array by the text of ``last_seen``, which sorts like the time it encodes,
+    before anything is exploded.
+
     The declared schema lists only the struct fields the job uses, so the scan
     reads just those leaves of ``gps`` (nested pruning does not reach through
     ``explode`` on its own once several fields are used).
     """
-    return spark.read.schema(schemas.LOCATION_TIMESERIES).parquet(*_paths(path))
+    nested = _parquet(spark, _paths(path), schemas.LOCATION_TIMESERIES)
+    if start is not None:
+        nested = nested.withColumn("gps", F.filter("gps", lambda p: p["last_seen"] >= F.lit(start)))
+    if end is not None:
+        nested = nested.withColumn("gps", F.filter("gps", lambda p: F.substring(p["last_seen"], 1, 10) <= F.lit(end)))
+    return nested
 
 
 def read_sim_profile(
@@ -58,10 +82,9 @@ def read_sim_profile(
 ) -> DataFrame:
     """S3: the SIM profile, typed.  A CSV whose header or values do not fit the schema is an error."""
     schema = schemas.sim_profile_schema(list(score_columns))
-    reader = spark.read.schema(schema)
     if fmt == "csv":
-        return reader.options(header=True, enforceSchema=False, mode="FAILFAST").csv(_paths(path))
-    return reader.parquet(*_paths(path))
+        return spark.read.schema(schema).options(header=True, enforceSchema=False, mode="FAILFAST").csv(_paths(path))
+    return _parquet(spark, _paths(path), schema)
 
 
 def write_sim_profile(

@@ -60,6 +60,33 @@ def activity_from_orders(
     )
 
 
+def mixed_activity_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T1 from ``orders`` with rows that scoring must leave out.
+
+    Low priorities have no device, status P has no carrier, and priorities
+    below high (but the low ones) are another network.
+    """
+    o = _table(spark, sf_dir, "orders")
+    priority = F.col("o_orderpriority")
+    return o.select(
+        F.when(priority != "5-LOW", F.col("o_custkey")).alias("ifa"),
+        F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("carrier"),
+        F.when(priority.isin("1-URGENT", "2-HIGH", "5-LOW"), F.lit(config.NETWORK_KEPT)).otherwise(F.lit("wifi")).alias("network"),
+        F.col("o_orderdate").cast("date").alias("date"),
+        F.round(F.col("o_totalprice") * 100).cast("long").alias("brq_count"),
+    )
+
+
+def tied_points_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``points_from_events`` by the hour and without ids: many observations tie."""
+    return points_from_events(spark, sf_dir).withColumns(
+        {
+            "seen_at": F.date_trunc("hour", "seen_at").cast("timestamp_ntz"),
+            "obs_id": F.lit(None).cast("long"),
+        }
+    )
+
+
 def points_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat location points from ``events``."""
     e = _table(spark, sf_dir, "events")

@@ -38,7 +38,7 @@ def test_profile_then_travel(spark, scratch_dir):
     root = os.path.join(scratch_dir, "jobs")
     _inputs(spark, root)
     cli(["profile", "--activity", f"{root}/activity", "--start", "20211101", "--end", "20211130",
-         "--out", f"{root}/profile", "--csv", "--single-file", "--rank-buckets", "4"])
+         "--out", f"{root}/profile", "--csv", "--single-file", "--carriers", "Smart,Metfone,Cellcard"])
     prof = readers.read_sim_profile(spark, f"{root}/profile", SLOTS.score_columns, fmt="csv")
     assert sorted(r["ifa"] for r in prof.collect()) == ["d1", "d2"]
     cli(["report", "--profile", f"{root}/profile", "--profile-csv", "--out", f"{root}/report"])
@@ -48,7 +48,8 @@ def test_profile_then_travel(spark, scratch_dir):
     assert prim.agg(F.sum("count")).first()[0] == 2
     cli(["travel", "--locations", f"{root}/locations", "--profile", f"{root}/profile", "--profile-csv",
          "--segments", f"{root}/segments", "--segments-layout", "folders", "--out", f"{root}/travel",
-         "--corridor", "Kandal,Phnom Penh", "--unit-minutes", "30"])
+         "--corridor", "Kandal,Phnom Penh", "--unit-minutes", "30", "--cuts", "0.1,0.8", "--restrict", "late",
+         "--start", "2021-11-01", "--end", "2021-11-06"])
     tp = spark.read.parquet(f"{root}/travel/trip_profile")
     got = sorted((r["ifa"], r["travel"], r["count"]) for r in tp.collect())
     assert got == [("d1", "Kandal_Phnom Penh", 1), ("d1", "Phnom Penh_Kandal", 1), ("d2", "Phnom Penh_Kandal", 1)]

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from simtrail.functions.ranking import percent_rank
+from simtrail.functions.ranking import percent_rank, value_counts
 
 
 def _builtin(df, asc):
@@ -16,17 +16,24 @@ def _builtin(df, asc):
     return {r["id"]: r["p"] for r in df.withColumn("p", F.percent_rank().over(Window.orderBy(order))).collect()}
 
 
-def _ours(df, asc, **kw):
-    return {r["id"]: r["p"] for r in percent_rank(df, "v", ascending=asc, out="p", **kw).select("id", "p").collect()}
+def _ours(df, asc):
+    return {r["id"]: r["p"] for r in percent_rank(df, "v", ascending=asc, out="p").select("id", "p").collect()}
+
+
+@pytest.fixture
+def all_ranges(spark):
+    """Small ranges stay apart, as they do on large inputs."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
 
 
 @pytest.mark.parametrize("asc", [True, False])
-@pytest.mark.parametrize("kw", [{"buckets": 1}, {"buckets": 3}, {"buckets": 64}, {"max_distinct": 1000}])
-def test_ties_and_nulls(spark, asc, kw):
+def test_ties_and_nulls(spark, all_ranges, asc):
     rnd = random.Random(7)
     rows = [(i, rnd.choice([None, 1.0, 2.0, 2.0, 7.5, float(rnd.randint(0, 40))])) for i in range(500)]
     df = spark.createDataFrame(rows, "id long, v double")
-    assert _ours(df, asc, **kw) == _builtin(df, asc)
+    assert _ours(df, asc) == _builtin(df, asc)
 
 
 def test_single_row_is_zero(spark):
@@ -48,7 +55,7 @@ def test_ties_at_top_keep_max_below_one(spark):
 @given(st.lists(st.one_of(st.none(), st.integers(-5, 5)), min_size=1, max_size=60), st.booleans())
 def test_property_matches_builtin(spark, values, asc):
     df = spark.createDataFrame(list(enumerate(values)), "id long, v long")
-    assert _ours(df, asc, buckets=4) == _builtin(df, asc)
+    assert _ours(df, asc) == _builtin(df, asc)
 
 
 def test_distributed_plan_has_no_builtin_percent_rank(spark):
@@ -57,17 +64,29 @@ def test_distributed_plan_has_no_builtin_percent_rank(spark):
     assert "percent_rank" not in plan.lower()
 
 
-def test_histograms_keep_real_nulls_apart(spark):
-    from simtrail.functions.ranking import histograms
-
+def test_counts_keep_real_nulls_apart(spark):
     df = spark.createDataFrame(
         [(1, None, 2.0), (2, 5, None), (3, 5, 2.0), (4, None, 3.0)], "id long, a long, b double"
     )
-    h = histograms(df, {"a": "ka", "b": "kb"})
-    got_a = sorted((r["ka"] is None, r["ka"], r["__n"]) for r in h["a"].collect())
-    got_b = sorted((r["kb"] is None, r["kb"], r["__n"]) for r in h["b"].collect())
-    assert got_a == [(False, 5, 2), (True, None, 2)]
-    assert got_b == [(False, 2.0, 2), (False, 3.0, 1), (True, None, 1)]
+    rows = value_counts(df, ["a", "b"]).collect()
+    got_a = {(r["a"], r["__n"]) for r in rows if r["__gid"] == 1}
+    got_b = {(r["b"], r["__n"]) for r in rows if r["__gid"] == 2}
+    assert got_a == {(5, 2), (None, 2)}
+    assert got_b == {(2.0, 2), (3.0, 1), (None, 1)}
+
+
+def test_ranges_follow_the_shuffle_width(spark, all_ranges):
+    df = spark.range(20_000).select(F.col("id"), (F.col("id") * 37 % 9973).cast("double").alias("v"))
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for n in (width, 4 * width):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        try:
+            counts = value_counts(df, ["v"])
+            parts = counts.groupBy("__part").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("__part").collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", width)
+        assert len(parts) == n
+        assert all(a["hi"] < b["lo"] for a, b in zip(parts, parts[1:], strict=False))
 
 
 def test_scores_from_shared_histograms_match_builtin_with_nulls(spark):
@@ -92,4 +111,4 @@ def test_dates_rank_like_builtin(spark):
     rows = [(i, dt.date(2021, 1, 1) + dt.timedelta(days=i % 17)) for i in range(200)]
     df = spark.createDataFrame(rows, "id long, v date")
     for asc in (True, False):
-        assert _ours(df, asc, buckets=5) == _builtin(df, asc)
+        assert _ours(df, asc) == _builtin(df, asc)

@@ -110,12 +110,21 @@ def test_distribution(activity):
 
 
 def test_base_is_checkpointed(activity):
-    plan = rfm.rfm_base(activity)._jdf.queryExecution().executedPlan().toString()
-    assert "Scan ExistingRDD" in plan or "LogicalRDD" in plan or "Scan" in plan
+    """The written table is read; without the checkpoint the plan holds the aggregation."""
+    written = rfm.rfm_base(activity)._jdf.queryExecution().optimizedPlan().toString()
     lazy = rfm.rfm_base(activity, checkpoint=False)
+    whole = lazy._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [ifa" not in written and "Aggregate [ifa" in whole
     assert lazy.count() == 6
 
 
+def test_active_days_over_years_and_before_1970(spark):
+    days = [d(1969, 12, 31), d(1970, 1, 1), d(2020, 2, 29), d(2020, 2, 29), d(2021, 2, 28), d(2021, 12, 31)]
+    rows = [("a", c, "cellular", day, 2) for c in ("Smart", "Metfone") for day in days]
+    got = rfm.rfm_base(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert [(r["data_usage_freq"], r["brq_count"]) for r in got] == [(5, 12), (5, 12)]
+
+
 def test_null_device_is_no_device(spark):
     rows = [(None, c, "MOBILE", dt.date(2021, 9, 1), 5) for c in ("Smart", "Metfone")]
     rows += [("a", c, "MOBILE", dt.date(2021, 9, 2), 5) for c in ("Smart", "Metfone")]
