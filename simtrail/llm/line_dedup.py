@@ -8,19 +8,23 @@ always stay.
 1. One scan writes (doc_id, line number, key, SimHash) of each such line; the
    key is a 64-bit hash of the normalised line.
 2. Equal lines collapse to one row per key with its first occurrence.
-3. SimHashes within 3 bits share one of four 16-bit blocks (pigeonhole), by
-   which lines are dealt out, and, of the 48 bits left, one of four 12-bit
-   blocks, by which a task sorts them.  Of each such group, every line within 3 bits
-   of any other is paired: with the group's first line, or else the nearest.
+3. Lines are dealt out by word pairs.  An edit of one word breaks at most two
+   pairs of neighbouring words, so two lines within the similarity differ in
+   few pairs, and the first ``broken + 1`` pairs of each, in one fixed order of all
+   pairs (longest first, which are the rare ones), have one in common.  Every
+   line of such a group whose SimHash lies within ``MAX_BITS`` of that of the
+   group's most central line is paired with it.
 4. A pair is linked if the edit similarity ``1 - edit distance / longer length``
    of the normalised lines, both counted in words, is at least ``SIMILARITY``.
-5. The lines met in step 3 are dealt out again with their component: all pairs
-   within 3 bits that are still in different components are verified as well.
+5. Groups that still hold several components are dealt out again in blocks of
+   at most ``BLOCK_LINES`` lines, two blocks a task group: all pairs of
+   different components within ``MAX_BITS`` are verified as well.
 6. Every connected group keeps its first occurrence in (doc_id, line number)
    order; all other occurrences are removed.
 
-Recall of step 3 is exact up to 3 differing bits of 64; lines whose SimHashes
-lie further apart are not compared (README: measured).
+The dealing of step 3 loses no pair.  The SimHash bound may: one word of five
+or two of ten move 13 of 64 bits on average, more than 28 next to never
+(README: measured recall).
 
 Defined results: null text counts as empty and is returned unchanged; rows
 without doc_id take no part and pass unchanged; rows that repeat a doc_id are
@@ -37,13 +41,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simtrail.llm import textvec as tv
-from simtrail.llm.linking import bloom, components, in_bloom, merged
+from simtrail.llm.linking import bloom, components, in_bloom, merged, open_members, star_pairs
 from simtrail.session import materialize
 
 MIN_WORDS = 5
-MAX_BITS = 3
+MAX_BITS = 28
 SIMILARITY = 0.8
-BLOCK_BITS, SUB_BITS = 16, 12
+BLOCK_LINES = 2048
+BUCKET_BITS = 1 << 26
 _U = np.uint64
 _DIGIT = tv.class_table(range(0x30, 0x3A))
 
@@ -108,6 +113,51 @@ def line_table(data: np.ndarray, off: np.ndarray, with_sims: bool = True):
     return starts, ends, line_off, np.diff(word_off), tv.row_hashes(words, word_off, 3), sims
 
 
+def pair_buckets(data: np.ndarray, off: np.ndarray, min_words: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, key): the word pairs of each different line by which it is dealt out (see step 3)."""
+    starts, ends, _, n_words, keys, _ = line_table(data, off, with_sims=False)
+    norm, keep = squeeze_digits(data)
+    keep[off[:-1][np.diff(off) > 0]] = True  # a run of digits ends with its row
+    new = np.concatenate([[0], np.cumsum(keep)])
+    squeezed = norm[keep]
+    w_start, w_end, _ = tv.word_spans(squeezed, new[off])
+    words = tv.span_hashes(squeezed, w_start, w_end)
+    first = np.zeros(len(starts), bool)
+    first[np.unique(keys, return_index=True)[1]] = True
+    # Pairs of neighbouring words of one line.
+    line = np.repeat(np.arange(len(starts)), n_words)
+    at = np.flatnonzero((line[1:] == line[:-1]) & (first & (n_words >= max(min_words, 2)))[line[1:]])
+    line, pair = line[at], tv.rolling(words, 2)[at]
+    size = (w_end[at + 1] - w_start[at + 1]) + (w_end[at] - w_start[at])
+    by = np.lexsort((pair, -size, line))
+    line, pair = line[by], pair[by]
+    new_pair = np.ones(len(line), bool)
+    new_pair[1:] = (line[1:] != line[:-1]) | (pair[1:] != pair[:-1])
+    line, pair = line[new_pair], pair[new_pair]
+    rank = np.arange(len(line)) - np.searchsorted(line, line)
+    # A longer partner has more edits, but an inserted word breaks only one pair of this line.
+    n = n_words[line]
+    broken = np.maximum(2 * ((1 - similarity) * n + 1e-9).astype(np.int64), 2 * ((1 - similarity) * (n + 1) + 1e-9).astype(np.int64) - 1)
+    use = rank <= broken
+    return pair[use], keys[line[use]]
+
+
+def _scan_buckets(min_words: int, similarity: float, bits=None):
+    """The buckets of all lines, once a block; with ``bits`` only those that pass the filter."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, off = tv.text_bytes(batch.column("text"))
+            for _, _, d, o in tv.blocks(data, off):
+                bucket, key = pair_buckets(d, o, min_words, similarity)
+                if bits is not None:
+                    use = in_bloom(bits.value, bucket)
+                    bucket, key = bucket[use], key[use]
+                yield pa.RecordBatch.from_arrays([pa.array(tv.signed(bucket)), pa.array(tv.signed(key))], ["bucket", "id"])
+
+    return scan
+
+
 def _scan_lines(min_words: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,90 +262,59 @@ def _verify_lines(similarity: float):
 
 
 def _close_pairs(max_bits: int, similarity: float, with_comps: bool):
-    """Task function over rows of whole buckets: pairs within ``max_bits`` whose lengths allow the similarity.
+    """Task function over rows sorted by bucket (with components: by bucket, lo, hi): pairs within ``max_bits`` whose lengths allow the similarity.
 
-    Without components: each line with the first of its group or, if that is
-    not close, with the nearest close one, so that every line with a close
-    neighbour is in a pair.  With components: all close pairs of different
-    components.
+    With components, only pairs of different components and, if ``lo`` and
+    ``hi`` differ, of different blocks.  A group holds at most two blocks.
     """
+    names = ["bucket", "key", "sim", "size", *(["comp", "block", "lo", "hi"] if with_comps else [])]
 
-    def pairs_of(bucket, key, sim, size, comp):
-        def close(x, y):
-            # Lines whose lengths differ more cannot be similar enough.
-            longer = np.maximum(size[x], size[y])
-            fits = np.abs(size[x] - size[y]) <= (1 - similarity) * longer + 1e-9
-            return (np.bitwise_count(sim[x] ^ sim[y]) <= max_bits) & fits
-
-        shift = ((bucket >> BLOCK_BITS) * BLOCK_BITS).astype(np.uint64)
-        # The bits outside the block that all rows of a bucket share.
-        rest = sim >> (shift + _U(BLOCK_BITS) & _U(63))
-        rest = np.where(shift + _U(BLOCK_BITS) < _U(64), rest, _U(0)) << shift | sim & ((_U(1) << shift) - _U(1))
+    def pairs_of(key, sim, size, comp=None, block=None, lo=None, hi=None):
+        sim = sim.view(np.uint64)
         found = []
-        for j in range(0, 48, SUB_BITS):
-            sub = (rest >> _U(j)) & _U((1 << SUB_BITS) - 1)
-            by = np.lexsort((key, sub, bucket))
-            group = (bucket[by].astype(np.uint64) << _U(SUB_BITS)) | sub[by]
-            new = np.concatenate([[True], group[1:] != group[:-1]]) if len(group) else np.empty(0, bool)
-            first = np.maximum.accumulate(np.where(new, np.arange(len(by)), 0)) if len(by) else np.empty(0, np.int64)
-            last = np.append(np.flatnonzero(new)[1:], len(by)) - 1 if len(by) else np.empty(0, np.int64)
-            ends = last[np.cumsum(new) - 1] if len(by) else last
-            if comp is None:
-                lone = np.ones(len(by), bool)
-                x = np.flatnonzero(~new)
-                x = x[close(by[first[x]], by[x])]
-                lone[x] = lone[first[x]] = False
-                found.append((by[first[x]], by[x]))
-                for way in (-1, 1):
-                    step = way
-                    active = np.flatnonzero(lone & ((first < np.arange(len(by))) if way < 0 else (np.arange(len(by)) < ends)))
-                    while len(active):
-                        near = close(by[active], by[active + step])
-                        found.append((by[active[near]], by[active[near] + step]))
-                        lone[active[near]] = False
-                        active, step = active[~near], step + way
-                        active = active[(active + step >= first[active]) & (active + step <= ends[active])]
-                continue
-            # Only groups of several components; compare each row with the one ``step`` places on.
-            c = comp[by]
-            mixed = np.zeros(len(by) + 1, np.int64)
-            np.add.at(mixed, first, c != c[first])
-            active = np.flatnonzero((mixed[first] > 0) & (np.arange(len(by)) < ends))
-            step = 1
-            while len(active):
-                x, y = by[active], by[active + step]
-                near = close(x, y) & (comp[x] != comp[y])
-                found.append((x[near], y[near]))
-                step += 1
-                active = active[active + step <= ends[active]]
-        none = np.empty(0, np.int64)
-        x, y = (np.concatenate([none, *z]) for z in zip(*found, strict=True)) if found else (none, none)
-        a, b = np.minimum(key[x], key[y]), np.maximum(key[x], key[y])
-        ca, cb = (comp[x], comp[y]) if comp is not None else (a, b)
-        once = np.unique(np.stack([a, b], axis=1), axis=0, return_index=True)[1] if len(a) else np.empty(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(c[once]) for c in (a, b, ca, cb)], ["a", "b", "ca", "cb"])
+        left = np.flatnonzero(block == lo) if with_comps else np.arange(len(key))
+        across = with_comps and lo[0] != hi[0]
+        right = np.flatnonzero(block == hi) if across else left
+        for i, x in enumerate(left.tolist()):
+            y = right if across else right[i + 1 :]
+            if with_comps:
+                y = y[comp[y] != comp[x]]
+            y = y[np.abs(size[y] - size[x]) <= (1 - similarity) * np.maximum(size[y], size[x]) + 1e-9]
+            y = y[np.bitwise_count(sim[y] ^ sim[x]) <= max_bits]
+            found.append((np.full(len(y), x), y))
+        x, y = (np.concatenate([np.empty(0, np.int64), *z]) for z in zip(*found, strict=True)) if found else [np.empty(0, np.int64)] * 2
+        swap = key[x] > key[y]
+        x, y = np.where(swap, y, x), np.where(swap, x, y)
+        ids = key if comp is None else comp
+        return key[x], key[y], ids[x], ids[y]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        rows = 0
+        held: list[np.ndarray] = []
+        out: list = []
+        count = 0
 
-        def columns():
-            both = [np.concatenate(z) for z in zip(*held, strict=True)]
-            return both[0], both[1], both[2].view(np.uint64), both[3], both[4] if with_comps else None
+        def flush():
+            columns = [np.concatenate(z) for z in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "ca", "cb"])
 
         for batch in batches:
-            names = ["bucket", "key", "sim", "size", *(["comp"] if with_comps else [])]
-            held.append([batch.column(c).to_numpy().astype(np.int64) for c in names])
-            rows += batch.num_rows
-            if rows > 300_000:  # whole buckets go on; the last may not have ended
-                columns_now = columns()
-                cut = int(np.searchsorted(columns_now[0], columns_now[0][-1]))
-                if cut:
-                    yield pairs_of(*(None if c is None else c[:cut] for c in columns_now))
-                    held = [[c[cut:].view(np.int64) for c in columns_now if c is not None]]
-                    rows -= cut
-        if rows:
-            yield pairs_of(*columns())
+            rows = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in names])
+            rows = np.concatenate([*held, rows], axis=1)
+            if not rows.shape[1]:
+                continue
+            group = rows[[0, -2, -1] if with_comps else [0]]
+            cuts = np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1
+            for a, b in zip([0, *cuts[:-1]], cuts, strict=False):  # the last group may go on
+                if b - a > 1:
+                    out.append(pairs_of(*rows[1:, a:b]))
+                    count += len(out[-1][0])
+                    if count > 100_000:
+                        yield flush()
+                        out, count = [], 0
+            held = [rows[:, cuts[-1] if len(cuts) else 0 :].copy()]
+        if held:
+            out.append(pairs_of(*held[0][1:]))
+        yield flush()
 
     return run
 
@@ -304,8 +323,8 @@ def duplicate_lines(
     docs: DataFrame, *, min_words: int = MIN_WORDS, max_bits: int = MAX_BITS, similarity: float = SIMILARITY
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(drops, lines, links): removed occurrences (doc_id, line_no), all lines that take part, verified links."""
-    if max_bits > 3:
-        raise ValueError("four blocks guarantee at most 3 differing bits")
+    if similarity < 0.5:
+        raise ValueError("word pairs deal out lines of a similarity of at least 0.5")
     spark: SparkSession = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = texts.where("doc_id is not null and text is not null")
@@ -319,24 +338,30 @@ def duplicate_lines(
         "distinct-lines",
     )
 
-    def close_pairs(rows: DataFrame, with_comps: bool) -> DataFrame:
-        blocks = F.array(
-            *[
-                F.shiftrightunsigned("sim", BLOCK_BITS * i).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).bitwiseOR(F.lit(i << BLOCK_BITS))
-                for i in range(4)
-            ]
-        )
-        dealt = rows.withColumn("bucket", F.explode(blocks)).repartition("bucket").sortWithinPartitions("bucket")
-        return dealt.mapInArrow(_close_pairs(max_bits, similarity, with_comps), "a long, b long, ca long, cb long").distinct()
+    def buckets(bits=None) -> DataFrame:
+        return texts.select("text").mapInArrow(_scan_buckets(min_words, similarity, bits), "bucket long, id long")
+
+    # A bucket that a third of all lines share reaches the shuffle as one row a task.
+    shared = buckets().groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo != hi").select("bucket")
+    shared = materialize(shared, "line-shared")
+    bits = spark.sparkContext.broadcast(bloom(shared, BUCKET_BITS))
+    members = buckets(bits).join(shared, "bucket").distinct()
+    members = materialize(members.join(distinct.select(F.col("key").alias("id"), "sim", "size"), "id"), "line-members")
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    close = F.expr(
+        f"bit_count(a_sim ^ b_sim) <= {max_bits} and abs(a_size - b_size) <= {1 - similarity} * greatest(a_size, b_size) + 1e-9"
+    )
+    pairs = materialize(star_pairs(members, sizes, ["sim", "size"], close), "line-pairs")
 
-    pairs = materialize(close_pairs(distinct.select("key", "sim", "size"), False).select("a", "b"), "line-pairs")
-    # Every line that is close to any other is in one of these pairs.
-    met = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    bits = spark.sparkContext.broadcast(bloom(met))
-    found = texts.select("text").mapInArrow(_fetch_lines(bits, min_words), "key long, line string")
-    found = materialize(found.groupBy("key").agg(F.min("line").alias("line")).join(met, "key"), "line-texts")
+    def texts_of(pairs: DataFrame, name: str) -> DataFrame:
+        """The normalised text of the lines of some pairs."""
+        met = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+        bits = spark.sparkContext.broadcast(bloom(met))
+        found = texts.select("text").mapInArrow(_fetch_lines(bits, min_words), "key long, line string")
+        return materialize(found.groupBy("key").agg(F.min("line").alias("line")).join(met, "key"), f"line-texts-{name}")
 
     def verified(candidates: DataFrame, name: str) -> DataFrame:
+        found = texts_of(candidates, name)
         full = candidates.join(found.select(F.col("key").alias("a"), F.col("line").alias("la")), "a").join(
             found.select(F.col("key").alias("b"), F.col("line").alias("lb")), "b"
         )
@@ -346,8 +371,19 @@ def duplicate_lines(
 
     links = verified(pairs, "first")
     labels = components(links)
-    left = distinct.select("key", "sim", "size").join(met, "key").join(labels.withColumnRenamed("node", "key"), "key", "left")
-    rest = close_pairs(left.withColumn("comp", F.coalesce("comp", "key")), True)
+    left = open_members(members, labels)
+    n_blocks = F.ceil(F.col("n") / BLOCK_LINES)
+    blocks = (
+        left.withColumn("block", F.pmod(F.xxhash64("id"), n_blocks))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)))
+        .select("bucket", F.col("id").alias("key"), "sim", "size", "comp", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    )
+    rest = (
+        blocks.repartition("bucket", "lo", "hi")
+        .sortWithinPartitions("bucket", "lo", "hi")
+        .mapInArrow(_close_pairs(max_bits, similarity, True), "a long, b long, ca long, cb long")
+        .distinct()
+    )
     rest = materialize(rest.join(pairs, ["a", "b"], "left_anti"), "line-rest")
     if not rest.isEmpty():
         more = verified(rest, "rest")

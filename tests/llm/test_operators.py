@@ -301,3 +301,62 @@ def test_pipeline_stages(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.where("not exact").count() == 0
     assert 100 < out.count() < 200 and out.select("doc_id").distinct().count() == out.count()
+
+
+def normal(line):
+    return re.sub("[0-9]+", "0", " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(line))))
+
+
+def line_roots(pairs):
+    """The least member of each connected group."""
+    root: dict = {}
+
+    def find(x):
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {x: find(x) for x in list(root)}
+
+
+def test_edited_lines_are_found(spark):
+    """Planted edits of 5- to 60-word lines down to similarity 0.8: each copy is removed."""
+    rng = np.random.default_rng(8)
+    vocabulary = [f"{a}{b}" for a in "the of re con lyn ara mi to est".split() for b in "a on ing er ti sh ble ou".split()]
+    docs, n = [], 0
+    for size in range(5, 61):
+        for _ in range(4):
+            base = [f"x{n}y" if rng.random() < 0.2 else w for w in rng.choice(vocabulary, size)]
+            n += 1
+            copy = list(base)
+            for _ in range(size // 5):  # substitutions keep the longer length at ``size``
+                copy[rng.integers(size)] = str(rng.choice(vocabulary))
+            if copy != base:
+                docs.append((len(docs), "\n".join([" ".join(base)])))
+                docs.append((len(docs), " ".join(copy)))
+    table = spark.createDataFrame(docs, DOCS).repartition(3)
+    out = {r["doc_id"]: r["text"] for r in line_dedup.without_duplicate_lines(table).collect()}
+    found = [out[i] == "" for i in range(1, len(docs), 2)]
+    assert all(out[i] for i in range(0, len(docs), 2)) and np.mean(found) >= 0.99
+
+
+def test_similar_lines_are_linked_as_by_brute_force(spark, rows):
+    """Lines of sf0.001: components of all pairs that reach the similarity."""
+    lines = sorted({normal(x) for _, t in rows for x in (t or "").split("\n")})
+    words = [x.split() for x in lines]
+    keep = [i for i, w in enumerate(words) if len(w) >= line_dedup.MIN_WORDS]
+    pairs = []
+    for i, a in enumerate(keep):
+        for b in keep[i + 1 :]:
+            x, y = words[a], words[b]
+            bound = int(0.2 * max(len(x), len(y)) + 1e-9)
+            if abs(len(x) - len(y)) <= bound and sum((Counter(x) & Counter(y)).values()) >= max(len(x), len(y)) - bound:
+                if line_dedup.edit_distance(x, y) <= bound:
+                    pairs.append((a, b))
+    table = spark.createDataFrame([(i, lines[i]) for i in keep], DOCS)
+    out = {r["doc_id"]: r["text"] for r in line_dedup.without_duplicate_lines(table).collect()}
+    assert pairs
+    assert {i for i in keep if out[i] == ""} == {x for x, r in line_roots(pairs).items() if x != r}
