@@ -360,3 +360,14 @@ def test_similar_lines_are_linked_as_by_brute_force(spark, rows):
     out = {r["doc_id"]: r["text"] for r in line_dedup.without_duplicate_lines(table).collect()}
     assert pairs
     assert {i for i in keep if out[i] == ""} == {x for x, r in line_roots(pairs).items() if x != r}
+
+
+@pytest.mark.parametrize("limit", [2048, 2])
+def test_many_lines_of_one_template(spark, monkeypatch, limit):
+    """A template with one name links to one group; lines that share words but not enough stay; small blocks change nothing."""
+    monkeypatch.setattr(line_dedup, "BLOCK_LINES", limit)
+    near = [f"copyright notice of the archive kept by name{chr(97 + i % 26)}{chr(97 + i // 26)} since then" for i in range(60)]
+    far = [f"copyright notice {' '.join(f'{w}{chr(97 + i)}' for w in ('some', 'other', 'words', 'stand', 'here'))}" for i in range(20)]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(near + far)], DOCS)
+    out = {r["doc_id"]: r["text"] for r in line_dedup.without_duplicate_lines(docs).collect()}
+    assert [i for i in range(80) if out[i]] == [0, *range(60, 80)]
