@@ -22,7 +22,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later occurrences of duplicate lines; a document that loses its whole text goes."""
-    out = line_dedup.without_duplicate_lines(docs)
+    out = line_dedup.without_duplicate_lines(docs, exact_words=line_dedup.EXACT_WORDS)
     lost = (F.col("n_lines_removed") > 0) & (F.trim("text") == "")
     return out.where(~lost).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 

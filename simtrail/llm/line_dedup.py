@@ -1,9 +1,10 @@
 """Operator 6: near-duplicate lines by SimHash, one occurrence kept per group.
 
 A line (``\\n``-split) is normalised to its ASCII lower-cased words of letters
-and digits, with every run of ASCII digits written ``0``.  Lines of at least
-``MIN_WORDS`` words take part; shorter ones are no evidence of copying and
-always stay.
+and digits, with every run of ASCII digits written ``0``.  In the query and the
+pipeline every line with a word (``EXACT_WORDS``) takes part in step 2; steps 3
+to 5 compare lines of at least ``MIN_WORDS`` words.  Without ``exact_words``,
+``without_duplicate_lines`` leaves shorter lines out of step 2 as well.
 
 1. One scan writes (doc_id, line number, key, SimHash) of each such line; the
    key is a 64-bit hash of the normalised line.
@@ -45,6 +46,7 @@ from simtrail.llm.linking import bloom, components, in_bloom, merged, open_membe
 from simtrail.session import materialize
 
 MIN_WORDS = 5
+EXACT_WORDS = 1
 MAX_BITS = 28
 SIMILARITY = 0.8
 BLOCK_LINES = 2048
@@ -320,16 +322,26 @@ def _close_pairs(max_bits: int, similarity: float, with_comps: bool):
 
 
 def duplicate_lines(
-    docs: DataFrame, *, min_words: int = MIN_WORDS, max_bits: int = MAX_BITS, similarity: float = SIMILARITY
+    docs: DataFrame,
+    *,
+    min_words: int = MIN_WORDS,
+    exact_words: int | None = None,
+    max_bits: int = MAX_BITS,
+    similarity: float = SIMILARITY,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(drops, lines, links): removed occurrences (doc_id, line_no), all lines that take part, verified links."""
+    """(drops, lines, links): removed occurrences (doc_id, line_no), all lines that take part, verified links.
+
+    Lines of at least ``exact_words`` words (default: ``min_words``) collapse
+    with their equals; those of at least ``min_words`` with similar ones too.
+    """
+    exact_words = min_words if exact_words is None else exact_words
     if similarity < 0.5:
         raise ValueError("word pairs deal out lines of a similarity of at least 0.5")
     spark: SparkSession = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = texts.where("doc_id is not null and text is not null")
     lines = materialize(
-        texts.mapInArrow(_scan_lines(min_words), "doc_id long, line_no int, key long, sim long, size int"), "lines"
+        texts.mapInArrow(_scan_lines(min(exact_words, min_words)), "doc_id long, line_no int, key long, sim long, size int"), "lines"
     )
     distinct = materialize(
         lines.groupBy("key").agg(
@@ -419,4 +431,4 @@ def without_duplicate_lines(docs: DataFrame, **options) -> DataFrame:
 def op6_simhash_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: doc_id, text without duplicate lines, n_lines_removed."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return without_duplicate_lines(docs).select("doc_id", "text", "n_lines_removed")
+    return without_duplicate_lines(docs, exact_words=EXACT_WORDS).select("doc_id", "text", "n_lines_removed")

@@ -371,3 +371,11 @@ def test_many_lines_of_one_template(spark, monkeypatch, limit):
     docs = spark.createDataFrame([(i, x) for i, x in enumerate(near + far)], DOCS)
     out = {r["doc_id"]: r["text"] for r in line_dedup.without_duplicate_lines(docs).collect()}
     assert [i for i in range(80) if out[i]] == [0, *range(60, 80)]
+
+
+def test_short_equal_lines_go_in_the_query(spark, tmp_path):
+    """Lines of one to four words, of any script, collapse with their equals; a line without a word stays."""
+    data = [(1, "All rights reserved.\n東京都は日本の首都です\n---"), (2, "all rights  reserved\nmore\n---"), (3, "東京都は日本の首都です\nMore!\n大阪")]
+    spark.createDataFrame(data, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r["doc_id"]: (r["text"], r["n_lines_removed"]) for r in line_dedup.op6_simhash_line_dedup(spark, str(tmp_path)).collect()}
+    assert out == {1: (data[0][1], 0), 2: ("more\n---", 1), 3: ("大阪", 2)}
