@@ -23,8 +23,8 @@ generalised with the entities.
    disclose one of its entities (again a Bloom filter); an exact join decides.
    Texts are never shuffled.
 
-Terms are words of letters, digits and non-ASCII characters of at least
-``MIN_TERM`` bytes that are not all digits, ASCII lower-cased.
+Terms are words of letters, digits and non-ASCII characters that are not all
+digits, ASCII lower-cased.
 
 Defined results: null and empty texts have no spans; documents without a base
 match never get a span; repeated rows are each returned; spans never overlap
@@ -51,7 +51,6 @@ KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
 SHARE = 0.9
 MIN_LINES = 3
-MIN_TERM = 4
 _U = np.uint64
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -123,8 +122,7 @@ def term_spans(data: np.ndarray, off: np.ndarray):
     starts, ends, _ = tv.word_spans(low, off)
     if len(starts):
         digits = np.concatenate([[0], np.cumsum(_DIGIT_BYTES[data], dtype=np.int64)])
-        size = ends - starts
-        use = (size >= MIN_TERM) & (digits[ends] - digits[starts] < size)
+        use = digits[ends] - digits[starts] < ends - starts
         starts, ends = starts[use], ends[use]
     return tv.span_hashes(low, starts, ends), starts, ends, np.searchsorted(starts, off)
 

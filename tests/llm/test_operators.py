@@ -379,3 +379,12 @@ def test_short_equal_lines_go_in_the_query(spark, tmp_path):
     spark.createDataFrame(data, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     out = {r["doc_id"]: (r["text"], r["n_lines_removed"]) for r in line_dedup.op6_simhash_line_dedup(spark, str(tmp_path)).collect()}
     assert out == {1: (data[0][1], 0), 2: ("more\n---", 1), 3: ("大阪", 2)}
+
+
+@pytest.mark.parametrize("name", ["Ann", "Lee", "Bo"])
+def test_short_names_disclose_an_entity(spark, name):
+    lines = [f"agent {name} wrote from zx@spy.org on topic number{i}" for i in range(6)]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)] + [(i, f"agent wrote on topic number{i} again") for i in range(10, 60)], DOCS)
+    found = {r["doc_id"]: r for r in disclosure.with_spans(docs).collect()}
+    assert [lines[0][s["start"] : s["end"]] for s in found[0]["term_spans"]] == [name, "from"]
+    assert not found[20]["term_spans"]
