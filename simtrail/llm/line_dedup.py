@@ -19,7 +19,9 @@ to 5 compare lines of at least ``MIN_WORDS`` words.  Without ``exact_words``,
    of the normalised lines, both counted in words, is at least ``SIMILARITY``.
 5. Groups that still hold several components are dealt out again in blocks of
    at most ``BLOCK_LINES`` lines, two blocks a task group: all pairs of
-   different components within ``MAX_BITS`` are verified as well.
+   different components within ``MAX_BITS`` are verified as well.  In both
+   steps a pair must also fit in length and in the parity of its words: an edit
+   turns at most two of 128 bits, so these two rule out no similar pair.
 6. Every connected group keeps its first occurrence in (doc_id, line number)
    order; all other occurrences are removed.
 
@@ -100,8 +102,19 @@ def simhashes(words: np.ndarray, word_off: np.ndarray) -> np.ndarray:
     return out
 
 
-def line_table(data: np.ndarray, off: np.ndarray, with_sims: bool = True):
-    """Lines of each row: starts, ends, line offsets, word counts, keys, SimHashes (if asked for)."""
+def parity_masks(words: np.ndarray, word_off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each row of word hashes, each the parity of the words that fall on it: an edit of one word turns at most two."""
+    rows = np.flatnonzero(np.diff(word_off) > 0)
+    out = np.zeros((2, len(word_off) - 1), np.uint64)
+    bit = _U(1) << (words >> _U(8) & _U(63))
+    half = (words >> _U(14) & _U(1)).astype(bool)
+    for i in range(2 if len(rows) else 0):
+        out[i, rows] = np.bitwise_xor.reduceat(np.where(half == bool(i), bit, _U(0)), word_off[rows])
+    return out[0], out[1]
+
+
+def line_table(data: np.ndarray, off: np.ndarray, with_sims: bool = True, with_masks: bool = False):
+    """Lines of each row: starts, ends, line offsets, word counts, keys, SimHashes (if asked for; ``with_masks``: a list of them and the parity masks)."""
     starts, ends, line_off = line_offsets(data, off)
     norm, keep = squeeze_digits(data)
     keep[off[:-1][np.diff(off) > 0]] = True  # a run of digits ends with its row
@@ -112,6 +125,8 @@ def line_table(data: np.ndarray, off: np.ndarray, with_sims: bool = True):
     words = tv.span_hashes(squeezed, w_start, w_end)
     word_off = np.append(np.searchsorted(w_start, new[starts]), len(w_start))
     sims = simhashes(words, word_off) if with_sims else None
+    if with_masks:
+        sims = [sims, *parity_masks(words, word_off)]
     return starts, ends, line_off, np.diff(word_off), tv.row_hashes(words, word_off, 3), sims
 
 
@@ -166,7 +181,7 @@ def _scan_lines(min_words: int):
             data, off = tv.text_bytes(batch.column("text"))
             ids = batch.column("doc_id")
             for first, _, d, o in tv.blocks(data, off):
-                _, _, line_off, n_words, keys, sims = line_table(d, o)
+                _, _, line_off, n_words, keys, (sims, low, high) = line_table(d, o, with_masks=True)
                 rows = np.repeat(np.arange(len(o) - 1), np.diff(line_off))
                 number = np.arange(len(rows)) - line_off[rows]
                 use = np.flatnonzero(n_words >= min_words)
@@ -176,9 +191,11 @@ def _scan_lines(min_words: int):
                         pa.array(number[use].astype(np.int32)),
                         pa.array(tv.signed(keys[use])),
                         pa.array(tv.signed(sims[use])),
+                        pa.array(tv.signed(low[use])),
+                        pa.array(tv.signed(high[use])),
                         pa.array(n_words[use].astype(np.int32)),
                     ],
-                    ["doc_id", "line_no", "key", "sim", "size"],
+                    ["doc_id", "line_no", "key", "sim", "low", "high", "size"],
                 )
 
     return scan
@@ -269,10 +286,12 @@ def _close_pairs(max_bits: int, similarity: float, with_comps: bool):
     With components, only pairs of different components and, if ``lo`` and
     ``hi`` differ, of different blocks.  A group holds at most two blocks.
     """
-    names = ["bucket", "key", "sim", "size", *(["comp", "block", "lo", "hi"] if with_comps else [])]
+    names = ["bucket", "key", "sim", "size", *(["low", "high", "comp", "block", "lo", "hi"] if with_comps else [])]
 
-    def pairs_of(key, sim, size, comp=None, block=None, lo=None, hi=None):
+    def pairs_of(key, sim, size, low=None, high=None, comp=None, block=None, lo=None, hi=None):
         sim = sim.view(np.uint64)
+        if with_comps:
+            low, high = low.view(np.uint64), high.view(np.uint64)
         found = []
         left = np.flatnonzero(block == lo) if with_comps else np.arange(len(key))
         across = with_comps and lo[0] != hi[0]
@@ -283,6 +302,9 @@ def _close_pairs(max_bits: int, similarity: float, with_comps: bool):
                 y = y[comp[y] != comp[x]]
             y = y[np.abs(size[y] - size[x]) <= (1 - similarity) * np.maximum(size[y], size[x]) + 1e-9]
             y = y[np.bitwise_count(sim[y] ^ sim[x]) <= max_bits]
+            if with_comps:
+                turned = np.bitwise_count(low[y] ^ low[x]).astype(np.int64) + np.bitwise_count(high[y] ^ high[x])
+                y = y[turned <= 2 * ((1 - similarity) * np.maximum(size[y], size[x]) + 1e-9).astype(np.int64)]
             found.append((np.full(len(y), x), y))
         x, y = (np.concatenate([np.empty(0, np.int64), *z]) for z in zip(*found, strict=True)) if found else [np.empty(0, np.int64)] * 2
         swap = key[x] > key[y]
@@ -341,11 +363,11 @@ def duplicate_lines(
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = texts.where("doc_id is not null and text is not null")
     lines = materialize(
-        texts.mapInArrow(_scan_lines(min(exact_words, min_words)), "doc_id long, line_no int, key long, sim long, size int"), "lines"
+        texts.mapInArrow(_scan_lines(min(exact_words, min_words)), "doc_id long, line_no int, key long, sim long, low long, high long, size int"), "lines"
     )
     distinct = materialize(
         lines.groupBy("key").agg(
-            F.min(F.struct("doc_id", "line_no")).alias("first"), F.min("sim").alias("sim"), F.min("size").alias("size"), F.count(F.lit(1)).alias("n")
+            F.min(F.struct("doc_id", "line_no")).alias("first"), F.min("sim").alias("sim"), F.min("low").alias("low"), F.min("high").alias("high"), F.min("size").alias("size"), F.count(F.lit(1)).alias("n")
         ),
         "distinct-lines",
     )
@@ -358,12 +380,13 @@ def duplicate_lines(
     shared = materialize(shared, "line-shared")
     bits = spark.sparkContext.broadcast(bloom(shared, BUCKET_BITS))
     members = buckets(bits).join(shared, "bucket").distinct()
-    members = materialize(members.join(distinct.select(F.col("key").alias("id"), "sim", "size"), "id"), "line-members")
+    members = materialize(members.join(distinct.select(F.col("key").alias("id"), "sim", "low", "high", "size"), "id"), "line-members")
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     close = F.expr(
         f"bit_count(a_sim ^ b_sim) <= {max_bits} and abs(a_size - b_size) <= {1 - similarity} * greatest(a_size, b_size) + 1e-9"
+        f" and bit_count(a_low ^ b_low) + bit_count(a_high ^ b_high) <= 2 * floor({1 - similarity} * greatest(a_size, b_size) + 1e-9)"
     )
-    pairs = materialize(star_pairs(members, sizes, ["sim", "size"], close), "line-pairs")
+    pairs = materialize(star_pairs(members, sizes, ["sim", "low", "high", "size"], close), "line-pairs")
 
     def texts_of(pairs: DataFrame, name: str) -> DataFrame:
         """The normalised text of the lines of some pairs."""
@@ -388,7 +411,7 @@ def duplicate_lines(
     blocks = (
         left.withColumn("block", F.pmod(F.xxhash64("id"), n_blocks))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)))
-        .select("bucket", F.col("id").alias("key"), "sim", "size", "comp", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+        .select("bucket", F.col("id").alias("key"), "sim", "size", "low", "high", "comp", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
     )
     rest = (
         blocks.repartition("bucket", "lo", "hi")
