@@ -10,6 +10,7 @@ from simtrail.llm import (
     decontaminate,
     disclosure,
     line_dedup,
+    manifest,
     near_dedup,
     page_text,
     pieces,
@@ -32,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         disclosure.op8_pii_disclosure,
         pieces.op9_sentencepiece,
         repeats.op10_suffix_repeats,
+        manifest.op13_merkle_manifest,
     ]
     return {f.__name__: f for f in functions}
 
