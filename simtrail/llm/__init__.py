@@ -1,4 +1,4 @@
-"""Operators for preparing training text (ten operators and their queries).
+"""Operators for preparing training text (thirteen operators and their queries).
 
 Nothing else in the library imports this subpackage.  Its task functions are
 pickled by value, so executors need only the public Python packages.

@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators, and DuckDB SQL where it can express one."""
+"""Registered queries of the operators, and DuckDB SQL where it can express one."""
 
 from __future__ import annotations
 
@@ -13,10 +13,12 @@ from simtrail.llm import (
     manifest,
     near_dedup,
     page_text,
+    phrases,
     pieces,
     quality_model,
     quality_rules,
     repeats,
+    simhash_near,
     token_files,
 )
 
@@ -33,6 +35,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         disclosure.op8_pii_disclosure,
         pieces.op9_sentencepiece,
         repeats.op10_suffix_repeats,
+        simhash_near.op11_simhash_near_dedup,
+        phrases.op12_phrase_collocations,
         manifest.op13_merkle_manifest,
     ]
     return {f.__name__: f for f in functions}

@@ -14,10 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from simtrail.session import materialize
+from simtrail.session import discard, materialize
 
 CHUNK = 8192
 
@@ -181,16 +181,23 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     rounds.  All nodes with an edge are
     returned, the least ones too.
     """
-    now = materialize(
-        edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
+    def written(table: DataFrame) -> tuple[DataFrame, dict]:
+        """The edges, written, and their number and sums, observed by the same job."""
+        state = Observation()
+        table = table.observe(
+            state,
+            F.count(F.lit(1)).alias("n"),
+            F.bit_xor(F.xxhash64("u", "v")).alias("x"),
+            F.sum(F.hash("u", "v").cast("long")).alias("s"),
+        )
+        return materialize(table, "edges"), state.get
+
+    now, seen = written(
+        edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
-    if now.isEmpty():
+    if not seen.get("n"):
         return now.select(F.col("u").alias("node"), F.col("v").alias("comp"))
 
-    def state_of(table: DataFrame):
-        return table.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.hash("u", "v").cast("long"))).first()
-
-    seen = state_of(now)
     for _ in range(max_rounds):
         # Large star: every larger neighbour is linked to the least neighbour.
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -201,8 +208,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         small = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        now = materialize(small, "edges")
-        state = state_of(now)
+        before = now
+        now, state = written(small)
+        discard(before)
         if state == seen:
             roots = now.select("v", F.col("v").alias("comp")).distinct()
             return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(roots)
