@@ -1,33 +1,43 @@
-"""Operator 6: near-duplicate lines by SimHash, one occurrence kept per group.
+"""Operator 6: near-duplicate lines, one occurrence kept per group.
 
 A line (``\\n``-split) is normalised to its ASCII lower-cased words of letters
-and digits, with every run of ASCII digits written ``0``.  In the query and the
-pipeline every line with a word (``EXACT_WORDS``) takes part in step 2; steps 3
-to 5 compare lines of at least ``MIN_WORDS`` words.  Without ``exact_words``,
-``without_duplicate_lines`` leaves shorter lines out of step 2 as well.
+and digits, with every run of ASCII digits written ``0``.  In scripts written
+without spaces (Chinese, Japanese, Thai, Lao, Burmese, Khmer) every character
+is a word.  In the query and the pipeline every line with a word
+(``EXACT_WORDS``) takes part in step 2; steps 3 to 6 compare lines of at least
+``MIN_WORDS`` words.  Without ``exact_words``, ``without_duplicate_lines`` leaves
+shorter lines out of step 2 as well.
 
 1. One scan writes (doc_id, line number, key, SimHash) of each such line; the
-   key is a 64-bit hash of the normalised line.
+   key is a 64-bit hash of the normalised line.  Another counts words in a
+   table of ``WORD_COUNTERS`` counters.
 2. Equal lines collapse to one row per key with its first occurrence.
-3. Lines are dealt out by word pairs.  An edit of one word breaks at most two
-   pairs of neighbouring words, so two lines within the similarity differ in
-   few pairs, and the first ``broken + 1`` pairs of each, in one fixed order of all
-   pairs (longest first, which are the rare ones), have one in common.  Every
-   line of such a group whose SimHash lies within ``MAX_BITS`` of that of the
-   group's most central line is paired with it.
-4. A pair is linked if the edit similarity ``1 - edit distance / longer length``
+3. Lines are cut into overlapping blocks of two words, and joined on blocks
+   (pigeonhole): an edit of one word breaks at most two, so two lines within
+   the similarity differ in few blocks, and the first ``broken + 1`` blocks of
+   each, in one fixed order of all blocks (rarest words first), have one in
+   common.  Most of these blocks occur in one line only, so they are sorted out
+   in packed form first: a task writes the blocks and keys of all its lines as
+   arrays by range of the block, another finds the blocks of a range that
+   several lines share, and only those become rows.
+4. Every line of a block whose SimHash lies within ``MAX_BITS`` of that of the
+   block's most central line is paired with it.
+5. A pair is linked if the edit similarity ``1 - edit distance / longer length``
    of the normalised lines, both counted in words, is at least ``SIMILARITY``.
-5. Groups that still hold several components are dealt out again in blocks of
-   at most ``BLOCK_LINES`` lines, two blocks a task group: all pairs of
+6. Blocks that still hold several components are dealt out again in groups of
+   at most ``BLOCK_LINES`` lines, two to a task group; only lines outside a
+   block's main component are dealt to other groups, so a block that is one
+   component but for a few lines costs a few passes over it.  All pairs of
    different components within ``MAX_BITS`` are verified as well.  In both
    steps a pair must also fit in length and in the parity of its words: an edit
    turns at most two of 128 bits, so these two rule out no similar pair.
-6. Every connected group keeps its first occurrence in (doc_id, line number)
+7. Every connected group keeps its first occurrence in (doc_id, line number)
    order; all other occurrences are removed.
 
-The dealing of step 3 loses no pair.  The SimHash bound may: one word of five
+The blocks of step 3 lose no pair.  The SimHash bound may: one word of five
 or two of ten move 13 of 64 bits on average, more than 28 next to never
-(README: measured recall).
+(README: measured recall).  Blocks of the SimHash itself cannot carry step 3 at
+this similarity, so it only picks the pairs to verify.
 
 Defined results: null text counts as empty and is returned unchanged; rows
 without doc_id take no part and pass unchanged; rows that repeat a doc_id are
@@ -36,6 +46,7 @@ one document (each keeps the same lines); an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,19 +55,47 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simtrail.llm import textvec as tv
-from simtrail.llm.linking import bloom, components, in_bloom, merged, open_members, star_pairs
-from simtrail.session import materialize
+from simtrail.llm.linking import bloom, chunk_rows, components, counter_table, dealt, in_bloom, merged, open_members, star_pairs
+from simtrail.session import discard, materialize
 
 MIN_WORDS = 5
 EXACT_WORDS = 1
 MAX_BITS = 28
 SIMILARITY = 0.8
 BLOCK_LINES = 2048
-BUCKET_BITS = 1 << 26
+WORD_COUNTERS = 1 << 19
+# Blocks of a range of about so many; text in a task's block; packed blocks taken in at a time.
+RANGE_BLOCKS = 1 << 21
+BLOCK_BYTES = 1 << 21
+FOLD_BLOCKS = 1 << 20
 _U = np.uint64
 _DIGIT = tv.class_table(range(0x30, 0x3A))
 
 
+# Characters that are words by themselves: Thai and Lao, Burmese, Khmer, U+3000 to U+9FFF, the second plane.
+_SINGLE = re.compile("([\u0e00-\u0eff\u1000-\u10bf\u1780-\u17ff\u3000-\u9fff\U00020000-\U0002ffff])")
+
+
+def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the words of rows of bytes; characters of scripts without spaces are words."""
+    starts, ends, _ = tv.word_spans(data, off)
+    lead = np.flatnonzero(data >= 0xE0)
+    if not len(lead):
+        return starts, ends
+    lead = lead[lead + 2 < len(data)]
+    one, two = data[lead], data[lead + 1]
+    wide = (one == 0xF0) & (two >= 0xA0) & (two <= 0xAF)
+    single = (one >= 0xE3) & (one <= 0xE9) | wide
+    single |= (one == 0xE0) & (two >= 0xB8) & (two <= 0xBB)
+    single |= (one == 0xE1) & ((two >= 0x80) & (two <= 0x82) | (two == 0x9E) | (two == 0x9F))
+    cuts = np.concatenate([lead[single], (lead + 3 + wide)[single]])
+    of = np.searchsorted(starts, cuts, side="right") - 1
+    cuts = cuts[(of >= 0) & (cuts < ends[of])]
+    all_starts = np.union1d(starts, cuts)
+    of = np.searchsorted(starts, all_starts, side="right") - 1
+    return all_starts, np.minimum(ends[of], np.append(all_starts[1:], len(data)))
+
+
 def line_offsets(data: np.ndarray, off: np.ndarray):
     """(line starts, line ends, line offsets by row) of ``\\n``-split rows; an empty row has no line."""
     breaks = np.flatnonzero(data == 10)
@@ -113,68 +152,153 @@ def parity_masks(words: np.ndarray, word_off: np.ndarray) -> tuple[np.ndarray, n
     return out[0], out[1]
 
 
-def line_table(data: np.ndarray, off: np.ndarray, with_sims: bool = True, with_masks: bool = False):
-    """Lines of each row: starts, ends, line offsets, word counts, keys, SimHashes (if asked for; ``with_masks``: a list of them and the parity masks)."""
+def line_table(data: np.ndarray, off: np.ndarray, with_sims: bool = True, with_masks: bool = False, with_words: bool = False):
+    """Lines of each row: starts, ends, line offsets, word counts, keys, SimHashes (if asked for; ``with_masks``: a list of them
+    and the parity masks; ``with_words``: the hashed words and their offsets by line instead)."""
     starts, ends, line_off = line_offsets(data, off)
     norm, keep = squeeze_digits(data)
     keep[off[:-1][np.diff(off) > 0]] = True  # a run of digits ends with its row
     # Positions in the squeezed bytes.
     new = np.concatenate([[0], np.cumsum(keep)])
     squeezed = norm[keep]
-    w_start, w_end, _ = tv.word_spans(squeezed, new[off])  # a line break is no word byte
+    w_start, w_end = word_spans(squeezed, new[off])  # a line break is no word byte
     words = tv.span_hashes(squeezed, w_start, w_end)
     word_off = np.append(np.searchsorted(w_start, new[starts]), len(w_start))
     sims = simhashes(words, word_off) if with_sims else None
     if with_masks:
         sims = [sims, *parity_masks(words, word_off)]
+    if with_words:
+        sims = [words, word_off]
     return starts, ends, line_off, np.diff(word_off), tv.row_hashes(words, word_off, 3), sims
 
 
-def pair_buckets(data: np.ndarray, off: np.ndarray, min_words: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, key): the word pairs of each different line by which it is dealt out (see step 3)."""
-    starts, ends, _, n_words, keys, _ = line_table(data, off, with_sims=False)
-    norm, keep = squeeze_digits(data)
-    keep[off[:-1][np.diff(off) > 0]] = True  # a run of digits ends with its row
-    new = np.concatenate([[0], np.cumsum(keep)])
-    squeezed = norm[keep]
-    w_start, w_end, _ = tv.word_spans(squeezed, new[off])
-    words = tv.span_hashes(squeezed, w_start, w_end)
+def rare_blocks(data: np.ndarray, off: np.ndarray, min_words: int, similarity: float, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(block, key): the blocks of two words of each different line by which it is dealt out (see step 3)."""
+    starts, _, _, n_words, keys, (words, word_off) = line_table(data, off, with_sims=False, with_words=True)
     first = np.zeros(len(starts), bool)
     first[np.unique(keys, return_index=True)[1]] = True
-    # Pairs of neighbouring words of one line.
+    # Neighbouring words of one line.
     line = np.repeat(np.arange(len(starts)), n_words)
     at = np.flatnonzero((line[1:] == line[:-1]) & (first & (n_words >= max(min_words, 2)))[line[1:]])
-    line, pair = line[at], tv.rolling(words, 2)[at]
-    size = (w_end[at + 1] - w_start[at + 1]) + (w_end[at] - w_start[at])
-    by = np.lexsort((pair, -size, line))
-    line, pair = line[by], pair[by]
-    new_pair = np.ones(len(line), bool)
-    new_pair[1:] = (line[1:] != line[:-1]) | (pair[1:] != pair[:-1])
-    line, pair = line[new_pair], pair[new_pair]
+    line, block = line[at], tv.rolling(words, 2)[at]
+    seen = counts[(words & _U(len(counts) - 1)).astype(np.int64)].astype(np.float64)
+    by = np.lexsort((block, seen[at] * seen[at + 1], line))
+    line, block = line[by], block[by]
+    new = np.ones(len(line), bool)
+    new[1:] = (line[1:] != line[:-1]) | (block[1:] != block[:-1])
+    line, block = line[new], block[new]
     rank = np.arange(len(line)) - np.searchsorted(line, line)
-    # A longer partner has more edits, but an inserted word breaks only one pair of this line.
+    # A longer partner has more edits, but an inserted word breaks only one block of this line.
     n = n_words[line]
     broken = np.maximum(2 * ((1 - similarity) * n + 1e-9).astype(np.int64), 2 * ((1 - similarity) * (n + 1) + 1e-9).astype(np.int64) - 1)
     use = rank <= broken
-    return pair[use], keys[line[use]]
+    return block[use], keys[line[use]]
 
 
-def _scan_buckets(min_words: int, similarity: float, bits=None):
-    """The buckets of all lines, once a block; with ``bits`` only those that pass the filter."""
-
+def _count_words(width: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(width, np.int64)
         for batch in batches:
             data, off = tv.text_bytes(batch.column("text"))
             for _, _, d, o in tv.blocks(data, off):
-                bucket, key = pair_buckets(d, o, min_words, similarity)
-                if bits is not None:
-                    use = in_bloom(bits.value, bucket)
-                    bucket, key = bucket[use], key[use]
-                yield pa.RecordBatch.from_arrays([pa.array(tv.signed(bucket)), pa.array(tv.signed(key))], ["bucket", "id"])
+                words, _ = line_table(d, o, with_sims=False, with_words=True)[5]
+                counts += np.bincount((words & _U(width - 1)).astype(np.int64), minlength=width)
+        yield chunk_rows(counts)
 
     return scan
 
 
+def _pack_blocks(min_words: int, similarity: float, ranges: int, counts):
+    """Task function: the blocks of the lines, sorted, and their keys as one row of arrays a range."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shift = _U(64 - ranges.bit_length() + 1)
+        for batch in batches:
+            data, off = tv.text_bytes(batch.column("text"))
+            for _, _, d, o in tv.blocks(data, off, BLOCK_BYTES):
+                block, key = rare_blocks(d, o, min_words, similarity, counts.value)
+                by = np.argsort(block)
+                block, key = block[by], key[by]
+                which, first = np.unique((block >> shift).astype(np.int32) if ranges > 1 else np.zeros(len(block), np.int32), return_index=True)
+                ends = np.append(first[1:], len(block))
+                packed = [[v[x:y].astype("<u8").tobytes() for x, y in zip(first, ends)] for v in (block, key)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(which), pa.array(packed[0], pa.binary()), pa.array(packed[1], pa.binary())], ["range", "blocks", "keys"]
+                )
+
+    return scan
+
+
+class SharedBlocks:
+    """The blocks of one range met so far, each with one key; ``add`` gives (block, key) of those that two keys share.
+
+    Memory follows the different blocks of the range, not their occurrences.
+    """
+
+    def __init__(self):
+        self.blocks, self.keys, self.given = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, bool)
+
+    def add(self, blocks: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        by = np.lexsort((keys, blocks))
+        blocks, keys = blocks[by], keys[by]
+        new = np.ones(len(blocks), bool)
+        new[1:] = (blocks[1:] != blocks[:-1]) | (keys[1:] != keys[:-1])
+        blocks, keys = blocks[new], keys[new]
+        first = np.flatnonzero(np.append(True, blocks[1:] != blocks[:-1])) if len(blocks) else np.empty(0, np.int64)
+        size = np.diff(np.append(first, len(blocks)))
+        kinds = blocks[first]
+        at = np.searchsorted(self.blocks, kinds)
+        known = at < len(self.blocks)
+        known[known] = self.blocks[at[known]] == kinds[known]
+        old = at[known]
+        shared = size > 1
+        shared[known] |= self.given[old] | (self.keys[old] != keys[first][known])
+        out = np.repeat(shared, size)
+        late = old[shared[known] & ~self.given[old]]  # the key held for a block that turns out to be shared
+        given = np.concatenate([blocks[out], self.blocks[late]]), np.concatenate([keys[out], self.keys[late]])
+        self.given[old[shared[known]]] = True
+        merged_blocks = np.concatenate([self.blocks, kinds[~known]])
+        by = np.argsort(merged_blocks, kind="stable")
+        self.blocks = merged_blocks[by]
+        self.keys = np.concatenate([self.keys, keys[first][~known]])[by]
+        self.given = np.concatenate([self.given, shared[~known]])[by]
+        return given
+
+
+def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task function over packed blocks sorted by range: (bucket, id) of the blocks that several lines share."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size, now, state = 0, None, SharedBlocks()
+
+    def fold() -> pa.RecordBatch:
+        blocks, keys = state.add(*(np.concatenate(v) for v in zip(*held))) if held else (np.empty(0, np.uint64),) * 2
+        return pa.RecordBatch.from_arrays([pa.array(tv.signed(blocks)), pa.array(tv.signed(keys))], ["bucket", "id"])
+
+    for batch in batches:
+        for which, blocks, keys in zip(*(batch.column(c) for c in ("range", "blocks", "keys"))):
+            if which.as_py() != now:
+                yield fold()
+                held, size, now, state = [], 0, which.as_py(), SharedBlocks()
+            held.append(tuple(np.frombuffer(v.as_py(), "<u8") for v in (blocks, keys)))
+            size += len(held[-1][0])
+            if size >= FOLD_BLOCKS:
+                yield fold()
+                held, size = [], 0
+    yield fold()
+
+
+def shared_blocks(texts: DataFrame, min_words: int, similarity: float) -> DataFrame:
+    """(bucket, id): the blocks that several different lines share, once for each of those lines."""
+    spark: SparkSession = texts.sparkSession
+    counts = counter_table(texts.mapInArrow(_count_words(WORD_COUNTERS), "chunk int, counts binary"), WORD_COUNTERS)
+    sent = spark.sparkContext.broadcast(counts)
+    wanted = max(int(counts.sum() * 2 * (1 - similarity)) // RANGE_BLOCKS, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranges = 1 << max(wanted - 1, 0).bit_length()
+    packed = texts.mapInArrow(_pack_blocks(min_words, similarity, ranges, sent), "range int, blocks binary, keys binary")
+    rows = packed.repartition("range").sortWithinPartitions("range").mapInArrow(_shared_rows, "bucket long, id long")
+    return materialize(rows, "line-blocks").distinct()
+
+
 def _scan_lines(min_words: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,7 +333,8 @@ def normal_lines(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list
     for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
         held = keep[a:b].copy()
         held[0] = True  # a run of digits ends with its row
-        out.append(" ".join(norm[a:b][held].tobytes().decode("utf-8", "replace").split()))
+        text = norm[a:b][held].tobytes().decode("utf-8", "replace")
+        out.append(" ".join(_SINGLE.sub(r" \1 ", text).split()))
     return out
 
 
@@ -358,7 +483,7 @@ def duplicate_lines(
     """
     exact_words = min_words if exact_words is None else exact_words
     if similarity < 0.5:
-        raise ValueError("word pairs deal out lines of a similarity of at least 0.5")
+        raise ValueError("blocks of two words deal out lines of a similarity of at least 0.5")
     spark: SparkSession = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = texts.where("doc_id is not null and text is not null")
@@ -372,14 +497,7 @@ def duplicate_lines(
         "distinct-lines",
     )
 
-    def buckets(bits=None) -> DataFrame:
-        return texts.select("text").mapInArrow(_scan_buckets(min_words, similarity, bits), "bucket long, id long")
-
-    # A bucket that a third of all lines share reaches the shuffle as one row a task.
-    shared = buckets().groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo != hi").select("bucket")
-    shared = materialize(shared, "line-shared")
-    bits = spark.sparkContext.broadcast(bloom(shared, BUCKET_BITS))
-    members = buckets(bits).join(shared, "bucket").distinct()
+    members = shared_blocks(texts.select("text"), min_words, similarity)
     members = materialize(members.join(distinct.select(F.col("key").alias("id"), "sim", "low", "high", "size"), "id"), "line-members")
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     close = F.expr(
@@ -407,12 +525,7 @@ def duplicate_lines(
     links = verified(pairs, "first")
     labels = components(links)
     left = open_members(members, labels)
-    n_blocks = F.ceil(F.col("n") / BLOCK_LINES)
-    blocks = (
-        left.withColumn("block", F.pmod(F.xxhash64("id"), n_blocks))
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)))
-        .select("bucket", F.col("id").alias("key"), "sim", "size", "low", "high", "comp", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    )
+    blocks = dealt(left, BLOCK_LINES).withColumnRenamed("id", "key")
     rest = (
         blocks.repartition("bucket", "lo", "hi")
         .sortWithinPartitions("bucket", "lo", "hi")

@@ -4,6 +4,7 @@
 ``bloom``          a fixed-width filter of the keys that a later scan should pass on
 ``star_pairs``     every member of a bucket with the bucket's most central member
 ``open_members``   what the stars left apart: members of buckets with several components
+``dealt``          those members in groups of two bounded blocks, for comparison across components
 ``components``     connected components by alternating stars
 ``merged``         components after some more links between components
 """
@@ -164,6 +165,30 @@ def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
     return materialize(own.join(mains, "bucket"), "open-buckets")
 
 
+def dealt(members: DataFrame, block_size: int) -> DataFrame:
+    """``open_members`` dealt to groups (bucket, lo, hi) of two blocks, so that all pairs of different components meet.
+
+    Members of a bucket's main component need not meet each other: they lie in
+    blocks of their own, and only the blocks of the other members (``rest``)
+    are joined with every block.  So a bucket that is one component but for r
+    members makes about (r / block + 1) copies of each row, not n / block.
+    """
+    outside = F.col("comp") != F.col("main")
+    rest = members.where(outside).groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / block_size).alias("__rest"))
+    placed = members.join(rest, "bucket")
+    mains = F.ceil((F.col("n") - 1) / block_size)  # at least one member is outside
+    own = F.pmod(F.xxhash64("id"), F.when(outside, F.col("__rest")).otherwise(F.greatest(mains, F.lit(1))))
+    # Blocks 0 .. rest - 1 hold the members outside, later ones the main component.
+    block = F.when(outside, own).otherwise(own + F.col("__rest"))
+    last = F.when(outside, F.col("__rest") + F.greatest(mains, F.lit(1)) - 1).otherwise(F.col("__rest") - 1)
+    return (
+        placed.withColumns({"block": block, "__last": last})
+        .withColumn("__other", F.explode(F.sequence(F.lit(0).cast("long"), "__last")))
+        .withColumns({"lo": F.least("block", "__other"), "hi": F.greatest("block", "__other")})
+        .drop("__rest", "__last", "__other", "main", "n")
+    )
+
+
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """``labels`` (node, comp) after ``links`` (ca, cb) between components; ids without a label are their own."""
     more = components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))

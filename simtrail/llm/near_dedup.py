@@ -45,6 +45,7 @@ from simtrail.llm.linking import (
     chunk_rows,
     components,
     counter_table,
+    dealt,
     in_bloom,
     merged,
     open_members,
@@ -366,12 +367,7 @@ def near_duplicates(
         bits = spark.sparkContext.broadcast(bloom(left.select("id")))
         sketched = texts.where("doc_id is not null").mapInArrow(_sketches(idf, bits, k), "id long, sketch binary")
         sketched = sketched.dropDuplicates(["id"]).join(copies.select(F.col("rep_id").alias("id"), "bands"), "id")
-        n_blocks = F.ceil(F.col("n") / BLOCK_MEMBERS)
-        blocks = (
-            left.withColumn("block", F.pmod(F.xxhash64("id"), n_blocks))
-            .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)))
-            .select("bucket", "id", "comp", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-        )
+        blocks = dealt(left, BLOCK_MEMBERS).select("bucket", "id", "comp", "block", "lo", "hi")
         rest = (
             blocks.join(sketched, "id")
             .repartition("bucket", "lo", "hi")

@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,8 +34,10 @@ from simtrail.llm.shared import share, shared
 
 MARK = "▁"
 # Words remembered in a task; beyond it the memory starts anew.
-KNOWN_WORDS = 100_000
-BLOCK_CHARS = 1 << 19
+KNOWN_WORDS = 1_000_000
+BLOCK_BYTES = 1 << 21
+# Words encoded at a time.
+NEW_WORDS = 10_000
 
 
 class Pieces:
@@ -142,69 +145,76 @@ def encode_sorted(words: list[str], root: dict, byte_ids: list[int], byte_score:
 
 
 class WordIds:
-    """Ids of the words met so far in a task: a flat array and offsets, reset when large."""
+    """Ids of the words met so far in a task: an Arrow array of words, their ids flat with offsets; reset when large."""
 
     def __init__(self, encode, limit: int):
         self.encode, self.limit = encode, limit
-        self.index: dict[str, int] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.words = pa.array([], pa.large_string())
         self.flat, self.off = np.empty(0, np.int32), np.zeros(1, np.int64)
 
-    def codes(self, words: list[str]) -> np.ndarray:
-        new = {w for w in words if w not in self.index}
-        if new and len(self.index) + len(new) > self.limit:
-            self.index.clear()
-            self.flat, self.off = np.empty(0, np.int32), np.zeros(1, np.int64)
-            new = set(words)
-        if new:
-            ordered = sorted(new)
-            ids = self.encode(ordered)
-            base = len(self.off) - 1
-            self.index.update(zip(ordered, range(base, base + len(ordered)), strict=True))
-            lens = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.flat = np.concatenate([self.flat, np.array([i for x in ids for i in x], np.int32)])
-            self.off = np.concatenate([self.off, self.off[-1] + np.cumsum(lens)])
-        return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-
-
-def text_runs(texts: list, limit: int = BLOCK_CHARS) -> Iterator[tuple[int, int]]:
-    """Runs of rows of about ``limit`` characters."""
-    first, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= limit:
-            yield first, i + 1
-            first, size = i + 1, 0
-    if first < len(texts):
-        yield first, len(texts)
-
-
-def id_lists(words_by_text: list[list[str]], known: WordIds) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, row offsets) of texts given as lists of words."""
-    counts = np.fromiter(map(len, words_by_text), np.int64, len(words_by_text))
-    codes = known.codes([w for ws in words_by_text for w in ws])
+    def codes(self, words: pa.Array) -> np.ndarray:
+        """The place of each word in the memory; only distinct words are looked up, only new ones encoded."""
+        coded = words.dictionary_encode()
+        kinds = coded.dictionary
+        at = pc.index_in(kinds, value_set=self.words)
+        new = kinds.filter(pc.is_null(at))
+        if len(new) and len(self.words) and len(self.words) + len(new) > self.limit:
+            self.clear()
+            new = kinds
+        if len(new):
+            new = new.take(pc.sort_indices(new))
+            flat, lens = [self.flat], []
+            for first in range(0, len(new), NEW_WORDS):
+                ids = self.encode(new.slice(first, NEW_WORDS).to_pylist())
+                lens.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+                flat.append(np.array([i for x in ids for i in x], np.int32))
+            self.flat = np.concatenate(flat)
+            self.off = np.concatenate([self.off, self.off[-1] + np.cumsum(np.concatenate(lens))])
+            self.words = pa.concat_arrays([self.words, new])
+            at = pc.index_in(kinds, value_set=self.words)
+        return at.to_numpy(zero_copy_only=False).astype(np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
+
+
+def cut_at(data: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """The words of a byte array that begin at ``starts`` and end where the next one begins."""
+    offsets = np.append(starts, len(data)).astype(np.int64)
+    return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data)))
+
+
+def spaced_words(column) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, row offsets) with a space put before every text that is not empty, so that each word has one."""
+    texts = pc.fill_null(column.cast(pa.large_string()), "")
+    none, space = (pa.scalar(x, pa.large_string()) for x in ("", " "))
+    return tv.text_bytes(pc.if_else(pc.equal(texts, none), none, pc.binary_join_element_wise(none, texts, space)))
+
+
+def id_lists(words: pa.Array, word_off: np.ndarray, known: WordIds) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, row offsets) of texts whose words are ``words``, with offsets by row."""
+    codes = known.codes(words)  # may extend the memory
     ids, lens = tv.ragged_take(known.flat, known.off, codes)
-    ends = np.concatenate([[0], np.cumsum(lens)])
-    return ids, ends[np.concatenate([[0], np.cumsum(counts)])]
+    return ids, np.concatenate([[0], np.cumsum(lens)])[word_off]
 
 
 def _encoder(vocabulary, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = shared(vocabulary)
         root, byte_score = pieces.trie(), pieces.byte_score()
-        # The mark goes before each word, so words are kept unmarked and marked here.
-        known = WordIds(lambda ws: encode_sorted([MARK + w for w in ws], root, pieces.byte_ids, byte_score), limit)
-        for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
-            column = batch.column("__text").to_pylist()
-            for first, end in text_runs(column):
-                words = [t.split(" ") if t else [] for t in column[first:end]]
-                ids, off = id_lists(words, known)
-                arrays = [
-                    pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids)),
-                    pa.array(np.diff(off)),
-                ]
-                rest = [batch.column(c).slice(first, end - first) for c in batch.schema.names if c != "__text"]
-                names = [c for c in batch.schema.names if c != "__text"]
-                yield pa.RecordBatch.from_arrays([*rest, *arrays], [*names, "ids", "n_tokens"])
+        # A word is remembered with the space before it and marked when it is encoded.
+        known = WordIds(lambda ws: encode_sorted([MARK + w[1:] for w in ws], root, pieces.byte_ids, byte_score), limit)
+        for batch in batches:
+            names = [c for c in batch.schema.names if c != "__text"]
+            for lo in range(0, batch.num_rows, 2000):
+                some = batch.slice(lo, 2000)
+                data, off = spaced_words(some.column("__text"))
+                for first, end, d, o in tv.blocks(data, off, BLOCK_BYTES):
+                    starts = np.flatnonzero(d == 0x20)
+                    ids, id_off = id_lists(cut_at(d, starts), np.searchsorted(starts, o), known)
+                    arrays = [pa.ListArray.from_arrays(pa.array(id_off.astype(np.int32)), pa.array(ids)), pa.array(np.diff(id_off))]
+                    rest = [some.column(c).slice(first, end - first) for c in names]
+                    yield pa.RecordBatch.from_arrays([*rest, *arrays], [*names, "ids", "n_tokens"])
 
     return run
 

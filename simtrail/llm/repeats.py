@@ -1,4 +1,4 @@
-"""Operator 10: repeated byte strings, by longest previous factors in suffix order.
+"""Operator 10: repeated byte strings, by previous factors within runs of equal suffixes.
 
 A byte is repeated if a string of ``LENGTH`` bytes covers it that also starts
 anywhere else in the corpus (the same document included; strings never cross
@@ -17,15 +17,18 @@ suffixes are first dealt into groups that hold everything they can match:
 2. Only grams that occur twice go on.  Anchors with equal contexts are equal
    all through: counted, never compared.
 3. Where a gram has different contexts, one of each is fetched and the
-   suffixes that start before the anchor are put in suffix order, truncated
-   to ``LENGTH`` bytes: suffixes that share them stand together as one run, in
-   order of position (the order of different runs does not matter for factors
-   of that length, so prefixes are ordered by 64-bit names, not by bytes).
-   The previous smaller position of all but a run's first is in the run: only
-   those have a previous factor of that length.
+   suffixes that start before the anchor are ordered, truncated to ``LENGTH``
+   bytes: suffixes that share them stand together as one run, in order of
+   position.  The previous smaller position of all but a run's first is in the
+   run: only those have a previous factor of that length.  The order of
+   different runs does not matter for factors of that length, so runs are
+   hash groups, and neighbours in a run are compared byte by byte before
+   anything is marked.  Equal strings start equally far before their anchor, so
+   a few such distances are ordered at a time and memory stays bounded.
 4. A gram with more than ``GROUP_LIMIT`` different contexts (a passage common
    to very many documents) is not put in one task: its suffixes' ``LENGTH``-byte
-   hashes are counted across the cluster instead.  The result is the same.
+   strings are counted across the cluster instead, by 128-bit hashes.  The
+   result is the same.
 5. Marked intervals are merged per document and cut out.
 
 Defined results: null and empty texts have 0 bytes; texts shorter than
@@ -49,25 +52,28 @@ from simtrail.llm.linking import bloom, in_bloom
 from simtrail.session import materialize
 
 LENGTH = 400
-GROUP_LIMIT = 8_000
+GROUP_LIMIT = 4_000
+# Contexts are taken in by about so many bytes, their suffixes ordered so many at a time.
+CONTEXT_BYTES = 1 << 20
+SUFFIXES = 1 << 17
 # Text at a time: about 150 bytes of working memory a byte.
 BLOCK_BYTES = 1 << 19
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INV = pow(_BASE, -1, 1 << 64)
+_BASE_2 = 0xC2B2AE3D27D4EB4F | 1
 _VALUES = tv.mix64(np.arange(11, 267, dtype=np.uint64) * _U(0xA0761D6478BD642F))
 
 
 class RollingHash:
     """Hashes of any span of a byte array in constant time each, after one pass."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, base: int = _BASE):
         n = len(data) + 1
-        up = np.full(n, _U(_BASE))
+        up = np.full(n, _U(base))
         up[0] = 1
         up = np.cumprod(up, dtype=np.uint64)
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUES[data] * up[:-1], dtype=np.uint64)])
-        down = np.full(n, _U(_BASE_INV))
+        down = np.full(n, _U(pow(base, -1, 1 << 64)))
         down[0] = 1
         self.down = np.cumprod(down, dtype=np.uint64)
 
@@ -169,18 +175,17 @@ _CONTEXT = "fp long, copies long, m long, doc_id long, k long, at long, left int
 
 
 def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["fp", "copies", "m", "doc_id", "k", "at", "left"]
-    types = [pa.int64()] * 6 + [pa.int32()]
+    names = ["fp", "copies", "m", "doc_id", "at", "left", "right"]
     for batch in batches:
         for i in range(batch.num_rows):
             raw = batch.column("text")[i].as_py().encode()
-            k = batch.column("k")[i].as_py()
-            wanted = batch.column("wanted")[i].as_py()
+            k, wanted = batch.column("k")[i], batch.column("wanted")[i].values
             for lo in range(0, len(wanted), 4096):
-                rows = wanted[lo : lo + 4096]
-                columns = [pa.array([k if c == "k" else r[c] for r in rows], t) for c, t in zip(names, types, strict=True)]
-                cut = pa.array([raw[r["at"] - r["left"] : r["at"] + r["right"]] for r in rows], pa.binary())
-                yield pa.RecordBatch.from_arrays([*columns, cut], [*names, "bytes"])
+                rows = dict(zip(names, wanted.slice(lo, 4096).flatten(), strict=True))
+                at, left, right = (rows[c].to_numpy(zero_copy_only=False).tolist() for c in ("at", "left", "right"))
+                cut = pa.array([raw[x - y : x + z] for x, y, z in zip(at, left, right, strict=True)], pa.binary())
+                columns = [rows["fp"], rows["copies"], rows["m"], rows["doc_id"], pa.array([k.as_py()] * len(cut), pa.int64()), rows["at"], rows["left"], cut]
+                yield pa.RecordBatch.from_arrays(columns, ["fp", "copies", "m", "doc_id", "k", "at", "left", "bytes"])
 
 
 def has_previous_factor(ranks: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -202,18 +207,40 @@ def has_previous_factor(ranks: np.ndarray, place: np.ndarray) -> tuple[np.ndarra
     return earlier, other
 
 
+def exact_names(data: np.ndarray, at: np.ndarray, names: np.ndarray, length: int) -> np.ndarray:
+    """Names of the strings of ``length`` bytes at places of ``data``, equal only for equal bytes.
+
+    ``names`` are hashes; neighbours in a run of equal ones are compared, and
+    a run that holds different bytes is named anew by its bytes.
+    """
+    by = np.argsort(names, kind="stable")
+    same = np.flatnonzero(names[by][1:] == names[by][:-1])
+    windows = np.lib.stride_tricks.sliding_window_view(data, length)
+    wrong = set()
+    for lo in range(0, len(same), 8192):
+        i = same[lo : lo + 8192]
+        unequal = (windows[at[by[i]]] != windows[at[by[i + 1]]]).any(axis=1)
+        wrong.update(names[by[i[unequal]]].tolist())
+    if wrong:
+        kinds, names = np.unique(names, return_inverse=True)
+        for i in np.searchsorted(kinds, np.array(sorted(wrong), kinds.dtype)).tolist():
+            members = np.flatnonzero(names == i)
+            own: dict[bytes, int] = {}
+            fresh = [own.setdefault(windows[x].tobytes(), len(own)) for x in at[members].tolist()]
+            names[members] = np.where(np.array(fresh) == 0, i, int(names.max()) + np.array(fresh))
+    return names
+
+
 def _marks(table: pa.Table, length: int, keep_first: bool) -> pa.RecordBatch:
     """Repeated intervals of a block of whole groups of contexts."""
     column = table.column("bytes").combine_chunks()
-    pieces = column.to_pylist()
-    sizes = np.asarray([len(x) for x in pieces], np.int64)
+    off = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[off[0] : off[-1]]
+    off -= off[0]
     left = table.column("left").to_numpy().astype(np.int64)
-    count = np.minimum(left, sizes - length) + 1
-    ctx = np.repeat(np.arange(len(sizes)), count)
-    inner = np.arange(len(ctx)) - np.repeat(np.cumsum(count) - count, count)
-    # Names of the suffixes' first ``length`` bytes: equal bytes, equal name.
-    ranks = _names(pieces, sizes, count, length)
+    count = np.minimum(left, np.diff(off) - length) + 1
     at, copies = table.column("at").to_numpy(), table.column("copies").to_numpy()
+    fp = table.column("fp").to_numpy()
     doc_id = table.column("doc_id")
     known = np.asarray(doc_id.combine_chunks().is_valid())
     ids = doc_id.fill_null(0).to_numpy().astype(np.int64)
@@ -221,81 +248,99 @@ def _marks(table: pa.Table, length: int, keep_first: bool) -> pa.RecordBatch:
     k = table.column("k").to_numpy()
     by = np.lexsort((k, ids, known))
     new = np.concatenate([[False], (k[by][1:] != k[by][:-1]) | (ids[by][1:] != ids[by][:-1])])
-    document = np.empty(len(sizes), np.int64)
+    document = np.empty(len(left), np.int64)
     document[by] = np.cumsum(new)
-    earlier, other = has_previous_factor(ranks, (document << 40)[ctx] + (at - left)[ctx] + inner)
-    hit = earlier if keep_first else other | (copies[ctx] > 1)
-    return _intervals(ctx[hit], inner[hit], k, at - left, length)
-
-
-def _names(pieces: list[bytes], sizes: np.ndarray, count: np.ndarray, length: int) -> np.ndarray:
-    """Names of the first ``count`` strings of each piece, a thousand pieces at a time."""
-    out = []
-    for lo in range(0, len(pieces), 1000):
-        part, n = sizes[lo : lo + 1000], count[lo : lo + 1000]
-        raw = np.frombuffer(b"".join(pieces[lo : lo + 1000]), np.uint8)
-        inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        out.append(RollingHash(raw).windows(length)[np.repeat(np.cumsum(part) - part, n) + inner])
-    return np.concatenate(out)
-
-
-def _intervals(ctx, inner, k, begin, length: int) -> pa.RecordBatch:
-    """One interval a context: all its strings hold the anchor, so they overlap."""
-    if not len(ctx):
-        return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 3, ["k", "start", "end"])
-    which, first = np.unique(ctx, return_index=True)
-    last = np.append(first[1:], len(ctx)) - 1
+    hashes = RollingHash(data).windows(length)
+    first, last = np.full(len(left), -1, np.int64), np.full(len(left), -1, np.int64)
+    # Distance of a suffix from its anchor: equal strings have an equal one.
+    far, step = int(left.max(initial=0)) + 1, max(SUFFIXES // max(len(left), 1), 1)
+    for low in range(0, far, step):
+        # The suffixes that start ``low`` .. ``low + step - 1`` bytes before the anchor.
+        begin = np.maximum(left - (low + step - 1), 0)
+        end = np.minimum(left - low + 1, count)
+        n = np.maximum(end - begin, 0)
+        if not n.any():
+            continue
+        ctx = np.repeat(np.arange(len(left)), n)
+        inner = np.arange(len(ctx)) - np.repeat(np.cumsum(n) - n, n) + begin[ctx]
+        place = off[ctx] + inner
+        # A run is of one gram and one distance.
+        names = hashes[place] ^ tv.mix64(fp[ctx].view(np.uint64) + (left[ctx] - inner).astype(np.uint64))
+        earlier, other = has_previous_factor(
+            exact_names(data, place, names, length), (document << 40)[ctx] + (at - left)[ctx] + inner
+        )
+        hit = np.flatnonzero(earlier if keep_first else other | (copies[ctx] > 1))
+        if len(hit):
+            which, start = np.unique(ctx[hit], return_index=True)
+            stop = np.append(start[1:], len(hit)) - 1
+            low_hit, high_hit = inner[hit][start], inner[hit][stop]
+            first[which] = np.where(first[which] < 0, low_hit, np.minimum(first[which], low_hit))
+            last[which] = np.maximum(last[which], high_hit)
+    # One interval a context: all its strings hold the anchor, so they overlap.
+    which = np.flatnonzero(last >= 0)
+    begin = (at - left)[which]
     return pa.RecordBatch.from_arrays(
-        [pa.array(k[which]), pa.array(begin[which] + inner[first]), pa.array(begin[which] + inner[last] + length)],
-        ["k", "start", "end"],
+        [pa.array(k[which]), pa.array(begin + first[which]), pa.array(begin + last[which] + length)], ["k", "start", "end"]
     )
 
 
 def _group_marks(length: int, keep_first: bool):
-    """Task function over contexts sorted by gram: whole groups, about GROUP_LIMIT contexts at a time."""
+    """Task function over contexts sorted by gram: whole groups, about ``CONTEXT_BYTES`` at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        limit = max(CONTEXT_BYTES // (length + length // 2), 1)
         held: pa.Table | None = None
+
+        def whole(last: bool) -> int:
+            """Rows of whole groups up to the limit, or of the first group alone; 0 if it may go on."""
+            fp = held.column("fp").to_numpy()
+            ends = np.flatnonzero(fp[1:] != fp[:-1]) + 1
+            if last:
+                ends = np.append(ends, len(fp))
+            if not len(ends):
+                return 0
+            return int(ends[ends <= limit][-1]) if ends[0] <= limit else int(ends[0])
+
         for batch in batches:
-            more = pa.Table.from_batches([batch])
-            held = more if held is None else pa.concat_tables([held, more])
-            while held.num_rows >= GROUP_LIMIT:
-                fp = held.column("fp").to_numpy()
-                ends = np.flatnonzero(fp[1:] != fp[:-1]) + 1  # the last group may go on
-                # Whole groups up to the limit, or the first group alone.
-                cut = ends[ends <= GROUP_LIMIT][-1:] if len(ends) and ends[0] <= GROUP_LIMIT else ends[:1]
-                if not len(cut):
-                    break
-                yield _marks(held.slice(0, int(cut[0])), length, keep_first)
-                held = held.slice(int(cut[0]))
+            for lo in range(0, batch.num_rows, limit):
+                more = pa.Table.from_batches([batch.slice(lo, limit)])
+                held = more if held is None else pa.concat_tables([held, more])
+                while held.num_rows >= limit and (cut := whole(False)):
+                    yield _marks(held.slice(0, cut).combine_chunks(), length, keep_first)
+                    held = held.slice(cut)
         while held is not None and held.num_rows:
-            fp = held.column("fp").to_numpy()
-            ends = np.append(np.flatnonzero(fp[1:] != fp[:-1]) + 1, len(fp))
-            cut = int(ends[ends <= GROUP_LIMIT][-1]) if ends[0] <= GROUP_LIMIT else int(ends[0])
-            yield _marks(held.slice(0, cut), length, keep_first)
+            cut = whole(True)
+            yield _marks(held.slice(0, cut).combine_chunks(), length, keep_first)
             held = held.slice(cut)
 
     return run
 
 
 def _string_rows(length: int):
-    """Every string of a context that holds its anchor: (hash, place)."""
+    """Every string of a context that holds its anchor: (two hashes, place), a hundred contexts at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                raw = np.frombuffer(batch.column("bytes")[i].as_py(), np.uint8)
-                left, at = batch.column("left")[i].as_py(), batch.column("at")[i].as_py()
-                n = min(left, len(raw) - length) + 1
+            for lo in range(0, batch.num_rows, 100):
+                rows = batch.slice(lo, 100)
+                pieces = rows.column("bytes").to_pylist()
+                sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+                left, at = (rows.column(c).to_numpy().astype(np.int64) for c in ("left", "at"))
+                n = np.minimum(left, sizes - length) + 1
+                ctx = np.repeat(np.arange(len(pieces)), n)
+                inner = np.arange(len(ctx)) - np.repeat(np.cumsum(n) - n, n)
+                raw = np.frombuffer(b"".join(pieces), np.uint8)
+                place = np.repeat(np.cumsum(sizes) - sizes, n) + inner
+                take = pa.array(ctx)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(tv.signed(RollingHash(raw).windows(length)[:n])),
-                        pa.array([batch.column("doc_id")[i].as_py()] * n, pa.int64()),
-                        pa.array([batch.column("k")[i].as_py()] * n, pa.int64()),
-                        pa.array(np.arange(at - left, at - left + n)),
-                        pa.array([batch.column("copies")[i].as_py()] * n, pa.int64()),
+                        *[pa.array(tv.signed(RollingHash(raw, b).windows(length)[place])) for b in (_BASE, _BASE_2)],
+                        rows.column("doc_id").take(take),
+                        rows.column("k").take(take),
+                        pa.array((at - left)[ctx] + inner),
+                        rows.column("copies").take(take),
                     ],
-                    ["h", "doc_id", "k", "start", "copies"],
+                    ["h", "h2", "doc_id", "k", "start", "copies"],
                 )
 
     return run
@@ -342,12 +387,12 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, keep_first: bool =
     spans = whole.unionByName(small)
     hot = cut.where(F.col("m") > GROUP_LIMIT)
     if not hot.isEmpty():
-        strings = hot.mapInArrow(_string_rows(length), "h long, doc_id long, k long, start long, copies long")
+        strings = hot.mapInArrow(_string_rows(length), "h long, h2 long, doc_id long, k long, start long, copies long")
         # A string under two anchors is one string.
-        strings = strings.groupBy("h", "doc_id", "k", "start").agg(F.max("copies").alias("copies"))
+        strings = strings.groupBy("h", "h2", "doc_id", "k", "start").agg(F.max("copies").alias("copies"))
         least = F.struct("doc_id", "k", "start")
-        counted = strings.groupBy("h").agg(F.sum("copies").alias("n"), F.min(least).alias("first")).where("n > 1")
-        marked = strings.join(counted, "h")
+        counted = strings.groupBy("h", "h2").agg(F.sum("copies").alias("n"), F.min(least).alias("first")).where("n > 1")
+        marked = strings.join(counted, ["h", "h2"])
         if keep_first:
             marked = marked.where(~least.eqNullSafe(F.col("first")))
         spans = spans.unionByName(marked.select("k", "start", (F.col("start") + length).alias("end")))

@@ -13,9 +13,13 @@ Layout of a token table (a folder):
 Documents are range-partitioned before they are encoded, so the texts are
 shuffled once and ids never; the manifest is built from the files.
 
-Encoding uses the tokenizers library.  A text is cut before single spaces
-between two non-space characters, where the byte-level pre-tokeniser always
-cuts too; the distinct pieces of a block are encoded once.
+Encoding uses the tokenizers library.  A text is cut where the byte-level
+pre-tokeniser always cuts too: before a single space between two non-space
+characters, between an ASCII letter and one of ``,.;:!?)"``, and between a
+single line break and an ASCII letter; a tokenizer whose added tokens hold such
+a place is an error.  Cutting, finding the distinct pieces of a block and
+looking them up in the task's memory are array operations; only pieces that are
+new to a task reach the tokenizer.
 
 Defined results: null text counts as empty (only the end id); rows without
 doc_id come first; rows that repeat a doc_id follow each other in the order
@@ -24,8 +28,6 @@ of their texts; an empty table gives an empty token table.
 
 from __future__ import annotations
 
-import re
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -36,26 +38,61 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from simtrail.llm.pieces import WordIds, id_lists, text_runs
-from simtrail.session import ensure_checkpoint_dir
+from simtrail.llm import textvec as tv
+from simtrail.llm.pieces import WordIds, cut_at, id_lists
+from simtrail.session import scratch_path
 
 END_ID = 2
 ROW_STRIDE = 1000
-KNOWN_WORDS = 250_000
-_CUT = re.compile(r"(?<=\S)(?= \S)")
-_PLAIN = re.compile(r"\s\s|[^\S ]")
+KNOWN_WORDS = 1_000_000
+BLOCK_BYTES = 1 << 22
+# ASCII bytes that may be white space to the pre-tokeniser.
+_BLANK = tv.class_table([*range(0x09, 0x0E), *range(0x1C, 0x21)])
+_LETTER = tv.class_table([*range(0x41, 0x5B), *range(0x61, 0x7B)])
+_STOP = tv.class_table(b',.;:!?)"')
+# Lead bytes of characters that may be white space (U+0085, U+00A0, U+1680, U+2000 to U+205F, U+3000).
+_DOUBT = tv.class_table([0xC2, 0xE1, 0xE2, 0xE3])
+
+
+def pretoken_starts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Where the pieces of each row begin that the byte-level pre-tokeniser treats independently.
+
+    Runs of letters end before a stop; a single line break stands alone before
+    a letter; a pre-token begins at a single space with a non-space on either
+    side.  A neighbour that might be white space counts as such; a cut left out
+    only makes a piece longer.
+    """
+    def solid(at: np.ndarray) -> np.ndarray:
+        """Whether the character that ends at each place is surely no white space."""
+        last, two, three = data[at], data[np.maximum(at - 1, 0)], data[np.maximum(at - 2, 0)]
+        return ~(_BLANK[last] | ((last >= 0x80) & ((two == 0xC2) | _DOUBT[three])))
+
+    row_end = np.zeros(len(data) + 1, dtype=bool)
+    row_end[off] = True
+    space = np.flatnonzero(data == 0x20)
+    space = space[~row_end[space] & ~row_end[space + 1]]  # with a neighbour on either side in its row
+    after = data[space + 1]
+    space = space[solid(space - 1) & ~_BLANK[after] & ~_DOUBT[after]]
+    line = np.flatnonzero(data == 0x0A)
+    line = line[~row_end[line] & ~row_end[line + 1]]
+    line = line[solid(line - 1) & _LETTER[data[line + 1]]] + 1
+    stop = np.flatnonzero(_LETTER[data[:-1]] & _STOP[data[1:]]) + 1
+    rows = off[:-1][np.diff(off) > 0]
+    starts = np.zeros(len(data) + 1, dtype=bool)
+    for places in (rows, space, line, stop):
+        starts[places] = True
+    return np.flatnonzero(starts)
+
+
+def uncut(tokens: list[str]) -> list[str]:
+    """The added tokens of a tokenizer that a cut could fall into."""
+    return [t for t in tokens if len(pretoken_runs(t)) > 1]
 
 
 def pretoken_runs(text: str) -> list[str]:
-    """Pieces of a text that the byte-level pre-tokeniser treats independently.
-
-    A cut is made only before a single space with a non-space on either side:
-    there a pre-token always begins.
-    """
-    if _PLAIN.search(text) is None and text[:1] != " " and text[-1:] != " ":
-        words = text.split(" ")
-        return [words[0], *[" " + w for w in words[1:]]]
-    return _CUT.split(text)
+    """The pieces of one text (see ``pretoken_starts``)."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    return cut_at(data, pretoken_starts(data, np.array([0, len(data)]))).to_pylist()
 
 
 def _tokenizer(path: str):
@@ -70,17 +107,20 @@ def _tokenizer(path: str):
 def _encode(path: str, end_id: int, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(path)
+        held = uncut([t.content for t in tokenizer.get_added_tokens_decoder().values()])
+        if held:
+            raise ValueError(f"added tokens {held} hold places where texts are cut")
 
         def ids_of(words: list[str]) -> list[list[int]]:
             return [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
         known = WordIds(ids_of, limit)
         part, start = TaskContext.get().partitionId(), 0
-        for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
-            column = batch.column("text").to_pylist()
-            for first, end in text_runs(column):
-                words = [pretoken_runs(t) if t else [] for t in column[first:end]]
-                ids, off = id_lists(words, known)
+        for batch in batches:
+            data, offsets = tv.text_bytes(batch.column("text"))
+            for first, end, d, o in tv.blocks(data, offsets, BLOCK_BYTES):
+                starts = pretoken_starts(d, o)
+                ids, off = id_lists(cut_at(d, starts), np.searchsorted(starts, o), known)
                 # The end id after each document.
                 ids = np.insert(ids, off[1:], end_id).astype(np.int32)
                 off = off + np.arange(len(off))
@@ -158,6 +198,6 @@ def op3_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "tokens")
     write_tokens(docs, path, tokenizer_path=public_tokenizers.path("byte_bpe_50k.json"))
     return read_tokens(spark, path).mapInArrow(_digests, "doc_id long, start long, n_tokens long, ids_crc32 long")
