@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -159,23 +160,25 @@ class WordIds:
         """The place of each word in the memory; only distinct words are looked up, only new ones encoded."""
         coded = words.dictionary_encode()
         kinds = coded.dictionary
-        at = pc.index_in(kinds, value_set=self.words)
-        new = kinds.filter(pc.is_null(at))
+        at = pc.fill_null(pc.index_in(kinds, value_set=self.words), -1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(at < 0)
         if len(new) and len(self.words) and len(self.words) + len(new) > self.limit:
             self.clear()
-            new = kinds
+            new = np.arange(len(kinds))
         if len(new):
-            new = new.take(pc.sort_indices(new))
+            fresh = kinds.take(pa.array(new))
+            order = pc.sort_indices(fresh)
+            at[new[order.to_numpy()]] = len(self.words) + np.arange(len(new))
+            fresh = fresh.take(order)
             flat, lens = [self.flat], []
-            for first in range(0, len(new), NEW_WORDS):
-                ids = self.encode(new.slice(first, NEW_WORDS).to_pylist())
+            for first in range(0, len(fresh), NEW_WORDS):
+                ids = self.encode(fresh.slice(first, NEW_WORDS).to_pylist())
                 lens.append(np.fromiter(map(len, ids), np.int64, len(ids)))
-                flat.append(np.array([i for x in ids for i in x], np.int32))
+                flat.append(np.fromiter(chain.from_iterable(ids), np.int32, int(lens[-1].sum())))
             self.flat = np.concatenate(flat)
             self.off = np.concatenate([self.off, self.off[-1] + np.cumsum(np.concatenate(lens))])
-            self.words = pa.concat_arrays([self.words, new])
-            at = pc.index_in(kinds, value_set=self.words)
-        return at.to_numpy(zero_copy_only=False).astype(np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
+            self.words = pa.concat_arrays([self.words, fresh])
+        return at[coded.indices.to_numpy()]
 
 
 def cut_at(data: np.ndarray, starts: np.ndarray) -> pa.Array:

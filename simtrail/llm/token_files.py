@@ -28,6 +28,8 @@ of their texts; an empty table gives an empty token table.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -45,11 +47,13 @@ from simtrail.session import scratch_path
 END_ID = 2
 ROW_STRIDE = 1000
 KNOWN_WORDS = 1_000_000
-BLOCK_BYTES = 1 << 22
+BLOCK_BYTES = 1 << 23
 # ASCII bytes that may be white space to the pre-tokeniser.
 _BLANK = tv.class_table([*range(0x09, 0x0E), *range(0x1C, 0x21)])
 _LETTER = tv.class_table([*range(0x41, 0x5B), *range(0x61, 0x7B)])
 _STOP = tv.class_table(b',.;:!?)"')
+# Pieces that are one pre-token: Latin letters up to U+024F, or digits, with or without a space before them.
+_LETTERS = re.compile(" ?(?:[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+|[0-9]+)")
 # Lead bytes of characters that may be white space (U+0085, U+00A0, U+1680, U+2000 to U+205F, U+3000).
 _DOUBT = tv.class_table([0xC2, 0xE1, 0xE2, 0xE3])
 
@@ -104,17 +108,58 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def _encode(path: str, end_id: int, limit: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(path)
-        held = uncut([t.content for t in tokenizer.get_added_tokens_decoder().values()])
-        if held:
-            raise ValueError(f"added tokens {held} hold places where texts are cut")
+def byte_alphabet() -> dict[int, str]:
+    """The characters that stand for bytes: printable Latin-1 for itself, the other bytes from U+0100 on, in order."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(0x100 + i) for i, b in enumerate(others)}
+
+
+def piece_encoder(tokenizer):
+    """Function from pieces to their ids.
+
+    A piece of Latin letters or of digits, with or without a space before them,
+    is one pre-token to the byte-level pre-tokeniser: its bytes, written as the
+    characters that stand for them, go to the tokenizer's model at once.  All
+    other pieces, and all of them if the tokenizer does more than that, take
+    the whole way.
+    """
+    kind = json.loads(tokenizer.to_str())
+    first = kind["pre_tokenizer"] or {}
+    added = [t["content"] for t in kind["added_tokens"]]
+    held = uncut(added)
+    if held:
+        raise ValueError(f"added tokens {held} hold places where texts are cut")
+    plain = (
+        first.get("type") == "ByteLevel"
+        and first.get("use_regex", True)
+        and not first.get("add_prefix_space")
+        and kind["normalizer"] is None
+        and kind["model"]["type"] == "BPE"
+        and not any(_LETTERS.search(t) for t in added if not t.startswith("<|"))
+    )
+    model, byte_chars = tokenizer.model, byte_alphabet()
+
+    def whole(words: list[str]) -> list[list[int]]:
+        return [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def ids_of(words: list[str]) -> list[list[int]]:
+        out: list = [None] * len(words)
+        for i, w in enumerate(words):
+            if _LETTERS.fullmatch(w):
+                chars = w.replace(" ", byte_chars[0x20]) if w.isascii() else w.encode().decode("latin-1").translate(byte_chars)
+                out[i] = [t.id for t in model.tokenize(chars)]
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        for i, ids in zip(rest, whole([words[i] for i in rest])):
+            out[i] = ids
+        return out
 
-        def ids_of(words: list[str]) -> list[list[int]]:
-            return [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    return ids_of if plain else whole
 
-        known = WordIds(ids_of, limit)
+
+def _encode(path: str, end_id: int, limit: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordIds(piece_encoder(_tokenizer(path)), limit)
         part, start = TaskContext.get().partitionId(), 0
         for batch in batches:
             data, offsets = tv.text_bytes(batch.column("text"))

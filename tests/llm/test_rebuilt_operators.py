@@ -201,6 +201,15 @@ def test_cuts_of_random_texts(tokenizer_path):
         assert [i for p in pieces_ for i in t.encode(p, add_special_tokens=False).ids] == t.encode(text, add_special_tokens=False).ids
 
 
+def test_pieces_sent_to_the_model_get_the_same_ids(tokenizer_path):
+    t, rng = _tokenizer(tokenizer_path), np.random.default_rng(9)
+    encode = token_files.piece_encoder(t)
+    letters = list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    words = ["".join([" " * int(rng.integers(0, 2)), *rng.choice(letters, rng.integers(1, 16))]) for _ in range(5000)]
+    words += [" ", "  a", "é", " été", "a1", "it's", "\n", "<|endoftext|>", " endoftext", "\u0120a", " Straße", "œuvre", "\u024f", "×", "12", " 345x", " the", "The", "I"]
+    assert encode(words) == [t.encode(w, add_special_tokens=False).ids for w in words]
+
+
 def test_forgetting_words_changes_no_ids():
     import pyarrow as pa
 
