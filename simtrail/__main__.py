@@ -48,7 +48,7 @@ def main(argv: list[str] | None = None) -> None:
     t.add_argument("--out", required=True)
     t.add_argument("--country", default=config.COUNTRY_KEPT)
     t.add_argument("--corridor", action="append", help="'A,B' (repeatable); default: the three named corridors")
-    t.add_argument("--unit-minutes", type=int, default=10, help="minutes of time in one work unit of a device")
+    t.add_argument("--unit-minutes", type=int, help="link observations in units of a device and so many minutes, without a written table")
     t.add_argument("--start", help="first day of the observations, yyyy-MM-dd")
     t.add_argument("--end", help="last day of the observations, yyyy-MM-dd")
     t.add_argument("--cuts", default=",".join(map(str, config.TIER_CUTS)), help="tier cut percentiles, e.g. 0.1,0.8,0.9")

@@ -9,7 +9,7 @@ from simtrail.functions.calendar import (
     weekday_name,
     weekpart,
 )
-from simtrail.functions.ranking import percent_rank, value_counts, value_ranks
+from simtrail.functions.ranking import exact_percentiles, percent_rank, value_counts
 
 __all__ = [
     "day_diff",
@@ -19,7 +19,7 @@ __all__ = [
     "parse_yyyymmdd",
     "percent_rank",
     "value_counts",
-    "value_ranks",
+    "exact_percentiles",
     "weekday_name",
     "weekpart",
 ]

@@ -1,38 +1,37 @@
-"""Exact ``percent_rank`` over a whole table without a single-partition step over rows.
+"""Exact ranks and quantiles of a whole table without a single-partition step over rows.
 
 ``F.percent_rank().over(Window.orderBy(x))`` has no partition key, so Spark
 plans ``Exchange SinglePartition`` and sorts every row in one task.  At the
-target scale that task is the whole job.  The functions here give the same
-doubles as a distributed plan:
-
-1. ``value_counts``: one row per distinct value with its row count, for one
-   or several columns at once (a ``GROUPING SETS`` aggregate, so a value held
-   by a third of all rows costs nothing extra).  The counts are range
-   partitioned on the value and written once under the shared checkpoint
-   folder, with the number of the partition as a column.  Written, the number
-   is stable, and every reader of the table shares one scan and one
-   aggregate of the input.
-2. ``value_ranks``: rows before a value = rows in earlier partitions (a
-   running sum over one row per partition) + rows of smaller values in its
-   own partition (a window partitioned by that number).
-3. ``percent_rank = before / (n - 1)`` (0.0 when ``n <= 1``), the exact
+target scale that task is the whole job.  ``percent_rank`` gives the same
+doubles by ranking the rows where they are:
+
+1. ``ranged_runs``: the rows themselves are range partitioned on (value, hash
+   of the row), so rows of one value that holds a third of the table spread
+   over as many ranges as their number asks for.  Each range is sorted, a task
+   numbers its rows and the first row of every run of equal values, and the
+   numbered rows are written under the shared checkpoint folder.
+2. ``range_offsets``: one row per range: the rows before it, and the rows
+   before its first value, which may have begun in an earlier range.
+3. Rows before a value = the offset of the range + the place of its run, or
+   the carried start where the run continues from an earlier range.
+   ``percent_rank = before / (n - 1)`` (0.0 when ``n <= 1``), the exact
    formula of Spark's built-in, so results are bit-equal.
 
-The number of ranges follows ``spark.sql.shuffle.partitions`` (AQE merges
-small ones): parallelism grows with the width the session is given, and no
-list of cut points enters the generated code.
+There is no table of values and no join on the value; the only join is with
+the one row per range, at most ``spark.sql.shuffle.partitions`` of them.
 
-The value -> rank table is joined back on the value (null-safe); the planner
-and AQE choose the join by the table's size.  A hot value is a skewed key on
-the big side only, which AQE's skew-join handling splits.
+``exact_percentiles`` selects positions from ``value_counts``: one row per
+distinct value, range partitioned, with the rows before it by prefix sums.
+No task holds a map of all distinct values, as Spark's ``percentile`` does.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from simtrail.session import materialize
 
@@ -51,26 +50,13 @@ def value_counts(df: DataFrame, values: Sequence[str]) -> DataFrame:
     return materialize(ranged, "value-counts")
 
 
-def value_ranks(
-    counts: DataFrame,
-    value: str,
-    *,
-    ascending: bool = True,
-    out: str = "percent_rank",
-    key: str,
-) -> DataFrame:
-    """(``key``, ``out``): one row per distinct value of column ``value`` of ``value_counts``.
-
-    Ordering follows Spark's defaults: ascending puts nulls first, descending
-    puts nulls last, so one order of the ranges serves both.
-    """
+def value_positions(counts: DataFrame, value: str) -> DataFrame:
+    """(``value``, ``__n``, ``__before``, ``__total``): rows of, and before, each distinct value (ascending, nulls first)."""
     values = [c for c in counts.columns if c not in ("__n", "__gid", "__part")]
     # grouping_id has a 1 bit for every column not in the set.
     gid = sum(1 << (len(values) - 1 - j) for j, c in enumerate(values) if c != value)
-    own = counts.where(F.col("__gid") == F.lit(gid)).select(F.col(value).alias(key), "__n", "__part")
-
-    part_order = F.col("__part").asc() if ascending else F.col("__part").desc()
-    earlier = Window.orderBy(part_order).rowsBetween(Window.unboundedPreceding, -1)
+    own = counts.where(F.col("__gid") == F.lit(gid)).select(value, "__n", "__part")
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     # One row per range: at most spark.sql.shuffle.partitions rows reach these un-partitioned windows.
     offsets = (
         own.groupBy("__part")
@@ -81,14 +67,115 @@ def value_ranks(
             F.sum("__pn").over(Window.partitionBy()).alias("__total"),
         )
     )
-    kc = F.col(key)
-    value_order = kc.asc_nulls_first() if ascending else kc.desc_nulls_last()
-    within = Window.partitionBy("__part").orderBy(value_order).rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("__part").orderBy(F.col(value).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     return (
         own.withColumn("__within", F.coalesce(F.sum("__n").over(within), F.lit(0)))
         .join(F.broadcast(offsets), "__part")
-        .select(kc, _fraction(F.col("__off") + F.col("__within"), F.col("__total")).alias(out))
+        .select(value, "__n", (F.col("__off") + F.col("__within")).alias("__before"), "__total")
+    )
+
+
+def exact_percentiles(df: DataFrame, value: str, percentages: Sequence[float]) -> DataFrame:
+    """One row, column ``__p``: the array of exact percentiles of the non-null values (null without any).
+
+    The same interpolation, in the same order of operations, as Spark's
+    ``percentile``.  Writing the value counts starts one job.
+    """
+    counts = value_counts(df.where(F.col(value).isNotNull()).select(value), [value])
+    at = value_positions(counts, value)
+    found = []
+    for p in percentages:
+        position = (F.col("__total") - 1) * F.lit(float(p))
+        ends = [F.floor(position), F.ceil(position)]
+        inside = [(F.col("__before") <= e) & (e < F.col("__before") + F.col("__n")) for e in ends]
+        low, high = (F.max(F.when(i, F.col(value).cast("double"))) for i in inside)
+        found.append(F.struct(F.max(position).alias("at"), low.alias("low"), high.alias("high")))
+
+    def between(e: Column) -> Column:
+        mixed = (F.ceil(e["at"]) - e["at"]) * e["low"] + (e["at"] - F.floor(e["at"])) * e["high"]
+        return F.when(e["low"] == e["high"], e["low"]).otherwise(mixed)
+
+    row = at.agg(F.array(*found).alias("__ends"))
+    return row.select(F.when(F.col("__ends")[0]["low"].isNotNull(), F.transform("__ends", between)).alias("__p"))
+
+
+def _number_runs(value: str):
+    """Task function over the sorted rows of a range: place of each row, and of the first row of its run."""
+
+    def number(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        at, first, held = 0, 0, None
+        for batch in batches:
+            n = batch.num_rows
+            if n == 0:
+                continue
+            column = batch.column(value)
+            both = column if held is None else pa.concat_arrays([held, column])
+            a, b = both.slice(0, len(both) - 1), both.slice(1)
+            same = pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a), pc.is_null(b)))
+            if pa.types.is_floating(column.type):  # NaN is one value, as in Spark's order
+                same = pc.or_(same, pc.fill_null(pc.and_(pc.is_nan(a), pc.is_nan(b)), False))
+            new = ~same.to_numpy(zero_copy_only=False)
+            if held is None:
+                new = np.append(True, new)
+            place = at + np.arange(n)
+            start = np.maximum.accumulate(np.where(new, place, first))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(place, pa.int64()), pa.array(start, pa.int64())], [*batch.schema.names, "__at", "__first"]
+            )
+            at, first, held = at + n, int(start[-1]), column.slice(n - 1, 1)
+
+    return number
+
+
+def ranged_runs(df: DataFrame, value: str, *, ascending: bool = True) -> DataFrame:
+    """``df`` range partitioned and sorted on ``value``, written once.
+
+    New columns: ``__part`` (number of the range), ``__at`` (place of the row
+    in it) and ``__first`` (place of the first row of its run of equal
+    values).  Rows of one value are spread by a hash of the whole row; only
+    rows equal in every column stay together.
+    """
+    order = F.col(value).asc_nulls_first() if ascending else F.col(value).desc_nulls_last()
+    added = [T.StructField(c, t) for c, t in (("__part", T.IntegerType()), ("__at", T.LongType()), ("__first", T.LongType()))]
+    rows = (
+        df.repartitionByRange(order, F.xxhash64(*df.columns))
+        .sortWithinPartitions(order)
+        .withColumn("__part", F.spark_partition_id())
+        .mapInArrow(_number_runs(value), T.StructType([*df.schema.fields, *added]))
+    )
+    return materialize(rows, "ranged-rows")
+
+
+def range_offsets(rows: DataFrame, value: str) -> DataFrame:
+    """Per range of ``ranged_runs``: ``__off`` (rows before it), ``__carry`` (rows before its first value), ``__total``."""
+    parts = rows.groupBy("__part").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min_by(value, "__at").alias("head"),
+        F.max_by(value, "__at").alias("tail"),
+        F.max("__first").alias("last_run"),
     )
+    # One row per range reaches these un-partitioned windows.
+    by_part = Window.orderBy("__part")
+    off = F.coalesce(F.sum("n").over(by_part.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    follows = F.lag(F.lit(True), 1, False).over(by_part) & F.col("head").eqNullSafe(F.lag("tail").over(by_part))
+    parts = parts.select("__part", "n", "last_run", off.alias("__off"), follows.alias("follows"))
+    # Where the last run of a range began: in it, unless the range is one run that follows on.
+    begun = F.when(~(F.col("follows") & (F.col("last_run") == 0)), F.col("__off") + F.col("last_run"))
+    parts = parts.withColumn("begun", F.last(begun, ignorenulls=True).over(by_part.rowsBetween(Window.unboundedPreceding, 0)))
+    carry = F.when(F.col("follows"), F.lag("begun").over(by_part)).otherwise(F.col("__off"))
+    return parts.select("__part", "__off", carry.alias("__carry"), F.sum("n").over(Window.partitionBy()).alias("__total"))
+
+
+def ranked_runs(rows: DataFrame, value: str, out: str) -> DataFrame:
+    """Rows of ``ranged_runs`` with column ``out``, their percent rank, instead of the run columns."""
+    joined = rows.join(F.broadcast(range_offsets(rows, value)), "__part")
+    before = F.when(F.col("__first") == 0, F.col("__carry")).otherwise(F.col("__off") + F.col("__first"))
+    kept = [c for c in rows.columns if c not in ("__part", "__at", "__first")]
+    return joined.select(*kept, _fraction(before, F.col("__total")).alias(out))
 
 
 def _fraction(before: Column, total: Column) -> Column:
@@ -109,7 +196,7 @@ def percent_rank(
     """``df`` plus column ``out`` = global percent rank of ``value``.
 
     ``method="distributed"`` (default) is the plan described in the module
-    docstring; it writes the value counts when called.  ``method="window"``
+    docstring; it writes the numbered rows when called.  ``method="window"``
     is Spark's built-in over an un-partitioned window: one task sorts every
     row, so use it only for small inputs.
     """
@@ -118,6 +205,4 @@ def percent_rank(
         return df.withColumn(out, F.percent_rank().over(Window.orderBy(order)))
     if method != "distributed":
         raise ValueError(f"unknown method {method!r}")
-    key = f"__{value}_{out}_key"
-    ranks = value_ranks(value_counts(df, [value]), value, ascending=ascending, out=out, key=key)
-    return df.join(ranks, df[value].eqNullSafe(ranks[key]), "inner").drop(key)
+    return ranked_runs(ranged_runs(df, value, ascending=ascending), value, out)

@@ -2,14 +2,14 @@
 
 D15 ``corridor``              trip-profile rows of one corridor, trip key dropped
 D16 ``corridor_by_weekpart`` / ``corridor_by_daypart`` / ``corridor_per_device``
-D17 ``percentile_profile``    exact percentiles of a column, one pass
+D17 ``percentile_profile``    exact percentiles of a column
 D18 ``tier``                  Low / Mid / High (/ Ultra High) by percentile cuts
 
 Percentile cut points are an uncorrelated scalar subquery (one array value,
-computed once), not a join and not a ``collect`` in user code.  Spark's
-exact ``percentile`` keeps a value -> count map, so its memory follows the
-number of *distinct* values (trip counts per device: small integers), not
-the number of rows.
+computed once), not a join and not a ``collect`` in user code.  The exact
+percentiles are selected from range-partitioned value counts by prefix sums
+(``functions.ranking.exact_percentiles``), so no task holds all distinct
+values; ``accuracy`` switches to a bounded sketch.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from simtrail import config
+from simtrail.functions.ranking import exact_percentiles
 from simtrail.operators.sim import by_count_desc
 from simtrail.session import materialize
 
@@ -61,11 +62,12 @@ def _pct_name(p: float) -> str:
     return f"p{round(p * 100):02d}"
 
 
-def _percentiles(col, ps: list[float], accuracy: int | None):
-    # Exact (linear interpolation, keeps a value -> count map: memory grows
-    # with distinct values) or approximate (bounded sketch; returns data
-    # values, error about 1 / accuracy of the rank).
-    return F.percentile(col, ps) if accuracy is None else F.percentile_approx(col, ps, accuracy)
+def _percentiles(df: DataFrame, column: str, ps: list[float], accuracy: int | None) -> DataFrame:
+    """One row, column ``__p``: percentiles of the non-null values of ``column``."""
+    if accuracy is None:
+        return exact_percentiles(df, column, ps)
+    # A bounded sketch: data values, error about 1 / accuracy of the rank.
+    return df.where(F.col(column).isNotNull()).agg(F.percentile_approx(column, ps, accuracy).alias("__p"))
 
 
 def percentile_profile(
@@ -76,12 +78,11 @@ def percentile_profile(
 ) -> DataFrame:
     """D17 (A23): one row, column ``pNN`` = percentile of ``column``.
 
-    Exact by default.  ``accuracy`` switches to ``percentile_approx`` for
-    columns with very many distinct values.
+    Exact by default, whatever the number of distinct values; ``df`` is read
+    once.  ``accuracy`` switches to ``percentile_approx``, which writes nothing.
     """
     ps = list(percentages)
-    arr = _percentiles(F.col(column), ps, accuracy)
-    return df.agg(arr.alias("__p")).select(
+    return _percentiles(df, column, ps, accuracy).select(
         *[F.col("__p")[i].alias(_pct_name(p)) for i, p in enumerate(ps)]
     )
 
@@ -114,7 +115,7 @@ def tier(
     if len(labels) < len(cuts) + 1:
         raise ValueError("need one label per tier")
     n = F.col(column)
-    bounds = per_device.where(n.isNotNull()).agg(_percentiles(n, cuts, accuracy)).scalar()
+    bounds = _percentiles(per_device, column, cuts, accuracy).scalar()
     c = [F.col("__cuts")[i] for i in range(len(cuts))]
     tier_id = F.when((n > 0) & (n <= c[0]), F.lit(labels[0][0]))
     for i in range(1, len(cuts)):

@@ -4,6 +4,7 @@ D1  ``multi_sim_devices``  devices seen on more than one carrier
 D2  ``rfm_base``           recency, frequency and monetary value per (device, carrier)
 D3  ``rfm_score``          global percent ranks scaled to 0-5, summed to 0-15
 D4  ``rfm_distribution``   devices per metric value and carrier
+V7  ``activity_state`` / ``merge_states`` / ``base_of_state``: D2 from mergeable period states
 D22 ``key_check`` / ``score_maxima`` sanity aggregates
 
 Plan shape of D2: one shuffle of the raw rows, partially aggregated to
@@ -15,8 +16,8 @@ shuffle as at most one row per carrier and 64 days per map task.
 The global last day is an uncorrelated scalar subquery (one value computed
 once), not a join.
 
-The (device, carrier) table is read five times downstream (global bounds,
-three rank tables, the scored rows).  Catalyst prunes each reader's columns
+The (device, carrier) table is read several times downstream (global bounds,
+range bounds and rows of the first rank).  Catalyst prunes each reader's columns
 differently, so their plans never share an exchange and every reader would
 re-run the raw scan and both aggregations.  ``rfm_base`` therefore cuts the
 lineage there: the table is written once under the session's shared
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 
 from simtrail import config
 from simtrail.functions.calendar import day_diff, month_index
-from simtrail.functions.ranking import value_counts, value_ranks
-from simtrail.session import materialize
+from simtrail.functions.ranking import ranged_runs, ranked_runs
+from simtrail.session import discard, materialize
 
 
 def valid_activity(activity: DataFrame, network: str | None = config.NETWORK_KEPT) -> DataFrame:
@@ -56,6 +57,40 @@ def multi_sim_devices(activity: DataFrame, network: str | None = config.NETWORK_
     )
 
 
+def activity_state(activity: DataFrame, network: str | None = config.NETWORK_KEPT) -> DataFrame:
+    """The mergeable state of some activity (V7): one row per (device, carrier, 64 days).
+
+    ``days`` has a bit for each active day of the span, ``first`` and ``last``
+    are the first and last day, ``brq`` the summed volume.  States of disjoint
+    activity merge with ``merge_states`` in any order, so a later period is
+    added without reading earlier raw rows.
+    """
+    day = F.datediff("date", F.lit("1970-01-01").cast("date"))
+    return (
+        valid_activity(activity, network)
+        .withColumns({"__day": day, "span": F.floor(day / F.lit(64))})
+        .groupBy("ifa", "carrier", "span")
+        .agg(
+            F.min("date").alias("first"),
+            F.max("date").alias("last"),
+            F.bit_or(F.expr("shiftleft(1L, pmod(__day, 64))")).alias("days"),
+            F.sum("brq_count").alias("brq"),
+        )
+    )
+
+
+def merge_states(state: DataFrame) -> DataFrame:
+    """One state of several: a day counts once however many of them hold it; volumes add up.
+
+    One shuffle, on the device, which ``base_of_state`` reuses.
+    """
+    return (
+        state.repartition("ifa")
+        .groupBy("ifa", "carrier", "span")
+        .agg(F.min("first").alias("first"), F.max("last").alias("last"), F.bit_or("days").alias("days"), F.sum("brq").alias("brq"))
+    )
+
+
 def rfm_base(
     activity: DataFrame,
     *,
@@ -74,25 +109,18 @@ def rfm_base(
                         periods -- 1 by default; ``normalise="months"`` uses
                         the number of calendar months spanned (V1).
     """
-    day = F.datediff("date", F.lit("1970-01-01").cast("date"))
-    spans = (
-        valid_activity(activity, network)
-        .withColumns({"__day": day, "__span": F.floor(day / F.lit(64))})
-        .groupBy("ifa", "carrier", "__span")
-        .agg(
-            F.min("date").alias("__first"),
-            F.max("date").alias("__last"),
-            F.bit_or(F.expr("shiftleft(1L, pmod(__day, 64))")).alias("__days"),
-            F.sum("brq_count").alias("__brq"),
-        )
-        .repartition("ifa")
-    )
-    per_pair = spans.groupBy("ifa", "carrier").agg(
-        F.min("__first").alias("earliest_date"),
-        F.max("__last").alias("latest_date"),
+    state = activity_state(activity, network).repartition("ifa")
+    return base_of_state(state, normalise=normalise, checkpoint=checkpoint)
+
+
+def base_of_state(state: DataFrame, *, normalise: str | None = None, checkpoint: bool = True) -> DataFrame:
+    """D2 from a state with one row per (device, carrier, 64 days), as ``merge_states`` returns it."""
+    per_pair = state.groupBy("ifa", "carrier").agg(
+        F.min("first").alias("earliest_date"),
+        F.max("last").alias("latest_date"),
         # distinct days; an unparsable date is no day
-        F.sum(F.coalesce(F.bit_count("__days"), F.lit(0))).alias("data_usage_freq"),
-        F.sum("__brq").alias("brq_count"),
+        F.sum(F.coalesce(F.bit_count("days"), F.lit(0))).alias("data_usage_freq"),
+        F.sum("brq").alias("brq_count"),
     )
     multi = (
         per_pair.withColumn("__carriers", F.count(F.lit(1)).over(Window.partitionBy("ifa")))
@@ -137,22 +165,22 @@ def rfm_score(rfm: DataFrame, *, method: str = "distributed") -> DataFrame:
     """D3: ``rfm`` plus the three percentiles, ``r``/``f``/``m`` in [0, 5] and ``rfm``.
 
     Percentiles equal Spark's ``percent_rank`` over the whole table.  With
-    ``method="distributed"`` the value counts of all three metrics are
-    aggregated in one pass and written once; each metric's value -> rank
-    table comes from there without a single-partition step over rows and is
-    joined back on the value.  ``method="window"`` uses the built-in over an
-    un-partitioned window (single task; small inputs only).
+    ``method="distributed"`` the rows are ranked in place, one metric after
+    another: range partitioned on the metric, numbered and written, see
+    ``functions.ranking``; no step joins on a value, and a value that a third
+    of the rows share is spread over ranges.  ``method="window"`` uses the
+    built-in over an un-partitioned window (single task; small inputs only).
     """
-    scored = rfm
-    counts = value_counts(rfm, [value for value, *_ in RFM_METRICS]) if method != "window" else None
+    scored, last = rfm, None
     for value, ascending, pct, _ in RFM_METRICS:
-        if counts is None:
+        if method == "window":
             order = F.col(value).asc() if ascending else F.col(value).desc()
             scored = scored.withColumn(pct, F.percent_rank().over(Window.orderBy(order)))
             continue
-        key = f"__{pct}_key"
-        ranks = value_ranks(counts, value, ascending=ascending, out=pct, key=key)
-        scored = scored.join(ranks, scored[value].eqNullSafe(ranks[key]), "inner")
+        rows = ranged_runs(scored, value, ascending=ascending)
+        if last is not None:
+            discard(last)
+        scored, last = ranked_runs(rows, value, pct), rows
     scores = {s: F.col(p) * F.lit(5.0) for _, _, p, s in RFM_METRICS}
     # One projection: fewer plan versions for the analyzer; rfm = (r + f) + m.
     return scored.select(

@@ -26,6 +26,21 @@ SLOTS = standins.STANDIN_SLOTS
 CORRIDOR = standins.STANDIN_CORRIDOR
 # V7: a one-year run, the period form of the monthly / biweekly runs.
 PERIOD = ("1997-01-01", "1997-12-31")
+# V7: periods whose states are written apart and merged.
+HALVES = (("1900-01-01", "1995-06-17"), ("1995-06-18", "2099-12-31"))
+QUARTERS = (
+    ("1996-10-01", "1996-12-31"),
+    ("1997-01-01", "1997-03-31"),
+    ("1997-04-01", "1997-06-30"),
+    ("1997-07-01", "1997-09-30"),
+    ("1997-10-01", "1997-12-31"),
+)
+# Days of a location scan that starts and ends within a month.
+DAYS = ("2024-02-03", "2024-03-20")
+# The events lie in one month: here their days lie so many days apart.
+DAY_STEP = 4
+# Segments of the stand-in membership.
+SEGMENT_NAMES = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 
 
 # --- job A building blocks ---------------------------------------------------
@@ -127,6 +142,60 @@ def _segment_folders(spark, sf):
     return readers.read_segments(spark, path)
 
 
+def _activity_files(spark, sf):
+    path = scratch_path(spark, "activity")
+    rows = _activity(spark, sf).withColumn("ifa", F.col("ifa").cast("string"))
+    readers.write_carrier_activity(rows, path)
+    start, end = (day.replace("-", "") for day in PERIOD)
+    return readers.read_carrier_activity(spark, path, start, end)
+
+
+def _segment_plain_folders(spark, sf):
+    path = scratch_path(spark, "segment-folders")
+    names = _membership(spark, sf).select(F.col("ifa").cast("string").alias("ifa"), F.col("segment").alias("name"))
+    # A plain folder a segment, as a producer without partition columns would leave them.
+    for name in SEGMENT_NAMES:
+        names.where(F.col("name") == name).select("ifa").write.parquet(f"{path}/{name}")
+    return readers.read_segments(spark, path, layout="folders")
+
+
+def _merged_base(spark, sf):
+    """D2 from the states of two halves, each aggregated by a run of its own."""
+    path = scratch_path(spark, "activity-state")
+    for start, end in HALVES:
+        state = rfm.activity_state(_activity(spark, sf, (start, end)))
+        readers.write_activity_state(state, path, start.replace("-", ""), end.replace("-", ""))
+    return rfm.base_of_state(rfm.merge_states(readers.read_activity_state(spark, path)))
+
+
+def _profile_of_states(spark, sf):
+    """The SIM profile of ``PERIOD`` from quarterly states; a quarter outside it is not read."""
+    path = scratch_path(spark, "quarter-state")
+    for start, end in QUARTERS:
+        state = rfm.activity_state(_activity(spark, sf, (start, end)))
+        readers.write_activity_state(state, path, start.replace("-", ""), end.replace("-", ""))
+    first, last = (day.replace("-", "") for day in PERIOD)
+    base = rfm.base_of_state(rfm.merge_states(readers.read_activity_state(spark, path, first, last)))
+    ranked = sim_profile.build_wide(rfm.rfm_score(base), SLOTS)
+    return sim.sim_profile(sim.focal_delta(ranked, SLOTS, "ranked"), SLOTS)
+
+
+def _profile_parquet(spark, sf):
+    """Written twice: the second write replaces the first only when its checks hold."""
+    path = scratch_path(spark, "profile-parquet")
+    profile = _profile(spark, sf).withColumn("ifa", F.col("ifa").cast("string"))
+    readers.write_sim_profile(profile, path)
+    readers.write_sim_profile(readers.read_sim_profile(spark, path, SLOTS.score_columns), path)
+    return readers.read_sim_profile(spark, path, SLOTS.score_columns)
+
+
+def _location_months(spark, sf):
+    path = scratch_path(spark, "location-months")
+    nested = standins.nested_locations_from_events(spark, sf, DAY_STEP).withColumn("ifa", F.col("ifa").cast("string"))
+    readers.write_location_timeseries(nested, path)
+    return mobility.location_points(readers.read_location_timeseries(spark, path, *DAYS), config.COUNTRY_KEPT)
+
+
 def _location_files(spark, sf):
     path = scratch_path(spark, "locations")
     nested = standins.nested_locations_from_events(spark, sf).withColumn("ifa", F.col("ifa").cast("string"))
@@ -193,6 +262,13 @@ QUERIES: dict[str, Query] = {
     "profile_csv_round_trip": _profile_csv,
     "segments_round_trip": _segment_folders,
     "locations_round_trip": lambda s, d: _location_files(s, d).selectExpr(*POINT_COLUMNS),
+    "locations_of_days": lambda s, d: _location_months(s, d).selectExpr(*POINT_COLUMNS),
+    "activity_of_period": lambda s, d: _activity_files(s, d).withColumn("date", F.date_format("date", "yyyy-MM-dd")),
+    "segment_folders_round_trip": _segment_plain_folders,
+    "profile_replaced_round_trip": _profile_parquet,
+    # V7: from mergeable period states
+    "rfm_base_merged": _merged_base,
+    "sim_profile_of_states": _profile_of_states,
     # Corridor cohorts
     "corridor_by_weekpart": lambda s, d: cohort.corridor_by_weekpart(_corridor_rows(s, d), ordered=True),
     "corridor_by_daypart": lambda s, d: cohort.corridor_by_daypart(_corridor_rows(s, d), ordered=True),

@@ -10,7 +10,7 @@ window ``percent_rank``/``lead`` over whole devices, ``quantile_cont``,
 from __future__ import annotations
 
 from simtrail import config
-from simtrail.plans.catalog import CORRIDOR, PERIOD, SLOTS
+from simtrail.plans.catalog import CORRIDOR, DAY_STEP, DAYS, PERIOD, SLOTS
 
 F_, O_, P_ = SLOTS.names
 FS, OS, PS = SLOTS.score_columns
@@ -318,6 +318,19 @@ FROM events""",
 SELECT CAST(user_id AS VARCHAR) AS ifa, strftime(ts, '%Y-%m-%d %H:%M:%S') AS seen_at,
        event_type AS city, event_type AS state, '{config.COUNTRY_KEPT}' AS country, CAST(1 AS BIGINT) AS brq_count
 FROM events""",
+        "locations_of_days": f"""
+SELECT CAST(user_id AS VARCHAR) AS ifa, strftime(ts, '%Y-%m-%d %H:%M:%S') AS seen_at,
+       event_type AS city, event_type AS state, '{config.COUNTRY_KEPT}' AS country, CAST(1 AS BIGINT) AS brq_count
+FROM (SELECT * REPLACE (ts + to_days(CAST({DAY_STEP - 1} * (day(ts) - 1) AS INTEGER)) AS ts) FROM events)
+WHERE CAST(ts AS DATE) BETWEEN DATE '{DAYS[0]}' AND DATE '{DAYS[1]}'""",
+        "activity_of_period": _with(
+            _activity(PERIOD),
+            "SELECT CAST(ifa AS VARCHAR) AS ifa, carrier, network, strftime(date, '%Y-%m-%d') AS date, brq_count FROM activity",
+        ),
+        "segment_folders_round_trip": "SELECT CAST(c_custkey AS VARCHAR) AS ifa, c_mktsegment AS segment FROM customer",
+        "profile_replaced_round_trip": _with(_profile(), "SELECT CAST(ifa AS VARCHAR) AS ifa, * EXCLUDE (ifa) FROM profile"),
+        "rfm_base_merged": _with(_base(), "SELECT * FROM rfm"),
+        "sim_profile_of_states": _with(_profile(PERIOD), "SELECT * FROM profile"),
         "movements": _with(_features(), "SELECT ifa, obs_id, state, next_state, has_next FROM moves"),
         "trips": _with(
             _features(),

@@ -24,7 +24,7 @@ def build_features(
     points: DataFrame,
     devices: DataFrame | None = None,
     restrict: str = "early",
-    unit_minutes: int = mobility.UNIT_MINUTES,
+    unit_minutes: int | None = None,
 ) -> DataFrame:
     """Trips with calendar features, of ``devices`` only if given.
 
@@ -46,7 +46,7 @@ def build_trip_profile(
     points: DataFrame,
     devices: DataFrame | None = None,
     restrict: str = "early",
-    unit_minutes: int = mobility.UNIT_MINUTES,
+    unit_minutes: int | None = None,
 ) -> DataFrame:
     """The per-device trip profile.
 
@@ -97,7 +97,7 @@ def run(
     corridors: Sequence[tuple[str, str]] = config.CORRIDORS,
     country: str | None = config.COUNTRY_KEPT,
     cuts: Sequence[float] = config.TIER_CUTS,
-    unit_minutes: int = mobility.UNIT_MINUTES,
+    unit_minutes: int | None = None,
     restrict: str = "early",
     start: str | None = None,
     end: str | None = None,

@@ -88,7 +88,7 @@ def release(spark: SparkSession) -> None:
     Paths go through Hadoop's file system API, so any shared storage works.
     """
     while _written:
-        _delete(spark, _written.pop())
+        delete_path(spark, _written.pop())
 
 
 def discard(*tables: DataFrame) -> None:
@@ -97,10 +97,11 @@ def discard(*tables: DataFrame) -> None:
         path = getattr(table, "_scratch", None)
         if path in _written:
             _written.remove(path)
-            _delete(table.sparkSession, path)
+            delete_path(table.sparkSession, path)
 
 
-def _delete(spark: SparkSession, name: str) -> None:
+def delete_path(spark: SparkSession, name: str) -> None:
+    """Delete a folder on whatever storage it lies."""
     path = spark._jvm.org.apache.hadoop.fs.Path(name)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

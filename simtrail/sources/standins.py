@@ -102,7 +102,7 @@ def points_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 NEST_BLOCK = 256
 
 
-def nested_locations_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def nested_locations_from_events(spark: SparkSession, sf_dir: str, day_step: int = 1) -> DataFrame:
     """T2-shaped nested rows from ``events``.
 
     Each row holds one device's observations within a block of ``NEST_BLOCK``
@@ -110,9 +110,12 @@ def nested_locations_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``struct<city, state, country, last_seen, brq_count, obs_id>``
     (``last_seen`` is the ``yyyy-MM-dd HH:mm:ss`` text of the source).  Event
     ids are unique, so no array holds more than ``NEST_BLOCK`` points however
-    active a device is; every event is kept.
+    active a device is; every event is kept.  ``day_step`` moves the days of
+    a month that many days apart, so that the rows span months.
     """
     e = _table(spark, sf_dir, "events")
+    if day_step > 1:
+        e = e.withColumn("ts", F.expr(f"ts + make_dt_interval({day_step - 1} * (day(ts) - 1))"))
     point = F.struct(
         F.col("event_type").alias("city"),
         F.col("event_type").alias("state"),

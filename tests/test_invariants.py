@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from simtrail.operators import cohort, mobility, rfm, sim
-from simtrail.plans import catalog
+from simtrail.plans import catalog, travel
 from simtrail.sources import standins
 
 SF = "/root/testdata/sf0.01"
@@ -90,11 +90,13 @@ def test_no_single_partition_over_rows(spark):
         assert "percent_rank" not in "\n".join(lines).lower()
 
 
-def test_scores_read_one_table_of_value_counts(spark):
-    """The score plan holds no aggregation of the metrics: their counts were written once."""
+def test_scores_are_ranked_in_place(spark):
+    """The score plan holds no aggregation of the metrics and no join but the one with the ranges."""
     plan = _plan(catalog.queries()["rfm_score"](spark, SF))
     assert "Expand" not in plan
     assert "keys=[brq_m" not in plan and "keys=[recency_days" not in plan
+    joins = [line for line in plan.split("\n") if "Join" in line]
+    assert joins and all("BroadcastHashJoin [__part" in line for line in joins), joins
 
 
 def test_base_shuffles_raw_rows_once(spark):
@@ -102,7 +104,7 @@ def test_base_shuffles_raw_rows_once(spark):
     plan = _plan(rfm.rfm_base(standins.activity_from_orders(spark, SF), checkpoint=False))
     lines = plan.split("\n")
     by_device = [i for i, line in enumerate(lines) if "Exchange hashpartitioning(ifa#" in line and "carrier" not in line]
-    assert by_device and all("Aggregate(keys=[ifa" in lines[i + 1] and "__span" in lines[i + 1] for i in by_device)
+    assert by_device and all("Aggregate(keys=[ifa" in lines[i + 1] and "span" in lines[i + 1] for i in by_device)
 
 
 def _sorted_by(rows, key):
@@ -121,7 +123,8 @@ def test_sorted_outputs_come_sorted(spark):
 
 
 def test_semi_join_and_window_keys(spark):
-    plan = _plan(catalog.queries()["profiled_trip_profile"](spark, SF))
+    devices = catalog.queries()["sim_profile"](spark, SF).select("ifa")
+    plan = _plan(travel.build_trip_profile(standins.points_from_events(spark, SF), devices, unit_minutes=10))
     assert "LeftSemi" in plan
     # Early restriction: the observations that are shuffled on the window unit have met the device list.
     scan_side = [line for line in plan.split("\n") if "REPARTITION_BY_COL" in line]

@@ -91,7 +91,7 @@ def test_split_equals_plain_device_lead(spark):
     plain = pts.select("ifa", "obs_id", "state", F.lead("state").over(w).alias("next_state"),
                        F.lead("obs_id").over(w).isNotNull().alias("has_next"))
     expect = sorted(tuple(r) for r in plain.collect())
-    for minutes in (1, 10, 60, 1440):
+    for minutes in (None, 1, 10, 60, 1440):
         got = mobility.movements(pts, unit_minutes=minutes).select(
             "ifa", "obs_id", "state", "next_state", "has_next")
         assert sorted(tuple(r) for r in got.collect()) == expect, minutes
@@ -109,6 +109,33 @@ def test_ties_without_ids_lose_and_invent_no_link(spark):
     assert moves.where("not has_next").count() == 1
 
 
+def test_crowded_minute_is_spread_over_ranges(spark):
+    """A third of all rows in one minute of one device: no range holds twice the median, and the links are those of one sort."""
+    rnd = random.Random(9)
+    rows = [("hot", None, ts(3, 8), rnd.choice("ABCDEFGH") + str(i)) for i in range(4000)]
+    rows += [(f"d{rnd.randint(0, 400)}", i, ts(rnd.randint(1, 20), rnd.randint(0, 23), rnd.randint(0, 59)), rnd.choice("AB")) for i in range(8000)]
+    pts = spark.createDataFrame(rows, SCHEMA).repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = mobility.ordered_points(pts).groupBy("__part").count().collect()
+        moves = mobility.movements(pts)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    sizes = sorted(r["count"] for r in parts)
+    assert len(sizes) == 8 and sizes[-1] <= 2 * sizes[len(sizes) // 2], sizes
+    hot = [r for r in moves.where("ifa = 'hot'").collect()]
+    order = sorted(r[3] for r in rows if r[0] == "hot")
+    assert {(r["state"], r["next_state"]) for r in hot} == set(zip(order, [*order[1:], None]))
+    assert sum(not r["has_next"] for r in hot) == 1
+
+
+@pytest.mark.parametrize("n", [0, 1, 3])
+def test_few_or_no_rows(spark, n):
+    rows = [("a", i, ts(1, 8 + i), "AB"[i % 2]) for i in range(n)]
+    moves = mobility.movements(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r["obs_id"], r["next_state"]) for r in moves) == [(i, "AB"[(i + 1) % 2] if i + 1 < n else None) for i in range(n)]
+
+
 def test_rows_without_device_are_dropped(spark):
     rows = [(None, 1, ts(1, 8), "A"), (None, 2, ts(1, 9), "B"), ("a", 3, ts(1, 8), "A"), ("a", 4, ts(1, 9), "B")]
     assert {r["ifa"] for r in mobility.movements(spark.createDataFrame(rows, SCHEMA)).collect()} == {"a"}
@@ -117,7 +144,7 @@ def test_rows_without_device_are_dropped(spark):
 def test_one_row_level_sort(spark):
     """The executed plan sorts the observations once; the other sorts are of one row a unit."""
     rows = [("a", i, ts(1 + i % 5, i % 24), "AB"[i % 2]) for i in range(200)]
-    out = mobility.trips(mobility.movements(spark.createDataFrame(rows, SCHEMA)))
+    out = mobility.trips(mobility.movements(spark.createDataFrame(rows, SCHEMA), unit_minutes=10))
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert sum("Sort [" in line and "seen_at" in line for line in plan.splitlines()) == 1, plan
 
@@ -126,8 +153,9 @@ def test_restrict_to_devices_is_semi_join(spark):
     rows = [("a", 1, ts(1, 8), "A"), ("a", 2, ts(1, 9), "B"), ("b", 3, ts(1, 8), "A"), ("b", 4, ts(1, 9), "B")]
     pts = spark.createDataFrame(rows, SCHEMA)
     devices = spark.createDataFrame([("a",), ("a",)], "ifa string")  # listed twice
-    out = mobility.trips(mobility.movements(pts, devices))
-    assert sorted((r["ifa"], r["travel"]) for r in out.collect()) == [("a", "A_B")]
+    for minutes in (None, 10):
+        out = mobility.trips(mobility.movements(pts, devices, unit_minutes=minutes))
+        assert sorted((r["ifa"], r["travel"]) for r in out.collect()) == [("a", "A_B")]
     assert "LeftSemi" in out._jdf.queryExecution().executedPlan().toString()
 
 

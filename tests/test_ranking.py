@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from simtrail.functions.ranking import percent_rank, value_counts
+from simtrail.functions.ranking import exact_percentiles, percent_rank, ranged_runs, value_counts
 
 
 def _builtin(df, asc):
@@ -112,3 +112,37 @@ def test_dates_rank_like_builtin(spark):
     df = spark.createDataFrame(rows, "id long, v date")
     for asc in (True, False):
         assert _ours(df, asc) == _builtin(df, asc)
+
+
+@pytest.mark.parametrize("asc", [True, False])
+def test_hot_value_is_spread_over_ranges(spark, all_ranges, asc):
+    """A value held by half of all rows crosses ranges: no range has twice the median, ranks stay those of one sort."""
+    rnd = random.Random(2)
+    rows = [(i, 5.0 if i % 2 else rnd.choice([None, float("nan"), -0.0, 0.0, rnd.uniform(0, 9)])) for i in range(12_000)]
+    df = spark.createDataFrame(rows, "id long, v double").repartition(6)
+    sizes = sorted(r["count"] for r in ranged_runs(df, "v", ascending=asc).groupBy("__part").count().collect())
+    assert len(sizes) == 8 and sizes[-1] <= 2 * sizes[len(sizes) // 2], sizes
+    assert _ours(df, asc) == _builtin(df, asc)
+
+
+def test_ranks_of_strings_and_of_no_rows(spark):
+    df = spark.createDataFrame([(i, "äbc"[i % 3] if i % 5 else None) for i in range(60)], "id long, v string")
+    assert _ours(df, True) == _builtin(df, True)
+    assert percent_rank(df.limit(0), "v").count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 1000])
+def test_percentiles_equal_the_builtin(spark, all_ranges, n):
+    rnd = random.Random(n)
+    rows = [(rnd.choice([None, rnd.randint(0, 9), rnd.randint(0, 10**6)]),) for _ in range(n)] + [(3,)]
+    df = spark.createDataFrame(rows, "v long")
+    ps = [0.0, 0.1, 0.25, 0.5, 0.77, 0.9, 1.0]
+    want = df.agg(F.percentile("v", ps)).first()[0]
+    assert exact_percentiles(df, "v", ps).first()["__p"] == want
+    assert exact_percentiles(df.limit(0), "v", ps).first()["__p"] is None
+
+
+def test_percentiles_of_a_million_distinct_values(spark):
+    df = spark.range(1_000_001).select((F.col("id") * 7919 % 1_000_003).alias("v"))
+    got = exact_percentiles(df, "v", [0.1, 0.5, 0.9]).first()["__p"]
+    assert got == df.agg(F.percentile("v", [0.1, 0.5, 0.9])).first()[0]
