@@ -12,6 +12,7 @@ from simtrail.llm import (
     line_dedup,
     manifest,
     near_dedup,
+    oracle,
     page_text,
     phrases,
     pieces,
@@ -43,4 +44,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the operators that it can express; the others are held against brute force in tests."""
+    return oracle.oracle_sql()

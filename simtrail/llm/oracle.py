@@ -73,6 +73,31 @@ SELECT lang, rank, gram AS phrase, a, l, r, n, score FROM ranked JOIN totals USI
 """
 
 
+# Every 400-byte string by its digest; runs of strings that occur twice, merged and cut out.
+REPEATS = """
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+starts AS (SELECT rid, b, unnest(range(0, octet_length(b) - 399)) AS i FROM docs),
+windows AS (SELECT rid, i, md5(b[i + 1:i + 400]) AS h FROM starts),
+twice AS (SELECT rid, i FROM windows WHERE h IN (SELECT h FROM windows GROUP BY h HAVING count(*) > 1)),
+islands AS (
+  SELECT rid, i, sum(fresh) OVER (PARTITION BY rid ORDER BY i) AS island
+  FROM (SELECT rid, i, CASE WHEN i <= lag(i) OVER (PARTITION BY rid ORDER BY i) + 400 THEN 0 ELSE 1 END AS fresh FROM twice)
+),
+spans AS (SELECT rid, island, min(i) AS s, max(i) + 400 AS e FROM islands GROUP BY rid, island),
+gaps AS (
+  SELECT rid, s, e, lag(e, 1, 0) OVER (PARTITION BY rid ORDER BY s) AS before FROM spans
+),
+cut AS (
+  SELECT rid, count(*) AS n_spans, CAST(sum(e - s) AS BIGINT) AS n_removed, max(e) AS tail,
+         list(b[before + 1:s] ORDER BY s) AS kept
+  FROM gaps JOIN docs USING (rid) GROUP BY rid
+)
+SELECT doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(CASE WHEN n_spans IS NULL THEN b ELSE list_reduce(kept, lambda x, y: x || y) || b[tail + 1:] END) AS kept_sha256
+FROM docs LEFT JOIN cut USING (rid)
+"""
+
+
 def _field(column: str) -> str:
     text = f"CAST({column} AS VARCHAR)"
     return f"coalesce(CAST(strlen({text}) AS VARCHAR) || ':' || {text}, '-')"
@@ -150,6 +175,7 @@ FROM folded
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_winnowing_decontamination": CONTAMINATION,
+        "op10_suffix_repeats": REPEATS,
         "op12_phrase_collocations": COLLOCATIONS,
         "op13_merkle_manifest": MANIFEST,
     }
