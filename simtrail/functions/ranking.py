@@ -75,14 +75,33 @@ def value_positions(counts: DataFrame, value: str) -> DataFrame:
     )
 
 
-def exact_percentiles(df: DataFrame, value: str, percentages: Sequence[float]) -> DataFrame:
-    """One row, column ``__p``: the array of exact percentiles of the non-null values (null without any).
+def grouped_positions(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """``value_positions`` within each group of ``by``: (by, ``value``, ``__n``, ``__before``, ``__total``).
+
+    The counts are range partitioned on (by, value), so one group may span
+    ranges, and written once.
+    """
+    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
+    counts = materialize(counts.repartitionByRange(*by, value).withColumn("__part", F.spark_partition_id()), "group-value-counts")
+    of_group = Window.partitionBy(*by)
+    earlier = of_group.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    # One row a range and group reaches these windows.
+    runs = counts.groupBy("__part", *by).agg(F.sum("__n").alias("__pn")).select(
+        "__part", *by, F.coalesce(F.sum("__pn").over(earlier), F.lit(0)).alias("__off"), F.sum("__pn").over(of_group).alias("__total")
+    )
+    within = Window.partitionBy("__part", *by).orderBy(F.col(value).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.withColumn("__within", F.coalesce(F.sum("__n").over(within), F.lit(0)))
+    return placed.join(runs, ["__part", *by]).select(*by, value, "__n", (F.col("__off") + F.col("__within")).alias("__before"), "__total")
+
+
+def exact_percentiles(df: DataFrame, value: str, percentages: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """One row (one a group of ``by``), column ``__p``: the exact percentiles of the non-null values (null without any).
 
     The same interpolation, in the same order of operations, as Spark's
     ``percentile``.  Writing the value counts starts one job.
     """
-    counts = value_counts(df.where(F.col(value).isNotNull()).select(value), [value])
-    at = value_positions(counts, value)
+    known = df.where(F.col(value).isNotNull()).select(*by, value)
+    at = grouped_positions(known, by, value) if by else value_positions(value_counts(known, [value]), value)
     found = []
     for p in percentages:
         position = (F.col("__total") - 1) * F.lit(float(p))
@@ -95,8 +114,8 @@ def exact_percentiles(df: DataFrame, value: str, percentages: Sequence[float]) -
         mixed = (F.ceil(e["at"]) - e["at"]) * e["low"] + (e["at"] - F.floor(e["at"])) * e["high"]
         return F.when(e["low"] == e["high"], e["low"]).otherwise(mixed)
 
-    row = at.agg(F.array(*found).alias("__ends"))
-    return row.select(F.when(F.col("__ends")[0]["low"].isNotNull(), F.transform("__ends", between)).alias("__p"))
+    row = at.groupBy(*by).agg(F.array(*found).alias("__ends"))
+    return row.select(*by, F.when(F.col("__ends")[0]["low"].isNotNull(), F.transform("__ends", between)).alias("__p"))
 
 
 def _number_runs(value: str):

@@ -114,8 +114,18 @@ def tier(
         per_device = materialize(per_device, "tier-input")
     if len(labels) < len(cuts) + 1:
         raise ValueError("need one label per tier")
-    n = F.col(column)
     bounds = _percentiles(per_device, column, cuts, accuracy).scalar()
+    # scalar subquery: one array, computed once
+    return with_tier(per_device.withColumn("__cuts", bounds), cuts, labels, column)
+
+
+def with_tier(
+    rows: DataFrame, cuts: Sequence[float], labels: Sequence[tuple[str, str]] = config.TIER_LABELS, column: str = "count"
+) -> DataFrame:
+    """``tier_id`` and ``tier_level`` of ``column`` by the cut values in the array column ``__cuts``, which goes."""
+    if len(labels) < len(cuts) + 1:
+        raise ValueError("need one label per tier")
+    n = F.col(column)
     c = [F.col("__cuts")[i] for i in range(len(cuts))]
     tier_id = F.when((n > 0) & (n <= c[0]), F.lit(labels[0][0]))
     for i in range(1, len(cuts)):
@@ -125,9 +135,4 @@ def tier(
     for tid, name in labels[: len(cuts) + 1]:
         cond = F.col("tier_id") == F.lit(tid)
         level = F.when(cond, F.lit(name)) if level is None else level.when(cond, F.lit(name))
-    return (
-        per_device.withColumn("__cuts", bounds)  # scalar subquery: one array, computed once
-        .withColumn("tier_id", tier_id)
-        .withColumn("tier_level", level)
-        .drop("__cuts")
-    )
+    return rows.withColumn("tier_id", tier_id).withColumn("tier_level", level).drop("__cuts")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simtrail import config
-from simtrail.operators import cohort, mobility, rfm, segments, sim
+from simtrail.operators import cohort, corridors, mobility, rfm, segments, sim
 from simtrail.plans import sim_profile, travel
 from simtrail.session import scratch_path
 from simtrail.sources import readers, standins
@@ -24,6 +24,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 SLOTS = standins.STANDIN_SLOTS
 CORRIDOR = standins.STANDIN_CORRIDOR
+# Several corridors at once.
+CORRIDORS = (CORRIDOR, ("purchase", "view"), ("click", "signup"))
 # V7: a one-year run, the period form of the monthly / biweekly runs.
 PERIOD = ("1997-01-01", "1997-12-31")
 # V7: periods whose states are written apart and merged.
@@ -110,6 +112,11 @@ def _tiers(spark, sf, cuts=config.TIER_CUTS):
     return cohort.tier(_per_device(spark, sf), cuts)
 
 
+def _cohorts(spark, sf, with_segments=False):
+    members = _membership(spark, sf) if with_segments else None
+    return corridors.corridor_cohorts(_trip_profile(spark, sf), CORRIDORS, members)
+
+
 def _membership(spark, sf):
     return standins.segments_from_customer(spark, sf)
 
@@ -277,6 +284,15 @@ QUERIES: dict[str, Query] = {
     "corridor_tiers": lambda s, d: _tiers(s, d),
     "corridor_tiers_four": lambda s, d: _tiers(s, d, config.TIER_CUTS_FOUR),
     "tier_levels": lambda s, d: _tiers(s, d).select("tier_level").distinct(),
+    # D15-D21 for several corridors in one pass
+    "corridors_by_weekpart": lambda s, d: _cohorts(s, d)["by_weekpart"],
+    "corridors_by_daypart": lambda s, d: _cohorts(s, d)["by_daypart"],
+    "corridors_per_device": lambda s, d: _cohorts(s, d)["per_device"],
+    "corridors_deciles": lambda s, d: _cohorts(s, d)["deciles"],
+    "corridors_tiers": lambda s, d: _cohorts(s, d)["tiers"],
+    "corridors_segment_tiers": lambda s, d: _cohorts(s, d, True)["segment_tiers"],
+    "corridors_segment_dayparts": lambda s, d: _cohorts(s, d, True)["segment_dayparts"],
+    "corridors_segment_weekparts": lambda s, d: _cohorts(s, d, True)["segment_weekparts"],
     # segments
     "segment_tier_profile": lambda s, d: segments.segment_tier_profile(_tiers(s, d), _membership(s, d)),
     "segment_daypart_profile": lambda s, d: segments.segment_daypart_profile(

@@ -10,7 +10,7 @@ window ``percent_rank``/``lead`` over whole devices, ``quantile_cont``,
 from __future__ import annotations
 
 from simtrail import config
-from simtrail.plans.catalog import CORRIDOR, DAY_STEP, DAYS, PERIOD, SLOTS
+from simtrail.plans.catalog import CORRIDOR, CORRIDORS, DAY_STEP, DAYS, PERIOD, SLOTS
 
 F_, O_, P_ = SLOTS.names
 FS, OS, PS = SLOTS.score_columns
@@ -227,6 +227,35 @@ tier0 AS (SELECT ifa, count, CASE {' '.join(whens)} END AS tier_id FROM per_devi
 tiers AS (SELECT ifa, count, tier_id, CASE {levels} END AS tier_level FROM tier0)"""
 
 
+def _corridors() -> str:
+    names = " ".join(
+        f"WHEN travel IN ({', '.join(repr(k) for k in config.corridor_keys(a, b))}) THEN '{a}{config.TRAVEL_SEPARATOR}{b}'"
+        for a, b in CORRIDORS
+    )
+    whens = [
+        f"WHEN count > {'0' if i == 0 else f'c[{i}]'} AND count <= c[{i + 1}] THEN '{config.TIER_LABELS[i][1]}'"
+        for i in range(len(config.TIER_CUTS))
+    ]
+    ids = [w.replace(f"'{config.TIER_LABELS[i][1]}'", f"'{config.TIER_LABELS[i][0]}'") for i, w in enumerate(whens)]
+    last, label = f"WHEN count > c[{len(config.TIER_CUTS)}] THEN", config.TIER_LABELS[len(config.TIER_CUTS)]
+    return _features() + f""",
+crows AS (SELECT CASE {names} END AS corridor, ifa, weekday_weekend, time_of_day, count FROM tprofile),
+per_device AS (SELECT corridor, ifa, CAST(sum(count) AS BIGINT) AS count FROM crows WHERE corridor IS NOT NULL GROUP BY 1, 2),
+cuts AS (SELECT corridor, quantile_cont(count, [{', '.join(map(str, config.TIER_CUTS))}]) AS c FROM per_device GROUP BY corridor),
+tiers AS (
+  SELECT corridor, ifa, count, CASE {' '.join(ids)} {last} '{label[0]}' END AS tier_id,
+         CASE {' '.join(whens)} {last} '{label[1]}' END AS tier_level
+  FROM per_device JOIN cuts USING (corridor)
+)"""
+
+
+def _corridor_segments(source: str, dim: str, agg: str) -> str:
+    return f"""
+SELECT corridor, CASE WHEN grouping(segment) = 1 THEN '{config.ALL_SEGMENTS}' ELSE segment END AS segment, {dim}, {agg}
+FROM {source} JOIN membership USING (ifa) WHERE corridor IS NOT NULL
+GROUP BY GROUPING SETS ((corridor, segment, {dim}), (corridor, {dim}))"""
+
+
 MEMBERSHIP = "membership AS (SELECT c_custkey AS ifa, c_mktsegment AS segment FROM customer)"
 
 
@@ -371,6 +400,27 @@ WHERE CAST(ts AS DATE) BETWEEN DATE '{DAYS[0]}' AND DATE '{DAYS[1]}'""",
         "corridor_tiers": _with(_tiers(), "SELECT * FROM tiers"),
         "corridor_tiers_four": _with(_tiers(config.TIER_CUTS_FOUR), "SELECT * FROM tiers"),
         "tier_levels": _with(_tiers(), "SELECT DISTINCT tier_level FROM tiers"),
+        **{
+            f"corridors_by_{name}": _with(
+                _corridors(), f"SELECT corridor, {dim}, CAST(sum(count) AS BIGINT) AS count FROM crows WHERE corridor IS NOT NULL GROUP BY 1, 2"
+            )
+            for name, dim in (("weekpart", "weekday_weekend"), ("daypart", "time_of_day"))
+        },
+        "corridors_per_device": _with(_corridors(), "SELECT * FROM per_device"),
+        "corridors_deciles": _with(
+            _corridors(),
+            f"SELECT corridor, {decile_cols} FROM (SELECT corridor, quantile_cont(count, [{deciles}]) AS p FROM per_device GROUP BY corridor)",
+        ),
+        "corridors_tiers": _with(_corridors(), "SELECT * FROM tiers"),
+        "corridors_segment_tiers": _with(
+            _corridors() + ",\n" + MEMBERSHIP, _corridor_segments("tiers", "tier_level", "count(DISTINCT ifa) AS ifa_count")
+        ),
+        **{
+            f"corridors_segment_{name}s": _with(
+                _corridors() + ",\n" + MEMBERSHIP, _corridor_segments("crows", dim, "CAST(sum(count) AS BIGINT) AS count")
+            )
+            for name, dim in (("weekpart", "weekday_weekend"), ("daypart", "time_of_day"))
+        },
         "segment_tier_profile": _with(
             _tiers() + ",\n" + MEMBERSHIP,
             _segment_grouping("tiers", "tier_level", "count(DISTINCT ifa) AS ifa_count"),

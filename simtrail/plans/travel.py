@@ -1,23 +1,26 @@
 """Job B: location observations of profiled devices -> trips -> corridor cohorts.
 
-Builders up to the trip profile are lazy; ``corridor_report`` writes the tier
-input when it is called (``cohort.tier``).  It returns every dataset of one
-corridor; when several of them are written, ``materialize`` the trip
-profile once -- a table written to the shared checkpoint folder -- instead of
-recomputing the trips for each output (``run`` does; ``cohort.tier`` writes
-its own per-device input the same way).
+Building the trips writes the ordered observations (``mobility.movements``).
+``corridor_report`` returns every dataset of one corridor,
+``corridors.corridor_cohorts`` those of any number of corridors from one pass;
+``run`` uses the latter on a trip profile that it writes once to the shared
+checkpoint folder.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from simtrail import config
 from simtrail.operators import cohort, mobility, segments
-from simtrail.session import materialize
+from simtrail.operators import corridors as corridors_ops
+from simtrail.session import delete_path, materialize
 from simtrail.sources import readers
+from simtrail.sources.sinks import replace_folder
 
 
 def build_features(
@@ -125,8 +128,31 @@ def run(
 
     save(profile, "trip_profile")
     save(mobility.od_matrix(profile), "od_matrix")
-    for a, b in corridors:
-        key = f"{a}_{b}".replace(" ", "_").lower()
-        for name, df in corridor_report(profile, a, b, membership, cuts).items():
-            save(df, f"corridor={key}/{name}")
+    keys = {corridors_ops.corridor_name(a, b): f"corridor={f'{a}_{b}'.replace(' ', '_').lower()}" for a, b in corridors}
+    for name, df in corridors_ops.corridor_cohorts(profile, corridors, membership, cuts).items():
+        written |= save_by_corridor(df, out_root, name, keys)
+    return written
+
+
+def save_by_corridor(df: DataFrame, out_root: str, name: str, keys: dict[str, str]) -> dict[str, str]:
+    """Write all corridors of one dataset in one job, as ``<out_root>/<key>/<name>``; ``keys``: folder by corridor.
+
+    The job writes a folder a corridor beside the results; each is then moved
+    to its place.  A corridor without rows gets an empty table.
+    """
+    spark = df.sparkSession
+    root = out_root.rstrip("/")
+    staging = f"{root}/_{name}-{uuid.uuid4().hex}"
+    number = F.array_position(F.array(*[F.lit(c) for c in keys]), F.col("corridor"))
+    df.withColumn("__n", number).drop("corridor").write.partitionBy("__n").parquet(staging)
+    written = {}
+    for n, key in enumerate(keys.values(), 1):
+        path = f"{root}/{key}/{name}"
+        part = spark._jvm.org.apache.hadoop.fs.Path(f"{staging}/__n={n}")
+        if part.getFileSystem(spark._jsc.hadoopConfiguration()).exists(part):
+            replace_folder(spark, part.toString(), path)
+        else:
+            spark.createDataFrame([], df.drop("corridor").schema).write.mode("overwrite").parquet(path)
+        written[f"{key}/{name}"] = path
+    delete_path(spark, staging)
     return written

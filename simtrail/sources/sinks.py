@@ -94,6 +94,7 @@ def replace_folder(spark: SparkSession, new: str, path: str) -> None:
     target, fresh = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, new))
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
     old = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}-old-{uuid.uuid4().hex}")
+    fs.mkdirs(target.getParent())
     had = fs.exists(target)
     if had and not fs.rename(target, old):
         raise OSError(f"could not set {path} aside")

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from simtrail import config
 from simtrail.operators import cohort, segments
@@ -87,3 +88,56 @@ def test_approximate_percentiles_option(spark):
         assert abs(exact[c] - approx[c]) <= 1.0  # data values within one rank of the exact cut
     tiers = {r["tier_level"] for r in cohort.tier(per, accuracy=10_000).collect()}
     assert tiers == {"Low", "Mid", "High"}
+
+
+def test_many_corridors_in_one_scan(spark):
+    """Every dataset of every corridor equals the single-corridor one; the profile is read once."""
+    import random
+
+    from simtrail.operators import corridors
+    from simtrail.plans import travel
+
+    rnd = random.Random(4)
+    rows = [(f"d{rnd.randint(0, 60)}", f"{a}_{b}", rnd.choice(["weekday", "weekend"]), rnd.choice(["morning", "night"]), rnd.randint(1, 9))
+            for a, b in ("AB", "BA", "AC", "CA", "BC", "CD") for _ in range(80)]
+    profile = spark.createDataFrame(rows, "ifa string, travel string, weekday_weekend string, time_of_day string, count long")
+    members = spark.createDataFrame([(f"d{i}", s) for i in range(50) for s in ("PP", "SS")[: 1 + i % 2]], "ifa string, segment string")
+    pairs = [("A", "B"), ("C", "A"), ("B", "A"), ("X", "Y")]
+    got = corridors.corridor_cohorts(profile, pairs, members)
+    for a, b in pairs[:2]:
+        want = travel.corridor_report(profile, a, b, members)
+        assert set(want) == set(got)
+        for name, df in want.items():
+            own = got[name].where(F.col("corridor") == f"{a}_{b}").select(*df.columns)
+            assert sorted(map(tuple, own.collect())) == sorted(map(tuple, df.collect())), (a, b, name)
+    assert {r["corridor"] for r in got["per_device"].collect()} == {"A_B", "C_A"}
+
+
+def test_corridors_are_written_to_their_folders(spark, tmp_path):
+    from simtrail.plans import travel
+
+    df = spark.createDataFrame([("A_B", "x", 1), ("C D_A", "y", 2)], "corridor string, k string, n long")
+    keys = {"A_B": "corridor=a_b", "C D_A": "corridor=c_d_a", "X_Y": "corridor=x_y"}
+    for _ in range(2):  # a second run replaces the first
+        written = travel.save_by_corridor(df, str(tmp_path), "totals", keys)
+    assert {k: [tuple(r) for r in spark.read.parquet(p).collect()] for k, p in written.items()} == {
+        "corridor=a_b/totals": [("x", 1)], "corridor=c_d_a/totals": [("y", 2)], "corridor=x_y/totals": []}
+    assert sorted(x.name for x in tmp_path.iterdir()) == ["corridor=a_b", "corridor=c_d_a", "corridor=x_y"]
+
+
+@pytest.mark.parametrize("sizes", [[1], [5, 1, 40], [300, 2]])
+def test_percentiles_by_group(spark, sizes):
+    import random
+
+    from simtrail.functions.ranking import exact_percentiles
+
+    rnd = random.Random(sum(sizes))
+    rows = [(f"g{i}", rnd.choice([None, rnd.randint(0, 30)])) for i, n in enumerate(sizes) for _ in range(n)] + [(f"g{i}", 7) for i in range(len(sizes))]
+    df = spark.createDataFrame(rows, "g string, v long")
+    ps = [0.0, 0.1, 0.5, 0.8, 1.0]
+    want = {r["g"]: r["p"] for r in df.groupBy("g").agg(F.percentile("v", ps).alias("p")).collect()}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert {r["g"]: r["__p"] for r in exact_percentiles(df, "v", ps, by=["g"]).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
