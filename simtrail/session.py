@@ -113,6 +113,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+# Spark deletes a query's shuffle files when the query ends, instead of at some later garbage collection.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Cut lineage at a fan-out point: write ``df`` once, read it back.
 
@@ -123,11 +127,17 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     ``Dataset.checkpoint()``: it is computed in one job (an un-persisted
     eager checkpoint computes its input twice) and later readers get column
     pruning and predicate pushdown.  The table stays until ``release``, which
-    a job calls when its outputs are written.
+    a job calls when its outputs are written.  The shuffle files behind it go
+    with the job: nothing but the table reads them again.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(FREE_SHUFFLES, "false")
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
     # The schema is known: reading it back needs no footer / inference job.
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
