@@ -63,6 +63,8 @@ EXACT_WORDS = 1
 MAX_BITS = 28
 SIMILARITY = 0.8
 BLOCK_LINES = 2048
+# Groups up to this size are compared many at once.
+SMALL_GROUP = 64
 WORD_COUNTERS = 1 << 19
 # Blocks of a range of about so many; text in a task's block; packed blocks taken in at a time.
 RANGE_BLOCKS = 1 << 21
@@ -396,9 +398,10 @@ def _verify_lines(similarity: float):
             for x, y in zip(batch.column("la").to_pylist(), batch.column("lb").to_pylist(), strict=True):
                 x, y = x.split(" "), y.split(" ")
                 longer = max(len(x), len(y))
-                # The difference of the lengths is a lower bound.
-                near = abs(len(x) - len(y)) <= (1 - similarity) * longer + 1e-9
-                keep.append(near and edit_distance(x, y) <= (1 - similarity) * longer + 1e-9)
+                edits = (1 - similarity) * longer + 1e-9
+                # Lower bounds: the difference of the lengths, and half of the words that one line has alone.
+                near = abs(len(x) - len(y)) <= edits and len(set(x) ^ set(y)) <= 2 * edits
+                keep.append(near and edit_distance(x, y) <= edits)
             names = [c for c in batch.schema.names if c not in ("la", "lb")]
             yield batch.filter(pa.array(keep, pa.bool_())).select(names)
 
@@ -437,6 +440,34 @@ def _close_pairs(max_bits: int, similarity: float, with_comps: bool):
         ids = key if comp is None else comp
         return key[x], key[y], ids[x], ids[y]
 
+    def small_pairs(rows, starts, ends):
+        """The pairs of many small groups (of one block each) at once: row i with row i + 1, i + 2, .. of its group."""
+        size = ends - starts
+        at = np.repeat(starts, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        end = np.repeat(ends, size)
+        key, sim, length = rows[1], rows[2].view(np.uint64), rows[3]
+        found, step = [], 1
+        while len(at):
+            inside = at + step < end
+            at, end = at[inside], end[inside]
+            y = at + step
+            near = np.bitwise_count(sim[y] ^ sim[at]) <= max_bits
+            if with_comps:
+                near &= rows[6][y] != rows[6][at]
+            x, y = at[near], y[near]
+            edits = (1 - similarity) * np.maximum(length[y], length[x]) + 1e-9
+            near = np.abs(length[y] - length[x]) <= edits
+            if with_comps:
+                turned = sum(np.bitwise_count((rows[c][y] ^ rows[c][x]).view(np.uint64)).astype(np.int64) for c in (4, 5))
+                near &= turned <= 2 * edits.astype(np.int64)
+            found.append((x[near], y[near]))
+            step += 1
+        x, y = (np.concatenate([np.empty(0, np.int64), *z]) for z in zip(*found)) if found else [np.empty(0, np.int64)] * 2
+        swap = key[x] > key[y]
+        x, y = np.where(swap, y, x), np.where(swap, x, y)
+        ids = rows[6] if with_comps else key
+        return key[x], key[y], ids[x], ids[y]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         out: list = []
@@ -453,13 +484,17 @@ def _close_pairs(max_bits: int, similarity: float, with_comps: bool):
                 continue
             group = rows[[0, -2, -1] if with_comps else [0]]
             cuts = np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1
-            for a, b in zip([0, *cuts[:-1]], cuts, strict=False):  # the last group may go on
-                if b - a > 1:
-                    out.append(pairs_of(*rows[1:, a:b]))
-                    count += len(out[-1][0])
-                    if count > 100_000:
-                        yield flush()
-                        out, count = [], 0
+            # The last group may go on.
+            starts, ends = np.append(0, cuts)[:-1] if len(cuts) else cuts, cuts
+            small = ends - starts <= SMALL_GROUP
+            out.append(small_pairs(rows, starts[small], ends[small]))
+            count += len(out[-1][0])
+            for a, b in zip(starts[~small], ends[~small]):
+                out.append(pairs_of(*rows[1:, a:b]))
+                count += len(out[-1][0])
+                if count > 100_000:
+                    yield flush()
+                    out, count = [], 0
             held = [rows[:, cuts[-1] if len(cuts) else 0 :].copy()]
         if held:
             out.append(pairs_of(*held[0][1:]))
