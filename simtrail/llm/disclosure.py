@@ -26,9 +26,18 @@ generalised with the entities.
 Terms are words of letters, digits and non-ASCII characters that are not all
 digits, ASCII lower-cased.
 
+Keys, tokens and passwords are protected too, but no pattern lists them: such a
+value is told by the information it carries.  The co-occurrence of neighbouring
+bytes over the whole corpus gives every byte its surprisal after the one before
+it, ``-log2 P(b | a)``.  A term of ``CODE_CHARS`` characters or more that mixes
+letters and digits discloses itself if its bytes carry at least ``CODE_BITS`` bits
+in all and their median is at least ``CODE_RATE`` times the corpus's mean: words,
+however long or rare, are made of the pairs the corpus is made of, random codes
+are not.
+
 Defined results: null and empty texts have no spans; documents without a base
-match never get a span; repeated rows are each returned; spans never overlap
-(a term inside a base span is dropped).
+match get no span but for such codes; repeated rows are each returned; spans
+never overlap (a term inside a base span is dropped).
 """
 
 from __future__ import annotations
@@ -44,13 +53,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simtrail.llm import textvec as tv
-from simtrail.llm.linking import bloom, in_bloom
+from simtrail.llm.linking import bloom, chunk_rows, counter_table, in_bloom
+from simtrail.llm.shared import share as share_value
+from simtrail.llm.shared import shared
 from simtrail.session import materialize
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
 SHARE = 0.9
 MIN_LINES = 3
+# Codes: characters, bits in all, and the median of a byte's bits as a multiple of the corpus's mean.
+CODE_CHARS = 16
+CODE_BITS = 64.0
+CODE_RATE = 1.25
 _U = np.uint64
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -61,6 +76,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _HAS_DIGIT = re.compile(r"[0-9][\x20.-]?[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 _DIGIT_BYTES = tv.class_table(range(0x30, 0x3A))
+_LONG_TERM = re.compile(r"[0-9A-Za-z\u0080-\U0010ffff]{%d,}" % CODE_CHARS)
+_DIGIT, _LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
 
 
 def email_spans(text: str) -> list[tuple[int, int]]:
@@ -206,20 +223,61 @@ def _pair_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(tv.signed(tv.mix64(t ^ tv.mix64(e))))], ["h"])
 
 
+def _byte_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of neighbouring bytes within rows, as chunks of a table of 65,536 counters."""
+    counts = np.zeros(1 << 16, np.int64)
+    for batch in batches:
+        data, off = tv.text_bytes(batch.column(0))
+        for _, _, d, o in tv.blocks(data, off):
+            pairs = d[:-1].astype(np.int64) * 256 + d[1:]
+            inner = o[1:-1]
+            inner = inner[(inner > 0) & (inner < len(d))] - 1  # pairs across rows
+            counts += np.bincount(pairs, minlength=1 << 16) - np.bincount(pairs[np.unique(inner)], minlength=1 << 16)
+    yield chunk_rows(counts)
+
+
+class Surprisal:
+    """Bits of each byte after the one before it, and their mean over the corpus; 65,536 numbers, whatever the data."""
+
+    def __init__(self, counts: np.ndarray):
+        pairs = counts.reshape(256, 256).astype(np.float64)
+        self.bits = (np.log2(pairs.sum(axis=1, keepdims=True) + 256.0) - np.log2(pairs + 1.0)).astype(np.float32)
+        self.mean = float((pairs * self.bits).sum() / max(pairs.sum(), 1.0))
+
+    @classmethod
+    def of(cls, texts: DataFrame) -> Surprisal:
+        """From all texts of a one-column table."""
+        return cls(counter_table(texts.mapInArrow(_byte_pairs, "chunk int, counts binary"), 1 << 16))
+
+    def code_spans(self, text: str) -> list[tuple[int, int]]:
+        """Terms that disclose themselves, in code points."""
+        out = []
+        for m in _LONG_TERM.finditer(text):
+            if _DIGIT.search(m[0]) and _LETTER.search(m[0]):
+                raw = np.frombuffer(m[0].encode(), np.uint8)
+                bits = self.bits[raw[:-1], raw[1:]]
+                if bits.sum() >= CODE_BITS and np.median(bits) >= CODE_RATE * self.mean:
+                    out.append((m.start(), m.end()))
+        return out
+
+
 _SPAN = "array<struct<kind: int, start: long, end: long>>"
+_PLACES = "array<struct<start: long, end: long>>"
 _MAYBE = "array<struct<e: long, t: long, start: long, end: long>>"
 
 
-def _document_spans(entities, pairs):
+def _document_spans(entities, pairs, surprisal):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        entity_bits, pair_bits = entities.value, pairs.value
+        entity_bits, pair_bits, known = entities.value, pairs.value, shared(surprisal)
         context = TaskContext.get()
         row = (context.partitionId() if context else 0) << 40
         for batch in batches:
-            spans, maybe, rows = [], [], []
+            spans, maybe, rows, codes = [], [], [], []
             for text in batch.column("__text").to_pylist():
                 found = base_spans(text) if text else []
                 spans.append([{"kind": k, "start": a, "end": b} for k, a, b in found])
+                own_codes = known.code_spans(text) if text else []
+                codes.append([{"start": a, "end": b} for a, b in own_codes if not any(x < b and a < y for _, x, y in found)])
                 own = sorted({entity_key(k, text[a:b]) for k, a, b in found})
                 if own:
                     own = np.array(own, np.int64)
@@ -240,9 +298,10 @@ def _document_spans(entities, pairs):
             names = [c for c in batch.schema.names if c != "__text"]
             span_type = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))
             maybe_type = pa.list_(pa.struct([("e", pa.int64()), ("t", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
+            code_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+            added = [pa.array(rows, pa.int64()), pa.array(spans, span_type), pa.array(maybe, maybe_type), pa.array(codes, code_type)]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in names), pa.array(rows, pa.int64()), pa.array(spans, span_type), pa.array(maybe, maybe_type)],
-                [*names, "__row", "__base", "__maybe"],
+                [*(batch.column(c) for c in names), *added], [*names, "__row", "__base", "__maybe", "__codes"]
             )
 
     return scan
@@ -294,12 +353,13 @@ def with_spans(docs: DataFrame, *, text: str = "text", share: float = SHARE, min
     terms = disclosing_terms(docs.select(F.col(text).alias("text")), share=share, min_lines=min_lines)
     entities = spark.sparkContext.broadcast(bloom(terms.select("e")))
     pairs = spark.sparkContext.broadcast(bloom(terms.mapInArrow(_pair_keys, "h long")))
-    rest = docs.drop("base_spans", "term_spans", "__row", "__base", "__maybe", "__text")
+    surprisal = share_value(spark, Surprisal.of(docs.select(F.col(text).cast("string"))))
+    rest = docs.drop("base_spans", "term_spans", "__row", "__base", "__maybe", "__codes", "__text")
     kept = [c for c in rest.columns if c != text]
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rest.schema.fields if f.name != text)
     scanned = materialize(
         rest.select(*[F.col(c) for c in kept], F.col(text).cast("string").alias("__text")).mapInArrow(
-            _document_spans(entities, pairs), f"{schema}__row long, __base {_SPAN}, __maybe {_MAYBE}"
+            _document_spans(entities, pairs, surprisal), f"{schema}__row long, __base {_SPAN}, __maybe {_MAYBE}, __codes {_PLACES}"
         ),
         "document-spans",
     )
@@ -312,8 +372,9 @@ def with_spans(docs: DataFrame, *, text: str = "text", share: float = SHARE, min
         .agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("places"))
     )
     out = scanned.join(sure, "__row", "left")
+    # A term may be a code as well: each place once, in order.
     places = F.transform(
-        F.coalesce("places", F.array().cast("array<struct<start: long, end: long>>")),
+        F.array_sort(F.array_union(F.coalesce("places", F.array().cast(_PLACES)), "__codes")),
         lambda p: F.struct(F.lit(len(KINDS)).alias("kind"), p["start"].alias("start"), p["end"].alias("end")),
     )
     return out.select(*kept, F.col("__base").alias("base_spans"), places.alias("term_spans"))

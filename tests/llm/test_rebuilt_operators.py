@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from simtrail.llm import line_dedup, linking, pieces, repeats, token_files
+from simtrail.llm import disclosure, line_dedup, linking, pieces, repeats, token_files
 
 DOCS = "doc_id long, text string"
 
@@ -245,3 +245,31 @@ def test_digest_is_of_little_endian_ids(spark, tokenizer_path, tmp_path):
     got = {r["doc_id"]: r["ids_crc32"] for r in token_files.op3_orc_tokens(spark, str(tmp_path)).collect()}
     ids = [*_tokenizer(tokenizer_path).encode("abc def", add_special_tokens=False).ids, 2]
     assert got == {1: zlib.crc32(np.array(ids, "<u4").tobytes()), 2: zlib.crc32(np.array([2], "<u4").tobytes())}
+
+
+# --- operator 8 ------------------------------------------------------------------
+def test_codes_disclose_themselves(spark):
+    """Random keys in words of a corpus are spans; long, rare or numbered words are not."""
+    rng = np.random.default_rng(12)
+    syllables = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve".split()
+    word = lambda n: "".join(rng.choice(syllables, n))
+    secret = ["".join(rng.choice(list("0123456789abcdef"), 40)), "sk" + "".join(rng.choice(list("ABCDEFGHijklmnop0123456789"), 24))]
+    docs = [(i, " ".join(word(int(rng.integers(1, 5))) for _ in range(200))) for i in range(60)]
+    docs += [(100, f'so token = "{secret[0]}" and on'), (101, f"é key: {secret[1]}, {secret[0]}"), (102, word(16) + "2024 " + word(14)), (103, None), (104, "mail a1b2c3d4e5f6a7b8c9d0@x.org")]
+    out = {r["doc_id"]: r for r in disclosure.with_spans(spark.createDataFrame(docs, DOCS)).collect()}
+    texts = dict(docs)
+    found = {d: [texts[d][s["start"] : s["end"]] for s in r["term_spans"]] for d, r in out.items()}
+    assert found[100] == [secret[0]] and found[101] == [secret[1], secret[0]]
+    assert not any(found[d] for d in found if d not in (100, 101))
+
+
+def test_surprisal_counts_pairs_within_rows(spark):
+    texts = ["abab", None, "", "ba", "é"]
+    got = disclosure.Surprisal.of(spark.createDataFrame([(t,) for t in texts], "text string"))
+    pairs = np.zeros((256, 256))
+    for t in texts:
+        raw = (t or "").encode()
+        for a, b in zip(raw, raw[1:]):
+            pairs[a, b] += 1
+    bits = np.log2(pairs.sum(axis=1, keepdims=True) + 256) - np.log2(pairs + 1)
+    assert np.allclose(got.bits, bits) and got.mean == pytest.approx((pairs * bits).sum() / pairs.sum(), rel=1e-5)
