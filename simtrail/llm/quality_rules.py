@@ -10,13 +10,16 @@ some 2,000 rows a group and measure, however many documents it has.
 fence = 75 % quantile + SPREADS * max(75 % - 25 % quantile, least spread)
 
 for shares of symbols, repeated lines and repeated words, and the same on
-both sides for the mean word length.  A group of fewer than ``MIN_GROUP``
-documents uses the sketch of its language, then that of all documents.
+both sides for the mean word length.  Every group's sketch is its own counts
+plus those of its language scaled to ``PARENT_ROWS`` rows, and the language's are
+its own plus those of all documents scaled alike: a small group leans on its
+parent, a large one outweighs it, and no size switches from one to the other.
+Equal texts of a group count once, so copying a text does not move its fence.
 
 Words are runs of anything but ASCII white space.
 
 Defined results: null text has no words and fails the base rules; null lang
-or source is a group of its own; repeated rows are each counted and returned;
+or source is a group of its own; repeated rows are all returned;
 existing columns of the names added are replaced.
 """
 
@@ -36,7 +39,7 @@ from simtrail.session import materialize
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-MIN_GROUP = 200
+PARENT_ROWS = 200
 SPREADS = 3
 # Measures in thousandths and their least spread; the mean word length also has a lower fence.
 MEASURES = {"symbol_share": 20, "dup_line_share": 200, "repeat_share": 100, "word_length": 500}
@@ -98,12 +101,14 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def with_measures(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """``docs`` without its text, with the base counts, ``base_failed`` and the shares in thousandths."""
     rest = docs.drop(*BASE, "n_lines", "__text", *MEASURES, "base_failed").select(
-        *[F.col(c) for c in docs.columns if c not in (text, *BASE, "n_lines", "__text", *MEASURES, "base_failed")],
+        *[F.col(c) for c in docs.columns if c not in (text, *BASE, "n_lines", "__text", "text_key", *MEASURES, "base_failed")],
         F.col(text).cast("string").alias("__text"),
     )
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields if f.name != "__text")
     counts = ", ".join(f"{c} long" for c in (*BASE, "n_lines"))
-    found = rest.mapInArrow(_measure, f"{schema}, {counts}" if schema else counts)
+    keyed = rest.withColumn("text_key", F.xxhash64("__text", F.length("__text")))
+    schema = f"{schema}, text_key long" if schema else "text_key long"
+    found = keyed.mapInArrow(_measure, f"{schema}, {counts}")
 
     def share(top: str, bottom: str):
         return F.expr(f"case when {bottom} > 0 then {top} * 1000 div {bottom} else 0 end")
@@ -137,39 +142,63 @@ def bucket_low(bucket):
     )
 
 
+_GROUP = ("__lk", "__sk")
+
+
+def _keys(df: DataFrame) -> DataFrame:
+    """``__lk`` and ``__sk``: language and source as keys that are never null."""
+    return df.withColumns({k: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for k, c in zip(_GROUP, ("lang", "source"))})
+
+
 def sketches(measured: DataFrame) -> DataFrame:
-    """(level, lang, source, measure, bucket, n): the sketches of groups, languages and all documents."""
+    """(__lk, __sk, measure, bucket, n): the sketch of each group; texts that are equal count once."""
     pairs = F.explode(
         F.array(*[F.struct(F.lit(m).alias("measure"), bucket_of(F.col(m)).alias("bucket")) for m in MEASURES])
     ).alias("p")
-    groups = (
-        measured.select("lang", "source", pairs)
-        .select("lang", "source", "p.*")
-        .groupBy("lang", "source", "measure", "bucket")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    # Merging sketches is adding counts.
-    langs = groups.groupBy("lang", "measure", "bucket").agg(F.sum("n").alias("n"))
+    once = _keys(measured).groupBy(*_GROUP, "text_key").agg(*[F.min(m).alias(m) for m in MEASURES])
+    return once.select(*_GROUP, pairs).select(*_GROUP, "p.*").groupBy(*_GROUP, "measure", "bucket").agg(F.count(F.lit(1)).alias("n"))
+
+
+def blended(groups: DataFrame) -> DataFrame:
+    """``sketches`` with the counts of the parents added (``n`` becomes a fraction).
+
+    Merging sketches is adding counts: a language's is the sum of its groups',
+    the one of all documents the sum of theirs.
+    """
+
+    def shares(counts: DataFrame, keys: list[str]) -> DataFrame:
+        total = F.sum("n").over(Window.partitionBy(*keys, "measure"))
+        return counts.select(*keys, "measure", "bucket", (F.col("n") / total).alias("share"))
+
+    def lean(own: DataFrame, parent: DataFrame, keys: list[str], on: list[str]) -> DataFrame:
+        """``own`` plus ``PARENT_ROWS`` rows dealt as the parent's shares."""
+        added = own.select(*keys, "measure").distinct().join(parent, [*on, "measure"])
+        both = own.select(*keys, "measure", "bucket", F.col("n").cast("double").alias("n")).unionByName(
+            added.select(*keys, "measure", "bucket", (F.col("share") * PARENT_ROWS).alias("n"))
+        )
+        return both.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
+
+    langs = groups.groupBy("__lk", "measure", "bucket").agg(F.sum("n").alias("n"))
     every = langs.groupBy("measure", "bucket").agg(F.sum("n").alias("n"))
-    none = F.lit(None).cast("string")
-    return (
-        groups.withColumn("level", F.lit(0))
-        .unionByName(langs.withColumns({"level": F.lit(1), "source": none}))
-        .unionByName(every.withColumns({"level": F.lit(2), "lang": none, "source": none}))
-    )
+    langs = lean(langs, shares(every, []), ["__lk"], [])
+    return lean(groups, shares(langs, ["__lk"]), list(_GROUP), ["__lk"])
 
 
 def fences(counts: DataFrame) -> DataFrame:
-    """(level, lang, source, total, and low_/high_ of each measure) from the sketches."""
-    keys = ["level", "lang", "source", "measure"]
+    """(__lk, __sk, and low_/high_ of each measure) from the blended sketches."""
+    keys = [*_GROUP, "measure"]
     run = Window.partitionBy(*keys).orderBy("bucket")
     whole = Window.partitionBy(*keys)
-    # The bucket that holds row ceil(q * total) in ascending order.
+    # The bucket in which the running share reaches a quarter, or three quarters.
     ranked = counts.withColumns({"upto": F.sum("n").over(run), "total": F.sum("n").over(whole)})
+
+    def reaches(quarters: int):
+        # The margin is for rounding of the shares.
+        return F.col("upto") * 4 >= F.col("total") * (quarters - 1e-9)
+
     quartiles = ranked.groupBy(*keys).agg(
-        F.max("total").alias("total"),
-        F.min(F.when(F.col("upto") * 4 >= F.col("total"), bucket_low(F.col("bucket")))).alias("q1"),
-        F.min(F.when(F.col("upto") * 4 >= F.col("total") * 3, bucket_low(F.col("bucket")))).alias("q3"),
+        F.min(F.when(reaches(1), bucket_low(F.col("bucket")))).alias("q1"),
+        F.min(F.when(reaches(3), bucket_low(F.col("bucket")))).alias("q3"),
     )
     aggs = []
     for m, least in MEASURES.items():
@@ -177,33 +206,23 @@ def fences(counts: DataFrame) -> DataFrame:
         aggs.append(F.max(F.when(F.col("measure") == m, F.col("q3") + reach)).alias(f"high_{m}"))
         if m in TWO_SIDED:
             aggs.append(F.max(F.when(F.col("measure") == m, F.col("q1") - reach)).alias(f"low_{m}"))
-    return quartiles.groupBy("level", "lang", "source").agg(F.max("total").alias("total"), *aggs)
+    return quartiles.groupBy(*_GROUP).agg(*aggs)
 
 
-def with_verdicts(measured: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
+def with_verdicts(measured: DataFrame) -> DataFrame:
     """``measured`` with ``kept``: neither a base rule nor a fence of its group fails it."""
-    limits = materialize(fences(sketches(measured)), "quality-fences")
+    limits = materialize(fences(blended(materialize(sketches(measured), "quality-sketches"))), "quality-fences")
     cols = [c for c in limits.columns if c.startswith(("high_", "low_"))]
-    own, lang, every = (limits.where(F.col("level") == i).drop("level") for i in (0, 1, 2))
-    lang = lang.select(F.col("lang").alias("__lang"), F.col("total").alias("__n"), *[F.col(c).alias(f"__1{c}") for c in cols])
-    chosen = own.join(lang, F.col("lang").eqNullSafe(F.col("__lang")))
-    use = F.when(F.col("total") >= min_group, 0).when(F.col("__n") >= min_group, 1).otherwise(2)
-    top = {c: every.select(F.max(c)).scalar() for c in cols}
-    chosen = chosen.select(
-        F.col("lang").alias("__lang"),
-        F.col("source").alias("__source"),
-        *[F.when(use == 0, F.col(c)).when(use == 1, F.col(f"__1{c}")).otherwise(top[c]).alias(f"__{c}") for c in cols],
-    )
+    limits = limits.select(*[F.col(k).alias(f"{k}_of") for k in _GROUP], *[F.col(c).alias(f"__{c}") for c in cols])
+    keyed = _keys(measured)
     # One row a group on the right: an equi-join that Spark broadcasts when small and splits when skewed.
-    joined = measured.join(
-        chosen, F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source")), "left"
-    )
+    joined = keyed.join(limits, [keyed[k] == limits[f"{k}_of"] for k in _GROUP], "left")
     good = ~F.col("base_failed")
     for m in MEASURES:
         good &= F.col(m) <= F.col(f"__high_{m}")
         if m in TWO_SIDED:
             good &= F.col(m) >= F.col(f"__low_{m}")
-    return joined.withColumn("kept", F.coalesce(good, F.lit(False))).drop(*[f"__{c}" for c in cols], "__lang", "__source")
+    return joined.withColumn("kept", F.coalesce(good, F.lit(False))).select(*measured.columns, "kept")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from simtrail.llm import disclosure, line_dedup, linking, pieces, repeats, token_files
+from simtrail.llm import disclosure, line_dedup, linking, pieces, quality_rules, repeats, token_files
 
 DOCS = "doc_id long, text string"
 
@@ -273,3 +273,73 @@ def test_surprisal_counts_pairs_within_rows(spark):
             pairs[a, b] += 1
     bits = np.log2(pairs.sum(axis=1, keepdims=True) + 256) - np.log2(pairs + 1)
     assert np.allclose(got.bits, bits) and got.mean == pytest.approx((pairs * bits).sum() / pairs.sum(), rel=1e-5)
+
+
+# --- operator 4 ------------------------------------------------------------------
+def brute_verdicts(rows):
+    """kept by group fences, from plain counts: own documents plus 200 rows of the language, which leans on all."""
+
+    def low(v):
+        if v < 32:
+            return v
+        step = 1 << (v.bit_length() - 6)
+        return v // step * step
+
+    measures = list(quality_rules.MEASURES)
+    groups: dict = {}
+    for r in rows:
+        groups.setdefault((r["lang"], r["source"]), {})[r["text_key"]] = [low(r[m]) for m in measures]
+
+    def counts(values):
+        out: dict = {}
+        for v in values:
+            out[v] = out.get(v, 0) + 1
+        return out
+
+    def lean(own, parent):
+        total = sum(parent.values())
+        return {v: own.get(v, 0) + parent.get(v, 0) / total * quality_rules.PARENT_ROWS for v in own | parent}
+
+    limits = {}
+    for j, m in enumerate(measures):
+        own = {g: counts(v[j] for v in docs.values()) for g, docs in groups.items()}
+        langs: dict = {}
+        for (lang, _), c in own.items():
+            for v, n in c.items():
+                langs.setdefault(lang, {})[v] = langs.setdefault(lang, {}).get(v, 0) + n
+        every: dict = {}
+        for c in langs.values():
+            for v, n in c.items():
+                every[v] = every.get(v, 0) + n
+        for g, c in own.items():
+            mixed = lean(c, lean(langs[g[0]], every))
+            total, upto, found = sum(mixed.values()), 0.0, []
+            for v in sorted(mixed):
+                upto += mixed[v]
+                found += [v] * (upto * 4 >= total * (len(found) * 2 + 1 - 1e-9)) if len(found) < 2 else []
+                if len(found) == 1 and upto * 4 >= total * (3 - 1e-9):
+                    found.append(v)
+            q1, q3 = found
+            reach = quality_rules.SPREADS * max(q3 - q1, quality_rules.MEASURES[m])
+            limits[g, m] = (q1 - reach if m in quality_rules.TWO_SIDED else -1, q3 + reach)
+    return {
+        r["doc_id"]: not r["base_failed"] and all(lo <= r[m] <= hi for m in measures for lo, hi in [limits[(r["lang"], r["source"]), m]])
+        for r in rows
+    }
+
+
+def test_verdicts_match_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    docs = docs.withColumn("source", F.when(F.col("doc_id") % 3 == 0, "src0").when(F.col("doc_id") % 17 != 0, F.col("source")))
+    measured = quality_rules.with_measures(docs)
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.with_verdicts(measured).collect()}
+    assert got == brute_verdicts(measured.collect()) and 0 < sum(got.values()) < len(got)
+
+
+def test_verdicts_do_not_follow_copies_or_clashing_columns(spark):
+    """Three times the same table: the same verdict for every document."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumn("__lk", F.lit("x"))
+    one = {r["doc_id"]: r["kept"] for r in quality_rules.with_verdicts(quality_rules.with_measures(docs)).collect()}
+    more = docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 1000)).unionByName(docs.withColumn("doc_id", F.col("doc_id") + 2000))
+    three = {r["doc_id"]: r["kept"] for r in quality_rules.with_verdicts(quality_rules.with_measures(more)).collect()}
+    assert three == {d + 1000 * i: k for d, k in one.items() for i in range(3)}
