@@ -1,9 +1,9 @@
 """Operator 7: main text of web pages by a tree-structured graphical model.
 
 Every block element of a page is a binary variable (content or not).  Its
-node potential is a naive Bayes table over its tag, class and id words, link
-share and text length; each parent-child pair has a potential table by the
-child's tag.  Sum-product messages go upward from the leaves and downward
+node potential is a naive Bayes table over its tag, the words of its class and
+id, link share and text length; each parent-child pair has a potential table by
+the child's tag.  Sum-product messages go upward from the leaves and downward
 from the root; a block of text is kept if the marginal of its element is at
 least one half.
 
@@ -11,14 +11,17 @@ The tables are counted from labelled pages: pages that mark their article
 (``article``, ``main`` or ``role=main``) label their own elements (inside it,
 and not inside a menu, form, advert, notice or comment part).  At most
 ``train_pages`` pages are read for that (those with the least hash of the
-html, a documented parameter); small prior counts stand in for what they
-lack, so pages of another make, or no labelled page at all, work too.
+html, a documented parameter), and the ``MOST_NAMES`` most frequent class and id
+words of them (also a parameter) get a table; prior counts stand in for what
+they lack.  So a page that marks no article is read by the names that labelled
+pages use for the same parts; without any labelled page the priors decide, and a
+page without a single known name or tag gives no text.
 
-Output rules: character references decoded, white space inside a block
-becomes one space, blocks are trimmed and joined in page order by one ``\\n``.
+Output rules: character references decoded, white space (of any script) inside a
+block becomes one space, blocks are trimmed and joined in page order by one ``\\n``.
 
-Defined results: null and empty html give an empty text; unclosed elements
-end with the page; repeated pages are each returned.
+Defined results: null and empty html give an empty text; an open ``head`` ends
+where the body begins, marked or not; other unclosed elements end with the page; repeated pages are each returned.
 """
 
 from __future__ import annotations
@@ -34,10 +37,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simtrail.llm.shared import share, shared
+from simtrail.session import materialize
 
 TRAIN_PAGES = 4_000
+MOST_NAMES = 20_000
+# Uses of a class or id word below which it has no table.
+LEAST_USES = 5
 # Elements whose text is no text of the page.
 SKIPPED = frozenset("script style noscript template svg math iframe object head title select button textarea canvas audio video".split())
+# Those that stand inside a line of text without ending its block.
+IN_LINE = SKIPPED - {"head", "title"}
+# What a head may hold; any other element ends it.
+HEAD = frozenset("head title meta link base style script noscript template".split())
 RAW = frozenset("script style textarea title noscript iframe template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
@@ -65,16 +76,15 @@ OTHER_TAGS = frozenset("nav aside footer form".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _WORD = re.compile(r"[a-z]+")
-_SPACE = re.compile(r"[ \t\n\r\f\v ]+")
 
 
 class Page:
     """Block elements in page order and the blocks of text below them."""
 
-    __slots__ = ("parent", "tag", "words", "own", "links", "blocks")
+    __slots__ = ("parent", "tag", "words", "marked", "own", "links", "blocks")
 
     def __init__(self):
-        self.parent, self.tag, self.words = [-1], ["#"], [frozenset()]
+        self.parent, self.tag, self.words, self.marked = [-1], ["#"], [frozenset()], [False]
         self.own, self.links = [0], [0]
         self.blocks: list[tuple[int, str]] = []
 
@@ -88,7 +98,7 @@ def parse(source: str) -> Page:
 
     def flush():
         if text:
-            joined = _SPACE.sub(" ", _html.unescape("".join(text))).strip()
+            joined = " ".join(_html.unescape("".join(text)).split())
             text.clear()
             if joined:
                 page.blocks.append((node, joined))
@@ -108,7 +118,7 @@ def parse(source: str) -> Page:
                 skip -= 1
             elif tag == "a":
                 in_link -= 1
-            if tag not in INLINE:
+            if tag not in INLINE and tag not in IN_LINE:
                 flush()
             node = stack[-1][1] if stack else 0
 
@@ -138,6 +148,8 @@ def parse(source: str) -> Page:
                 if tag not in INLINE:
                     flush()
             continue
+        if len(stack) > 1 and tag not in HEAD and any(name == "head" for name, _ in stack):
+            close_to(next(i for i, (name, _) in enumerate(stack) if name == "head"))
         if tag == "br":
             add_text(" ")
             continue
@@ -146,12 +158,13 @@ def parse(source: str) -> Page:
                 stack.append((tag, node))
                 in_link += tag == "a"
             continue
-        flush()
+        if tag not in IN_LINE:
+            flush()
         if tag in VOID:
             continue
         # A block start tag ends an open paragraph; items end their siblings.
         ends, scope = CLOSES.get(tag, (None, None))
-        for depth in range(len(stack) - 1, 0, -1):
+        for depth in range(len(stack) - 1, 0, -1) if tag not in IN_LINE else ():
             name = stack[depth][0]
             if name == "p" or ends and name in ends:
                 close_to(depth)
@@ -160,12 +173,15 @@ def parse(source: str) -> Page:
             elif name not in INLINE and (scope is None or name in scope):
                 break
         attrs = m[3]
-        words = frozenset()
+        words, marked = frozenset(), False
         if attrs and "=" in attrs:
-            words = frozenset(w for _, v in _ATTR.findall(attrs) for w in _WORD.findall(v.lower()))
+            found = _ATTR.findall(attrs)
+            words = frozenset(w for _, v in found for w in _WORD.findall(v.lower()))
+            marked = any(k.lower() == "role" and v.strip("\"'").lower() == "main" for k, v in found)
         page.parent.append(stack[-1][1])
         page.tag.append(tag)
         page.words.append(words)
+        page.marked.append(marked)
         page.own.append(0)
         page.links.append(0)
         node = len(page.tag) - 1
@@ -207,6 +223,9 @@ def node_features(page: Page) -> list[list[str]]:
             names.append("w:other")
         elif words & MAIN_WORDS:
             names.append("w:main")
+        if page.marked[i]:
+            names.append("r:main")
+        names += [f"c:{w}" for w in sorted(words)]
         out.append(names)
     return out
 
@@ -220,7 +239,7 @@ def own_labels(page: Page) -> list[int] | None:
         p = page.parent[i]
         up_in, up_other = (inside[p], other[p]) if p >= 0 else (0, 0)
         tag, words = page.tag[i], page.words[i]
-        main = tag in ("article", "main") and not words & OTHER_WORDS
+        main = (tag in ("article", "main") or page.marked[i]) and not words & OTHER_WORDS
         found |= main
         inside[i] = 1 if main else up_in
         away = tag in OTHER_TAGS or bool(words & OTHER_WORDS) or tag == "header" and not up_in
@@ -234,6 +253,7 @@ PRIOR = {
     **{f"t:{t}": (8, 0.2) for t in ("#", "html", "body", "header")},
     **{f"t:{t}": (0.2, 8) for t in ("article", "main")},
     **{f"t:{t}": (1, 3) for t in ("p", "h1", "h2", "h3", "pre", "blockquote")},
+    "r:main": (0.2, 8),
     "w:other": (2000, 0.2),
     "w:main": (2, 4),
     "l:3": (6, 1),
@@ -241,7 +261,7 @@ PRIOR = {
 }
 # The features of an element depend on each other (a paragraph is long and has
 # few links), so weaker kinds speak with a bounded voice.
-LARGEST = {"t": 3.0, "l": 1.5, "n": 1.0, "w": 12.0}
+LARGEST = {"t": 3.0, "l": 1.5, "n": 1.0, "w": 12.0, "c": 4.0, "r": 3.0}
 # Containers may differ from their parent; any other element rarely does.
 CONTAINERS = frozenset("# html body div section article main header nav aside footer form ul ol table center td".split())
 STAY_CONTAINER, STAY_LEAF = 20.0, 1500.0
@@ -263,7 +283,7 @@ def page_counts(page: Page) -> Counter:
 
 
 class PageModel:
-    """Log potentials; its size is bounded by the tag names met in training."""
+    """Log potentials of the tags and the class and id words of the training pages; bounded by ``train``'s parameters."""
 
     def __init__(self, counts: dict):
         y = [1.0 + counts.get(("y", "", -1, v), 0) for v in (0, 1)]
@@ -335,7 +355,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays(
         [
             pa.array([k[0] for k in keys], pa.string()),
-            pa.array([k[1][:40] for k in keys], pa.string()),
+            pa.array([k[1] for k in keys], pa.string()),
             pa.array([k[2] for k in keys], pa.int32()),
             pa.array([k[3] for k in keys], pa.int32()),
             pa.array([total[k] for k in keys], pa.int64()),
@@ -344,18 +364,22 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
-def train(pages: DataFrame, *, train_pages: int = TRAIN_PAGES) -> PageModel:
-    """Count the potentials on at most ``train_pages`` pages."""
+def train(pages: DataFrame, *, train_pages: int = TRAIN_PAGES, most_names: int = MOST_NAMES) -> PageModel:
+    """Count the potentials on at most ``train_pages`` pages, for at most ``most_names`` class and id words."""
     order = pages.where("html is not null").select(F.xxhash64("html").alias("h"))
     cut = order.orderBy("h").limit(train_pages).agg(F.max("h").alias("cut")).scalar()
     sample = pages.where("html is not null").where(F.xxhash64("html") <= cut).select("html")
-    counts = (
+    counts = materialize(
         sample.mapInArrow(_count, "kind string, name string, parent int, label int, n long")
         .groupBy("kind", "name", "parent", "label")
-        .agg(F.sum("n").alias("n"))
-        .collect()
+        .agg(F.sum("n").alias("n")),
+        "page-counts",
     )
-    return PageModel({(r["kind"], r["name"], r["parent"], r["label"]): r["n"] for r in counts})
+    named = F.col("name").startswith("c:")
+    words = counts.where(named).groupBy("name").agg(F.sum("n").alias("uses")).where(F.col("uses") >= LEAST_USES)
+    words = words.orderBy(F.desc("uses"), "name").limit(most_names).select("name")
+    kept = counts.where(~named).unionByName(counts.where(named).join(words, "name", "left_semi"))
+    return PageModel({(r["kind"], r["name"], r["parent"], r["label"]): r["n"] for r in kept.collect()})
 
 
 def _extract(model):
