@@ -55,7 +55,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simtrail.llm import textvec as tv
-from simtrail.llm.linking import bloom, chunk_rows, components, counter_table, dealt, in_bloom, merged, open_members, star_pairs
+from simtrail.llm.linking import bloom, centrality, chunk_rows, components, counter_table, dealt, in_bloom, merged, open_members, star_pairs
 from simtrail.session import discard, materialize
 
 MIN_WORDS = 5
@@ -298,7 +298,10 @@ def shared_blocks(texts: DataFrame, min_words: int, similarity: float) -> DataFr
     ranges = 1 << max(wanted - 1, 0).bit_length()
     packed = texts.mapInArrow(_pack_blocks(min_words, similarity, ranges, sent), "range int, blocks binary, keys binary")
     rows = packed.repartition("range").sortWithinPartitions("range").mapInArrow(_shared_rows, "bucket long, id long")
-    return materialize(rows, "line-blocks").distinct()
+    rows = materialize(rows, "line-parts")
+    out = materialize(rows.distinct(), "line-blocks")
+    discard(rows)
+    return out
 
 
 def _scan_lines(min_words: int):
@@ -532,14 +535,17 @@ def duplicate_lines(
         "distinct-lines",
     )
 
-    members = shared_blocks(texts.select("text"), min_words, similarity)
-    members = materialize(members.join(distinct.select(F.col("key").alias("id"), "sim", "low", "high", "size"), "id"), "line-members")
-    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    shared = shared_blocks(texts.select("text"), min_words, similarity)
+    sizes = shared.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    score = materialize(centrality(shared, sizes), "line-scores")
+    payload = distinct.select(F.col("key").alias("id"), "sim", "low", "high", "size").join(score, "id")
+    members = materialize(shared.join(payload, "id"), "line-members")
+    discard(shared, score)
     close = F.expr(
         f"bit_count(a_sim ^ b_sim) <= {max_bits} and abs(a_size - b_size) <= {1 - similarity} * greatest(a_size, b_size) + 1e-9"
         f" and bit_count(a_low ^ b_low) + bit_count(a_high ^ b_high) <= 2 * floor({1 - similarity} * greatest(a_size, b_size) + 1e-9)"
     )
-    pairs = materialize(star_pairs(members, sizes, ["sim", "low", "high", "size"], close), "line-pairs")
+    pairs = materialize(star_pairs(members, None, ["sim", "low", "high", "size"], close), "line-pairs")
 
     def texts_of(pairs: DataFrame, name: str) -> DataFrame:
         """The normalised text of the lines of some pairs."""
@@ -555,11 +561,14 @@ def duplicate_lines(
         )
         schema = ", ".join(f"{c} long" for c in candidates.columns)
         full = full.select(*candidates.columns, "la", "lb")
-        return materialize(full.mapInArrow(_verify_lines(similarity), schema), f"line-links-{name}")
+        out = materialize(full.mapInArrow(_verify_lines(similarity), schema), f"line-links-{name}")
+        discard(found)
+        return out
 
     links = verified(pairs, "first")
     labels = components(links)
-    left = open_members(members, labels)
+    left = open_members(members.drop("score"), labels)
+    discard(members)
     blocks = dealt(left, BLOCK_LINES).withColumnRenamed("id", "key")
     rest = (
         blocks.repartition("bucket", "lo", "hi")
@@ -568,6 +577,7 @@ def duplicate_lines(
         .distinct()
     )
     rest = materialize(rest.join(pairs, ["a", "b"], "left_anti"), "line-rest")
+    discard(left, pairs)
     if not rest.isEmpty():
         more = verified(rest, "rest")
         links = links.unionByName(more.select("a", "b"))

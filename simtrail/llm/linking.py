@@ -120,6 +120,11 @@ def in_bloom(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (hit[: len(h)] & hit[len(h) :]).astype(bool)
 
 
+def centrality(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(id, score): the sizes of all buckets of each member."""
+    return members.select("bucket", "id").join(sizes, "bucket").groupBy("id").agg(F.sum("n").alias("score"))
+
+
 def star_pairs(members: DataFrame, sizes: DataFrame, also: list[str] | None = None, keep=None) -> DataFrame:
     """(a, b): every member of a bucket with the bucket's most central member.
 
@@ -128,11 +133,13 @@ def star_pairs(members: DataFrame, sizes: DataFrame, also: list[str] | None = No
     group of near copies that is a text with few changes, to which most others
     are similar.  At most one pair a member and bucket, so a bucket that holds
     a third of all rows stays linear.  ``keep`` is a condition on the columns
-    ``also`` of both sides (prefixes ``a_`` and ``b_``).
+    ``also`` of both sides (prefixes ``a_`` and ``b_``).  ``members`` that carry
+    their ``score`` already are not joined with it (``sizes`` is not read then).
     """
     also = also or []
-    score = members.join(sizes, "bucket").groupBy("id").agg(F.sum("n").alias("score"))
-    scored = members.join(score, "id")
+    scored = members
+    if "score" not in members.columns:
+        scored = members.join(centrality(members, sizes), "id")
     lead = scored.groupBy("bucket").agg(
         F.max(F.struct("score", (-F.col("id")).alias("least"), *also)).alias("lead")
     )
