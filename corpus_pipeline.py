@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simtrail.llm import decontaminate, line_dedup, near_dedup, pieces, quality_model
-from simtrail.session import materialize
+from simtrail.session import materialize, release, written_so_far
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,13 +54,16 @@ STAGES = [
     ("SentencePiece", encoding),
 ]
 
-# Fitted models, SimHash groups and Viterbi paths have no SQL form; tests/llm holds the stages against brute force.
+# Fitted models, SimHash groups and Viterbi paths have no SQL form; tests/llm holds the operators against brute force
+# and runs all stages on a small table.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages from ``documents``; every stage's rows are written and reread."""
+    """All stages from ``documents``; every stage's rows are written and reread, and what a stage wrote on the way goes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    mark = written_so_far()
     for i, (_, stage) in enumerate(STAGES):
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{i + 1}")
+        release(spark, mark, (docs,))
     return docs

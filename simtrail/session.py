@@ -82,13 +82,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 _written: list[str] = []
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables ``materialize`` wrote so far; DataFrames that read them end with it.
+def written_so_far() -> int:
+    """How many tables are written and not yet released; a mark for ``release``."""
+    return len(_written)
 
-    Paths go through Hadoop's file system API, so any shared storage works.
+
+def release(spark: SparkSession, since: int = 0, keep: tuple[DataFrame, ...] = ()) -> None:
+    """Delete the tables ``materialize`` wrote (after the mark ``since``); DataFrames that read them end with it.
+
+    Tables in ``keep`` stay.  Paths go through Hadoop's file system API, so
+    any shared storage works.
     """
-    while _written:
-        delete_path(spark, _written.pop())
+    kept = {getattr(t, "_scratch", None) for t in keep}
+    gone = [path for path in _written[since:] if path not in kept]
+    _written[since:] = [path for path in _written[since:] if path in kept]
+    for path in gone:
+        delete_path(spark, path)
 
 
 def discard(*tables: DataFrame) -> None:
