@@ -4,6 +4,7 @@ D19 ``segment_tier_profile``     distinct devices per (segment, tier)
 D20 ``segment_daypart_profile``  corridor trips per (segment, daypart)
 D21 ``segment_weekpart_profile`` corridor trips per (segment, weekday/weekend)
 V5  ``segment_travel``           trips per (segment, trip key)
+A25 ``segment_tier_profile_merged`` D19 from mergeable bitmaps of devices
 
 Each is one join with the membership table and one ``GROUPING SETS``
 aggregate: per segment and over all segments in the same pass.  A device in
@@ -18,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from simtrail import config
+from simtrail.functions.distinct import device_bitmaps, device_numbers, distinct_counts
+from simtrail.session import materialize
 
 
 def _by_segment(joined: DataFrame, dim: str, agg: Column) -> DataFrame:
@@ -35,6 +38,23 @@ def segment_tier_profile(tiers: DataFrame, membership: DataFrame) -> DataFrame:
     return _by_segment(joined, "tier_level", F.count_distinct("ifa").alias("ifa_count"))
 
 
+def segment_tier_bitmaps(tiers: DataFrame, membership: DataFrame) -> DataFrame:
+    """The devices of each (segment, tier) as bitmaps over the numbers of the devices in ``tiers``, written once."""
+    members = membership.select("ifa", "segment")
+    numbered = tiers.join(device_numbers(tiers), "ifa").select("ifa", "device_no", "tier_level").join(members, "ifa")
+    return materialize(device_bitmaps(numbered, ["segment", "tier_level"]), "segment-bitmaps")
+
+
+def segment_tier_profile_merged(bitmaps: DataFrame) -> DataFrame:
+    """D19 (A25) from ``segment_tier_bitmaps`` (of one run or of several, united): (segment, tier_level, ifa_count).
+
+    The rows over all segments are unions of the segments' bitmaps; the rows
+    behind them are not read again.
+    """
+    overall = distinct_counts(bitmaps, ["tier_level"], "ifa_count").withColumn("segment", F.lit(config.ALL_SEGMENTS))
+    return distinct_counts(bitmaps, ["segment", "tier_level"], "ifa_count").unionByName(overall)
+
+
 def segment_daypart_profile(device_daypart: DataFrame, membership: DataFrame) -> DataFrame:
     """D20 (A27): (segment, time_of_day, count) from per-device daypart counts."""
     joined = device_daypart.join(membership.select("ifa", "segment"), "ifa")

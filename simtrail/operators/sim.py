@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from simtrail import config
 from simtrail.config import CarrierSlots
+from simtrail.functions.distinct import device_bitmaps, device_numbers, distinct_counts
+from simtrail.session import materialize
 
 
 def carrier_wide(score: DataFrame, slots: CarrierSlots = CarrierSlots()) -> DataFrame:
@@ -183,6 +185,21 @@ def sim_breakdown(profile: DataFrame, column: str = "primary_sim", ordered: bool
     return by_count_desc(out, [column]) if ordered else out
 
 
+def sim_bitmaps(profile: DataFrame) -> DataFrame:
+    """The devices of each (primary, secondary) SIM as bitmaps over the numbers of the profile's devices, written once."""
+    numbered = profile.select("ifa", "primary_sim", "secondary_sim").join(device_numbers(profile), "ifa")
+    return materialize(device_bitmaps(numbered, ["primary_sim", "secondary_sim"]), "sim-bitmaps")
+
+
+def sim_breakdowns_merged(bitmaps: DataFrame) -> DataFrame:
+    """D9 (A17) for both ranks from ``sim_bitmaps``: (rank, sim, count); each is a union over the other."""
+    out = [
+        distinct_counts(bitmaps, [c], "count").select(F.lit(c).alias("rank"), F.col(c).alias("sim"), "count")
+        for c in ("primary_sim", "secondary_sim")
+    ]
+    return out[0].unionByName(out[1])
+
+
 def by_count_desc(df: DataFrame, keys: list[str], count: str = "count") -> DataFrame:
     """O3: largest count first; the key columns make the order unique."""
     return df.orderBy(F.col(count).desc(), *[F.col(k).asc() for k in keys])

@@ -284,6 +284,11 @@ QUERIES: dict[str, Query] = {
     "corridor_tiers": lambda s, d: _tiers(s, d),
     "corridor_tiers_four": lambda s, d: _tiers(s, d, config.TIER_CUTS_FOUR),
     "tier_levels": lambda s, d: _tiers(s, d).select("tier_level").distinct(),
+    # Exact distinct counts from mergeable bitmaps
+    "segment_tier_merged": lambda s, d: segments.segment_tier_profile_merged(
+        segments.segment_tier_bitmaps(_tiers(s, d), _membership(s, d))
+    ),
+    "sim_breakdowns_merged": lambda s, d: sim.sim_breakdowns_merged(sim.sim_bitmaps(_profile(s, d))),
     # D15-D21 for several corridors in one pass
     "corridors_by_weekpart": lambda s, d: _cohorts(s, d)["by_weekpart"],
     "corridors_by_daypart": lambda s, d: _cohorts(s, d)["by_daypart"],

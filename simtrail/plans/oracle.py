@@ -406,6 +406,17 @@ WHERE CAST(ts AS DATE) BETWEEN DATE '{DAYS[0]}' AND DATE '{DAYS[1]}'""",
             )
             for name, dim in (("weekpart", "weekday_weekend"), ("daypart", "time_of_day"))
         },
+        "segment_tier_merged": _with(
+            _tiers() + ",\n" + MEMBERSHIP,
+            _segment_grouping("tiers", "tier_level", "count(DISTINCT ifa) AS ifa_count"),
+        ),
+        "sim_breakdowns_merged": _with(
+            _profile(),
+            " UNION ALL ".join(
+                f"SELECT '{c}' AS rank, {c} AS sim, count(DISTINCT ifa) AS count FROM profile GROUP BY {c}"
+                for c in ("primary_sim", "secondary_sim")
+            ),
+        ),
         "corridors_per_device": _with(_corridors(), "SELECT * FROM per_device"),
         "corridors_deciles": _with(
             _corridors(),

@@ -141,3 +141,22 @@ def test_percentiles_by_group(spark, sizes):
         assert {r["g"]: r["__p"] for r in exact_percentiles(df, "v", ps, by=["g"]).collect()} == want
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_bitmap_counts_equal_distinct_counts_and_merge(spark):
+    """Over several 32,768-number buckets; tables of two periods unite without their rows."""
+    from simtrail.functions.distinct import device_bitmaps, device_numbers, distinct_counts, merged_bitmaps
+
+    rows = spark.range(120_000).select(
+        (F.col("id") % 70_001).cast("string").alias("ifa"), (F.col("id") % 3).alias("a"), (F.col("id") % 7 % 4).alias("b"), (F.col("id") % 5).alias("period")
+    )
+    rows = rows.unionByName(rows.limit(10).withColumn("ifa", F.lit(None).cast("string")))
+    numbers = device_numbers(rows)
+    got = numbers.agg(F.count(F.lit(1)), F.countDistinct("device_no"), F.min("device_no"), F.max("device_no")).first()
+    assert tuple(got) == (70_001, 70_001, 0, 70_000)
+    joined = rows.join(numbers, "ifa")
+    parts = [device_bitmaps(joined.where(cond), ["a", "b"]) for cond in ("period < 2", "period >= 2")]
+    both = merged_bitmaps(parts[0].unionByName(parts[1]), ["a", "b"])
+    for dims in (["a", "b"], ["a"], ["b"]):
+        want = {tuple(r) for r in rows.groupBy(*dims).agg(F.countDistinct("ifa").alias("n")).collect()}
+        assert {tuple(r) for r in distinct_counts(both, dims, "n").collect()} == want
