@@ -68,8 +68,8 @@ SMALL_GROUP = 64
 WORD_COUNTERS = 1 << 19
 # Blocks of a range of about so many; text in a task's block; packed blocks taken in at a time.
 RANGE_BLOCKS = 1 << 21
-BLOCK_BYTES = 1 << 21
-FOLD_BLOCKS = 1 << 20
+BLOCK_BYTES = 1 << 19
+FOLD_BLOCKS = 1 << 19
 _U = np.uint64
 _DIGIT = tv.class_table(range(0x30, 0x3A))
 
