@@ -35,10 +35,10 @@ from simtrail.llm.shared import share, shared
 
 MARK = "▁"
 # Words remembered in a task; beyond it the memory starts anew.
-KNOWN_WORDS = 1_000_000
-BLOCK_BYTES = 1 << 21
+KNOWN_WORDS = 250_000
+BLOCK_BYTES = 1 << 20
 # Words encoded at a time.
-NEW_WORDS = 10_000
+NEW_WORDS = 5_000
 
 
 class Pieces:
@@ -209,8 +209,8 @@ def _encoder(vocabulary, limit: int):
         known = WordIds(lambda ws: encode_sorted([MARK + w[1:] for w in ws], root, pieces.byte_ids, byte_score), limit)
         for batch in batches:
             names = [c for c in batch.schema.names if c != "__text"]
-            for lo in range(0, batch.num_rows, 2000):
-                some = batch.slice(lo, 2000)
+            for lo in range(0, batch.num_rows, 1000):
+                some = batch.slice(lo, 1000)
                 data, off = spaced_words(some.column("__text"))
                 for first, end, d, o in tv.blocks(data, off, BLOCK_BYTES):
                     starts = np.flatnonzero(d == 0x20)
