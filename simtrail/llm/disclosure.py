@@ -424,9 +424,11 @@ def op8_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         return F.concat_ws(",", one)
 
-    counts = [
-        F.size(F.filter("base_spans", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)
-    ]
+    def number(kind):
+        # One parameter only: a second one would be the place in the array.
+        return F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long")
+
+    counts = [number(i).alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return found.select(
         "doc_id",
         *counts,

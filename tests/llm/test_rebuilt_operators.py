@@ -343,3 +343,21 @@ def test_verdicts_do_not_follow_copies_or_clashing_columns(spark):
     more = docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 1000)).unionByName(docs.withColumn("doc_id", F.col("doc_id") + 2000))
     three = {r["doc_id"]: r["kept"] for r in quality_rules.with_verdicts(quality_rules.with_measures(more)).collect()}
     assert three == {d + 1000 * i: k for d, k in one.items() for i in range(3)}
+
+
+def test_personal_data_is_counted_by_kind(spark, tmp_path):
+    """Counts by kind differ from each other and from the number of all matches."""
+    docs = [
+        (1, "a@b.co, c@d.org, e@f.net and 10.0.0.1"),
+        (2, "4111 1111 1111 1111 or +44 20 7946 0958, +1 (555) 123-4567"),
+        (3, None),
+        (4, "256.1.1.1 4111111111111112 +1 23"),
+        (None, "1.2.3.4 5.6.7.8"),
+        (None, "1.2.3.4 5.6.7.8"),
+    ]
+    spark.createDataFrame(docs, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = disclosure.op8_pii_disclosure(spark, str(tmp_path)).collect()
+    got = sorted(((r["doc_id"] or 0, r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]) for r in rows))
+    assert got == [(0, 0, 2, 0, 0), (0, 0, 2, 0, 0), (1, 3, 1, 0, 0), (2, 0, 0, 1, 2), (3, 0, 0, 0, 0), (4, 0, 0, 0, 0)]
+    first = next(r for r in rows if r["doc_id"] == 1)
+    assert first["base_sha256"] == hashlib.sha256(b"email:0:6,email:8:15,email:17:24,ip:29:37").hexdigest()
