@@ -32,13 +32,15 @@ from pyspark.sql import functions as F
 
 from simtrail.llm import textvec as tv
 from simtrail.llm.shared import share, shared
+from simtrail.session import bound_batches
 
 MARK = "▁"
 # Words remembered in a task; beyond it the memory starts anew.
 KNOWN_WORDS = 250_000
 BLOCK_BYTES = 1 << 20
-# Words encoded at a time.
+# Words encoded at a time; ids decoded at a time.
 NEW_WORDS = 5_000
+DECODED_IDS = 1 << 18
 
 
 class Pieces:
@@ -226,6 +228,7 @@ def encode(docs: DataFrame, pieces: Pieces, *, text: str = "text", known_words:
     """``docs`` with ``ids`` (array of int) and ``n_tokens`` of column ``text``; existing columns of these names are replaced."""
     rest = docs.drop("ids", "n_tokens", "__text")
     vocabulary = share(docs.sparkSession, pieces)
+    bound_batches(docs.sparkSession)
     inner = rest.withColumn("__text", F.col(text).cast("string"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields)
     return inner.mapInArrow(_encoder(vocabulary, known_words), f"{schema}, ids array<int>, n_tokens long")
@@ -237,11 +240,11 @@ def _decoder(vocabulary, out: str):
         for batch in batches:
             column = batch.column("__ids")
             lens = np.asarray(column.value_lengths().fill_null(0))
-            ids = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            ids = column.flatten().to_numpy(zero_copy_only=False)
             at = np.concatenate([[0], np.cumsum(lens)])
             row = 0
             while row < batch.num_rows:
-                end = min(max(int(np.searchsorted(at, at[row] + (1 << 20), side="right")) - 1, row + 1), batch.num_rows)
+                end = min(max(int(np.searchsorted(at, at[row] + DECODED_IDS, side="right")) - 1, row + 1), batch.num_rows)
                 data, sizes = tv.ragged_take(table, off, ids[at[row] : at[end]])
                 ends = np.concatenate([[0], np.cumsum(sizes)])[at[row : end + 1] - at[row]]
                 raw = data.tobytes()
@@ -259,6 +262,7 @@ def decode(tokens: DataFrame, pieces: Pieces, *, ids: str = "ids", out: str = "d
     """``tokens`` with the text of column ``ids`` as column ``out``."""
     rest = tokens.drop(out, "__ids")
     vocabulary = share(tokens.sparkSession, pieces)
+    bound_batches(tokens.sparkSession)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields)
     return rest.withColumn("__ids", F.col(ids)).mapInArrow(_decoder(vocabulary, out), f"{schema}, `{out}` string")
 

@@ -4,9 +4,11 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from simtrail import session
 from simtrail.llm import disclosure, line_dedup, linking, pieces, quality_rules, repeats, token_files
 
 DOCS = "doc_id long, text string"
@@ -361,3 +363,27 @@ def test_personal_data_is_counted_by_kind(spark, tmp_path):
     assert got == [(0, 0, 2, 0, 0), (0, 0, 2, 0, 0), (1, 3, 1, 0, 0), (2, 0, 0, 1, 2), (3, 0, 0, 0, 0), (4, 0, 0, 0, 0)]
     first = next(r for r in rows if r["doc_id"] == 1)
     assert first["base_sha256"] == hashlib.sha256(b"email:0:6,email:8:15,email:17:24,ip:29:37").hexdigest()
+
+
+# --- operator 9 ------------------------------------------------------------------
+def test_rows_go_to_python_a_few_megabytes_at_a_time(spark):
+    """Texts of 12 MB in one partition come in batches of the bound; a session's own bound stays."""
+    before = spark.conf.get(session.BATCH_SETTING, None)
+    docs = spark.range(3000, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ab c "), 800).alias("text"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64())], ["n"])
+
+    try:
+        spark.conf.unset(session.BATCH_SETTING)
+        vocabulary = pieces.Pieces.load()
+        done = pieces.decode(pieces.encode(docs, vocabulary), vocabulary)
+        assert done.where("decoded = text").count() == 3000
+        found = [r["n"] for r in docs.mapInArrow(sizes, "n long").collect()]
+        assert len(found) > 1 and max(found) < 2 * session.BATCH_BYTES
+        spark.conf.set(session.BATCH_SETTING, "123456")
+        pieces.encode(docs, vocabulary)
+        assert spark.conf.get(session.BATCH_SETTING) == "123456"
+    finally:
+        spark.conf.unset(session.BATCH_SETTING) if before is None else spark.conf.set(session.BATCH_SETTING, before)
