@@ -387,3 +387,16 @@ def test_rows_go_to_python_a_few_megabytes_at_a_time(spark):
         assert spark.conf.get(session.BATCH_SETTING) == "123456"
     finally:
         spark.conf.unset(session.BATCH_SETTING) if before is None else spark.conf.set(session.BATCH_SETTING, before)
+
+
+# --- operator 10 -----------------------------------------------------------------
+def test_repeats_bound_their_batches(spark):
+    before = spark.conf.get(session.BATCH_SETTING, None)
+    try:
+        spark.conf.unset(session.BATCH_SETTING)
+        text = "".join(chr(97 + i * i % 23) for i in range(40)) + "x"
+        docs = spark.createDataFrame([(1, text), (2, "y" + text), (3, "z")], DOCS)
+        got = {r["doc_id"]: r["n_removed"] for r in repeats.without_repeats(docs, length=40).collect()}
+        assert got == {1: 41, 2: 41, 3: 0} and spark.conf.get(session.BATCH_SETTING) == str(session.BATCH_BYTES)
+    finally:
+        spark.conf.unset(session.BATCH_SETTING) if before is None else spark.conf.set(session.BATCH_SETTING, before)
