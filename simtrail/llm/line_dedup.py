@@ -56,7 +56,7 @@ from pyspark.sql import functions as F
 
 from simtrail.llm import textvec as tv
 from simtrail.llm.linking import bloom, centrality, chunk_rows, components, counter_table, dealt, in_bloom, merged, open_members, star_pairs
-from simtrail.session import discard, materialize
+from simtrail.session import bound_batches, discard, materialize
 
 MIN_WORDS = 5
 EXACT_WORDS = 1
@@ -523,6 +523,7 @@ def duplicate_lines(
     if similarity < 0.5:
         raise ValueError("blocks of two words deal out lines of a similarity of at least 0.5")
     spark: SparkSession = docs.sparkSession
+    bound_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = texts.where("doc_id is not null and text is not null")
     lines = materialize(
@@ -574,13 +575,18 @@ def duplicate_lines(
         blocks.repartition("bucket", "lo", "hi")
         .sortWithinPartitions("bucket", "lo", "hi")
         .mapInArrow(_close_pairs(max_bits, similarity, True), "a long, b long, ca long, cb long")
+        # Without the components: they follow from the lines, and are put back to the few pairs that are links.
+        .select("a", "b")
         .distinct()
     )
     rest = materialize(rest.join(pairs, ["a", "b"], "left_anti"), "line-rest")
     discard(left, pairs)
     if not rest.isEmpty():
         more = verified(rest, "rest")
-        links = links.unionByName(more.select("a", "b"))
+        links = links.unionByName(more)
+        for line, comp in (("a", "ca"), ("b", "cb")):
+            own = labels.select(F.col("node").alias(line), F.col("comp").alias(comp))
+            more = more.join(own, line, "left").withColumn(comp, F.coalesce(comp, line))
         labels = merged(labels, more)
     grouped = distinct.join(labels.select(F.col("node").alias("key"), "comp"), "key", "left")
     first = grouped.where("comp is not null").groupBy("comp").agg(F.min("first").alias("kept"))

@@ -400,3 +400,23 @@ def test_repeats_bound_their_batches(spark):
         assert got == {1: 41, 2: 41, 3: 0} and spark.conf.get(session.BATCH_SETTING) == str(session.BATCH_BYTES)
     finally:
         spark.conf.unset(session.BATCH_SETTING) if before is None else spark.conf.set(session.BATCH_SETTING, before)
+
+
+# --- operator 6, candidates --------------------------------------------------------
+def test_candidates_of_other_components_are_pairs_of_lines_only(spark, monkeypatch):
+    """The same words in other orders pass the bit filters: they are written as (a, b), verified, and stay."""
+    rng = np.random.default_rng(8)
+    words = [f"w{chr(97 + i)}" for i in range(12)]
+    docs = [(i, " ".join(["alpha", "beta", *rng.permutation(words)])) for i in range(8)] + [(20, "alpha beta " + " ".join(words))]
+    docs.append((21, docs[-1][1].replace("wd", "other")))
+    written = {}
+    plain = line_dedup.materialize
+
+    def recorded(df, name="table"):
+        out = written[name] = plain(df, name)
+        return out
+
+    monkeypatch.setattr(line_dedup, "materialize", recorded)
+    out = {r["doc_id"]: r["n_lines_removed"] for r in line_dedup.without_duplicate_lines(spark.createDataFrame(docs, DOCS)).collect()}
+    assert out == {**{i: 0 for i in range(8)}, 20: 0, 21: 1}
+    assert written["line-rest"].columns == ["a", "b"] and written["line-rest"].count() > 0
