@@ -10,6 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from simtrail import session
 from simtrail.llm import manifest, phrases, simhash_near
 
 SF = "/root/testdata/sf0.001"
@@ -183,6 +184,18 @@ def test_phrases_of_odd_rows(spark, max_words, block_bytes, monkeypatch):
     assert phrases.collocations(docs.limit(0)).count() == 0
 
 
+def test_phrases_bound_their_batches(spark):
+    before = spark.conf.get(session.BATCH_SETTING, None)
+    rows = [("en", "one two three. " * 20), (None, "four five " * 12)]
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    try:
+        spark.conf.unset(session.BATCH_SETTING)
+        assert sorted(map(tuple, phrases.collocations(docs).collect())) == brute_phrases(rows)
+        assert spark.conf.get(session.BATCH_SETTING) == str(session.BATCH_BYTES)
+    finally:
+        spark.conf.unset(session.BATCH_SETTING) if before is None else spark.conf.set(session.BATCH_SETTING, before)
+
+
 # --- operator 13 ---------------------------------------------------------------
 def _h(*parts):
     return hashlib.sha256("".join(parts).encode()).hexdigest()
