@@ -28,9 +28,13 @@ shorter lines out of step 2 as well.
    at most ``BLOCK_LINES`` lines, two to a task group; only lines outside a
    block's main component are dealt to other groups, so a block that is one
    component but for a few lines costs a few passes over it.  All pairs of
-   different components within ``MAX_BITS`` are verified as well.  In both
-   steps a pair must also fit in length and in the parity of its words: an edit
-   turns at most two of 128 bits, so these two rule out no similar pair.
+   different components within ``MAX_BITS`` are verified as well; before that,
+   each line only with the nearest one of another component, because many
+   copies of a line would else make all their pairs, and components that these
+   links join need no further pairs.  In all these steps a pair must also fit in
+   length and in the parity of its words: an edit turns at most two of 128 bits,
+   so these two rule out no similar pair.  Blocks are taken in up to ``PARTS``
+   parts, one after another, so that only one part's shuffles lie on disk.
 7. Every connected group keeps its first occurrence in (doc_id, line number)
    order; all other occurrences are removed.
 
@@ -48,6 +52,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +68,9 @@ EXACT_WORDS = 1
 MAX_BITS = 28
 SIMILARITY = 0.8
 BLOCK_LINES = 2048
+# Open blocks are compared, and pairs verified, in up to so many parts of at least so many lines or pairs.
+PARTS, PART_LINES = 4, 1 << 20
+PAIR_PARTS, PART_PAIRS = 8, 1 << 19
 # Groups up to this size are compared many at once.
 SMALL_GROUP = 64
 WORD_COUNTERS = 1 << 19
@@ -411,11 +419,13 @@ def _verify_lines(similarity: float):
     return check
 
 
-def _close_pairs(max_bits: int, similarity: float, with_comps: bool):
+def _close_pairs(max_bits: int, similarity: float, with_comps: bool, nearest: bool = False):
     """Task function over rows sorted by bucket (with components: by bucket, lo, hi): pairs within ``max_bits`` whose lengths allow the similarity.
 
     With components, only pairs of different components and, if ``lo`` and
     ``hi`` differ, of different blocks.  A group holds at most two blocks.
+    With ``nearest`` too, each line only with the nearest (in the parity of
+    the words) of those after it in its group: at most one pair a line.
     """
     names = ["bucket", "key", "sim", "size", *(["low", "high", "comp", "block", "lo", "hi"] if with_comps else [])]
 
@@ -435,7 +445,10 @@ def _close_pairs(max_bits: int, similarity: float, with_comps: bool):
             y = y[np.bitwise_count(sim[y] ^ sim[x]) <= max_bits]
             if with_comps:
                 turned = np.bitwise_count(low[y] ^ low[x]).astype(np.int64) + np.bitwise_count(high[y] ^ high[x])
-                y = y[turned <= 2 * ((1 - similarity) * np.maximum(size[y], size[x]) + 1e-9).astype(np.int64)]
+                fits = turned <= 2 * ((1 - similarity) * np.maximum(size[y], size[x]) + 1e-9).astype(np.int64)
+                y, turned = y[fits], turned[fits]
+                if nearest and len(y):
+                    y = y[[int(turned.argmin())]]
             found.append((np.full(len(y), x), y))
         x, y = (np.concatenate([np.empty(0, np.int64), *z]) for z in zip(*found, strict=True)) if found else [np.empty(0, np.int64)] * 2
         swap = key[x] > key[y]
@@ -463,9 +476,14 @@ def _close_pairs(max_bits: int, similarity: float, with_comps: bool):
             if with_comps:
                 turned = sum(np.bitwise_count((rows[c][y] ^ rows[c][x]).view(np.uint64)).astype(np.int64) for c in (4, 5))
                 near &= turned <= 2 * edits.astype(np.int64)
-            found.append((x[near], y[near]))
+            found.append((x[near], y[near], turned[near] if with_comps else x[near]))
             step += 1
-        x, y = (np.concatenate([np.empty(0, np.int64), *z]) for z in zip(*found)) if found else [np.empty(0, np.int64)] * 2
+        x, y, far = (np.concatenate([np.empty(0, np.int64), *z]) for z in zip(*found)) if found else [np.empty(0, np.int64)] * 3
+        if nearest:
+            by = np.lexsort((far, x))
+            x, y = x[by], y[by]
+            first = np.append(True, x[1:] != x[:-1])[: len(x)]
+            x, y = x[first], y[first]
         swap = key[x] > key[y]
         x, y = np.where(swap, y, x), np.where(swap, x, y)
         ids = rows[6] if with_comps else key
@@ -555,39 +573,58 @@ def duplicate_lines(
         found = texts.select("text").mapInArrow(_fetch_lines(bits, min_words), "key long, line string")
         return materialize(found.groupBy("key").agg(F.min("line").alias("line")).join(met, "key"), f"line-texts-{name}")
 
-    def verified(candidates: DataFrame, name: str) -> DataFrame:
-        found = texts_of(candidates, name)
-        full = candidates.join(found.select(F.col("key").alias("a"), F.col("line").alias("la")), "a").join(
-            found.select(F.col("key").alias("b"), F.col("line").alias("lb")), "b"
-        )
-        schema = ", ".join(f"{c} long" for c in candidates.columns)
-        full = full.select(*candidates.columns, "la", "lb")
-        out = materialize(full.mapInArrow(_verify_lines(similarity), schema), f"line-links-{name}")
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        found = texts_of(pairs, name)
+        la, lb = (found.select(F.col("key").alias(x), F.col("line").alias(f"l{x}")) for x in ("a", "b"))
+        written = []
+        parts = min(PAIR_PARTS, 1 + pairs.count() // PART_PAIRS)
+        for part in range(parts):
+            # The texts travel with the pairs, a part of them at a time.
+            own = pairs if parts == 1 else pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(parts)) == part)
+            full = own.join(la, "a").join(lb, "b").select("a", "b", "la", "lb")
+            written.append(materialize(full.mapInArrow(_verify_lines(similarity), "a long, b long"), f"line-links-{name}"))
         discard(found)
-        return out
+        return reduce(DataFrame.unionByName, written)
 
     links = verified(pairs, "first")
     labels = components(links)
-    left = open_members(members.drop("score"), labels)
-    discard(members)
-    blocks = dealt(left, BLOCK_LINES).withColumnRenamed("id", "key")
-    rest = (
-        blocks.repartition("bucket", "lo", "hi")
-        .sortWithinPartitions("bucket", "lo", "hi")
-        .mapInArrow(_close_pairs(max_bits, similarity, True), "a long, b long, ca long, cb long")
-        # Without the components: they follow from the lines, and are put back to the few pairs that are links.
-        .select("a", "b")
-        .distinct()
-    )
-    rest = materialize(rest.join(pairs, ["a", "b"], "left_anti"), "line-rest")
-    discard(left, pairs)
-    if not rest.isEmpty():
-        more = verified(rest, "rest")
-        links = links.unionByName(more)
-        for line, comp in (("a", "ca"), ("b", "cb")):
-            own = labels.select(F.col("node").alias(line), F.col("comp").alias(comp))
-            more = more.join(own, line, "left").withColumn(comp, F.coalesce(comp, line))
-        labels = merged(labels, more)
+    lines_of = members.drop("score")
+    parts = min(PARTS, 1 + members.count() // PART_LINES)
+
+    def candidates(nearest: bool, name: str) -> DataFrame:
+        """(a, b): pairs of lines of different components in the open blocks that are not in ``pairs``."""
+        written = []
+        for part in range(parts):
+            own = lines_of if parts == 1 else lines_of.where(F.pmod(F.xxhash64("bucket"), F.lit(parts)) == part)
+            left = open_members(own, labels)
+            close = (
+                dealt(left, BLOCK_LINES).withColumnRenamed("id", "key")
+                .repartition("bucket", "lo", "hi")
+                .sortWithinPartitions("bucket", "lo", "hi")
+                .mapInArrow(_close_pairs(max_bits, similarity, True, nearest), "a long, b long, ca long, cb long")
+                # Without the components: they follow from the lines, and are put back to the few pairs that are links.
+                .select("a", "b")
+                .distinct()
+            )
+            written.append(materialize(close.join(pairs, ["a", "b"], "left_anti"), f"{name}-part" if parts > 1 else name))
+            discard(left)
+        if parts == 1:
+            return written[0]
+        out = materialize(reduce(DataFrame.unionByName, written).distinct(), name)
+        discard(*written)
+        return out
+
+    for nearest, name in ((True, "nearest"), (False, "rest")):
+        found = candidates(nearest, f"line-{name}")
+        if not found.isEmpty():
+            more = verified(found, name)
+            links = links.unionByName(more)
+            for line, comp in (("a", "ca"), ("b", "cb")):
+                own = labels.select(F.col("node").alias(line), F.col("comp").alias(comp))
+                more = more.join(own, line, "left").withColumn(comp, F.coalesce(comp, line))
+            labels = materialize(merged(labels, more), "line-labels")
+        discard(found)
+    discard(members, pairs)
     grouped = distinct.join(labels.select(F.col("node").alias("key"), "comp"), "key", "left")
     first = grouped.where("comp is not null").groupBy("comp").agg(F.min("first").alias("kept"))
     keys = grouped.where("n > 1 or comp is not null").join(first, "comp", "left")

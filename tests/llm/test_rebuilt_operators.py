@@ -420,3 +420,53 @@ def test_candidates_of_other_components_are_pairs_of_lines_only(spark, monkeypat
     out = {r["doc_id"]: r["n_lines_removed"] for r in line_dedup.without_duplicate_lines(spark.createDataFrame(docs, DOCS)).collect()}
     assert out == {**{i: 0 for i in range(8)}, 20: 0, 21: 1}
     assert written["line-rest"].columns == ["a", "b"] and written["line-rest"].count() > 0
+
+
+def test_nearest_candidates_are_one_a_line_and_join_copies():
+    """Groups of copies in components of their own: a pair a line, not all pairs, and one tree a group."""
+    n = 300
+    rng = np.random.default_rng(5)
+    for sizes in ([n], [n // 10] * 10):
+        bucket = np.repeat(np.arange(len(sizes)), sizes)
+        key = rng.permutation(n)
+        columns = {"bucket": bucket, "key": key, "sim": np.full(n, 7), "size": np.full(n, 20), "low": np.zeros(n, int), "high": np.zeros(n, int),
+                   "comp": key, "block": np.zeros(n, int), "lo": np.zeros(n, int), "hi": np.zeros(n, int)}
+        batch = pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in columns.values()], list(columns))
+        got = pa.Table.from_batches(line_dedup._close_pairs(28, 0.8, True, nearest=True)(iter([batch]))).to_pydict()
+        assert len(got["a"]) == n - len(sizes)
+        root = dict(zip(key.tolist(), key.tolist()))
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in zip(got["a"], got["b"]):
+            root[find(a)] = find(b)
+        assert len({find(x) for x in key.tolist()}) == len(sizes)
+
+
+def test_lines_compared_and_verified_in_parts_give_the_same_rows(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    words = [f"w{chr(97 + i)}" for i in range(20)]
+    docs = []
+    for i in range(60):
+        line = ["alpha", "beta", *np.random.default_rng(i % 12).permutation(words)[:12]]
+        if i >= 12:
+            line[int(rng.integers(2, 14))] = f"x{chr(97 + i % 26)}"
+        docs.append((i, " ".join(line)))
+    table = spark.createDataFrame(docs, DOCS)
+    rows = sorted(map(tuple, line_dedup.without_duplicate_lines(table).select("doc_id", "text", "n_lines_removed").collect()))
+    written = []
+    plain = line_dedup.materialize
+
+    def recorded(df, name="table"):
+        written.append(name)
+        return plain(df, name)
+
+    monkeypatch.setattr(line_dedup, "materialize", recorded)
+    monkeypatch.setattr(line_dedup, "PART_LINES", 1)
+    monkeypatch.setattr(line_dedup, "PART_PAIRS", 1)
+    got = sorted(map(tuple, line_dedup.without_duplicate_lines(table).select("doc_id", "text", "n_lines_removed").collect()))
+    assert got == rows and sum(r[2] for r in rows) == 48
+    assert written.count("line-rest-part") == line_dedup.PARTS and written.count("line-links-first") > 1
