@@ -623,7 +623,8 @@ def duplicate_lines(
                 own = labels.select(F.col("node").alias(line), F.col("comp").alias(comp))
                 more = more.join(own, line, "left").withColumn(comp, F.coalesce(comp, line))
             labels = materialize(merged(labels, more), "line-labels")
-        discard(found)
+        if nearest:
+            discard(found)
     discard(members, pairs)
     grouped = distinct.join(labels.select(F.col("node").alias("key"), "comp"), "key", "left")
     first = grouped.where("comp is not null").groupBy("comp").agg(F.min("first").alias("kept"))
