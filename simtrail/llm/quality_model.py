@@ -37,6 +37,8 @@ TRAIN_ROWS = 4_000
 SCORE_KEPT = 0.3
 # A byte of text takes up to some hundred bytes of n-gram arrays.
 BLOCK_BYTES = 1 << 18
+# The driver takes in the features of the sample about so many at a time.
+FIT_FEATURES = 1 << 17
 _U = np.uint64
 _SPACE = tv.class_table([0x20, *range(0x09, 0x0E)])
 _UPPER = tv.class_table(range(0x41, 0x5B))
@@ -99,25 +101,43 @@ def ngram_features(data: np.ndarray, off: np.ndarray, dims: int = DIMS):
 
 def log_count_ratios(ids: np.ndarray, off: np.ndarray, labels: np.ndarray, dims: int, alpha: float = 1.0) -> np.ndarray:
     """Naive Bayes: log of the ratio of the smoothed, normalised class counts of each feature."""
-    per_feature = np.repeat(labels, np.diff(off))
-    pos = alpha + np.bincount(ids[per_feature == 1], minlength=dims)
-    neg = alpha + np.bincount(ids[per_feature == 0], minlength=dims)
+    counts = np.zeros((2, dims), np.int64)
+    for first, end, part, o in tv.blocks(ids, off, FIT_FEATURES):
+        per_feature = np.repeat(labels[first:end], np.diff(o))
+        for label in (0, 1):
+            counts[label] += np.bincount(part[per_feature == label], minlength=dims)
+    neg, pos = alpha + counts
     return np.log((pos / pos.sum()) / (neg / neg.sum()))
 
 
-def dual_coordinate_descent(ids, values, off, labels, dims: int, c: float = 1.0, epochs: int = 12, seed: int = 3):
-    """L1-loss linear SVM: (weights, intercept); the intercept is a constant feature of 1."""
+def feature_sums(ids: np.ndarray, off: np.ndarray, values_of) -> np.ndarray:
+    """Sum of ``values_of(ids, rows, offsets)`` over each row, as ``tv.row_sums`` of all values (one running sum), a run of rows at a time."""
+    out, before = [np.empty(0)], 0.0
+    for first, end, part, o in tv.blocks(ids, off, FIT_FEATURES):
+        total = np.cumsum(np.concatenate([[before], values_of(part, slice(first, end), o)]))
+        out.append(total[o[1:]] - total[o[:-1]])
+        before = total[-1]
+    return np.concatenate(out)
+
+
+def dual_coordinate_descent(ids, ratios, size, off, labels, dims: int, c: float = 1.0, epochs: int = 12, seed: int = 3):
+    """L1-loss linear SVM: (weights, intercept); the intercept is a constant feature of 1.
+
+    The features of a row are ``ratios`` divided by the row's ``size``; they are
+    worked out as a row is met, so only ``ids`` lies in memory whole.
+    """
     sign = np.where(labels == 1, 1.0, -1.0)
     weights, bias = np.zeros(dims), 0.0
     duals = np.zeros(len(labels))
-    norms = tv.row_sums(values * values, off) + 1.0
+    norms = feature_sums(ids, off, lambda at, rows, o: (ratios[at] / np.repeat(size[rows], np.diff(o))) ** 2) + 1.0
     # Equal weight of both classes.
     caps = np.where(labels == 1, c * len(labels) / (2 * max((labels == 1).sum(), 1)), c * len(labels) / (2 * max((labels == 0).sum(), 1)))
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         largest = 0.0
         for i in rng.permutation(len(labels)):
-            at, x = ids[off[i] : off[i + 1]], values[off[i] : off[i + 1]]
+            at = ids[off[i] : off[i + 1]]
+            x = ratios[at] / size[i]
             slope = sign[i] * (weights[at] @ x + bias) - 1
             new = min(max(duals[i] - slope / norms[i], 0.0), caps[i])
             change = (new - duals[i]) * sign[i]
@@ -131,9 +151,13 @@ def dual_coordinate_descent(ids, values, off, labels, dims: int, c: float = 1.0,
     return weights, bias
 
 
+def row_sizes(squares: np.ndarray) -> np.ndarray:
+    """The length of rows by the sums of their squares."""
+    return np.sqrt(np.maximum(squares, 1e-12))
+
+
 def unit_rows(values: np.ndarray, off: np.ndarray) -> np.ndarray:
-    size = np.sqrt(np.maximum(tv.row_sums(values * values, off), 1e-12))
-    return values / np.repeat(size, np.diff(off))
+    return values / np.repeat(row_sizes(tv.row_sums(values * values, off)), np.diff(off))
 
 
 def logistic_fit(margins: np.ndarray, labels: np.ndarray, steps: int = 60) -> tuple[float, float]:
@@ -229,15 +253,20 @@ def train(
         return QualityModel.constant(float(y.mean()))
     lists = rows.column("ids").combine_chunks()
     off = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))]).astype(np.int64)
-    ids = lists.flatten().to_numpy().astype(np.int64)
+    ids = lists.flatten().to_numpy()
+    del rows, lists
+    return fit(ids, off, y, dims, epochs)
+
+
+def fit(ids: np.ndarray, off: np.ndarray, y: np.ndarray, dims: int, epochs: int) -> QualityModel:
+    """The model of rows of features (in the order in which they are learnt) and their labels, of both classes."""
     cut = max(int(len(y) * 0.8), 1)
     if len(np.unique(y[:cut])) < 2 or len(np.unique(y[cut:])) < 2:
         cut = len(y)
     ratios = log_count_ratios(ids[: off[cut]], off[: cut + 1], y[:cut], dims)
-    del rows, lists
-    values = unit_rows(ratios[ids], off)
-    weights, bias = dual_coordinate_descent(ids[: off[cut]], values[: off[cut]], off[: cut + 1], y[:cut], dims, epochs=epochs)
-    margins = tv.row_sums(values * weights[ids], off) + bias
+    size = row_sizes(feature_sums(ids, off, lambda at, rows, o: ratios[at] * ratios[at]))
+    weights, bias = dual_coordinate_descent(ids[: off[cut]], ratios, size, off[: cut + 1], y[:cut], dims, epochs=epochs)
+    margins = feature_sums(ids, off, lambda at, rows, o: ratios[at] / np.repeat(size[rows], np.diff(o)) * weights[at]) + bias
     seen = slice(cut, None) if cut < len(y) else slice(None)
     slope, shift = logistic_fit(margins[seen], y[seen])
     return QualityModel(ratios, weights, bias, slope, shift)
