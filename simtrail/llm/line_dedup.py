@@ -20,21 +20,24 @@ shorter lines out of step 2 as well.
    in packed form first: a task writes the blocks and keys of all its lines as
    arrays by range of the block, another finds the blocks of a range that
    several lines share, and only those become rows.
-4. Every line of a block whose SimHash lies within ``MAX_BITS`` of that of the
-   block's most central line is paired with it.
+4. All lines of a block of at most ``WHOLE_LINES`` lines are compared with each
+   other: pairs whose SimHashes lie within ``MAX_BITS`` and that fit in length
+   and in the parity of their words (an edit turns at most two of 512 bits, so
+   these two rule out no similar pair).  Each line with the nearest of these is
+   verified first; most blocks are this small.  In a larger block every line is
+   paired with the block's most central line, under the same conditions.
 5. A pair is linked if the edit similarity ``1 - edit distance / longer length``
    of the normalised lines, both counted in words, is at least ``SIMILARITY``.
-6. Blocks that still hold several components are dealt out again in groups of
+6. Larger blocks that still hold several components are dealt out again in groups of
    at most ``BLOCK_LINES`` lines, two to a task group; only lines outside a
    block's main component are dealt to other groups, so a block that is one
    component but for a few lines costs a few passes over it.  All pairs of
    different components within ``MAX_BITS`` are verified as well; before that,
    each line only with the nearest one of another component, because many
    copies of a line would else make all their pairs, and components that these
-   links join need no further pairs.  In all these steps a pair must also fit in
-   length and in the parity of its words: an edit turns at most two of 128 bits,
-   so these two rule out no similar pair.  Blocks are taken in up to ``PARTS``
-   parts, one after another, so that only one part's shuffles lie on disk.
+   links join need no further pairs (nor do the small blocks' other pairs).
+   Blocks are taken in up to ``PARTS`` parts, one after another, so that only
+   one part's shuffles lie on disk.
 7. Every connected group keeps its first occurrence in (doc_id, line number)
    order; all other occurrences are removed.
 
@@ -68,6 +71,10 @@ EXACT_WORDS = 1
 MAX_BITS = 28
 SIMILARITY = 0.8
 BLOCK_LINES = 2048
+# Blocks of up to so many lines are compared whole.
+WHOLE_LINES = 32
+# Columns of the parities of a line's words, 64 bits each.
+MASKS = [f"mask{i}" for i in range(8)]
 # Open blocks are compared, and pairs verified, in up to so many parts of at least so many lines or pairs.
 PARTS, PART_LINES = 4, 1 << 20
 PAIR_PARTS, PART_PAIRS = 8, 1 << 19
@@ -151,15 +158,15 @@ def simhashes(words: np.ndarray, word_off: np.ndarray) -> np.ndarray:
     return out
 
 
-def parity_masks(words: np.ndarray, word_off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits of each row of word hashes, each the parity of the words that fall on it: an edit of one word turns at most two."""
+def parity_masks(words: np.ndarray, word_off: np.ndarray) -> list[np.ndarray]:
+    """512 bits of each row of word hashes, each the parity of the words that fall on it: an edit of one word turns at most two."""
     rows = np.flatnonzero(np.diff(word_off) > 0)
-    out = np.zeros((2, len(word_off) - 1), np.uint64)
+    out = np.zeros((len(MASKS), len(word_off) - 1), np.uint64)
     bit = _U(1) << (words >> _U(8) & _U(63))
-    half = (words >> _U(14) & _U(1)).astype(bool)
-    for i in range(2 if len(rows) else 0):
-        out[i, rows] = np.bitwise_xor.reduceat(np.where(half == bool(i), bit, _U(0)), word_off[rows])
-    return out[0], out[1]
+    which = words >> _U(14) & _U(len(MASKS) - 1)
+    for i in range(len(MASKS) if len(rows) else 0):
+        out[i, rows] = np.bitwise_xor.reduceat(np.where(which == _U(i), bit, _U(0)), word_off[rows])
+    return list(out)
 
 
 def line_table(data: np.ndarray, off: np.ndarray, with_sims: bool = True, with_masks: bool = False, with_words: bool = False):
@@ -318,7 +325,7 @@ def _scan_lines(min_words: int):
             data, off = tv.text_bytes(batch.column("text"))
             ids = batch.column("doc_id")
             for first, _, d, o in tv.blocks(data, off):
-                _, _, line_off, n_words, keys, (sims, low, high) = line_table(d, o, with_masks=True)
+                _, _, line_off, n_words, keys, (sims, *masks) = line_table(d, o, with_masks=True)
                 rows = np.repeat(np.arange(len(o) - 1), np.diff(line_off))
                 number = np.arange(len(rows)) - line_off[rows]
                 use = np.flatnonzero(n_words >= min_words)
@@ -328,11 +335,10 @@ def _scan_lines(min_words: int):
                         pa.array(number[use].astype(np.int32)),
                         pa.array(tv.signed(keys[use])),
                         pa.array(tv.signed(sims[use])),
-                        pa.array(tv.signed(low[use])),
-                        pa.array(tv.signed(high[use])),
+                        *[pa.array(tv.signed(m[use])) for m in masks],
                         pa.array(n_words[use].astype(np.int32)),
                     ],
-                    ["doc_id", "line_no", "key", "sim", "low", "high", "size"],
+                    ["doc_id", "line_no", "key", "sim", *MASKS, "size"],
                 )
 
     return scan
@@ -419,7 +425,44 @@ def _verify_lines(similarity: float):
     return check
 
 
-def _close_pairs(max_bits: int, similarity: float, with_comps: bool, nearest: bool = False):
+def _whole_pairs(max_bits: int, similarity: float):
+    """Task function over rows sorted by bucket: all pairs of lines of a bucket that may be similar, and how many bits of their words' parity differ."""
+    names = ["bucket", "key", "sim", "size", *MASKS]
+
+    def pairs(rows: np.ndarray) -> pa.RecordBatch:
+        """Row i with row i + 1, i + 2, .. of its bucket."""
+        bucket, key, sim, size = rows[:4]
+        end = np.searchsorted(bucket, bucket, side="right")
+        at, found, step = np.arange(len(key)), [], 1
+        while len(at):
+            at = at[at + step < end[at]]
+            x, y = at, at + step
+            near = np.bitwise_count((sim[y] ^ sim[x]).view(np.uint64)) <= max_bits
+            x, y = x[near], y[near]
+            edits = (1 - similarity) * np.maximum(size[y], size[x]) + 1e-9
+            near = np.abs(size[y] - size[x]) <= edits
+            x, y, edits = x[near], y[near], edits[near]
+            turned = sum(np.bitwise_count((m[y] ^ m[x]).view(np.uint64)).astype(np.int64) for m in rows[4:])
+            near = turned <= 2 * edits.astype(np.int64)
+            found.append((key[x[near]], key[y[near]], turned[near]))
+            step += 1
+        x, y, far = (np.concatenate([np.empty(0, np.int64), *z]) for z in zip(*found)) if found else [np.empty(0, np.int64)] * 3
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(far)], ["a", "b", "far"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.empty((len(names), 0), np.int64)
+        for batch in batches:
+            rows = np.concatenate([held, np.stack([batch.column(c).to_numpy().astype(np.int64) for c in names])], axis=1)
+            # The last bucket may go on.
+            cut = int(np.searchsorted(rows[0], rows[0, -1])) if rows.shape[1] else 0
+            yield pairs(rows[:, :cut])
+            held = rows[:, cut:].copy()
+        yield pairs(held)
+
+    return run
+
+
+def _close_pairs(max_bits: int, similarity: float, with_comps: bool, nearest: bool = False, masks: tuple[str, ...] = ("low", "high")):
     """Task function over rows sorted by bucket (with components: by bucket, lo, hi): pairs within ``max_bits`` whose lengths allow the similarity.
 
     With components, only pairs of different components and, if ``lo`` and
@@ -427,12 +470,14 @@ def _close_pairs(max_bits: int, similarity: float, with_comps: bool, nearest: bo
     With ``nearest`` too, each line only with the nearest (in the parity of
     the words) of those after it in its group: at most one pair a line.
     """
-    names = ["bucket", "key", "sim", "size", *(["low", "high", "comp", "block", "lo", "hi"] if with_comps else [])]
+    names = ["bucket", "key", "sim", "size", *([*masks, "comp", "block", "lo", "hi"] if with_comps else [])]
+    at_comp = 4 + len(masks)
 
-    def pairs_of(key, sim, size, low=None, high=None, comp=None, block=None, lo=None, hi=None):
+    def pairs_of(key, sim, size, *more):
         sim = sim.view(np.uint64)
+        own, comp = [m.view(np.uint64) for m in more[: len(masks)]], None
         if with_comps:
-            low, high = low.view(np.uint64), high.view(np.uint64)
+            comp, block, lo, hi = more[len(masks) :]
         found = []
         left = np.flatnonzero(block == lo) if with_comps else np.arange(len(key))
         across = with_comps and lo[0] != hi[0]
@@ -444,7 +489,7 @@ def _close_pairs(max_bits: int, similarity: float, with_comps: bool, nearest: bo
             y = y[np.abs(size[y] - size[x]) <= (1 - similarity) * np.maximum(size[y], size[x]) + 1e-9]
             y = y[np.bitwise_count(sim[y] ^ sim[x]) <= max_bits]
             if with_comps:
-                turned = np.bitwise_count(low[y] ^ low[x]).astype(np.int64) + np.bitwise_count(high[y] ^ high[x])
+                turned = sum(np.bitwise_count(m[y] ^ m[x]).astype(np.int64) for m in own)
                 fits = turned <= 2 * ((1 - similarity) * np.maximum(size[y], size[x]) + 1e-9).astype(np.int64)
                 y, turned = y[fits], turned[fits]
                 if nearest and len(y):
@@ -469,12 +514,12 @@ def _close_pairs(max_bits: int, similarity: float, with_comps: bool, nearest: bo
             y = at + step
             near = np.bitwise_count(sim[y] ^ sim[at]) <= max_bits
             if with_comps:
-                near &= rows[6][y] != rows[6][at]
+                near &= rows[at_comp][y] != rows[at_comp][at]
             x, y = at[near], y[near]
             edits = (1 - similarity) * np.maximum(length[y], length[x]) + 1e-9
             near = np.abs(length[y] - length[x]) <= edits
             if with_comps:
-                turned = sum(np.bitwise_count((rows[c][y] ^ rows[c][x]).view(np.uint64)).astype(np.int64) for c in (4, 5))
+                turned = sum(np.bitwise_count((rows[c][y] ^ rows[c][x]).view(np.uint64)).astype(np.int64) for c in range(4, at_comp))
                 near &= turned <= 2 * edits.astype(np.int64)
             found.append((x[near], y[near], turned[near] if with_comps else x[near]))
             step += 1
@@ -486,7 +531,7 @@ def _close_pairs(max_bits: int, similarity: float, with_comps: bool, nearest: bo
             x, y = x[first], y[first]
         swap = key[x] > key[y]
         x, y = np.where(swap, y, x), np.where(swap, x, y)
-        ids = rows[6] if with_comps else key
+        ids = rows[at_comp] if with_comps else key
         return key[x], key[y], ids[x], ids[y]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -545,26 +590,44 @@ def duplicate_lines(
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = texts.where("doc_id is not null and text is not null")
     lines = materialize(
-        texts.mapInArrow(_scan_lines(min(exact_words, min_words)), "doc_id long, line_no int, key long, sim long, low long, high long, size int"), "lines"
+        texts.mapInArrow(
+            _scan_lines(min(exact_words, min_words)), "doc_id long, line_no int, key long, sim long, " + "".join(f"{m} long, " for m in MASKS) + "size int"),
+        "lines",
     )
     distinct = materialize(
         lines.groupBy("key").agg(
-            F.min(F.struct("doc_id", "line_no")).alias("first"), F.min("sim").alias("sim"), F.min("low").alias("low"), F.min("high").alias("high"), F.min("size").alias("size"), F.count(F.lit(1)).alias("n")
+            F.min(F.struct("doc_id", "line_no")).alias("first"), *[F.min(c).alias(c) for c in ("sim", *MASKS)], F.min("size").alias("size"), F.count(F.lit(1)).alias("n")
         ),
         "distinct-lines",
     )
 
     shared = shared_blocks(texts.select("text"), min_words, similarity)
-    sizes = shared.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    score = materialize(centrality(shared, sizes), "line-scores")
-    payload = distinct.select(F.col("key").alias("id"), "sim", "low", "high", "size").join(score, "id")
-    members = materialize(shared.join(payload, "id"), "line-members")
-    discard(shared, score)
+    sizes = shared.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > WHOLE_LINES)
+    sizes = materialize(sizes, "large-blocks")
+    payload = distinct.select(F.col("key").alias("id"), "sim", *MASKS, "size")
+
+    written = []
+    parts = min(PARTS, 1 + shared.count() // PART_LINES)
+    for part in range(parts):
+        own = shared if parts == 1 else shared.where(F.pmod(F.xxhash64("bucket"), F.lit(parts)) == part)
+        rows = own.join(sizes, "bucket", "left_anti").join(payload, "id").withColumnRenamed("id", "key")
+        close = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_whole_pairs(max_bits, similarity), "a long, b long, far long")
+        written.append(materialize(close.distinct(), "line-whole-part"))
+    whole = materialize(reduce(DataFrame.unionByName, written).distinct(), "line-whole") if parts > 1 else written[0]
+
+    large = shared.join(sizes.select("bucket"), "bucket")
+    members = materialize(large.join(centrality(large, sizes), "id").join(payload, "id"), "line-members")
+    discard(shared, sizes, *(written if parts > 1 else []))
+    turned = " + ".join(f"bit_count(a_{m} ^ b_{m})" for m in MASKS)
     close = F.expr(
         f"bit_count(a_sim ^ b_sim) <= {max_bits} and abs(a_size - b_size) <= {1 - similarity} * greatest(a_size, b_size) + 1e-9"
-        f" and bit_count(a_low ^ b_low) + bit_count(a_high ^ b_high) <= 2 * floor({1 - similarity} * greatest(a_size, b_size) + 1e-9)"
+        f" and {turned} <= 2 * floor({1 - similarity} * greatest(a_size, b_size) + 1e-9)"
     )
-    pairs = materialize(star_pairs(members, None, ["sim", "low", "high", "size"], close), "line-pairs")
+    stars = star_pairs(members, None, ["sim", *MASKS, "size"], close)
+    # Each line of the small blocks with its nearest one.
+    ends = whole.select("a", F.struct("far", "a", "b").alias("p")).unionByName(whole.select(F.col("b").alias("a"), F.struct("far", "a", "b").alias("p")))
+    nearest_of = ends.groupBy("a").agg(F.min("p").alias("p")).select("p.a", "p.b")
+    pairs = materialize(stars.unionByName(nearest_of).distinct(), "line-pairs")
 
     def texts_of(pairs: DataFrame, name: str) -> DataFrame:
         """The normalised text of the lines of some pairs."""
@@ -586,35 +649,47 @@ def duplicate_lines(
         discard(found)
         return reduce(DataFrame.unionByName, written)
 
-    links = verified(pairs, "first")
+    links = pairs if pairs.isEmpty() else verified(pairs, "first")
     labels = components(links)
     lines_of = members.drop("score")
-    parts = min(PARTS, 1 + members.count() // PART_LINES)
+    n_members = members.count()
+    parts = min(PARTS, 1 + max(n_members, whole.count()) // PART_LINES)
+
+    def part_of(table: DataFrame, part: int, *by: str) -> DataFrame:
+        return table if parts == 1 else table.where(F.pmod(F.xxhash64(*by), F.lit(parts)) == part)
+
+    def left_of_whole(part: int) -> DataFrame:
+        """The small blocks' pairs of lines of different components that are not in ``pairs``."""
+        left = part_of(whole, part, "a", "b").select("a", "b").join(pairs, ["a", "b"], "left_anti")
+        for line, comp in (("a", "ca"), ("b", "cb")):
+            left = left.join(labels.select(F.col("node").alias(line), F.col("comp").alias(comp)), line, "left")
+        return left.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
     def candidates(nearest: bool, name: str) -> DataFrame:
-        """(a, b): pairs of lines of different components in the open blocks that are not in ``pairs``."""
+        """(a, b): pairs of lines of different components in the open large blocks (and, at last, in the small ones) that are not in ``pairs``."""
         written = []
         for part in range(parts):
-            own = lines_of if parts == 1 else lines_of.where(F.pmod(F.xxhash64("bucket"), F.lit(parts)) == part)
-            left = open_members(own, labels)
-            close = (
-                dealt(left, BLOCK_LINES).withColumnRenamed("id", "key")
-                .repartition("bucket", "lo", "hi")
-                .sortWithinPartitions("bucket", "lo", "hi")
-                .mapInArrow(_close_pairs(max_bits, similarity, True, nearest), "a long, b long, ca long, cb long")
-                # Without the components: they follow from the lines, and are put back to the few pairs that are links.
-                .select("a", "b")
-                .distinct()
-            )
-            written.append(materialize(close.join(pairs, ["a", "b"], "left_anti"), f"{name}-part" if parts > 1 else name))
-            discard(left)
-        if parts == 1:
-            return written[0]
+            found = [] if nearest else [left_of_whole(part)]
+            if n_members:
+                left = open_members(part_of(lines_of, part, "bucket"), labels)
+                close = (
+                    dealt(left, BLOCK_LINES).withColumnRenamed("id", "key")
+                    .repartition("bucket", "lo", "hi")
+                    .sortWithinPartitions("bucket", "lo", "hi")
+                    .mapInArrow(_close_pairs(max_bits, similarity, True, nearest, tuple(MASKS)), "a long, b long, ca long, cb long")
+                    # Without the components: they follow from the lines, and are put back to the few pairs that are links.
+                    .select("a", "b")
+                    .distinct()
+                )
+                found.append(close.join(pairs, ["a", "b"], "left_anti"))
+            written.append(materialize(reduce(DataFrame.unionByName, found), f"{name}-part"))
+            if n_members:
+                discard(left)
         out = materialize(reduce(DataFrame.unionByName, written).distinct(), name)
         discard(*written)
         return out
 
-    for nearest, name in ((True, "nearest"), (False, "rest")):
+    for nearest, name in [(True, "nearest")] * bool(n_members) + [(False, "rest")]:
         found = candidates(nearest, f"line-{name}")
         if not found.isEmpty():
             more = verified(found, name)
@@ -625,7 +700,7 @@ def duplicate_lines(
             labels = materialize(merged(labels, more), "line-labels")
         if nearest:
             discard(found)
-    discard(members, pairs)
+    discard(members, whole)
     grouped = distinct.join(labels.select(F.col("node").alias("key"), "comp"), "key", "left")
     first = grouped.where("comp is not null").groupBy("comp").agg(F.min("first").alias("kept"))
     keys = grouped.where("n > 1 or comp is not null").join(first, "comp", "left")

@@ -1,6 +1,7 @@
 """Dealing of lines, repeated strings and token files: scripts without spaces, collisions, folds, nulls and pruning."""
 
 import hashlib
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -9,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from simtrail import session
-from simtrail.llm import disclosure, line_dedup, linking, pieces, quality_rules, repeats, token_files
+from simtrail.llm import disclosure, line_dedup, linking, pieces, quality_model, quality_rules, repeats, token_files
+from simtrail.llm import textvec as tv
 
 DOCS = "doc_id long, text string"
 
@@ -470,3 +472,71 @@ def test_lines_compared_and_verified_in_parts_give_the_same_rows(spark, monkeypa
     got = sorted(map(tuple, line_dedup.without_duplicate_lines(table).select("doc_id", "text", "n_lines_removed").collect()))
     assert got == rows and sum(r[2] for r in rows) == 48
     assert written.count("line-rest-part") == line_dedup.PARTS and written.count("line-links-first") > 1
+
+
+def test_small_blocks_are_compared_whole():
+    """All pairs of a block under the three conditions, wherever the batches are cut."""
+    rng = np.random.default_rng(11)
+    n = 400
+    words = rng.integers(0, 1 << 62, (3, 40), dtype=np.uint64)
+    lines = [words[i % 3].copy() for i in range(n)]
+    for line in lines:
+        line[rng.integers(0, 40, int(rng.integers(0, 6)))] = rng.integers(0, 1 << 62, dtype=np.uint64)
+    lines = [x[: int(rng.integers(30, 41))] for x in lines]
+    off = np.concatenate([[0], np.cumsum([len(x) for x in lines])])
+    masks = line_dedup.parity_masks(np.concatenate(lines), off)
+    sims = line_dedup.simhashes(np.concatenate(lines), off)
+    bucket, key = np.sort(rng.integers(0, 40, n)), rng.permutation(n)
+    columns = {"bucket": bucket, "key": key, "sim": sims.view(np.int64), "size": np.diff(off), **dict(zip(line_dedup.MASKS, (m.view(np.int64) for m in masks)))}
+    table = pa.table(columns)
+    expected = set()
+    for i in range(n):
+        for j in range(i + 1, n):
+            most = 0.2 * max(len(lines[i]), len(lines[j])) + 1e-9
+            turned = sum(int(m[i] ^ m[j]).bit_count() for m in masks)
+            if bucket[i] == bucket[j] and int(sims[i] ^ sims[j]).bit_count() <= 28 and abs(len(lines[i]) - len(lines[j])) <= most and turned <= 2 * int(most):
+                expected.add((min(key[i], key[j]), max(key[i], key[j]), turned))
+    for size in (7, n):
+        got = pa.Table.from_batches(line_dedup._whole_pairs(28, 0.8)(iter(table.to_batches(max_chunksize=size)))).to_pydict()
+        assert set(zip(got["a"], got["b"], got["far"])) == expected and len(got["a"]) == len(expected) > 50
+
+
+def test_long_lines_that_differ_are_no_candidates(spark, monkeypatch):
+    """Lines of 200 different words that share a block, in a small and a large block: told apart before their texts are fetched."""
+    rng = np.random.default_rng(12)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+
+    def line(first: str) -> str:
+        return " ".join([first, "beta", *("".join(rng.choice(letters, 7)) for _ in range(200))])
+
+    docs = [(i, line("alpha" if i < 20 else "gamma")) for i in range(80)]
+    docs += [(100, docs[3][1].replace("alpha", "delta")), (101, docs[50][1].replace("gamma", "delta"))]
+    met = []
+    plain = line_dedup.materialize
+
+    def recorded(df, name="table"):
+        out = plain(df, name)
+        if name in ("line-whole", "line-whole-part", "line-pairs", "line-nearest", "line-rest"):
+            met.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "materialize", recorded)
+    out = {r["doc_id"]: r["n_lines_removed"] for r in line_dedup.without_duplicate_lines(spark.createDataFrame(docs, DOCS)).collect()}
+    assert {k for k, n in out.items() if n} == {100, 101} and sum(met) <= 20
+
+
+# --- operator 2, the driver's memory ------------------------------------------------
+def test_the_fit_holds_little_beside_the_features():
+    """Features are worked out a run of rows at a time: the same sums, and a few bytes a feature."""
+    rng = np.random.default_rng(13)
+    off = np.concatenate([[0], np.cumsum(rng.integers(1500, 2500, 1000))])
+    dims = 1 << 12
+    ids = rng.integers(0, dims, off[-1]).astype(np.int32)
+    y = rng.integers(0, 2, 1000)
+    values = rng.normal(size=dims)
+    assert (quality_model.feature_sums(ids, off, lambda at, rows, o: values[at]) == tv.row_sums(values[ids], off)).all()
+    tracemalloc.start()
+    quality_model.fit(ids, off, y, dims, 2)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 2 * ids.nbytes
