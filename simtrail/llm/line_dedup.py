@@ -80,7 +80,7 @@ MASKS = [f"mask{i}" for i in range(8)]
 # Columns of the numbers of a line's words in 16 classes.
 LOADS = ["load0", "load1"]
 # Open blocks are compared, and pairs verified, in up to so many parts of at least so many lines or pairs.
-PARTS, PART_LINES = 4, 1 << 20
+PARTS, PART_LINES = 4, 1 << 22
 PAIR_PARTS, PART_PAIRS = 8, 1 << 19
 # Groups up to this size are compared many at once.
 SMALL_GROUP = 64
@@ -1006,7 +1006,7 @@ def without_duplicate_lines(docs: DataFrame, **options) -> DataFrame:
     """
     drops, _, _ = duplicate_lines(docs, **options)
     gone = drops.groupBy("doc_id").agg(F.collect_set("line_no").alias("__gone"))
-    joined = docs.join(gone, "doc_id", "left")
+    joined = docs.join(gone.hint("shuffle_hash"), "doc_id", "left")  # else every text is sorted
     kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("__gone", i))
     return joined.withColumns(
         {
