@@ -8,22 +8,28 @@ is a word.  In the query and the pipeline every line with a word
 ``MIN_WORDS`` words.  Without ``exact_words``, ``without_duplicate_lines`` leaves
 shorter lines out of step 2 as well.
 
-1. One scan writes (doc_id, line number, key, SimHash) of each such line; the
-   key is a 64-bit hash of the normalised line.  Another counts words in a
-   table of ``WORD_COUNTERS`` counters.
+1. One scan writes (doc_id, line number, key, SimHash and other bits of its
+   words) of each such line; the key is a 64-bit hash of the normalised line.
+   It counts words and blocks as well, in tables of ``WORD_COUNTERS`` and
+   ``BLOCK_COUNTERS`` counters.
 2. Equal lines collapse to one row per key with its first occurrence.
-3. Lines are cut into overlapping blocks of two words, and joined on blocks
-   (pigeonhole): an edit of one word breaks at most two, so two lines within
+3. Lines are cut into overlapping blocks of three words, and joined on blocks
+   (pigeonhole): an edit of one word breaks at most three, so two lines within
    the similarity differ in few blocks, and the first ``broken + 1`` blocks of
-   each, in one fixed order of all blocks (rarest words first), have one in
-   common.  Most of these blocks occur in one line only, so they are sorted out
+   each, in one fixed order of all blocks (those that stand out as common last,
+   then rarest words first), have one in common.  Lines that are similar only
+   with one edit (up to nine words) meet on themselves with one word left out.
+   (A similarity below 0.8 may leave no run of three; then blocks have two
+   words.)  Most of these blocks occur in one line only, so they are sorted out
    in packed form first: a task writes the blocks and keys of all its lines as
    arrays by range of the block, another finds the blocks of a range that
-   several lines share, and only those become rows.
+   several lines share, as sets of lines; blocks of the same lines are one set,
+   and only the different sets become rows.
 4. All lines of a block of at most ``WHOLE_LINES`` lines are compared with each
    other: pairs whose SimHashes lie within ``MAX_BITS`` and that fit in length
-   and in the parity of their words (an edit turns at most two of 512 bits, so
-   these two rule out no similar pair).  Each line with the nearest of these is
+   and in the parity of their words (an edit turns at most two of 512 bits) and
+   in the numbers of their words in 16 classes (an edit takes one away and adds
+   one at most), so that these rule out no similar pair.  Each line with the nearest of these is
    verified first; most blocks are this small.  In a larger block every line is
    paired with the block's most central line, under the same conditions.
 5. A pair is linked if the edit similarity ``1 - edit distance / longer length``
